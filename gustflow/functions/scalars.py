@@ -26,6 +26,8 @@ def heat_index_celsius(temp_c, humidity) -> Column:
     gives null.
     """
     t = _c(temp_c).cast("double")
+    raw_rh = _c(humidity).cast("double")
+    # greatest/least skip nulls, so the null check uses the raw column
     rh = F.greatest(F.lit(0.0), F.least(F.lit(100.0), _c(humidity).cast("double")))
     tf = t * 9.0 / 5.0 + 32.0
     c = HEAT_INDEX_COEFFICIENTS
@@ -37,9 +39,9 @@ def heat_index_celsius(temp_c, humidity) -> Column:
                    ((rh - 85.0) / 10.0) * ((87.0 - tf) / 5.0)).otherwise(F.lit(0.0))
     hi_c = (hi - dry + humid - 32.0) * 5.0 / 9.0
     return (F.when(t.isNull(), F.lit(None).cast("double"))
-            .when(tf < 80.0, F.round(t, 1))
-            .when(rh.isNull(), F.lit(None).cast("double"))
-            .otherwise(F.round(F.greatest(hi_c, t), 1)))
+            .when(tf < 80.0, round_half_up(t, 1))
+            .when(raw_rh.isNull(), F.lit(None).cast("double"))
+            .otherwise(round_half_up(F.greatest(hi_c, t), 1)))
 
 
 def comfort_label(heat_index) -> Column:
@@ -89,8 +91,16 @@ def method_label(method="method") -> Column:
     return F.initcap(F.regexp_replace(_c(method), "_", " "))
 
 
+def round_half_up(x, places: int) -> Column:
+    """Decimal half-up rounding that does not depend on the binary representation.
+
+    ``1.005`` is stored as 1.00499999...; a 1e-12 relative nudge away from
+    zero makes decimal ties round up (away from zero) whatever the last bit
+    of the double is, so two engines (or two summation orders) agree.
+    """
+    return F.round(_c(x) * F.lit(1 + 1e-12), places)
+
+
 def round6(x) -> Column:
-    """Round an aggregate-derived double to 6 places.  The 1e-12 relative
-    nudge makes exact decimal ties resolve the same way whatever the last bit
-    of the float sum is (other engines use the same rule)."""
-    return F.round(_c(x) * F.lit(1 + 1e-12), 6)
+    """Round an aggregate-derived double to 6 places (see :func:`round_half_up`)."""
+    return round_half_up(x, 6)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ABSOLUTE_RULES, DEFAULT, METRICS, Params
-from ..functions.scalars import fmt
+from ..functions.scalars import fmt, round_half_up
 from .clean import prepare_events, tail_rows
 
 ALERT_SCHEMA = T.StructType([
@@ -128,7 +128,7 @@ def _z_candidates(key_cols: Sequence[str], metrics: Sequence[str], params: Param
             F.lit(m).alias("metric"), F.concat(F.lit(f"{m}_"), direction).alias("alert_type"),
             F.when(F.abs(z) >= params.z_high, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
             v.alias("value"), mean.alias("baseline_mean"), std.alias("baseline_std"),
-            F.round(z, 2).alias("z_score"), msg.alias("message"))))
+            round_half_up(z, 2).alias("z_score"), msg.alias("message"))))
     return out
 
 

@@ -99,3 +99,27 @@ def head_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame
 
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+
+
+def global_rank(df: DataFrame, order: Sequence[str], tie: Sequence[str] | None = None,
+                name: str = "rank") -> DataFrame:
+    """SQL ``rank()`` over a global order without a single-partition window.
+
+    Rows are range-partitioned on ``order`` and numbered inside each
+    partition; per-partition counts (one row per partition: a bounded
+    broadcast) give each partition its offset.  Ties (equal ``tie`` values,
+    default all of ``order``) then take the smallest row number of their
+    group through an aggregation.
+    """
+    tie = list(tie or order)
+    sorted_ = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id())
+    from pyspark.sql import Window
+    local = sorted_.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*[F.col(c) for c in order])))
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.select(
+        "_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
+    numbered = local.join(F.broadcast(offsets), "_pid").withColumn(
+        "_row", F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0)))
+    firsts = numbered.groupBy(*tie).agg(F.min("_row").alias(name))
+    return numbered.join(firsts, tie).drop("_pid", "_rn", "_off", "_row")

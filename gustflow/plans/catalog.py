@@ -91,3 +91,213 @@ def q_baseline_stats_lineitem(spark, sf_dir):
     params = replace(DEFAULT, baseline_days=365)
     out = anomaly.baseline_stats(li, key_cols=("l_suppkey",), metrics=metrics, params=params, prepared=True)
     return _r6(out, "mean", "std")
+
+
+# --------------------------------------------------------------------------
+# Projections, parsing, cleaning
+# --------------------------------------------------------------------------
+
+def _obs(spark, sf_dir) -> DataFrame:
+    return fx.readings(spark, sf_dir)
+
+
+@register("parse_json")
+def q_parse_json(spark, sf_dir):
+    """Readings serialised to keyed JSON records and parsed back with the fixed schema."""
+    from ..sources.records import parse_records, to_records
+    recs = to_records(_obs(spark, sf_dir))
+    return parse_records(recs)
+
+
+@register("to_records")
+def q_to_records(spark, sf_dir):
+    """Record key text plus the JSON value parsed back (value text is engine-specific)."""
+    from ..sources.records import OBSERVATION_SCHEMA, to_records
+    recs = to_records(_obs(spark, sf_dir), binary=False)
+    return recs.select("key", F.from_json("value", OBSERVATION_SCHEMA).alias("v")).select("key", "v.*")
+
+
+@register("event_time")
+def q_event_time(spark, sf_dir):
+    obs = clean.with_event_date(clean.with_event_time(_obs(spark, sf_dir)))
+    # dates travel as yyyy-MM-dd text in registered outputs (engine-neutral)
+    return obs.select("event_id", "timestamp", "event_time", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+
+
+@register("prepare_events")
+def q_prepare_events(spark, sf_dir):
+    return clean.prepare_events(_obs(spark, sf_dir))
+
+
+@register("unpivot_metrics")
+def q_unpivot_metrics(spark, sf_dir):
+    return clean.unpivot_metrics(_obs(spark, sf_dir), ["event_id", "timestamp", "city"])
+
+
+@register("filter_cities")
+def q_filter_cities(spark, sf_dir):
+    return clean.filter_keys(_obs(spark, sf_dir), ["Delhi", "Tokyo"])
+
+
+@register("dedupe_last")
+def q_dedupe_last(spark, sf_dir):
+    """Keep-last on (city, timestamp) over readings with re-delivered copies."""
+    return clean.dedupe_last(fx.readings_dup(spark, sf_dir), ("city", "timestamp"), ("event_id",))
+
+
+@register("latest_per_city")
+def q_latest_per_city(spark, sf_dir):
+    return clean.latest_per_key(_obs(spark, sf_dir), "city", ("timestamp", "event_id"))
+
+
+@register("recent_history")
+def q_recent_history(spark, sf_dir):
+    """The 20 most recent readings (a top-k report)."""
+    return clean.tail_rows(_obs(spark, sf_dir), 20, ["timestamp", "event_id"])
+
+
+@register("distinct_cities")
+def q_distinct_cities(spark, sf_dir):
+    return clean.distinct_sorted(_obs(spark, sf_dir), "city")
+
+
+# --------------------------------------------------------------------------
+# Windows and regular series
+# --------------------------------------------------------------------------
+
+@register("window_agg_5m")
+def q_window_agg_5m(spark, sf_dir):
+    from ..operators.windows import window_agg
+    out = window_agg(clean.with_event_time(_obs(spark, sf_dir)))
+    return _r6(out, "avg_temperature", "avg_humidity", "avg_wind_speed")
+
+
+@register("window_agg_live")
+def q_window_agg_live(spark, sf_dir):
+    """Newest 200 five-minute windows, means rounded to 2, non-null counts."""
+    from ..operators.windows import live_window_agg
+    return live_window_agg(clean.with_event_time(_obs(spark, sf_dir)), limit=200)
+
+
+@register("resample_30m")
+def q_resample_30m(spark, sf_dir):
+    from ..operators.windows import resample
+    return _r6(resample(clean.with_event_time(_obs(spark, sf_dir))), "y")
+
+
+@register("infer_freq")
+def q_infer_freq(spark, sf_dir):
+    from ..operators.windows import infer_freq
+    return infer_freq(clean.with_event_time(_obs(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# Enrichment and snapshot views
+# --------------------------------------------------------------------------
+
+def _snapshot(spark, sf_dir) -> DataFrame:
+    return clean.with_event_time(clean.latest_per_key(_obs(spark, sf_dir), "city", ("timestamp", "event_id")))
+
+
+@register("attach_coordinates")
+def q_attach_coordinates(spark, sf_dir):
+    from ..operators.snapshot import attach_coordinates
+    return attach_coordinates(_obs(spark, sf_dir)).select("event_id", "city", "lat", "lon")
+
+
+@register("heat_index")
+def q_heat_index(spark, sf_dir):
+    from ..functions.scalars import heat_index_celsius
+    obs = _obs(spark, sf_dir)
+    return obs.select("event_id", "temperature", "humidity",
+                      heat_index_celsius("temperature", "humidity").alias("heat_index"))
+
+
+@register("comfort")
+def q_comfort(spark, sf_dir):
+    from ..operators.snapshot import with_heat_index
+    return with_heat_index(_obs(spark, sf_dir)).select("event_id", "heat_index", "comfort")
+
+
+@register("enrich")
+def q_enrich(spark, sf_dir):
+    """Serving snapshot: latest reading per city with coordinates, heat index, comfort."""
+    from ..operators.snapshot import enrich
+    return enrich(_snapshot(spark, sf_dir)).select(
+        "city", "timestamp", "temperature", "humidity", "wind_speed", "weather_condition",
+        "lat", "lon", "heat_index", "comfort")
+
+
+@register("snapshot_delta")
+def q_snapshot_delta(spark, sf_dir):
+    from ..operators.snapshot import snapshot_delta
+    return snapshot_delta(_obs(spark, sf_dir))
+
+
+@register("snapshot_kpis")
+def q_snapshot_kpis(spark, sf_dir):
+    from ..operators.snapshot import snapshot_kpis
+    return _r6(snapshot_kpis(_snapshot(spark, sf_dir)), "avg_temperature")
+
+
+@register("temperature_ranking")
+def q_temperature_ranking(spark, sf_dir):
+    snap = _snapshot(spark, sf_dir).select("city", "temperature")
+    return clean.global_rank(snap, ["temperature", "city"], tie=["temperature"])
+
+
+@register("pipeline_status")
+def q_pipeline_status(spark, sf_dir):
+    """Per-city freshness against the newest reading of the whole table."""
+    obs = clean.with_event_time(_obs(spark, sf_dir))
+    now = obs.agg(F.max("event_time").alias("_now"))
+    per_city = obs.groupBy("city").agg(F.count(F.lit(1)).alias("readings"), F.max("event_time").alias("latest"))
+    age = F.unix_seconds("_now") - F.unix_seconds("latest")
+    status = (F.when(F.col("readings") == 0, F.lit("No data"))
+              .when(F.col("latest").isNull(), F.lit("Unknown"))
+              .when(age > DEFAULT.stale_after_seconds, F.concat(F.lit("Stale ("), age.cast("string"), F.lit("s old)")))
+              .otherwise(F.lit("Healthy")))
+    from ..functions.scalars import format_utc
+    return per_city.crossJoin(F.broadcast(now)).select(
+        "city", "readings", "latest", age.alias("age_seconds"), status.alias("status"),
+        format_utc("latest").alias("updated"))
+
+
+@register("shift_to_now")
+def q_shift_to_now(spark, sf_dir):
+    from ..operators.snapshot import shift_to_now
+    obs = clean.with_event_time(_obs(spark, sf_dir))
+    return shift_to_now(obs, "2026-01-01 00:00:00").select("event_id", "timestamp", "event_time")
+
+
+@register("map_points")
+def q_map_points(spark, sf_dir):
+    from ..operators.snapshot import enrich, map_points
+    return map_points(enrich(_snapshot(spark, sf_dir)))
+
+
+@register("format_times")
+def q_format_times(spark, sf_dir):
+    from ..functions.scalars import format_utc
+    obs = clean.with_event_time(_obs(spark, sf_dir))
+    return obs.select("event_id", format_utc("event_time").alias("full"),
+                      format_utc("event_time", "HH:mm:ss").alias("clock"),
+                      format_utc("event_time", "yyyy-MM-dd HH:mm").alias("minute"))
+
+
+# --------------------------------------------------------------------------
+# Provider payloads
+# --------------------------------------------------------------------------
+
+@register("parse_current_payload")
+def q_parse_current_payload(spark, sf_dir):
+    from ..sources.payloads import current_payloads, parse_current
+    return parse_current(current_payloads(_obs(spark, sf_dir)))
+
+
+@register("forecast_api_band")
+def q_forecast_api_band(spark, sf_dir):
+    from ..sources.payloads import forecast_payloads, parse_forecast
+    out = parse_forecast(forecast_payloads(_obs(spark, sf_dir)), steps=12)
+    out = out.withColumn("issued", F.date_format("issued", "yyyy-MM-dd"))
+    return _r6(out, "yhat_lower", "yhat_upper")

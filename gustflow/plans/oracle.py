@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .sqlparts import ALERT_OUT, r6, READINGS, SPLIT, absolute_candidates, baseline_ctes, detect_ctes, z_candidates
+from .sqlparts import (ALERT_OUT, NOT_NULL, READINGS, READINGS_DUP, SPLIT, city_dim_sql, comfort_sql, delta_sql,
+                       heat_index_sql, r6, rnd, utc_text, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
 
 ORACLE: dict[str, str] = {}
 
@@ -71,3 +72,211 @@ SELECT * FROM (
   SELECT l_suppkey, 'l_discount', {r6('avg(l_discount)')}, {r6('stddev_pop(l_discount)')},
          count(l_discount) FROM win GROUP BY l_suppkey HAVING count(l_discount) >= 5)
 """)
+
+
+# --------------------------------------------------------------------------
+# Projections, parsing, cleaning
+# --------------------------------------------------------------------------
+
+ET = 'make_timestamp("timestamp" * 1000000)'
+OBS = 'SELECT "timestamp", city, temperature, humidity, wind_speed, weather_condition FROM readings'
+
+sql("parse_json", f"WITH {READINGS} {OBS}")
+
+sql("to_records", f"""WITH {READINGS}
+SELECT city || ':' || CAST("timestamp" AS VARCHAR) AS key, "timestamp", city, temperature, humidity, wind_speed,
+       weather_condition FROM readings""")
+
+sql("event_time", f"""WITH {READINGS}
+SELECT event_id, "timestamp", {ET} AS event_time, strftime(CAST({ET} AS DATE), '%Y-%m-%d') AS event_date
+FROM readings""")
+
+sql("prepare_events", f"""WITH {READINGS}
+SELECT *, {ET} AS event_time FROM readings WHERE {NOT_NULL}""")
+
+sql("unpivot_metrics", f"""WITH {READINGS}
+SELECT event_id, "timestamp", city, 'temperature' AS metric, temperature AS value FROM readings
+UNION ALL SELECT event_id, "timestamp", city, 'humidity', humidity FROM readings
+UNION ALL SELECT event_id, "timestamp", city, 'wind_speed', wind_speed FROM readings""")
+
+sql("filter_cities", f"WITH {READINGS} SELECT * FROM readings WHERE city IN ('Delhi', 'Tokyo')")
+
+sql("dedupe_last", f"""WITH {READINGS}, {READINGS_DUP}
+SELECT event_id, "timestamp", city, temperature, humidity, wind_speed, weather_condition FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY event_id DESC) AS rn FROM readings_dup)
+WHERE rn = 1""")
+
+sql("latest_per_city", f"""WITH {READINGS}
+SELECT event_id, "timestamp", city, temperature, humidity, wind_speed, weather_condition FROM (
+  SELECT *, row_number() OVER (PARTITION BY city ORDER BY "timestamp" DESC, event_id DESC) AS rn
+  FROM readings WHERE city IS NOT NULL)
+WHERE rn = 1""")
+
+sql("recent_history", f"""WITH {READINGS}
+SELECT * FROM readings ORDER BY "timestamp" DESC, event_id DESC LIMIT 20""")
+
+sql("distinct_cities", f"WITH {READINGS} SELECT DISTINCT city FROM readings WHERE city IS NOT NULL")
+
+
+# --------------------------------------------------------------------------
+# Windows and regular series
+# --------------------------------------------------------------------------
+
+WIN5 = f"time_bucket(INTERVAL 5 MINUTE, {ET})"
+
+sql("window_agg_5m", f"""WITH {READINGS}
+SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+       {r6('avg(temperature)')} AS avg_temperature, {r6('avg(humidity)')} AS avg_humidity,
+       {r6('avg(wind_speed)')} AS avg_wind_speed, count(*) AS record_count
+FROM readings GROUP BY city, {WIN5}""")
+
+sql("window_agg_live", f"""WITH {READINGS},
+agg AS (
+  SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+         {rnd('avg(temperature)', 2)} AS avg_temperature, {rnd('avg(humidity)', 2)} AS avg_humidity,
+         {rnd('avg(wind_speed)', 2)} AS avg_wind_speed, count(temperature) AS record_count
+  FROM readings GROUP BY city, {WIN5})
+SELECT * FROM agg ORDER BY window_start DESC, city DESC LIMIT 200""")
+
+sql("resample_30m", f"""WITH {READINGS},
+b AS (SELECT city, CAST(floor("timestamp" / 1800) * 1800 AS BIGINT) AS bin, temperature, humidity, wind_speed
+      FROM readings),
+wide AS (SELECT city, bin, avg(temperature) AS temperature, avg(humidity) AS humidity, avg(wind_speed) AS wind_speed
+         FROM b GROUP BY city, bin),
+span AS (SELECT city, min(bin) AS lo, max(bin) AS hi FROM wide GROUP BY city),
+grid AS (SELECT city, unnest(range(lo, hi + 1, 1800)) AS bin FROM span),
+g AS (SELECT * FROM grid LEFT JOIN wide USING (city, bin)),
+long AS (
+  SELECT city, bin, 'temperature' AS metric, temperature AS v FROM g
+  UNION ALL SELECT city, bin, 'humidity', humidity FROM g
+  UNION ALL SELECT city, bin, 'wind_speed', wind_speed FROM g),
+nb AS (
+  SELECT *,
+    last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER w1 AS pt,
+    last_value(v IGNORE NULLS) OVER w1 AS pv,
+    last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER w2 AS nt,
+    last_value(v IGNORE NULLS) OVER w2 AS nv
+  FROM long
+  WINDOW w1 AS (PARTITION BY city, metric ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         w2 AS (PARTITION BY city, metric ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+y AS (
+  SELECT city, metric, make_timestamp(bin * 1000000) AS ds,
+    CASE WHEN v IS NOT NULL THEN v
+         WHEN pt IS NOT NULL AND nt IS NOT NULL THEN pv + (nv - pv) * (bin - pt) / (nt - pt)
+         WHEN pt IS NOT NULL THEN pv END AS y
+  FROM nb)
+SELECT city, metric, ds, {r6('y')} AS y FROM y WHERE y IS NOT NULL""")
+
+sql("infer_freq", f"""WITH {READINGS},
+d AS (SELECT city, "timestamp" - lag("timestamp") OVER (PARTITION BY city ORDER BY "timestamp") AS gap
+      FROM readings WHERE city IS NOT NULL),
+m AS (SELECT city, median(gap) AS med FROM d GROUP BY city)
+SELECT city, CAST(floor(med) AS BIGINT) AS median_seconds,
+  CASE WHEN med IS NULL THEN '30min' WHEN floor(med) <= 90 THEN '1min' WHEN floor(med) <= 600 THEN '5min'
+       WHEN floor(med) <= 2100 THEN '30min' ELSE '1H' END AS freq
+FROM m""")
+
+
+# --------------------------------------------------------------------------
+# Enrichment and snapshot views
+# --------------------------------------------------------------------------
+
+LATEST = f"""latest AS (
+  SELECT event_id, "timestamp", city, temperature, humidity, wind_speed, weather_condition, {ET} AS event_time FROM (
+    SELECT *, row_number() OVER (PARTITION BY city ORDER BY "timestamp" DESC, event_id DESC) AS rn
+    FROM readings WHERE city IS NOT NULL) WHERE rn = 1)"""
+
+sql("attach_coordinates", f"""WITH {READINGS}, {city_dim_sql()}
+SELECT event_id, r.city, lat, lon FROM readings r LEFT JOIN city_dim USING (city)""")
+
+sql("heat_index", f"""WITH {READINGS}
+SELECT event_id, temperature, humidity, {heat_index_sql()} AS heat_index FROM readings""")
+
+sql("comfort", f"""WITH {READINGS},
+h AS (SELECT event_id, {heat_index_sql()} AS heat_index FROM readings)
+SELECT event_id, heat_index, {comfort_sql()} AS comfort FROM h""")
+
+ENRICHED = f"""enriched AS (
+  SELECT l.*, lat, lon, {heat_index_sql()} AS heat_index FROM latest l LEFT JOIN city_dim USING (city))"""
+
+sql("enrich", f"""WITH {READINGS}, {city_dim_sql()}, {LATEST}, {ENRICHED}
+SELECT city, "timestamp", temperature, humidity, wind_speed, weather_condition, lat, lon, heat_index,
+       {comfort_sql()} AS comfort FROM enriched""")
+
+_DELTA_COLS = ",\n  ".join(
+    f"{rnd('p.' + m, 1)} AS prev_{m}, {rnd('n.' + m, 1)} AS now_{m}, {delta_sql(f'(n.{m} - p.{m})')} AS delta_{m}"
+    for m in ("temperature", "humidity", "wind_speed"))
+
+sql("snapshot_delta", f"""WITH {READINGS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY "timestamp" DESC, event_id DESC) AS rn
+           FROM readings WHERE city IS NOT NULL AND trim(city) <> ''),
+n AS (SELECT * FROM ranked WHERE rn = 1),
+p AS (SELECT * FROM ranked WHERE rn = 2)
+SELECT n.city,
+  {_DELTA_COLS},
+  {utc_text(f'make_timestamp(n."timestamp" * 1000000)', '%H:%M:%S')} AS updated,
+  coalesce(n.weather_condition, '') AS conditions
+FROM n LEFT JOIN p USING (city)""")
+
+sql("snapshot_kpis", f"""WITH {READINGS}, {LATEST}
+SELECT count(*) AS cities, {r6('avg(temperature)')} AS avg_temperature,
+       first(city ORDER BY temperature DESC, city) AS hottest_city, max(temperature) AS hottest_temperature,
+       first(city ORDER BY temperature, city) AS coolest_city, min(temperature) AS coolest_temperature
+FROM latest""")
+
+sql("temperature_ranking", f"""WITH {READINGS}, {LATEST}
+SELECT city, temperature, rank() OVER (ORDER BY temperature) AS rank FROM latest""")
+
+sql("pipeline_status", f"""WITH {READINGS},
+now AS (SELECT max("timestamp") AS now_s FROM readings),
+pc AS (SELECT city, count(*) AS readings, max("timestamp") AS latest_s FROM readings GROUP BY city)
+SELECT city, readings, make_timestamp(latest_s * 1000000) AS latest, now_s - latest_s AS age_seconds,
+       CASE WHEN now_s - latest_s > 120 THEN 'Stale (' || CAST(now_s - latest_s AS VARCHAR) || 's old)'
+            ELSE 'Healthy' END AS status,
+       {utc_text('make_timestamp(latest_s * 1000000)')} AS updated
+FROM pc, now""")
+
+sql("shift_to_now", f"""WITH {READINGS},
+m AS (SELECT max({ET}) AS mx FROM readings),
+s AS (SELECT event_id, make_timestamp(epoch_us({ET}) + epoch_us(TIMESTAMP '2026-01-01 00:00:00') - epoch_us(mx))
+             AS event_time FROM readings, m)
+SELECT event_id, CAST(floor(epoch_us(event_time) / 1000000) AS BIGINT) AS "timestamp", event_time FROM s""")
+
+sql("map_points", f"""WITH {READINGS}, {city_dim_sql()}, {LATEST}, {ENRICHED},
+mapped AS (SELECT * FROM enriched WHERE lat IS NOT NULL AND lon IS NOT NULL),
+st AS (SELECT min(heat_index) AS color_min, max(heat_index) AS color_max FROM mapped)
+SELECT city, lat, lon, heat_index,
+  '<b>' || city || '</b><br>Temp: ' || printf('%.1f', temperature) || '°C<br>Feels like: '
+    || printf('%.1f', coalesce(heat_index, temperature)) || '°C<br>Humidity: ' || printf('%.0f', humidity)
+    || '%<br>' || coalesce(weather_condition, '') AS hover,
+  color_min, color_max
+FROM mapped, st""")
+
+sql("format_times", f"""WITH {READINGS}
+SELECT event_id, {utc_text(ET)} AS full, {utc_text(ET, '%H:%M:%S')} AS clock,
+       {utc_text(ET, '%Y-%m-%d %H:%M')} AS minute FROM readings""")
+
+
+# --------------------------------------------------------------------------
+# Provider payloads
+# --------------------------------------------------------------------------
+
+sql("parse_current_payload", f"""WITH {READINGS}
+SELECT event_id, "timestamp", city, temperature, humidity, wind_speed, weather_condition, {ET} AS event_time
+FROM readings WHERE weather_condition IS DISTINCT FROM 'error'""")
+
+sql("forecast_api_band", f"""WITH {READINGS},
+ranked AS (SELECT *, CAST({ET} AS DATE) AS issued_d,
+                  row_number() OVER (PARTITION BY city, CAST({ET} AS DATE) ORDER BY "timestamp", event_id) AS rn
+           FROM readings),
+items AS (SELECT * FROM ranked WHERE rn <= 12),
+long AS (
+  SELECT city, issued_d, {ET} AS ds, 'temperature' AS metric, temperature AS yhat FROM items
+  UNION ALL SELECT city, issued_d, {ET}, 'humidity', humidity FROM items
+  UNION ALL SELECT city, issued_d, {ET}, 'wind_speed', wind_speed FROM items),
+band AS (SELECT city, issued_d, metric,
+           CASE WHEN count(yhat) > 1 THEN greatest(stddev_samp(yhat) * 0.3, 0.5) ELSE 0.5 END AS m
+         FROM long GROUP BY city, issued_d, metric)
+SELECT city, strftime(issued_d, '%Y-%m-%d') AS issued, metric, ds, yhat,
+       {r6('yhat - m')} AS yhat_lower, {r6('yhat + m')} AS yhat_upper
+FROM long JOIN band USING (city, issued_d, metric)""")

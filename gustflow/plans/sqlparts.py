@@ -10,13 +10,19 @@ from ..config import ABSOLUTE_RULES, CITIES, METRICS
 from ..sources.fixtures import TEMPERATURE_BASE
 
 
+def _dbl(v: float) -> str:
+    """A DOUBLE literal (DuckDB reads plain decimals as DECIMAL)."""
+    r = repr(float(v))
+    return r if "e" in r else r + "e0"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 CITY_LIST = "[" + ", ".join(_q(c) for c in CITIES) + "]"
 BASE_CASE = "CASE event_type " + " ".join(
-    f"WHEN {_q(k)} THEN {v!r}e0" for k, v in TEMPERATURE_BASE.items()) + " END"
+    f"WHEN {_q(k)} THEN {_dbl(v)}" for k, v in TEMPERATURE_BASE.items()) + " END"
 
 READINGS = f"""readings AS (
   SELECT event_id,
@@ -46,7 +52,12 @@ def r6(x: str) -> str:
     """Round an aggregate-derived double to 6 places; the 1e-12 relative nudge
     makes exact decimal ties (common with few-decimal data) resolve the same way
     in both engines despite last-bit differences of their float sums."""
-    return f"round(({x}) * (1 + 1e-12), 6)"
+    return rnd(x, 6)
+
+
+def rnd(x: str, places: int) -> str:
+    """Decimal half-up rounding robust to the binary representation."""
+    return f"round(({x}) * (1 + 1e-12), {places})"
 
 
 def fmt1(x: str) -> str:
@@ -81,7 +92,7 @@ def absolute_candidates(src: str) -> str:
          CAST(NULL AS DOUBLE) AS baseline_mean, CAST(NULL AS DOUBLE) AS baseline_std,
          CAST(NULL AS DOUBLE) AS z_score,
          city || ': {words} ({metric}=' || {fmt1(metric)} || ')' AS message
-  FROM {src} WHERE {metric} {op} {bound!r}e0""")
+  FROM {src} WHERE {metric} {op} {_dbl(bound)}""")
     return "\n  UNION ALL\n  ".join(parts)
 
 
@@ -93,7 +104,7 @@ def z_candidates(src: str, base: str = "base", z: float = 2.5, z_high: float = 3
         parts.append(f"""SELECT r."timestamp", r.event_id, {len(ABSOLUTE_RULES) + i} AS rule, r.city, {_q(m)} AS metric,
          {_q(m)} || '_' || {direction} AS alert_type,
          CASE WHEN abs({zexpr}) >= {z_high!r} THEN 'high' ELSE 'medium' END AS severity,
-         {m} AS value, b.mean AS baseline_mean, b.std AS baseline_std, round({zexpr}, 2) AS z_score,
+         {m} AS value, b.mean AS baseline_mean, b.std AS baseline_std, {rnd(zexpr, 2)} AS z_score,
          r.city || ': {m} ' || {direction} || ' detected (' || {fmt1(m)} || ' vs baseline ' || {fmt1('b.mean')}
            || ' ± ' || {fmt1('b.std')} || ', z=' || {fmt2(zexpr)} || ')' AS message
   FROM {src} r JOIN {base} b ON b.city = r.city AND b.metric = {_q(m)}
@@ -118,3 +129,43 @@ def detect_ctes(batch: str, history: str, prefix: str = "d") -> str:
 
 ALERT_OUT = f""""timestamp", city, metric, alert_type, severity, value, {r6('baseline_mean')} AS baseline_mean,
        {r6('baseline_std')} AS baseline_std, z_score, message"""
+
+
+def heat_index_sql(t: str = "temperature", h: str = "humidity") -> str:
+    """Heat index (deg C) in SQL, same term order as the library expression."""
+    from ..config import HEAT_INDEX_COEFFICIENTS as c
+    tf = f"({t} * 9.0e0 / 5.0e0 + 32.0e0)"
+    rh = f"greatest(0.0e0, least(100.0e0, {h}))"
+    d = [_dbl(x) for x in c]
+    terms = [d[0], f"{d[1]} * {tf}", f"{d[2]} * {rh}", f"{d[3]} * {tf} * {rh}",
+             f"{d[4]} * {tf} * {tf}", f"{d[5]} * {rh} * {rh}", f"{d[6]} * {tf} * {tf} * {rh}",
+             f"{d[7]} * {tf} * {rh} * {rh}", f"{d[8]} * {tf} * {tf} * {rh} * {rh}"]
+    hi = "(" + " + ".join(terms) + ")"
+    dry = (f"(CASE WHEN {rh} < 13.0e0 AND {tf} >= 80.0e0 AND {tf} <= 112.0e0 THEN ((13.0e0 - {rh}) / 4.0e0) * "
+           f"sqrt((17.0e0 - abs({tf} - 95.0e0)) / 17.0e0) ELSE 0.0e0 END)")
+    humid = (f"(CASE WHEN {rh} > 85.0e0 AND {tf} >= 80.0e0 AND {tf} <= 87.0e0 THEN (({rh} - 85.0e0) / 10.0e0) * "
+             f"((87.0e0 - {tf}) / 5.0e0) ELSE 0.0e0 END)")
+    hic = f"(({hi} - {dry} + {humid} - 32.0e0) * 5.0e0 / 9.0e0)"
+    return (f"(CASE WHEN {t} IS NULL THEN NULL WHEN {tf} < 80.0e0 THEN {rnd(t, 1)} "
+            f"WHEN {h} IS NULL THEN NULL ELSE {rnd(f'greatest({hic}, {t})', 1)} END)")
+
+
+def comfort_sql(hi: str = "heat_index") -> str:
+    from ..config import COMFORT_BANDS, COMFORT_TOP
+    whens = " ".join(f"WHEN {hi} < {_dbl(b)} THEN {_q(label)}" for b, label in COMFORT_BANDS)
+    return f"(CASE WHEN {hi} IS NULL THEN NULL {whens} ELSE {_q(COMFORT_TOP)} END)"
+
+
+def delta_sql(d: str) -> str:
+    return (f"(CASE WHEN {d} IS NULL THEN '—' WHEN {d} > 0 THEN '+' || printf('%.1f', {d}) "
+            f"WHEN {d} < 0 THEN printf('%.1f', {d}) ELSE '0.0' END)")
+
+
+def city_dim_sql() -> str:
+    from ..config import CITY_COORDINATES
+    rows = ", ".join(f"({_q(c)}, {_dbl(lat)}, {_dbl(lon)})" for c, (lat, lon) in CITY_COORDINATES.items())
+    return f"city_dim AS (SELECT * FROM (VALUES {rows}) AS t(city, lat, lon))"
+
+
+def utc_text(ts: str, pattern: str = "%Y-%m-%d %H:%M:%S") -> str:
+    return f"coalesce(strftime({ts}, '{pattern}') || ' UTC', '—')"
