@@ -90,6 +90,7 @@ def baseline_stats(history: DataFrame, key_cols: Sequence[str] = ("city",), metr
 
 
 def _key_text(key_cols: Sequence[str]) -> Column:
+    key_cols = [k for k in key_cols if k != "batch_id"]
     if len(key_cols) == 1:
         return F.col(key_cols[0]).cast("string")
     return F.concat_ws(", ", *[F.col(k).cast("string") for k in key_cols])
@@ -203,3 +204,50 @@ def score_latest(obs: DataFrame, holdout_rows: int = 10, key_cols: Sequence[str]
     # ``last_n`` has at most ``holdout_rows`` rows: a proven broadcast bound.
     history = obs.join(F.broadcast(last_n), list(order), "left_anti")
     return detect_anomalies(latest, history, key_cols, params=params, order=order)
+
+
+def rolling_detect(obs: DataFrame, batch_seconds: int = 86400, key_cols: Sequence[str] = ("city",),
+                   metrics: Sequence[str] = METRICS, params: Params = DEFAULT, rules=ABSOLUTE_RULES,
+                   order: Sequence[str] = ("timestamp", "event_id"), epoch_col: str = "timestamp") -> DataFrame:
+    """Replay of the detector over consecutive batches of ``batch_seconds``:
+    every batch is scored against all earlier readings, exactly as
+    ``detect_anomalies(batch, history)`` would, but in one job.
+
+    Each prepared reading is fanned out to the (at most
+    ``ceil(baseline / batch) + 2``) later non-empty batches whose baseline
+    window can contain it, so the work is linear in the input; the batch
+    table (one row per batch) is the only per-calendar structure.
+    Output: the alert schema plus ``batch_id`` and ``detected_at`` (the
+    newest reading time of the batch).
+    """
+    p = prepare_events(obs, key_cols, metrics, epoch_col)
+    ts = F.col(epoch_col).cast("long")
+    p = p.withColumn("batch_id", F.floor(ts / batch_seconds).cast("long"))
+    from pyspark.sql import Window
+    batches = p.groupBy("batch_id").agg(F.max(ts).alias("_bmax"))
+    wb = Window.orderBy("batch_id")  # one row per batch: bounded by the calendar
+    batches = (batches
+               .withColumn("_ord", F.row_number().over(wb))
+               .withColumn("_hist_max", F.max("_bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1))))
+    span = int(params.baseline_days) * 86400
+    reach = -(-span // batch_seconds) + 2
+    rows = p.join(batches.select("batch_id", "_ord"), "batch_id")
+    fan = rows.select(*key_cols, ts.alias("_t"), *metrics,
+                      F.explode(F.sequence(F.col("_ord") + 1, F.col("_ord") + reach)).alias("_ord"))
+    targets = batches.select(F.col("_ord"), F.col("batch_id").alias("_target"), "_hist_max")
+    contrib = (fan.join(targets, "_ord")
+               .where(F.col("_t") >= F.col("_hist_max") - span))
+    aggs = []
+    for m in metrics:
+        aggs += [F.avg(m).alias(f"_{m}_mean"), F.stddev_pop(m).alias(f"_{m}_std"), F.count(m).alias(f"_{m}_n")]
+    stats = contrib.groupBy("_target", *key_cols).agg(*aggs)
+    out = []
+    for m in metrics:
+        ok = F.col(f"_{m}_n") >= params.min_baseline_samples
+        out += [F.when(ok, F.col(f"_{m}_mean")).alias(f"{m}_mean"),
+                F.when(ok, F.col(f"_{m}_std")).alias(f"{m}_std")]
+    base = stats.select(F.col("_target").alias("batch_id"), *key_cols, *out)
+    detected = batches.select("batch_id", F.timestamp_seconds("_bmax").alias("detected_at"))
+    cands = candidate_alerts(p, base, ["batch_id", *key_cols], metrics, params, rules, epoch_col, order)
+    first = first_alert_per_key(cands, ["batch_id", *key_cols], order)
+    return first.join(detected, "batch_id").select(*ALERT_COLUMNS, "batch_id", "detected_at")

@@ -301,3 +301,86 @@ def q_forecast_api_band(spark, sf_dir):
     out = parse_forecast(forecast_payloads(_obs(spark, sf_dir)), steps=12)
     out = out.withColumn("issued", F.date_format("issued", "yyyy-MM-dd"))
     return _r6(out, "yhat_lower", "yhat_upper")
+
+
+# --------------------------------------------------------------------------
+# Alert history, cooldown, outbox, merge, KPIs
+# --------------------------------------------------------------------------
+
+def _history(spark, sf_dir) -> DataFrame:
+    return anomaly.rolling_detect(_obs(spark, sf_dir))
+
+
+def _history_out(df: DataFrame) -> DataFrame:
+    return _r6(df, "baseline_mean", "baseline_std")
+
+
+@register("alert_history")
+def q_alert_history(spark, sf_dir):
+    """Daily replay of the detector: every day against all earlier readings."""
+    return _history_out(_history(spark, sf_dir))
+
+
+@register("cooldown")
+def q_cooldown(spark, sf_dir):
+    """Alerts of the history that pass the one-hour notification cooldown."""
+    from ..operators.alerts import cooldown_sent, with_alert_key
+    hist = with_alert_key(_history(spark, sf_dir))
+    sent = cooldown_sent(hist, ("alert_key",), "timestamp", ("batch_id",), DEFAULT.cooldown_seconds)
+    return sent.select("alert_key", "timestamp", "batch_id", "severity")
+
+
+@register("notifications")
+def q_notifications(spark, sf_dir):
+    from ..operators.alerts import notifications
+    return notifications(_history(spark, sf_dir))
+
+
+@register("merge_alert_history")
+def q_merge_alert_history(spark, sf_dir):
+    """Session history = all earlier batches, new = the last batch; keep last per key."""
+    from ..operators.alerts import merge_history
+    hist = _history(spark, sf_dir)
+    last = hist.agg(F.max("batch_id").alias("_last"))
+    tagged = hist.crossJoin(F.broadcast(last))
+    stored = tagged.where(F.col("batch_id") < F.col("_last")).drop("_last")
+    new = tagged.where(F.col("batch_id") == F.col("_last")).drop("_last")
+    return _r6(merge_history(stored, new), "baseline_mean", "baseline_std")
+
+
+@register("alert_kpis")
+def q_alert_kpis(spark, sf_dir):
+    from ..operators.alerts import alert_kpis
+    return alert_kpis(_history(spark, sf_dir))
+
+
+@register("alert_histogram")
+def q_alert_histogram(spark, sf_dir):
+    from ..operators.alerts import alert_histogram
+    return alert_histogram(_history(spark, sf_dir))
+
+
+@register("alerts_filtered")
+def q_alerts_filtered(spark, sf_dir):
+    """High-severity alerts detected within 24 hours of the newest detection."""
+    from ..operators.alerts import filter_alerts
+    hist = _history(spark, sf_dir)
+    now = hist.agg(F.max("detected_at").alias("_now"))
+    tagged = hist.crossJoin(F.broadcast(now))
+    out = filter_alerts(tagged, ["high"], 24, F.col("_now")).drop("_now")
+    return _r6(out, "baseline_mean", "baseline_std")
+
+
+@register("distinct_severities")
+def q_distinct_severities(spark, sf_dir):
+    return clean.distinct_sorted(_history(spark, sf_dir), "severity")
+
+
+@register("cooldown_hits_6h")
+def q_cooldown_hits_6h(spark, sf_dir):
+    """Every absolute-rule hit of the table through a six-hour cooldown (dense
+    alert stream: many suppressions and several doubling rounds)."""
+    from ..operators.alerts import cooldown_sent, with_alert_key
+    hits = with_alert_key(anomaly.alerts_absolute(_obs(spark, sf_dir)))
+    sent = cooldown_sent(hits, ("alert_key",), "timestamp", ("event_id",), 6 * 3600)
+    return sent.select("alert_key", "timestamp", "event_id", "value")

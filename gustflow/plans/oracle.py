@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sqlparts import (ALERT_OUT, NOT_NULL, READINGS, READINGS_DUP, SPLIT, city_dim_sql, comfort_sql, delta_sql,
-                       heat_index_sql, r6, rnd, utc_text, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
+                       heat_index_sql, r6, rnd, utc_text, rolling_ctes, cooldown_ctes, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
 
 ORACLE: dict[str, str] = {}
 
@@ -280,3 +280,51 @@ band AS (SELECT city, issued_d, metric,
 SELECT city, strftime(issued_d, '%Y-%m-%d') AS issued, metric, ds, yhat,
        {r6('yhat - m')} AS yhat_lower, {r6('yhat + m')} AS yhat_upper
 FROM long JOIN band USING (city, issued_d, metric)""")
+
+
+# --------------------------------------------------------------------------
+# Alert history, cooldown, outbox, merge, KPIs
+# --------------------------------------------------------------------------
+
+HIST = f"{READINGS},\n{rolling_ctes()}"
+HIST_OUT = f"""{ALERT_OUT}, batch_id, detected_at"""
+
+sql("alert_history", f"WITH {HIST} SELECT {HIST_OUT} FROM hist_alerts")
+
+KEYED = """keyed AS (SELECT *, city || ':' || metric || ':' || alert_type AS alert_key FROM hist_alerts)"""
+
+sql("cooldown", f"""WITH {HIST}, {KEYED}, {cooldown_ctes('keyed')}
+SELECT DISTINCT keyed.alert_key, keyed."timestamp", keyed.batch_id, keyed.severity
+FROM keyed JOIN sent ON sent.k = keyed.alert_key AND sent.t = keyed."timestamp" AND sent.s = keyed.batch_id""")
+
+sql("notifications", f"""WITH {HIST}, {KEYED}, {cooldown_ctes('keyed')}
+SELECT keyed.alert_key, '[' || upper(coalesce(severity, 'medium')) || '] ' || message AS text,
+       make_timestamp(keyed."timestamp" * 1000000) AS sent_at, keyed.batch_id
+FROM keyed JOIN sent ON sent.k = keyed.alert_key AND sent.t = keyed."timestamp" AND sent.s = keyed.batch_id""")
+
+sql("merge_alert_history", f"""WITH {HIST},
+last AS (SELECT max(batch_id) AS lb FROM hist_alerts),
+both_ AS (SELECT h.*, CASE WHEN batch_id = lb THEN 1 ELSE 0 END AS src FROM hist_alerts h, last)
+SELECT {HIST_OUT} FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, metric, alert_type ORDER BY src DESC, detected_at DESC,
+                               "timestamp" DESC) AS rn FROM both_) WHERE rn = 1""")
+
+sql("alert_kpis", f"""WITH {HIST}
+SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity = 'high') AS high_severity,
+       count(DISTINCT city) AS cities_affected FROM hist_alerts""")
+
+sql("alert_histogram", f"""WITH {HIST}
+SELECT city, severity, count(*) AS alerts FROM hist_alerts GROUP BY city, severity""")
+
+sql("alerts_filtered", f"""WITH {HIST}
+SELECT {HIST_OUT} FROM hist_alerts
+WHERE severity IN ('high') AND detected_at >= (SELECT max(detected_at) FROM hist_alerts) - INTERVAL 24 HOUR""")
+
+sql("distinct_severities", f"WITH {HIST} SELECT DISTINCT severity FROM hist_alerts WHERE severity IS NOT NULL")
+
+sql("cooldown_hits_6h", f"""WITH {READINGS},
+prep AS (SELECT * FROM readings WHERE {NOT_NULL}),
+hits AS (SELECT *, city || ':' || metric || ':' || alert_type AS alert_key FROM ({absolute_candidates('prep')})),
+{cooldown_ctes('hits', s='event_id', cooldown=6 * 3600)}
+SELECT hits.alert_key, hits."timestamp", hits.event_id, hits.value
+FROM hits JOIN sent ON sent.k = hits.alert_key AND sent.t = hits."timestamp" AND sent.s = hits.event_id""")

@@ -169,3 +169,70 @@ def city_dim_sql() -> str:
 
 def utc_text(ts: str, pattern: str = "%Y-%m-%d %H:%M:%S") -> str:
     return f"coalesce(strftime({ts}, '{pattern}') || ' UTC', '—')"
+
+
+def rolling_ctes(src: str = "readings", batch: int = 86400, days: int = 7, min_n: int = 5) -> str:
+    """CTEs ending in ``hist_alerts``: every day scored against all earlier readings."""
+    base_parts = []
+    for m in METRICS:
+        base_parts.append(f"""SELECT d, city, {_q(m)} AS metric, avg({m}) AS mean, stddev_pop({m}) AS std
+  FROM contrib GROUP BY d, city HAVING count({m}) >= {min_n}""")
+    union = "\n  UNION ALL\n  ".join(base_parts)
+    z_parts = []
+    for i, m in enumerate(METRICS):
+        zexpr = f"(({m} - b.mean) / b.std)"
+        direction = f"(CASE WHEN {zexpr} > 0 THEN 'spike' ELSE 'drop' END)"
+        z_parts.append(f"""SELECT r.d, r."timestamp", r.event_id, {len(ABSOLUTE_RULES) + i} AS rule, r.city, {_q(m)} AS metric,
+         {_q(m)} || '_' || {direction} AS alert_type,
+         CASE WHEN abs({zexpr}) >= 3.0 THEN 'high' ELSE 'medium' END AS severity,
+         {m} AS value, b.mean AS baseline_mean, b.std AS baseline_std, {rnd(zexpr, 2)} AS z_score,
+         r.city || ': {m} ' || {direction} || ' detected (' || {fmt1(m)} || ' vs baseline ' || {fmt1('b.mean')}
+           || ' ± ' || {fmt1('b.std')} || ', z=' || {fmt2(zexpr)} || ')' AS message
+  FROM rprep r JOIN rbase b ON b.d = r.d AND b.city = r.city AND b.metric = {_q(m)}
+  WHERE b.std > 0 AND abs({zexpr}) >= 2.5""")
+    zunion = "\n  UNION ALL\n  ".join(z_parts)
+    abs_parts = []
+    for rank, (metric, alert_type, op, bound, severity) in enumerate(ABSOLUTE_RULES):
+        words = alert_type.replace("_", " ")
+        abs_parts.append(f"""SELECT d, "timestamp", event_id, {rank} AS rule, city, {_q(metric)} AS metric,
+         {_q(alert_type)} AS alert_type, {_q(severity)} AS severity, {metric} AS value,
+         CAST(NULL AS DOUBLE) AS baseline_mean, CAST(NULL AS DOUBLE) AS baseline_std, CAST(NULL AS DOUBLE) AS z_score,
+         city || ': {words} ({metric}=' || {fmt1(metric)} || ')' AS message
+  FROM rprep WHERE {metric} {op} {_dbl(bound)}""")
+    aunion = "\n  UNION ALL\n  ".join(abs_parts)
+    return f"""rprep AS (SELECT *, CAST(floor("timestamp" / {batch}) AS BIGINT) AS d FROM {src} WHERE {NOT_NULL}),
+rdays AS (SELECT d, max("timestamp") AS bmax FROM rprep GROUP BY d),
+rhist AS (SELECT d, bmax, max(bmax) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_max
+          FROM rdays),
+contrib AS (SELECT h.d, p.* EXCLUDE (d) FROM rprep p JOIN rhist h
+            ON p."timestamp" < h.d * {batch} AND p."timestamp" >= h.hist_max - {days} * 86400),
+rbase AS (
+  {union}),
+rcand AS (
+  {aunion}
+  UNION ALL
+  {zunion}),
+hist_alerts AS (
+  SELECT c."timestamp", c.city, c.metric, c.alert_type, c.severity, c.value, c.baseline_mean, c.baseline_std,
+         c.z_score, c.message, c.d AS batch_id, make_timestamp(h.bmax * 1000000) AS detected_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY d, city, metric, alert_type ORDER BY "timestamp", event_id, rule) AS rn
+        FROM rcand) c JOIN rhist h USING (d)
+  WHERE rn = 1)"""
+
+
+def cooldown_ctes(src: str, key: str = "alert_key", t: str = '"timestamp"', s: str = "batch_id",
+                  cooldown: int = 3600) -> str:
+    """Recursive CTE ending in ``sent`` (key, t, s): greedy cooldown per key."""
+    return f"""cd_a AS (SELECT DISTINCT {key} AS k, {t} AS t, {s} AS s FROM {src}),
+cd_t AS (SELECT k, t, min(s) AS s FROM cd_a GROUP BY k, t),
+cd_next AS MATERIALIZED (SELECT a.k, a.t, a.s, b.t AS nt, b.s AS ns
+            FROM cd_a a ASOF LEFT JOIN cd_t b ON a.k = b.k AND b.t >= a.t + {cooldown}),
+cd_head AS (SELECT k, t, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, s) AS rn FROM cd_a)
+            WHERE rn = 1),
+sent AS (
+  WITH RECURSIVE chain(k, t, s) AS (
+    SELECT k, t, s FROM cd_head
+    UNION ALL
+    SELECT n.k, n.nt, n.ns FROM chain c JOIN cd_next n ON n.k = c.k AND n.t = c.t AND n.s = c.s
+    WHERE n.nt IS NOT NULL)
+  SELECT * FROM chain)"""
