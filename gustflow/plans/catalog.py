@@ -384,3 +384,76 @@ def q_cooldown_hits_6h(spark, sf_dir):
     hits = with_alert_key(anomaly.alerts_absolute(_obs(spark, sf_dir)))
     sent = cooldown_sent(hits, ("alert_key",), "timestamp", ("event_id",), 6 * 3600)
     return sent.select("alert_key", "timestamp", "event_id", "value")
+
+
+# --------------------------------------------------------------------------
+# Forecasts
+# --------------------------------------------------------------------------
+
+def _series(spark, sf_dir, metrics=("temperature", "humidity", "wind_speed")) -> DataFrame:
+    from ..operators.windows import resample
+    obs = clean.with_event_time(_obs(spark, sf_dir))
+    if "heat_index" in metrics:
+        from ..functions.scalars import heat_index_celsius
+        obs = obs.withColumn("heat_index", heat_index_celsius("temperature", "humidity"))
+    return resample(obs, metrics=metrics)
+
+
+def _fc_out(df: DataFrame) -> DataFrame:
+    return _r6(df, "yhat", "yhat_lower", "yhat_upper")
+
+
+@register("forecast_linear")
+def q_forecast_linear(spark, sf_dir):
+    from ..operators.forecast import forecast_linear
+    return _fc_out(forecast_linear(_series(spark, sf_dir), periods=6))
+
+
+@register("forecast_heat_index")
+def q_forecast_heat_index(spark, sf_dir):
+    from ..operators.forecast import forecast_linear
+    return _fc_out(forecast_linear(_series(spark, sf_dir, ("heat_index",)), periods=6))
+
+
+@register("forecast_next")
+def q_forecast_next(spark, sf_dir):
+    from ..operators.forecast import forecast_linear, next_value
+    return _r6(next_value(forecast_linear(_series(spark, sf_dir), periods=6)), "next_yhat")
+
+
+@register("forecast_status")
+def q_forecast_status(spark, sf_dir):
+    from ..operators.forecast import forecast_status
+    return forecast_status(_series(spark, sf_dir))
+
+
+@register("backtest_linear")
+def q_backtest_linear(spark, sf_dir):
+    from ..operators.forecast import backtest_linear
+    return _r6(backtest_linear(_series(spark, sf_dir), periods=6), "mae", "rmse")
+
+
+@register("forecast_holt_fixed")
+def q_forecast_holt_fixed(spark, sf_dir):
+    """Holt smoothing with fixed alpha=0.5, beta=0.3 (oracle: recursive SQL)."""
+    from ..operators.forecast import forecast_holt
+    return _fc_out(forecast_holt(_series(spark, sf_dir), periods=6, alpha=0.5, beta=0.3))
+
+
+@register("forecast_holt")
+def q_forecast_holt(spark, sf_dir):
+    """Holt smoothing with (alpha, beta) chosen by one-step SSE."""
+    from ..operators.forecast import forecast_holt
+    return _fc_out(forecast_holt(_series(spark, sf_dir), periods=6))
+
+
+@register("backtest_holt")
+def q_backtest_holt(spark, sf_dir):
+    from ..operators.forecast import backtest_holt
+    return _r6(backtest_holt(_series(spark, sf_dir), periods=6), "mae", "rmse")
+
+
+@register("forecast_auto")
+def q_forecast_auto(spark, sf_dir):
+    from ..operators.forecast import forecast
+    return _fc_out(forecast(_series(spark, sf_dir), periods=6, method="auto"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sqlparts import (ALERT_OUT, NOT_NULL, READINGS, READINGS_DUP, SPLIT, city_dim_sql, comfort_sql, delta_sql,
-                       heat_index_sql, r6, rnd, utc_text, rolling_ctes, cooldown_ctes, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
+                       heat_index_sql, r6, rnd, utc_text, rolling_ctes, cooldown_ctes, resample_ctes, linear_ctes, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
 
 ORACLE: dict[str, str] = {}
 
@@ -139,33 +139,8 @@ agg AS (
 SELECT * FROM agg ORDER BY window_start DESC, city DESC LIMIT 200""")
 
 sql("resample_30m", f"""WITH {READINGS},
-b AS (SELECT city, CAST(floor("timestamp" / 1800) * 1800 AS BIGINT) AS bin, temperature, humidity, wind_speed
-      FROM readings),
-wide AS (SELECT city, bin, avg(temperature) AS temperature, avg(humidity) AS humidity, avg(wind_speed) AS wind_speed
-         FROM b GROUP BY city, bin),
-span AS (SELECT city, min(bin) AS lo, max(bin) AS hi FROM wide GROUP BY city),
-grid AS (SELECT city, unnest(range(lo, hi + 1, 1800)) AS bin FROM span),
-g AS (SELECT * FROM grid LEFT JOIN wide USING (city, bin)),
-long AS (
-  SELECT city, bin, 'temperature' AS metric, temperature AS v FROM g
-  UNION ALL SELECT city, bin, 'humidity', humidity FROM g
-  UNION ALL SELECT city, bin, 'wind_speed', wind_speed FROM g),
-nb AS (
-  SELECT *,
-    last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER w1 AS pt,
-    last_value(v IGNORE NULLS) OVER w1 AS pv,
-    last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER w2 AS nt,
-    last_value(v IGNORE NULLS) OVER w2 AS nv
-  FROM long
-  WINDOW w1 AS (PARTITION BY city, metric ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-         w2 AS (PARTITION BY city, metric ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-y AS (
-  SELECT city, metric, make_timestamp(bin * 1000000) AS ds,
-    CASE WHEN v IS NOT NULL THEN v
-         WHEN pt IS NOT NULL AND nt IS NOT NULL THEN pv + (nv - pv) * (bin - pt) / (nt - pt)
-         WHEN pt IS NOT NULL THEN pv END AS y
-  FROM nb)
-SELECT city, metric, ds, {r6('y')} AS y FROM y WHERE y IS NOT NULL""")
+{resample_ctes()}
+SELECT city, metric, ds, {r6('y')} AS y FROM series""")
 
 sql("infer_freq", f"""WITH {READINGS},
 d AS (SELECT city, "timestamp" - lag("timestamp") OVER (PARTITION BY city ORDER BY "timestamp") AS gap
@@ -328,3 +303,60 @@ hits AS (SELECT *, city || ':' || metric || ':' || alert_type AS alert_key FROM
 {cooldown_ctes('hits', s='event_id', cooldown=6 * 3600)}
 SELECT hits.alert_key, hits."timestamp", hits.event_id, hits.value
 FROM hits JOIN sent ON sent.k = hits.alert_key AND sent.t = hits."timestamp" AND sent.s = hits.event_id""")
+
+
+# --------------------------------------------------------------------------
+# Forecasts
+# --------------------------------------------------------------------------
+
+FC_OUT = f"""city, metric, method, ds, {r6('yhat')} AS yhat, {r6('yhat - margin')} AS yhat_lower,
+       {r6('yhat + margin')} AS yhat_upper"""
+
+sql("forecast_linear", f"""WITH {READINGS}, {resample_ctes()}, {linear_ctes()}
+SELECT {FC_OUT} FROM linear_fc""")
+
+sql("forecast_heat_index", f"""WITH {READINGS}, {resample_ctes(metrics=[('heat_index', heat_index_sql())])},
+{linear_ctes()}
+SELECT {FC_OUT} FROM linear_fc""")
+
+sql("forecast_next", f"""WITH {READINGS}, {resample_ctes()}, {linear_ctes()}
+SELECT city, metric, min(ds) AS ds, {r6('arg_min(yhat, ds)')} AS next_yhat FROM linear_fc GROUP BY city, metric""")
+
+sql("forecast_status", f"""WITH {READINGS}, {resample_ctes()}
+SELECT city, metric, count(*) AS n,
+       CASE WHEN count(*) < 12 THEN 'none' ELSE 'linear_trend' END AS method,
+       CASE WHEN count(*) < 12 THEN 'Need at least 12 points for ' || city
+                                    || '. Keep the pipeline running to collect more history.'
+            ELSE 'Forecast generated successfully.' END AS message
+FROM series GROUP BY city, metric""")
+
+sql("backtest_linear", f"""WITH {READINGS}, {resample_ctes()}, {linear_ctes()},
+bt AS (SELECT *, greatest(2, least(6, n // 4)) AS h FROM ix WHERE n >= 12),
+tfit AS (SELECT city, metric, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept
+         FROM bt WHERE i < n - h GROUP BY city, metric),
+sc AS (SELECT bt.city, bt.metric, any_value(n > h + 12) AS eligible, count(*) AS hh,
+              avg(abs(y - (slope * i + intercept))) AS mae,
+              sqrt(avg((y - (slope * i + intercept)) * (y - (slope * i + intercept)))) AS rmse
+       FROM bt JOIN tfit USING (city, metric) WHERE i >= n - h GROUP BY bt.city, bt.metric)
+SELECT city, metric, 'linear_trend' AS method, CAST(CASE WHEN eligible THEN hh ELSE 0 END AS INTEGER) AS n,
+       CASE WHEN eligible THEN {r6('mae')} END AS mae, CASE WHEN eligible THEN {r6('rmse')} END AS rmse,
+       'Forecast generated successfully.' AS message
+FROM sc""")
+
+sql("forecast_holt_fixed", f"""WITH RECURSIVE {READINGS}, {resample_ctes()}, {linear_ctes()},
+hs AS MATERIALIZED (SELECT city, metric, i, y, n FROM ix WHERE n >= 12),
+rec(city, metric, i, l, b) AS (
+  SELECT h0.city, h0.metric, 0, h0.y, h1.y - h0.y
+  FROM hs h0 JOIN hs h1 ON h1.city = h0.city AND h1.metric = h0.metric AND h1.i = 1 WHERE h0.i = 0
+  UNION ALL
+  SELECT c.city, c.metric, c.i + 1,
+         0.5e0 * hs.y + (1.0e0 - 0.5e0) * (c.l + c.b),
+         0.3e0 * ((0.5e0 * hs.y + (1.0e0 - 0.5e0) * (c.l + c.b)) - c.l) + (1.0e0 - 0.3e0) * c.b
+  FROM rec c JOIN hs ON hs.city = c.city AND hs.metric = c.metric AND hs.i = c.i + 1),
+fin AS (SELECT rec.city, rec.metric, l, b, fit.n, fit.sd, fit.last_bin FROM rec
+        JOIN fit ON fit.city = rec.city AND fit.metric = rec.metric WHERE rec.i = fit.n - 1),
+fc AS (SELECT city, metric, 'exponential_smoothing' AS method,
+              make_timestamp((last_bin + k * 1800) * 1000000) AS ds, l + k * b AS yhat,
+              greatest(0.5 * (CASE WHEN n > 1 THEN sd ELSE 1.0 END), 0.5) AS margin
+       FROM fin, (SELECT unnest(range(1, 7)) AS k))
+SELECT {FC_OUT} FROM fc""")

@@ -236,3 +236,51 @@ sent AS (
     SELECT n.k, n.nt, n.ns FROM chain c JOIN cd_next n ON n.k = c.k AND n.t = c.t AND n.s = c.s
     WHERE n.nt IS NOT NULL)
   SELECT * FROM chain)"""
+
+
+def resample_ctes(src: str = "readings", metrics=None, step: int = 1800) -> str:
+    """CTEs ending in ``series(city, metric, bin, ds, y)``: regular series with
+    gap fill and time-linear interpolation (leading gaps dropped, trailing
+    gaps hold the last value).  ``metrics``: list of (name, sql expression)."""
+    metrics = metrics or [(m, m) for m in METRICS]
+    sel = ", ".join(f"{expr} AS {name}" for name, expr in metrics)
+    avgs = ", ".join(f"avg({name}) AS {name}" for name, _ in metrics)
+    longs = "\n  UNION ALL ".join(f"SELECT city, bin, {_q(name)} AS metric, {name} AS v FROM rs_g"
+                                  for name, _ in metrics)
+    return f"""rs_b AS (SELECT city, CAST(floor("timestamp" / {step}) * {step} AS BIGINT) AS bin, {sel} FROM {src}),
+rs_wide AS (SELECT city, bin, {avgs} FROM rs_b GROUP BY city, bin),
+rs_span AS (SELECT city, min(bin) AS lo, max(bin) AS hi FROM rs_wide GROUP BY city),
+rs_grid AS (SELECT city, unnest(range(lo, hi + 1, {step})) AS bin FROM rs_span),
+rs_g AS (SELECT * FROM rs_grid LEFT JOIN rs_wide USING (city, bin)),
+rs_long AS (
+  {longs}),
+rs_nb AS (
+  SELECT *,
+    last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER w1 AS pt,
+    last_value(v IGNORE NULLS) OVER w1 AS pv,
+    last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER w2 AS nt,
+    last_value(v IGNORE NULLS) OVER w2 AS nv
+  FROM rs_long
+  WINDOW w1 AS (PARTITION BY city, metric ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         w2 AS (PARTITION BY city, metric ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+series AS (
+  SELECT * FROM (
+    SELECT city, metric, bin, make_timestamp(bin * 1000000) AS ds,
+      CASE WHEN v IS NOT NULL THEN v
+           WHEN pt IS NOT NULL AND nt IS NOT NULL THEN pv + (nv - pv) * (bin - pt) / (nt - pt)
+           WHEN pt IS NOT NULL THEN pv END AS y
+    FROM rs_nb) WHERE y IS NOT NULL)"""
+
+
+def linear_ctes(step: int = 1800, periods: int = 6, min_points: int = 12) -> str:
+    """From ``series``: ``ix`` (i, n), ``fit`` and ``linear_fc`` (forecast rows)."""
+    return f"""ix AS (SELECT *, (bin - min(bin) OVER (PARTITION BY city, metric)) // {step} AS i,
+                count(*) OVER (PARTITION BY city, metric) AS n FROM series),
+fit AS (SELECT city, metric, count(*) AS n, regr_slope(y, i) AS slope, regr_intercept(y, i) AS intercept,
+               stddev_pop(y) AS sd, max(bin) AS last_bin
+        FROM ix GROUP BY city, metric HAVING count(*) >= {min_points}),
+linear_fc AS (
+  SELECT city, metric, 'linear_trend' AS method, make_timestamp((last_bin + k * {step}) * 1000000) AS ds,
+         slope * (n - 1 + k) + intercept AS yhat,
+         greatest(0.5 * (CASE WHEN n > 1 THEN sd ELSE 1.0 END), 0.5) AS margin
+  FROM fit, (SELECT unnest(range(1, {periods + 1})) AS k))"""
