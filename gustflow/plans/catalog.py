@@ -457,3 +457,103 @@ def q_backtest_holt(spark, sf_dir):
 def q_forecast_auto(spark, sf_dir):
     from ..operators.forecast import forecast
     return _fc_out(forecast(_series(spark, sf_dir), periods=6, method="auto"))
+
+
+# --------------------------------------------------------------------------
+# Lake I/O (S2-S5, S7, S9) — tables are written below the shared folder
+# --------------------------------------------------------------------------
+
+def _lake_path(spark, name: str) -> str:
+    from ..session import work_path
+    return work_path(spark, "lake", name)
+
+
+@register("lake_roundtrip")
+def q_lake_roundtrip(spark, sf_dir):
+    """Write readings to the partitioned events lake and scan them back."""
+    from ..sources import lake
+    root = _lake_path(spark, "events")
+    lake.write_events(_obs(spark, sf_dir), root, batch="0")
+    out = lake.scan_events(spark, root)
+    return out.select(*[c for c in lake.EVENT_COLUMNS if c not in ("event_date", "batch")],
+                      F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+
+
+@register("load_events")
+def q_load_events(spark, sf_dir):
+    """Two writer batches (readings, then re-delivered copies); the loader keeps the last."""
+    from ..sources import lake
+    root = _lake_path(spark, "events")
+    dup = fx.readings_dup(spark, sf_dir)
+    lake.write_events(dup.where(F.col("event_id") < 1_000_000_000), root, batch="0")
+    lake.write_events(dup.where(F.col("event_id") >= 1_000_000_000), root, batch="1")
+    return lake.load_events(spark, root).select(*fx.OBSERVATION_COLUMNS)
+
+
+@register("lake_scan_recent")
+def q_lake_scan_recent(spark, sf_dir):
+    """Date-pruned scan: the last 7 stored dates (the cut is one scalar lookup)."""
+    from ..sources import lake
+    root = _lake_path(spark, "events")
+    lake.write_events(_obs(spark, sf_dir), root, batch="0")
+    latest = lake.scan_events(spark, root).agg(F.max("event_date")).first()[0]
+    import datetime as dt
+    since = (latest - dt.timedelta(days=6)).isoformat() if latest else None
+    return lake.scan_events(spark, root, since).select(*fx.OBSERVATION_COLUMNS)
+
+
+@register("load_aggregates")
+def q_load_aggregates(spark, sf_dir):
+    from ..operators.windows import window_agg
+    from ..sources import lake
+    root = _lake_path(spark, "aggregates")
+    lake.write_aggregates(window_agg(clean.with_event_time(_obs(spark, sf_dir))), root)
+    out = lake.load_aggregates(spark, root, limit=200)
+    return _r6(out, "avg_temperature", "avg_humidity", "avg_wind_speed")
+
+
+@register("alerts_roundtrip")
+def q_alerts_roundtrip(spark, sf_dir):
+    from ..sources import lake
+    root = _lake_path(spark, "alerts")
+    lake.persist_alerts(_history(spark, sf_dir).drop("batch_id"), root)
+    return _r6(lake.scan_alerts(spark, root), "baseline_mean", "baseline_std")
+
+
+@register("load_alerts")
+def q_load_alerts(spark, sf_dir):
+    from ..sources import lake
+    root = _lake_path(spark, "alerts")
+    lake.persist_alerts(_history(spark, sf_dir).drop("batch_id"), root)
+    return _r6(lake.load_alerts(spark, root, limit=100), "baseline_mean", "baseline_std")
+
+
+# --------------------------------------------------------------------------
+# Live refresh
+# --------------------------------------------------------------------------
+
+def _live(spark, sf_dir):
+    from ..operators.live import live_refresh
+    obs = _obs(spark, sf_dir)
+    now = obs.agg(F.timestamp_seconds(F.max("timestamp") + 60).alias("_now"))
+    current = clean.latest_per_key(obs, "city", ("timestamp", "event_id")).crossJoin(F.broadcast(now))
+    updated, aggs, alerts = live_refresh(obs, current, F.col("_now"))
+    return updated, aggs, alerts
+
+
+@register("live_history")
+def q_live_history(spark, sf_dir):
+    updated, _, _ = _live(spark, sf_dir)
+    return updated.select(*fx.OBSERVATION_COLUMNS, "event_time")
+
+
+@register("live_aggregates")
+def q_live_aggregates(spark, sf_dir):
+    _, aggs, _ = _live(spark, sf_dir)
+    return aggs
+
+
+@register("live_refresh")
+def q_live_refresh(spark, sf_dir):
+    _, _, alerts = _live(spark, sf_dir)
+    return _r6(alerts, "baseline_mean", "baseline_std")

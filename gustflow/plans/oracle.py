@@ -360,3 +360,63 @@ fc AS (SELECT city, metric, 'exponential_smoothing' AS method,
               greatest(0.5 * (CASE WHEN n > 1 THEN sd ELSE 1.0 END), 0.5) AS margin
        FROM fin, (SELECT unnest(range(1, 7)) AS k))
 SELECT {FC_OUT} FROM fc""")
+
+
+# --------------------------------------------------------------------------
+# Lake I/O
+# --------------------------------------------------------------------------
+
+sql("lake_roundtrip", f"""WITH {READINGS}
+SELECT *, {ET} AS event_time, strftime(CAST({ET} AS DATE), '%Y-%m-%d') AS event_date FROM readings""")
+
+sql("load_events", ORACLE["dedupe_last"])
+
+sql("lake_scan_recent", f"""WITH {READINGS},
+m AS (SELECT max(CAST({ET} AS DATE)) AS md FROM readings)
+SELECT readings.* FROM readings, m WHERE CAST({ET} AS DATE) >= md - INTERVAL 6 DAY""")
+
+sql("load_aggregates", f"""WITH {READINGS},
+agg AS (
+  SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+         {r6('avg(temperature)')} AS avg_temperature, {r6('avg(humidity)')} AS avg_humidity,
+         {r6('avg(wind_speed)')} AS avg_wind_speed, count(*) AS record_count
+  FROM readings GROUP BY city, {WIN5})
+SELECT * FROM agg ORDER BY window_start DESC, city DESC LIMIT 200""")
+
+sql("alerts_roundtrip", f"WITH {HIST} SELECT {ALERT_OUT}, detected_at FROM hist_alerts")
+
+sql("load_alerts", f"""WITH {HIST}
+SELECT {ALERT_OUT}, detected_at FROM hist_alerts ORDER BY "timestamp" DESC, city, metric, alert_type LIMIT 100""")
+
+
+# --------------------------------------------------------------------------
+# Live refresh
+# --------------------------------------------------------------------------
+
+LIVE = f"""{READINGS},
+now AS (SELECT max("timestamp") + 60 AS now_s FROM readings),
+cur AS (SELECT event_id, now_s AS "timestamp", city, temperature, humidity, wind_speed, weather_condition, 1 AS src
+        FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY "timestamp" DESC, event_id DESC) AS rn
+              FROM readings WHERE city IS NOT NULL), now WHERE rn = 1),
+u AS (SELECT *, 0 AS src FROM readings UNION ALL SELECT * FROM cur),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY src DESC, event_id DESC) AS rn
+                     FROM u) WHERE rn = 1),
+upd AS (SELECT * EXCLUDE (rn) FROM d ORDER BY "timestamp" DESC, src DESC, event_id DESC LIMIT 2000),
+upd_new AS (SELECT * FROM upd WHERE src = 1),
+upd_old AS (SELECT * FROM upd WHERE src = 0)"""
+
+sql("live_history", f"""WITH {LIVE}
+SELECT event_id, "timestamp", city, temperature, humidity, wind_speed, weather_condition, {ET} AS event_time
+FROM upd""")
+
+sql("live_aggregates", f"""WITH {LIVE},
+agg AS (
+  SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+         {rnd('avg(temperature)', 2)} AS avg_temperature, {rnd('avg(humidity)', 2)} AS avg_humidity,
+         {rnd('avg(wind_speed)', 2)} AS avg_wind_speed, count(temperature) AS record_count
+  FROM upd GROUP BY city, {WIN5})
+SELECT * FROM agg ORDER BY window_start DESC, city DESC LIMIT 200""")
+
+sql("live_refresh", f"""WITH {LIVE},
+{detect_ctes('upd_new', 'upd_old')}
+SELECT {ALERT_OUT}, make_timestamp((SELECT now_s FROM now) * 1000000) AS detected_at FROM d_alerts""")
