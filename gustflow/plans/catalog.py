@@ -557,3 +557,114 @@ def q_live_aggregates(spark, sf_dir):
 def q_live_refresh(spark, sf_dir):
     _, _, alerts = _live(spark, sf_dir)
     return _r6(alerts, "baseline_mean", "baseline_std")
+
+
+# --------------------------------------------------------------------------
+# Structured Streaming (S1, S8, S14, S15, T1-T9, T11, A15) — staged JSON files,
+# availableNow trigger, results read back from the sinks
+# --------------------------------------------------------------------------
+
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def _staged(spark, df: DataFrame, files: int = 4, **kw) -> str:
+    from ..session import work_path
+    from ..streaming.pipeline import stage_records
+    path = work_path(spark, "stage")
+    stage_records(df, path, files=files, **kw)
+    return path
+
+
+@register("stream_window_agg")
+def q_stream_window_agg(spark, sf_dir):
+    """Readings replayed as 4 JSON files (one per micro-batch) through watermark,
+    dedupe and the 5-minute window aggregate (append mode, parquet sink)."""
+    from ..session import work_path
+    from ..streaming.pipeline import parse_stream, source, start_aggregate_stream
+    stage = _staged(spark, _obs(spark, sf_dir))
+    out = work_path(spark, "sink")
+    q = start_aggregate_stream(parse_stream(source(spark, "files", stage, max_files=1)), out, out + "-ckpt")
+    _finish(q)
+    res = spark.read.parquet(out).drop("window_date")
+    return _r6(res, "avg_temperature", "avg_humidity", "avg_wind_speed")
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf_dir):
+    """The parsed, watermarked, de-duplicated stream written to a parquet sink."""
+    from ..session import work_path
+    from ..streaming.pipeline import parse_stream, source, start_sink_stream
+    stage = _staged(spark, _obs(spark, sf_dir))
+    out = work_path(spark, "sink")
+    _finish(start_sink_stream(parse_stream(source(spark, "files", stage, max_files=1)), out, out + "-ckpt"))
+    res = spark.read.parquet(out)
+    return res.select("event_id", *[c for c in fx.OBSERVATION_COLUMNS if c != "event_id"], "event_time",
+                      F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+
+
+def _serve_run(spark, sf_dir, history: DataFrame | None, stream_rows: DataFrame, files: int = 4):
+    from ..session import work_path
+    from ..sources import lake
+    from ..streaming.pipeline import EventsBatch, parse_stream, source, start_events_stream
+    root = work_path(spark, "serve")
+    body = EventsBatch(root)
+    if history is not None:
+        lake.write_events(history, body.events, batch="history")
+    stage = _staged(spark, stream_rows, files=files)
+    _finish(start_events_stream(parse_stream(source(spark, "files", stage, max_files=1)), body, root + "-ckpt"))
+    return body
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Stream -> foreachBatch -> events lake (batch-keyed, replay-safe); lake read back."""
+    from ..sources import lake
+    body = _serve_run(spark, sf_dir, None, _obs(spark, sf_dir))
+    res = lake.scan_events(spark, body.events)
+    return res.select(*fx.OBSERVATION_COLUMNS, "event_time", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+
+
+def _stream_alert_run(spark, sf_dir, files: int = 1):
+    history, batch = fx.split_history_batch(_obs(spark, sf_dir))
+    return _serve_run(spark, sf_dir, history, batch, files=files)
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """The last day streamed (one micro-batch) against a lake pre-loaded with the
+    earlier readings."""
+    body = _stream_alert_run(spark, sf_dir, files=1)
+    res = spark.read.parquet(body.alerts)
+    return _r6(res.select(*anomaly.ALERT_COLUMNS, "detected_at"), "baseline_mean", "baseline_std")
+
+
+@register("batch_metrics")
+def q_batch_metrics(spark, sf_dir):
+    """Per micro-batch counters (stored readings, alerts, notifications) of the
+    last day streamed in four micro-batches."""
+    body = _stream_alert_run(spark, sf_dir, files=4)
+    return spark.read.parquet(body.metrics).select("batch_id", "stored", "alerts", "sent")
+
+
+@register("stream_cooldown")
+def q_stream_cooldown(spark, sf_dir):
+    """Every absolute-rule hit streamed (4 micro-batches) through the stateful
+    six-hour cooldown (applyInPandasWithState)."""
+    from pyspark.sql import types as T
+
+    from ..session import work_path
+    from ..streaming.cooldown import cooldown_stream
+    from ..streaming.pipeline import source, start_sink_stream
+    hits = anomaly.alerts_absolute(_obs(spark, sf_dir)).withColumnRenamed("event_id", "seq")
+    fields = ("timestamp", "seq", "city", "metric", "alert_type", "severity", "message")
+    stage = _staged(spark, hits, order=("timestamp", "seq"), fields=fields)
+    schema = T.StructType([T.StructField("timestamp", T.LongType()), T.StructField("seq", T.LongType()),
+                           *[T.StructField(c, T.StringType()) for c in fields[2:]]])
+    raw = source(spark, "files", stage, max_files=1)
+    parsed = raw.select(F.from_json("value", schema).alias("a")).select("a.*")
+    out = work_path(spark, "sink")
+    _finish(start_sink_stream(cooldown_stream(parsed, 6 * 3600), out, out + "-ckpt"))
+    return spark.read.parquet(out)

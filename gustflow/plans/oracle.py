@@ -420,3 +420,40 @@ SELECT * FROM agg ORDER BY window_start DESC, city DESC LIMIT 200""")
 sql("live_refresh", f"""WITH {LIVE},
 {detect_ctes('upd_new', 'upd_old')}
 SELECT {ALERT_OUT}, make_timestamp((SELECT now_s FROM now) * 1000000) AS detected_at FROM d_alerts""")
+
+
+# --------------------------------------------------------------------------
+# Structured Streaming (single ordered replay: first delivery wins on dedupe)
+# --------------------------------------------------------------------------
+
+FIRST = f"""first_ AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY event_id) AS rn
+  FROM readings WHERE city IS NOT NULL AND "timestamp" IS NOT NULL) WHERE rn = 1)"""
+
+sql("stream_window_agg", f"""WITH {READINGS}, {FIRST},
+wm AS (SELECT max({ET}) - INTERVAL 10 MINUTE AS wm FROM first_),
+agg AS (
+  SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+         {r6('avg(temperature)')} AS avg_temperature, {r6('avg(humidity)')} AS avg_humidity,
+         {r6('avg(wind_speed)')} AS avg_wind_speed, count(*) AS record_count
+  FROM first_ GROUP BY city, {WIN5})
+SELECT agg.* FROM agg, wm WHERE window_end <= wm.wm""")
+
+sql("stream_dedupe", f"""WITH {READINGS}, {FIRST}
+SELECT *, {ET} AS event_time, strftime(CAST({ET} AS DATE), '%Y-%m-%d') AS event_date FROM first_""")
+
+sql("stream_ingest", ORACLE["stream_dedupe"])
+
+sql("stream_alerts", f"""WITH {READINGS},
+{SPLIT},
+sb AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY event_id) AS rn FROM batch) WHERE rn = 1),
+{detect_ctes('sb', 'hist')}
+SELECT {ALERT_OUT}, make_timestamp((SELECT max("timestamp") FROM sb) * 1000000) AS detected_at FROM d_alerts""")
+
+sql("stream_cooldown", f"""WITH {READINGS},
+prep AS (SELECT * FROM readings WHERE {NOT_NULL}),
+hits AS (SELECT *, city || ':' || metric || ':' || alert_type AS alert_key FROM ({absolute_candidates('prep')})),
+{cooldown_ctes('hits', s='event_id', cooldown=6 * 3600)}
+SELECT hits.alert_key, hits."timestamp", hits.event_id AS seq, hits.severity, hits.message
+FROM hits JOIN sent ON sent.k = hits.alert_key AND sent.t = hits."timestamp" AND sent.s = hits.event_id""")

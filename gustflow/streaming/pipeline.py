@@ -1,0 +1,265 @@
+"""Structured Streaming pipeline: observation records -> lake + window
+aggregates + scored alerts + notification outbox.
+
+* ``source``: Kafka (``kind='kafka'``) or a folder of JSON-lines files
+  (``kind='files'``, the offline twin; files are taken in modification-time
+  order).
+* ``parse_stream``: permissive ``from_json`` with a fixed schema, event time
+  from epoch seconds, watermark, null-key drop and de-duplication
+  (``bounded``: event time is part of the key so state is evicted behind
+  the watermark; ``exact``: (city, timestamp) only, state kept forever;
+  ``within``: ``dropDuplicatesWithinWatermark``).
+* ``window_stream``: 5-minute tumbling means + ``count(*)``, append mode
+  (a window is written once the watermark passes its end).
+* ``EventsBatch``: the ``foreachBatch`` body — score the micro-batch against
+  the lake as it was before the batch, then write events, alerts, outbox
+  and per-batch counters.  Every write is keyed by the batch id with
+  dynamic partition overwrite, so a replayed batch replaces its own output.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import hashlib
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..config import DEFAULT, Params
+from ..functions.scalars import alert_key, notification_text
+from ..operators.anomaly import detect_anomalies
+from ..sources import lake
+from ..sources.records import OBSERVATION_SCHEMA
+
+STREAM_SCHEMA = T.StructType(list(OBSERVATION_SCHEMA.fields) + [T.StructField("event_id", T.LongType())])
+
+
+# --------------------------------------------------------------------------
+# Sources
+# --------------------------------------------------------------------------
+
+def source(spark: SparkSession, kind: str = "files", path: str | None = None, max_files: int | None = None,
+           bootstrap: str = "localhost:9092", topic: str = "weather_data",
+           starting_offsets: str = "latest") -> DataFrame:
+    """Raw records as a ``value`` string column (plus ``seq`` for Kafka offsets)."""
+    if kind == "kafka":
+        raw = (spark.readStream.format("kafka")
+               .option("kafka.bootstrap.servers", bootstrap)
+               .option("subscribe", topic)
+               .option("startingOffsets", starting_offsets)
+               .load())
+        return raw.select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
+    if kind == "files":
+        reader = spark.readStream.format("text")
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", int(max_files))
+        return reader.load(path)
+    raise ValueError(f"unknown source kind: {kind}")
+
+
+def stage_records(df: DataFrame, path: str, files: int = 1, order: Sequence[str] = ("timestamp", "event_id"),
+                  fields: Sequence[str] = tuple(f.name for f in STREAM_SCHEMA.fields)) -> None:
+    """Write records as JSON lines into ``files`` text files in ``order`` and give
+    the files increasing modification times, so a file source replays them
+    in order (test fixture / backfill helper)."""
+    spark = df.sparkSession
+    recs = df.select(F.to_json(F.struct(*[F.col(c) for c in fields if c in df.columns])).alias("value"), *order)
+    (recs.repartitionByRange(int(files), *[F.col(c) for c in order])
+     .sortWithinPartitions(*order).select("value").write.text(path))
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")),
+                   key=lambda q: q.getName())
+    base = 1_600_000_000_000
+    for i, q in enumerate(parts):
+        fs.setTimes(q, base + i * 10_000, -1)
+
+
+# --------------------------------------------------------------------------
+# Parsing, watermark, dedupe, windows
+# --------------------------------------------------------------------------
+
+def parse_stream(raw: DataFrame, params: Params = DEFAULT, dedupe: str = "bounded",
+                 schema: T.StructType = STREAM_SCHEMA) -> DataFrame:
+    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("data")).select("data.*")
+    parsed = (parsed.withColumn("event_time", F.timestamp_seconds("timestamp"))
+              .withColumn("event_date", F.to_date("event_time"))
+              .dropna(subset=["city", "timestamp"])
+              .withWatermark("event_time", params.watermark_delay))
+    if dedupe == "bounded":
+        return parsed.dropDuplicates(["city", "timestamp", "event_time"])
+    if dedupe == "exact":
+        return parsed.dropDuplicates(["city", "timestamp"])
+    if dedupe == "within":
+        return parsed.dropDuplicatesWithinWatermark(["city", "timestamp"])
+    if dedupe == "none":
+        return parsed
+    raise ValueError(f"unknown dedupe mode: {dedupe}")
+
+
+def window_stream(parsed: DataFrame, params: Params = DEFAULT, key: str = "city",
+                  metrics: Sequence[str] = ("temperature", "humidity", "wind_speed")) -> DataFrame:
+    agg = (parsed.groupBy(F.window("event_time", params.window_duration).alias("window"), F.col(key))
+           .agg(*[F.avg(m).alias(f"avg_{m}") for m in metrics], F.count(F.lit(1)).alias("record_count")))
+    return agg.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                      *[f"avg_{m}" for m in metrics], "record_count")
+
+
+def _trigger(writer, trigger: str | None):
+    if trigger in (None, "availableNow"):
+        return writer.trigger(availableNow=True)
+    return writer.trigger(processingTime=trigger)
+
+
+def start_aggregate_stream(parsed: DataFrame, sink: str, checkpoint: str, params: Params = DEFAULT,
+                           trigger: str | None = None, name: str | None = None):
+    out = window_stream(parsed, params).withColumn("window_date", F.to_date("window_start"))
+    w = (out.writeStream.outputMode("append").format("parquet")
+         .option("path", sink).option("checkpointLocation", checkpoint).partitionBy("window_date"))
+    if name:
+        w = w.queryName(name)
+    return _trigger(w, trigger).start()
+
+
+def start_sink_stream(df: DataFrame, sink: str, checkpoint: str, trigger: str | None = None,
+                      partition_by: Sequence[str] = ()):
+    w = (df.writeStream.outputMode("append").format("parquet")
+         .option("path", sink).option("checkpointLocation", checkpoint))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    return _trigger(w, trigger).start()
+
+
+# --------------------------------------------------------------------------
+# foreachBatch: lake + alerts + outbox + counters
+# --------------------------------------------------------------------------
+
+class EventsBatch:
+    """``foreachBatch`` body.  Folders: ``<root>/events``, ``<root>/alerts``,
+    ``<root>/outbox``, ``<root>/metrics``.  ``clock='event'`` stamps alerts
+    and notifications with the newest reading time of the batch (reproducible);
+    ``clock='wall'`` with the current time."""
+
+    def __init__(self, root: str, params: Params = DEFAULT, clock: str = "event", query_tag: str | None = None):
+        self.root = root.rstrip("/")
+        self.params = params
+        self.clock = clock
+        self.tag = query_tag or uuid.uuid4().hex[:8]
+
+    @property
+    def events(self) -> str:
+        return f"{self.root}/events"
+
+    @property
+    def alerts(self) -> str:
+        return f"{self.root}/alerts"
+
+    @property
+    def outbox(self) -> str:
+        return f"{self.root}/outbox"
+
+    @property
+    def metrics(self) -> str:
+        return f"{self.root}/metrics"
+
+    def batch_name(self, batch_id: int) -> str:
+        return f"{self.tag}-{int(batch_id):012d}"
+
+    def history(self, spark: SparkSession, batch: str) -> DataFrame:
+        """Stored events before this batch, pruned to the dates the baseline can use."""
+        stored = lake.scan_events(spark, self.events)
+        latest = stored.agg(F.max("event_date")).first()[0]
+        if latest is None:
+            return stored
+        since = latest - dt.timedelta(days=int(self.params.baseline_days) + 1)
+        return lake.scan_events(spark, self.events, since).where(~self.same_or_later(batch))
+
+    def same_or_later(self, batch: str):
+        """Rows written by this query at this batch id or later (a replay)."""
+        return F.col("batch").startswith(self.tag + "-") & (F.col("batch") >= F.lit(batch))
+
+    def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
+        if batch_df.isEmpty():
+            return
+        spark = batch_df.sparkSession
+        name = self.batch_name(batch_id)
+        batch = batch_df.persist()
+        try:
+            history = self.history(spark, name)
+            if "event_id" not in batch.columns:
+                batch = batch.withColumn("event_id", F.lit(None).cast("long"))
+            alerts = detect_anomalies(batch.drop("event_time", "event_date"),
+                                      history.drop("event_time", "event_date", "batch"),
+                                      params=self.params).persist()
+            stamp = (batch.agg(F.max("event_time")).first()[0] if self.clock == "event"
+                     else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+            lake.write_events(batch.drop("event_time", "event_date"), self.events, batch=name)
+            stored = alerts.withColumn("detected_at", F.lit(stamp).cast("timestamp")) \
+                .withColumn("batch", F.lit(name))
+            (stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch").parquet(self.alerts))
+            sent = self.notify(spark, alerts, name, stamp)
+            counts = (batch.agg(F.count(F.lit(1)).alias("stored"))
+                      .crossJoin(alerts.agg(F.count(F.lit(1)).alias("alerts")))
+                      .crossJoin(sent.agg(F.count(F.lit(1)).alias("sent")))
+                      .select(F.lit(name).alias("batch"), F.lit(int(batch_id)).alias("batch_id"),
+                              "stored", "alerts", "sent"))
+            counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                .partitionBy("batch").parquet(self.metrics)
+            alerts.unpersist()
+        finally:
+            batch.unpersist()
+
+    def notify(self, spark: SparkSession, alerts: DataFrame, name: str, stamp) -> DataFrame:
+        """Cooldown against the outbox: a key is sent when its last notification
+        is at least ``cooldown`` seconds older than the alert (event clock)."""
+        c = int(self.params.cooldown_seconds)
+        keyed = alerts.withColumn("alert_key", alert_key())
+        when = F.col("timestamp") if self.clock == "event" else F.unix_seconds(F.lit(stamp).cast("timestamp"))
+        keyed = keyed.withColumn("_t", when.cast("long"))
+        if lake.exists(spark, self.outbox):
+            box = spark.read.parquet(self.outbox).where(~self.same_or_later(name))
+            last = box.groupBy("alert_key").agg(F.max("_t").alias("_last"))
+            keyed = keyed.join(last, "alert_key", "left")
+        else:
+            keyed = keyed.withColumn("_last", F.lit(None).cast("long"))
+        # at most one alert per key per batch (first-wins), so one comparison per key
+        sent = keyed.where(F.col("_last").isNull() | (F.col("_t") - F.col("_last") >= c))
+        out = sent.select("alert_key", notification_text().alias("text"),
+                          F.timestamp_seconds("_t").alias("sent_at"), "_t", F.lit(name).alias("batch"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch") \
+            .parquet(self.outbox)
+        return spark.read.parquet(self.outbox).where(F.col("batch") == F.lit(name))
+
+
+def start_events_stream(parsed: DataFrame, body: EventsBatch, checkpoint: str, trigger: str | None = None):
+    w = parsed.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
+def start_pipeline(spark: SparkSession, raw: DataFrame, root: str, params: Params = DEFAULT,
+                   trigger: str | None = None, dedupe: str = "bounded"):
+    """Both queries off the same source: lake/alerts and window aggregates.
+    Each query keeps its own offsets and dedupe state.  Returns both handles."""
+    parsed = parse_stream(raw, params, dedupe)
+    # the tag is stable for one checkpoint, so a restart keeps its batch names
+    tag = hashlib.sha1(f"{root}/checkpoints/events".encode()).hexdigest()[:8]
+    body = EventsBatch(f"{root}/serve", params, query_tag=tag)
+    events_q = start_events_stream(parsed, body, f"{root}/checkpoints/events", trigger)
+    aggs_q = start_aggregate_stream(parsed, f"{root}/aggregates", f"{root}/checkpoints/aggregates", params, trigger)
+    return events_q, aggs_q
+
+
+def await_all(spark: SparkSession, queries) -> None:
+    """Block until every query stops; stop all on the first failure."""
+    try:
+        for q in queries:
+            q.awaitTermination()
+    finally:
+        for q in queries:
+            if q.isActive:
+                q.stop()
