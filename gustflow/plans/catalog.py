@@ -637,7 +637,7 @@ def q_stream_alerts(spark, sf_dir):
     """The last day streamed (one micro-batch) against a lake pre-loaded with the
     earlier readings."""
     body = _stream_alert_run(spark, sf_dir, files=1)
-    res = spark.read.parquet(body.alerts)
+    res = body.read_alerts(spark)
     return _r6(res.select(*anomaly.ALERT_COLUMNS, "detected_at"), "baseline_mean", "baseline_std")
 
 
@@ -646,7 +646,7 @@ def q_batch_metrics(spark, sf_dir):
     """Per micro-batch counters (stored readings, alerts, notifications) of the
     last day streamed in four micro-batches."""
     body = _stream_alert_run(spark, sf_dir, files=4)
-    return spark.read.parquet(body.metrics).select("batch_id", "stored", "alerts", "sent")
+    return body.read_metrics(spark).select("batch_id", "stored", "alerts", "sent")
 
 
 @register("stream_cooldown")

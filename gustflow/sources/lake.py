@@ -63,6 +63,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def read_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """A table folder read with its schema; missing or empty folder -> typed empty."""
+    return _read(spark, root, schema)
+
+
 def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     if not exists(spark, root):
         return spark.createDataFrame([], schema)

@@ -36,6 +36,19 @@ from ..sources.records import OBSERVATION_SCHEMA
 
 STREAM_SCHEMA = T.StructType(list(OBSERVATION_SCHEMA.fields) + [T.StructField("event_id", T.LongType())])
 
+OUTBOX_SCHEMA = T.StructType([
+    T.StructField("alert_key", T.StringType()), T.StructField("text", T.StringType()),
+    T.StructField("sent_at", T.TimestampType()), T.StructField("_t", T.LongType()),
+    T.StructField("batch", T.StringType()),
+])
+SERVED_ALERT_SCHEMA = T.StructType(list(lake.ALERT_SCHEMA.fields) + [
+    T.StructField("detected_at", T.TimestampType()), T.StructField("batch", T.StringType())])
+METRICS_SCHEMA = T.StructType([
+    T.StructField("batch_id", T.LongType()), T.StructField("stored", T.LongType()),
+    T.StructField("alerts", T.LongType()), T.StructField("sent", T.LongType()),
+    T.StructField("batch", T.StringType()),
+])
+
 
 # --------------------------------------------------------------------------
 # Sources
@@ -206,7 +219,7 @@ class EventsBatch:
             counts = (batch.agg(F.count(F.lit(1)).alias("stored"))
                       .crossJoin(alerts.agg(F.count(F.lit(1)).alias("alerts")))
                       .crossJoin(sent.agg(F.count(F.lit(1)).alias("sent")))
-                      .select(F.lit(name).alias("batch"), F.lit(int(batch_id)).alias("batch_id"),
+                      .select(F.lit(name).alias("batch"), F.lit(int(batch_id)).cast("long").alias("batch_id"),
                               "stored", "alerts", "sent"))
             counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
                 .partitionBy("batch").parquet(self.metrics)
@@ -222,7 +235,7 @@ class EventsBatch:
         when = F.col("timestamp") if self.clock == "event" else F.unix_seconds(F.lit(stamp).cast("timestamp"))
         keyed = keyed.withColumn("_t", when.cast("long"))
         if lake.exists(spark, self.outbox):
-            box = spark.read.parquet(self.outbox).where(~self.same_or_later(name))
+            box = self.read_outbox(spark).where(~self.same_or_later(name))
             last = box.groupBy("alert_key").agg(F.max("_t").alias("_last"))
             keyed = keyed.join(last, "alert_key", "left")
         else:
@@ -233,7 +246,16 @@ class EventsBatch:
                           F.timestamp_seconds("_t").alias("sent_at"), "_t", F.lit(name).alias("batch"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch") \
             .parquet(self.outbox)
-        return spark.read.parquet(self.outbox).where(F.col("batch") == F.lit(name))
+        return self.read_outbox(spark).where(F.col("batch") == F.lit(name))
+
+    def read_outbox(self, spark: SparkSession) -> DataFrame:
+        return lake.read_table(spark, self.outbox, OUTBOX_SCHEMA)
+
+    def read_alerts(self, spark: SparkSession) -> DataFrame:
+        return lake.read_table(spark, self.alerts, SERVED_ALERT_SCHEMA)
+
+    def read_metrics(self, spark: SparkSession) -> DataFrame:
+        return lake.read_table(spark, self.metrics, METRICS_SCHEMA)
 
 
 def start_events_stream(parsed: DataFrame, body: EventsBatch, checkpoint: str, trigger: str | None = None):
