@@ -63,6 +63,12 @@ def filter_keys(df: DataFrame, values: Sequence[str] | None, col: str = "city",
     return df
 
 
+def select_present(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Project the wanted columns that exist, in the wanted order."""
+    have = set(df.columns)
+    return df.select(*[c for c in wanted if c in have])
+
+
 def drop_blank(df: DataFrame, col: str = "city") -> DataFrame:
     return df.where(F.col(col).isNotNull() & (F.trim(F.col(col)) != ""))
 

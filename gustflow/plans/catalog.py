@@ -496,7 +496,7 @@ def q_lake_scan_recent(spark, sf_dir):
     from ..sources import lake
     root = _lake_path(spark, "events")
     lake.write_events(_obs(spark, sf_dir), root, batch="0")
-    latest = lake.scan_events(spark, root).agg(F.max("event_date")).first()[0]
+    latest = lake.latest_partition(spark, root)  # directory listing, no scan
     import datetime as dt
     since = (latest - dt.timedelta(days=6)).isoformat() if latest else None
     return lake.scan_events(spark, root, since).select(*fx.OBSERVATION_COLUMNS)
@@ -668,3 +668,31 @@ def q_stream_cooldown(spark, sf_dir):
     out = work_path(spark, "sink")
     _finish(start_sink_stream(cooldown_stream(parsed, 6 * 3600), out, out + "-ckpt"))
     return spark.read.parquet(out)
+
+
+# --------------------------------------------------------------------------
+# More serving views (V2, F5/F6, A2 alphabetical tail)
+# --------------------------------------------------------------------------
+
+@register("recent_windows")
+def q_recent_windows(spark, sf_dir):
+    """Aggregate series for a chart: the last 12 aggregate rows (rows, not windows)."""
+    from ..operators.windows import window_agg
+    out = clean.tail_rows(window_agg(clean.with_event_time(_obs(spark, sf_dir))), 12, ["window_start", "city"])
+    return _r6(out, "avg_temperature", "avg_humidity", "avg_wind_speed")
+
+
+@register("window_agg_live_city")
+def q_window_agg_live_city(spark, sf_dir):
+    """Live aggregates with the alphabetical tail (last 200 rows in (city, window) order)."""
+    from ..operators.windows import live_window_agg
+    return live_window_agg(clean.with_event_time(_obs(spark, sf_dir)), limit=200, order="city")
+
+
+@register("alert_messages")
+def q_alert_messages(spark, sf_dir):
+    """Every candidate alert of the last day (absolute and z rules) with its message."""
+    history, batch = fx.split_history_batch(_obs(spark, sf_dir))
+    new_p = clean.prepare_events(batch)
+    cands = anomaly.candidate_alerts(new_p, anomaly.baseline_wide(history))
+    return cands.select("timestamp", "event_id", "city", "alert_type", "message")

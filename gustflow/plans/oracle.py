@@ -457,3 +457,29 @@ hits AS (SELECT *, city || ':' || metric || ':' || alert_type AS alert_key FROM
 {cooldown_ctes('hits', s='event_id', cooldown=6 * 3600)}
 SELECT hits.alert_key, hits."timestamp", hits.event_id AS seq, hits.severity, hits.message
 FROM hits JOIN sent ON sent.k = hits.alert_key AND sent.t = hits."timestamp" AND sent.s = hits.event_id""")
+
+
+# --------------------------------------------------------------------------
+# More serving views
+# --------------------------------------------------------------------------
+
+sql("recent_windows", f"""WITH {READINGS},
+agg AS (
+  SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+         {r6('avg(temperature)')} AS avg_temperature, {r6('avg(humidity)')} AS avg_humidity,
+         {r6('avg(wind_speed)')} AS avg_wind_speed, count(*) AS record_count
+  FROM readings GROUP BY city, {WIN5})
+SELECT * FROM agg ORDER BY window_start DESC, city DESC LIMIT 12""")
+
+sql("window_agg_live_city", f"""WITH {READINGS},
+agg AS (
+  SELECT city, {WIN5} AS window_start, {WIN5} + INTERVAL 5 MINUTE AS window_end,
+         {rnd('avg(temperature)', 2)} AS avg_temperature, {rnd('avg(humidity)', 2)} AS avg_humidity,
+         {rnd('avg(wind_speed)', 2)} AS avg_wind_speed, count(temperature) AS record_count
+  FROM readings GROUP BY city, {WIN5})
+SELECT * FROM agg ORDER BY city DESC, window_start DESC LIMIT 200""")
+
+sql("alert_messages", f"""WITH {READINGS},
+{SPLIT},
+{detect_ctes('batch', 'hist')}
+SELECT "timestamp", event_id, city, alert_type, message FROM d_cand""")

@@ -63,6 +63,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def latest_partition(spark: SparkSession, root: str, col: str = "event_date"):
+    """Newest value of a date partition column from the directory listing
+    (metadata only: no file is opened).  None when there is none."""
+    import datetime as dt
+    if not exists(spark, root):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    best = None
+    prefix = col + "="
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith(prefix):
+            try:
+                d = dt.date.fromisoformat(name[len(prefix):])
+            except ValueError:
+                continue
+            best = d if best is None or d > best else best
+    return best
+
+
 def read_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """A table folder read with its schema; missing or empty folder -> typed empty."""
     return _read(spark, root, schema)

@@ -184,10 +184,9 @@ class EventsBatch:
 
     def history(self, spark: SparkSession, batch: str) -> DataFrame:
         """Stored events before this batch, pruned to the dates the baseline can use."""
-        stored = lake.scan_events(spark, self.events)
-        latest = stored.agg(F.max("event_date")).first()[0]
+        latest = lake.latest_partition(spark, self.events)
         if latest is None:
-            return stored
+            return lake.scan_events(spark, self.events)
         since = latest - dt.timedelta(days=int(self.params.baseline_days) + 1)
         return lake.scan_events(spark, self.events, since).where(~self.same_or_later(batch))
 

@@ -286,3 +286,22 @@ def test_live_refresh_restamps_and_scores(spark):
     assert newest.event_id == 999 and newest.timestamp == 1704067200
     kinds = {r.alert_type for r in alerts.collect()}
     assert {"heat_wave", "temperature_spike"} <= kinds
+
+
+def test_select_present(spark):
+    df = obs(spark, [(1, 10, "A", 1.0, 1.0, 1.0, "c")])
+    assert clean.select_present(df, ["city", "nope", "timestamp"]).columns == ["city", "timestamp"]
+
+
+def test_method_label(spark):
+    df = spark.createDataFrame([("exponential_smoothing",), ("linear_trend",)], "m string")
+    assert [r.l for r in df.select(scalars.method_label("m").alias("l")).collect()] == \
+        ["Exponential Smoothing", "Linear Trend"]
+
+
+def test_unknown_forecast_method(spark):
+    with pytest.raises(ValueError):
+        forecast.forecast(_series(spark, [1.0] * 20), method="arima")
+    assert forecast.forecast(_series(spark, [1.0] * 20), method="prophet").count() == 0
+    st = forecast.forecast_status(_series(spark, [1.0] * 20), method="prophet").first()
+    assert st.method == "none" and "prophet" in st.message
