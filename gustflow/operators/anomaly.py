@@ -206,48 +206,84 @@ def score_latest(obs: DataFrame, holdout_rows: int = 10, key_cols: Sequence[str]
     return detect_anomalies(latest, history, key_cols, params=params, order=order)
 
 
-def rolling_detect(obs: DataFrame, batch_seconds: int = 86400, key_cols: Sequence[str] = ("city",),
-                   metrics: Sequence[str] = METRICS, params: Params = DEFAULT, rules=ABSOLUTE_RULES,
-                   order: Sequence[str] = ("timestamp", "event_id"), epoch_col: str = "timestamp") -> DataFrame:
-    """Replay of the detector over consecutive batches of ``batch_seconds``:
-    every batch is scored against all earlier readings, exactly as
-    ``detect_anomalies(batch, history)`` would, but in one job.
+def _combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Merge partial (n, mean, M2) per metric into one per group (Chan et al.'s
+    parallel update, two passes so no large squares are subtracted).  The
+    inputs are per-(batch, key) summaries, so both passes are small."""
+    first = []
+    for m in metrics:
+        n, mu = F.col(f"{m}__n").cast("double"), F.col(f"{m}__mean")
+        first += [F.sum(f"{m}__n").alias(f"_{m}_n"), (F.sum(F.when(n > 0, n * mu)) / F.sum(n)).alias(f"_{m}_mean")]
+    totals = parts.groupBy(*group).agg(*first)
+    joined = parts.join(totals, list(group))
+    second = []
+    for m in metrics:
+        n, mu, m2 = F.col(f"{m}__n").cast("double"), F.col(f"{m}__mean"), F.col(f"{m}__m2")
+        d = mu - F.col(f"_{m}_mean")
+        second += [F.first(f"_{m}_n").alias(f"_{m}_n"), F.first(f"_{m}_mean").alias(f"_{m}_mean"),
+                   F.sum(F.when(n > 0, m2 + n * d * d)).alias(f"_{m}_M2")]
+    return joined.groupBy(*group).agg(*second)
 
-    Each prepared reading is fanned out to the (at most
-    ``ceil(baseline / batch) + 2``) later non-empty batches whose baseline
-    window can contain it, so the work is linear in the input; the batch
-    table (one row per batch) is the only per-calendar structure.
-    Output: the alert schema plus ``batch_id`` and ``detected_at`` (the
-    newest reading time of the batch).
-    """
-    p = prepare_events(obs, key_cols, metrics, epoch_col)
-    ts = F.col(epoch_col).cast("long")
-    p = p.withColumn("batch_id", F.floor(ts / batch_seconds).cast("long"))
+
+def _moments(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    aggs = []
+    for m in metrics:
+        aggs += [F.count(m).alias(f"{m}__n"), F.avg(m).alias(f"{m}__mean"),
+                 (F.var_pop(m) * F.count(m)).alias(f"{m}__m2")]
+    return df.groupBy(*group).agg(*aggs)
+
+
+def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str], metrics: Sequence[str],
+                     params: Params, epoch_col: str = "timestamp"):
+    """Per (target batch, key) baseline over all earlier prepared rows in
+    ``[max(earlier) - baseline_days, start of batch)``, plus the batch table.
+
+    Whole batches inside the window contribute pre-aggregated moments
+    (one row per batch and key); only the single boundary batch whose
+    window starts mid-batch is read row by row.  The shuffle is therefore
+    about the size of the input, not a multiple of it."""
     from pyspark.sql import Window
+    b = int(batch_seconds)
+    span = int(params.baseline_days) * 86400
+    ts = F.col(epoch_col).cast("long")
     batches = p.groupBy("batch_id").agg(F.max(ts).alias("_bmax"))
     wb = Window.orderBy("batch_id")  # one row per batch: bounded by the calendar
-    batches = (batches
-               .withColumn("_ord", F.row_number().over(wb))
-               .withColumn("_hist_max", F.max("_bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1))))
-    span = int(params.baseline_days) * 86400
-    reach = -(-span // batch_seconds) + 2
-    rows = p.join(batches.select("batch_id", "_ord"), "batch_id")
-    fan = rows.select(*key_cols, ts.alias("_t"), *metrics,
-                      F.explode(F.sequence(F.col("_ord") + 1, F.col("_ord") + reach)).alias("_ord"))
-    targets = batches.select(F.col("_ord"), F.col("batch_id").alias("_target"), "_hist_max")
-    contrib = (fan.join(targets, "_ord")
-               .where(F.col("_t") >= F.col("_hist_max") - span))
-    aggs = []
-    for m in metrics:
-        aggs += [F.avg(m).alias(f"_{m}_mean"), F.stddev_pop(m).alias(f"_{m}_std"), F.count(m).alias(f"_{m}_n")]
-    stats = contrib.groupBy("_target", *key_cols).agg(*aggs)
+    batches = (batches.withColumn("_hist_max", F.max("_bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+               .withColumn("_cut", F.col("_hist_max") - span)
+               .withColumn("_b0", F.floor(F.col("_cut") / b).cast("long")))
+    targets = batches.where(F.col("_hist_max").isNotNull()).select(
+        F.col("batch_id").alias("_target"), "_cut", "_b0")
+    # whole batches strictly between the boundary batch and the target
+    inner = targets.select("_target", F.explode(F.sequence(F.col("_b0") + 1, F.col("_target") - 1)).alias("batch_id"))
+    parts = _moments(p, ["batch_id", *key_cols], metrics)
+    whole = parts.join(inner, "batch_id").drop("batch_id")
+    # the boundary batch: rows at or after the cut
+    edge_rows = p.join(targets.withColumnRenamed("_b0", "batch_id"), "batch_id").where(ts >= F.col("_cut"))
+    edge = _moments(edge_rows, ["_target", *key_cols], metrics)
+    merged = _combine_moments(whole.unionByName(edge), ["_target", *key_cols], metrics)
     out = []
     for m in metrics:
         ok = F.col(f"_{m}_n") >= params.min_baseline_samples
-        out += [F.when(ok, F.col(f"_{m}_mean")).alias(f"{m}_mean"),
-                F.when(ok, F.col(f"_{m}_std")).alias(f"{m}_std")]
-    base = stats.select(F.col("_target").alias("batch_id"), *key_cols, *out)
+        std = F.sqrt(F.greatest(F.col(f"_{m}_M2") / F.col(f"_{m}_n"), F.lit(0.0)))
+        out += [F.when(ok, F.col(f"_{m}_mean")).alias(f"{m}_mean"), F.when(ok, std).alias(f"{m}_std")]
+    base = merged.select(F.col("_target").alias("batch_id"), *key_cols, *out)
+    return base, batches
+
+
+def rolling_detect(obs: DataFrame, batch_seconds: int = 86400, key_cols: Sequence[str] = ("city",),
+                   metrics: Sequence[str] = METRICS, params: Params = DEFAULT, rules=ABSOLUTE_RULES,
+                   order: Sequence[str] = ("timestamp", "event_id"), epoch_col: str = "timestamp") -> DataFrame:
+    """Replay of the detector over consecutive batches of ``batch_seconds``:
+    every batch is scored against all earlier readings, exactly as
+    ``detect_anomalies(batch, history)`` would, in one job (see
+    :func:`rolling_baseline` for how the baselines stay linear).
+    Output: the alert schema plus ``batch_id`` and ``detected_at`` (the
+    newest reading time of the batch)."""
+    p = prepare_events(obs, key_cols, metrics, epoch_col)
+    p = p.withColumn("batch_id", F.floor(F.col(epoch_col).cast("long") / int(batch_seconds)).cast("long"))
+    base, batches = rolling_baseline(p, batch_seconds, key_cols, metrics, params, epoch_col)
     detected = batches.select("batch_id", F.timestamp_seconds("_bmax").alias("detected_at"))
     cands = candidate_alerts(p, base, ["batch_id", *key_cols], metrics, params, rules, epoch_col, order)
     first = first_alert_per_key(cands, ["batch_id", *key_cols], order)
+    # one row per batch (calendar-bounded) joined back
     return first.join(detected, "batch_id").select(*ALERT_COLUMNS, "batch_id", "detected_at")
