@@ -91,14 +91,20 @@ def method_label(method="method") -> Column:
     return F.initcap(F.regexp_replace(_c(method), "_", " "))
 
 
-def round_half_up(x, places: int) -> Column:
-    """Decimal half-up rounding that does not depend on the binary representation.
+# Fixed value: the tie tolerance, in units of the last kept decimal.
+ROUND_TIE_TOLERANCE = 1e-4
 
-    ``1.005`` is stored as 1.00499999...; a 1e-12 relative nudge away from
-    zero makes decimal ties round up (away from zero) whatever the last bit
-    of the double is, so two engines (or two summation orders) agree.
-    """
-    return F.round(_c(x) * F.lit(1 + 1e-12), places)
+
+def round_half_up(x, places: int) -> Column:
+    """Decimal rounding to ``places`` as ``floor(x * 10^p + 0.5 + tol) / 10^p``.
+
+    ``1.005`` is stored as 1.00499999...; the tolerance (1e-4 of the last
+    kept unit) makes such decimal ties round up whatever the last bits of
+    the double are, and the result is a fixed sequence of IEEE operations,
+    so any engine that evaluates the same formula on the same double gets
+    the same answer (ties round towards +infinity)."""
+    scale = float(10 ** int(places))
+    return F.floor(_c(x).cast("double") * F.lit(scale) + F.lit(0.5 + ROUND_TIE_TOLERANCE)) / F.lit(scale)
 
 
 def round6(x) -> Column:

@@ -49,15 +49,14 @@ batch AS (SELECT r.* FROM readings r, split WHERE r."timestamp" >= split.cut)"""
 
 
 def r6(x: str) -> str:
-    """Round an aggregate-derived double to 6 places; the 1e-12 relative nudge
-    makes exact decimal ties (common with few-decimal data) resolve the same way
-    in both engines despite last-bit differences of their float sums."""
+    """Round an aggregate-derived double to 6 places (see :func:`rnd`)."""
     return rnd(x, 6)
 
 
 def rnd(x: str, places: int) -> str:
-    """Decimal half-up rounding robust to the binary representation."""
-    return f"round(({x}) * (1 + 1e-12), {places})"
+    """Decimal rounding: floor(x * 10^p + 0.5 + 1e-4) / 10^p (ties towards +infinity)."""
+    scale = _dbl(float(10 ** int(places)))
+    return f"(floor(CAST({x} AS DOUBLE) * {scale} + {_dbl(0.5 + 1e-4)}) / {scale})"
 
 
 def fmt1(x: str) -> str:
