@@ -8,12 +8,15 @@ under ``nxt(a)`` = the first alert at or after ``t(a) + cooldown``.
 
 The batch implementation never gathers a key in one task:
 
-1. ``nxt`` is an as-of self join done inside buckets of width ``cooldown``
-   (``t + cooldown`` always falls in the next bucket): probes and alerts of
-   one (key, bucket) meet in a running window, and the fallback "first alert
-   of a later bucket" comes from a per-(key, bucket) table (bounded by the
-   calendar, not by the rows);
-2. the orbit is found by pointer doubling: round ``r`` extends the sent set
+1. alerts collapse to one node per (key, second) — the earliest; the rest
+   of that second can never be sent;
+2. ``nxt`` is an as-of self join done inside one-minute buckets
+   (``t + cooldown`` lies a fixed number of buckets later): probe times and
+   nodes of one (key, bucket) meet in a running window — at most 60
+   distinct seconds each, whatever the data volume — and a miss falls back
+   to the first node of the next non-empty bucket, found on the per-key
+   bucket sequence (bounded by the calendar, not by the rows);
+3. the orbit is found by pointer doubling: round ``r`` extends the sent set
    by ``2^r`` hops and squares the pointer table, so
    ``ceil(log2(max buckets per key))`` rounds suffice.  Every round is
    checkpointed (reliable checkpoint in the shared folder) to cut lineage.
@@ -36,39 +39,50 @@ def _node(t, seq_cols: Sequence[str]):
     return F.struct(t.alias("t"), F.struct(*[F.col(c) for c in seq_cols]).alias("s"))
 
 
-def cooldown_next(alerts: DataFrame, key_cols: Sequence[str], cooldown: int) -> DataFrame:
-    """``(keys, node, nxt)``: the first alert of the key at or after ``node.t + cooldown``.
+def _bucket_width(cooldown: int) -> int:
+    """Bucket width that divides the cooldown: one minute when possible."""
+    return 60 if cooldown >= 60 and cooldown % 60 == 0 else cooldown
 
-    ``alerts`` has columns ``keys``, ``node`` (struct t, s).
-    """
+
+def cooldown_next(nodes: DataFrame, key_cols: Sequence[str], cooldown: int) -> DataFrame:
+    """``(keys, node, nxt)``: the first node of the key at or after ``node.t + cooldown``.
+
+    ``nodes`` holds one row per (keys, second): ``node`` = struct(t, s) with
+    the smallest sequence of that second.  Time is cut into buckets of width
+    ``w`` (a divisor of the cooldown), so ``t + cooldown`` lies exactly
+    ``cooldown / w`` buckets later; the as-of runs inside that bucket (at
+    most ``w`` distinct seconds plus as many probe times), and a miss falls
+    back to the first node of the next non-empty bucket, found on the
+    per-key bucket sequence (bounded by time span / w)."""
     c = int(cooldown)
-    a = alerts.withColumn("_b", F.floor(F.col("node.t") / c))
-    firsts = a.groupBy(*key_cols, "_b").agg(F.min("node").alias("_first"))
-    wk = Window.partitionBy(*key_cols).orderBy("_b")  # rows = non-empty buckets of a key
-    buckets = (firsts.withColumn("_b1", F.lead("_b", 1).over(wk))
-               .withColumn("_f1", F.lead("_first", 1).over(wk))
-               .withColumn("_f2", F.lead("_first", 2).over(wk)))
-    # as-of inside bucket b+1: probes (t + c) and the alerts of that bucket
-    probes = a.select(*key_cols, (F.col("_b") + 1).alias("_b"), (F.col("node.t") + c).alias("_time"),
-                      F.lit(0).alias("_kind"), F.lit(None).cast(a.schema["node"].dataType).alias("_item"),
-                      F.col("node").alias("_src"))
-    items = a.select(*key_cols, "_b", F.col("node.t").alias("_time"), F.lit(1).alias("_kind"),
-                     F.col("node").alias("_item"), F.lit(None).cast(a.schema["node"].dataType).alias("_src"))
+    w = _bucket_width(c)
+    node_t = nodes.schema["node"].dataType
+    a = nodes.withColumn("_b", F.floor(F.col("node.t") / w))
+    probes = a.select(*key_cols, F.col("node").alias("_src"), (F.col("node.t") + c).alias("_pt"),
+                      (F.col("_b") + c // w).alias("_pb"))
+    # 1) as-of inside the target bucket, over distinct probe times
+    ptimes = probes.select(*key_cols, F.col("_pb").alias("_b"), F.col("_pt").alias("_time")).distinct()
+    rows = (ptimes.select(*key_cols, "_b", "_time", F.lit(0).alias("_kind"), F.lit(None).cast(node_t).alias("_item"))
+            .unionByName(a.select(*key_cols, "_b", F.col("node.t").alias("_time"), F.lit(1).alias("_kind"),
+                                  F.col("node").alias("_item"))))
     wb = (Window.partitionBy(*key_cols, "_b")
-          .orderBy(F.col("_time").desc(), F.col("_kind").desc(), F.col("_item").desc_nulls_last())
+          .orderBy(F.col("_time").desc(), F.col("_kind").desc())
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asof = (probes.unionByName(items)
-            .withColumn("_hit", F.last("_item", ignorenulls=True).over(wb))
-            .where(F.col("_kind") == 0)
-            .select(*key_cols, F.col("_src").alias("node"), "_hit"))
-    fallback = a.join(buckets.select(*key_cols, "_b", "_b1", "_f1", "_f2"), [*key_cols, "_b"]).select(
-        *key_cols, "node",
-        F.when(F.col("_b1") == F.col("_b") + 1, F.col("_f2")).otherwise(F.col("_f1")).alias("_fb"),
-        (F.col("_b1") == F.col("_b") + 1).alias("_next_full"))
-    nxt = fallback.join(asof, [*key_cols, "node"], "left").select(
-        *key_cols, "node",
-        F.when(F.col("_next_full"), F.coalesce("_hit", "_fb")).otherwise(F.col("_fb")).alias("nxt"))
-    return nxt
+    inside = (rows.withColumn("_hit", F.last("_item", ignorenulls=True).over(wb))
+              .where(F.col("_kind") == 0)
+              .select(*key_cols, F.col("_time").alias("_pt"), "_hit"))
+    # 2) first node of the first non-empty bucket after the target bucket
+    firsts = a.groupBy(*key_cols, "_b").agg(F.min("node").alias("_first"))
+    pbs = probes.select(*key_cols, F.col("_pb").alias("_b")).distinct()
+    seq = (pbs.select(*key_cols, "_b", F.lit(0).alias("_kind"), F.lit(None).cast(node_t).alias("_first"))
+           .unionByName(firsts.select(*key_cols, "_b", F.lit(1).alias("_kind"), "_first")))
+    wk = (Window.partitionBy(*key_cols).orderBy(F.col("_b").desc(), F.col("_kind").asc())
+          .rowsBetween(Window.unboundedPreceding, -1))
+    after = (seq.withColumn("_fb", F.last("_first", ignorenulls=True).over(wk))
+             .where(F.col("_kind") == 0).select(*key_cols, F.col("_b").alias("_pb"), "_fb"))
+    return (probes.join(inside, [*key_cols, "_pt"], "left")
+            .join(after, [*key_cols, "_pb"], "left")
+            .select(*key_cols, F.col("_src").alias("node"), F.coalesce("_hit", "_fb").alias("nxt")))
 
 
 def cooldown_sent(alerts: DataFrame, key_cols: Sequence[str] = ("alert_key",), time_col: str = "timestamp",
@@ -80,9 +94,14 @@ def cooldown_sent(alerts: DataFrame, key_cols: Sequence[str] = ("alert_key",), t
     """
     spark = alerts.sparkSession
     shared_dir(spark)  # ensure a reliable checkpoint folder is registered
-    nodes = alerts.select(*key_cols, _node(F.col(time_col).cast("long"), seq_cols).alias("node")).distinct()
+    # only the earliest alert of a (key, second) can be sent: one node per second
+    t = F.col(time_col).cast("long")
+    nodes = (alerts.select(*key_cols, t.alias("_t"), F.struct(*[F.col(c) for c in seq_cols]).alias("_s"))
+             .groupBy(*key_cols, "_t").agg(F.min("_s").alias("_s"))
+             .select(*key_cols, F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")).alias("node")))
     jump = cooldown_next(nodes, key_cols, cooldown).checkpoint()
     heads = nodes.groupBy(*key_cols).agg(F.min("node").alias("node"))
+    # sent nodes are >= cooldown apart: at most one per cooldown-wide bucket
     max_buckets = (nodes.select(*key_cols, F.floor(F.col("node.t") / int(cooldown)).alias("_b")).distinct()
                    .groupBy(*key_cols).count().agg(F.max("count")).first()[0]) or 0
     rounds = max(0, math.ceil(math.log2(max_buckets))) if max_buckets > 1 else 0

@@ -8,8 +8,8 @@ Scale notes
 * The regular series first aggregates to (key, bin) — from then on the data
   per key is bounded by ``time span / step`` whatever the raw row count —
   and only then runs the interpolation windows per key.
-* Frequency inference computes inter-arrival gaps inside (key, day) slices
-  and stitches day boundaries with a per-(key, day) table, then finds the
+* Frequency inference computes inter-arrival gaps inside (key, hour) slices
+  and stitches slice boundaries with a per-(key, slice) table, then finds the
   exact median from a (key, gap) histogram; no window ever spans a whole key.
 """
 
@@ -87,12 +87,14 @@ def resample(df: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequen
     return out.where(F.col("y").isNotNull()).select(*key_cols, "metric", "ds", "y")
 
 
-def inter_arrival(df: DataFrame, key_cols: Sequence[str] = ("city",), time_col: str = "event_time") -> DataFrame:
+def inter_arrival(df: DataFrame, key_cols: Sequence[str] = ("city",), time_col: str = "event_time",
+                  slice_seconds: int = 3600) -> DataFrame:
     """Gaps in seconds between consecutive readings of each key, computed in
-    (key, day) slices; the first gap of a day is stitched to the previous
-    non-empty day through a (key, day) table bounded by the calendar."""
+    (key, slice) groups of ``slice_seconds``; the first gap of a slice is
+    stitched to the previous non-empty slice through a (key, slice) table
+    bounded by the calendar, so no window spans a whole key."""
     t = df.select(*key_cols, F.unix_seconds(F.col(time_col)).alias("_t")).where(F.col("_t").isNotNull())
-    t = t.withColumn("_day", F.floor(F.col("_t") / 86400))
+    t = t.withColumn("_day", F.floor(F.col("_t") / int(slice_seconds)))
     w = Window.partitionBy(*key_cols, "_day").orderBy("_t")
     inner = t.select(*key_cols, (F.col("_t") - F.lag("_t").over(w)).alias("gap")).where(F.col("gap").isNotNull())
     days = t.groupBy(*key_cols, "_day").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
