@@ -261,13 +261,40 @@ def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str],
     edge_rows = p.join(targets.withColumnRenamed("_b0", "batch_id"), "batch_id").where(ts >= F.col("_cut"))
     edge = _moments(edge_rows, ["_target", *key_cols], metrics)
     merged = _combine_moments(whole.unionByName(edge), ["_target", *key_cols], metrics)
+    base = moments_baseline(merged.withColumnRenamed("_target", "batch_id"), ["batch_id", *key_cols], metrics, params)
+    return base, batches
+
+
+def moments_baseline(merged: DataFrame, group: Sequence[str], metrics: Sequence[str], params: Params) -> DataFrame:
+    """Wide baseline (``<m>_mean``, population ``<m>_std``) from merged moments,
+    null below ``min_baseline_samples``."""
     out = []
     for m in metrics:
         ok = F.col(f"_{m}_n") >= params.min_baseline_samples
         std = F.sqrt(F.greatest(F.col(f"_{m}_M2") / F.col(f"_{m}_n"), F.lit(0.0)))
         out += [F.when(ok, F.col(f"_{m}_mean")).alias(f"{m}_mean"), F.when(ok, std).alias(f"{m}_std")]
-    base = merged.select(F.col("_target").alias("batch_id"), *key_cols, *out)
-    return base, batches
+    return merged.select(*group, *out)
+
+
+def hourly_moments(prepared: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequence[str] = METRICS,
+                   epoch_col: str = "timestamp", grain: int = 3600) -> DataFrame:
+    """Per (hour, keys): (n, mean, M2) of every metric and the newest time of
+    the prepared rows — the summary a baseline needs from a stored hour."""
+    ts = F.col(epoch_col).cast("long")
+    aggs = [F.max(ts).alias("max_t")]
+    for m in metrics:
+        aggs += [F.count(m).alias(f"{m}__n"), F.avg(m).alias(f"{m}__mean"),
+                 (F.var_pop(m) * F.count(m)).alias(f"{m}__m2")]
+    return prepared.groupBy(F.floor(ts / int(grain)).cast("long").alias("hour"), *key_cols).agg(*aggs)
+
+
+def detect_against(new: DataFrame, baseline: DataFrame | None, key_cols: Sequence[str] = ("city",),
+                   metrics: Sequence[str] = METRICS, params: Params = DEFAULT, rules=ABSOLUTE_RULES,
+                   order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame:
+    """``detect_anomalies`` with a ready wide baseline (or None)."""
+    new_p = prepare_events(new, key_cols, metrics)
+    cands = candidate_alerts(new_p, baseline, key_cols, metrics, params, rules, order=order)
+    return first_alert_per_key(cands, key_cols, order)
 
 
 def rolling_detect(obs: DataFrame, batch_seconds: int = 86400, key_cols: Sequence[str] = ("city",),

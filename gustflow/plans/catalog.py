@@ -612,7 +612,7 @@ def _serve_run(spark, sf_dir, history: DataFrame | None, stream_rows: DataFrame,
     root = work_path(spark, "serve")
     body = EventsBatch(root)
     if history is not None:
-        lake.write_events(history, body.events, batch="history")
+        body.ingest(history, batch="history")
     stage = _staged(spark, stream_rows, files=files)
     _finish(start_events_stream(parse_stream(source(spark, "files", stage, max_files=1)), body, root + "-ckpt"))
     return body

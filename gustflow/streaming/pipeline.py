@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, Params
 from ..functions.scalars import alert_key, notification_text
+from ..operators import anomaly
 from ..operators.anomaly import detect_anomalies
+from ..operators.clean import prepare_events
 from ..sources import lake
 from ..sources.records import OBSERVATION_SCHEMA
 
@@ -43,6 +45,13 @@ OUTBOX_SCHEMA = T.StructType([
 ])
 SERVED_ALERT_SCHEMA = T.StructType(list(lake.ALERT_SCHEMA.fields) + [
     T.StructField("detected_at", T.TimestampType()), T.StructField("batch", T.StringType())])
+MOMENT_GRAIN = 3600
+MOMENTS_SCHEMA = T.StructType(
+    [T.StructField("hour", T.LongType()), T.StructField("city", T.StringType()), T.StructField("max_t", T.LongType())]
+    + [f for m in ("temperature", "humidity", "wind_speed")
+       for f in (T.StructField(f"{m}__n", T.LongType()), T.StructField(f"{m}__mean", T.DoubleType()),
+                 T.StructField(f"{m}__m2", T.DoubleType()))]
+    + [T.StructField("event_date", T.DateType()), T.StructField("batch", T.StringType())])
 METRICS_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()), T.StructField("stored", T.LongType()),
     T.StructField("alerts", T.LongType()), T.StructField("sent", T.LongType()),
@@ -152,16 +161,67 @@ def start_sink_stream(df: DataFrame, sink: str, checkpoint: str, trigger: str |
 # --------------------------------------------------------------------------
 
 class EventsBatch:
-    """``foreachBatch`` body.  Folders: ``<root>/events``, ``<root>/alerts``,
-    ``<root>/outbox``, ``<root>/metrics``.  ``clock='event'`` stamps alerts
-    and notifications with the newest reading time of the batch (reproducible);
-    ``clock='wall'`` with the current time."""
-
-    def __init__(self, root: str, params: Params = DEFAULT, clock: str = "event", query_tag: str | None = None):
+    """``foreachBatch`` body.  Folders: ``<root>/events``, ``<root>/moments``,
+    ``<root>/alerts``, ``<root>/outbox``, ``<root>/metrics``.  ``clock='event'``
+    stamps alerts and notifications with the newest reading time of the batch
+    (reproducible); ``clock='wall'`` with the current time.
+
+    The baseline of a micro-batch never rescans the raw lake window: every
+    batch also stores per-(hour, city) moments (n, mean, M2, newest time) of
+    its prepared rows.  A baseline merges the moments of the whole hours
+    inside ``[newest - baseline_days, ...)`` and reads raw rows only for the
+    single boundary hour the window starts in.  ``baseline_source='scan'``
+    uses the plain pruned scan of the events lake instead."""
+
+    def __init__(self, root: str, params: Params = DEFAULT, clock: str = "event", query_tag: str | None = None,
+                 baseline_source: str = "moments"):
         self.root = root.rstrip("/")
         self.params = params
         self.clock = clock
         self.tag = query_tag or uuid.uuid4().hex[:8]
+        self.baseline_source = baseline_source
+
+    @property
+    def moments(self) -> str:
+        return f"{self.root}/moments"
+
+    def ingest(self, df: DataFrame, batch: str) -> None:
+        """Store observations (events + moments) outside the stream, e.g. a backfill."""
+        lake.write_events(df, self.events, batch=batch)
+        self.write_moments(df, batch)
+
+    def write_moments(self, df: DataFrame, batch: str) -> None:
+        prepared = prepare_events(df.drop("event_time", "event_date"))
+        mom = anomaly.hourly_moments(prepared, grain=MOMENT_GRAIN)
+        mom = (mom.withColumn("event_date", F.to_date(F.timestamp_seconds(F.col("hour") * MOMENT_GRAIN)))
+               .withColumn("batch", F.lit(batch)))
+        (mom.select(*[f.name for f in MOMENTS_SCHEMA.fields])
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("event_date", "batch").parquet(self.moments))
+
+    def baseline(self, spark: SparkSession, batch: str) -> DataFrame | None:
+        """Wide baseline for ``batch`` from stored moments (see class doc)."""
+        latest = lake.latest_partition(spark, self.moments)
+        if latest is None:
+            return None
+        mom = lake.read_table(spark, self.moments, MOMENTS_SCHEMA).where(~self.same_or_later(batch))
+        newest = mom.where(F.col("event_date") >= F.lit(latest - dt.timedelta(days=1))) \
+            .agg(F.max("max_t")).first()[0]
+        if newest is None:
+            return None
+        cut = int(newest) - int(self.params.baseline_days) * 86400
+        h0 = cut // MOMENT_GRAIN
+        since = dt.datetime.fromtimestamp(cut, dt.timezone.utc).date()
+        metrics = ("temperature", "humidity", "wind_speed")
+        whole = (mom.where((F.col("event_date") >= F.lit(since)) & (F.col("hour") > h0))
+                 .select("city", *[f"{m}__{x}" for m in metrics for x in ("n", "mean", "m2")]))
+        edge_rows = (lake.scan_events(spark, self.events, since)
+                     .where((F.col("event_date") <= F.lit(since + dt.timedelta(days=1)))
+                            & (F.col("timestamp") >= cut) & (F.col("timestamp") < (h0 + 1) * MOMENT_GRAIN))
+                     .where(~self.same_or_later(batch)))
+        edge = anomaly._moments(prepare_events(edge_rows.drop("event_time", "event_date", "batch")), ["city"], metrics)
+        merged = anomaly._combine_moments(whole.unionByName(edge), ["city"], metrics)
+        return anomaly.moments_baseline(merged, ["city"], metrics, self.params)
 
     @property
     def events(self) -> str:
@@ -201,15 +261,19 @@ class EventsBatch:
         name = self.batch_name(batch_id)
         batch = batch_df.persist()
         try:
-            history = self.history(spark, name)
             if "event_id" not in batch.columns:
                 batch = batch.withColumn("event_id", F.lit(None).cast("long"))
-            alerts = detect_anomalies(batch.drop("event_time", "event_date"),
-                                      history.drop("event_time", "event_date", "batch"),
-                                      params=self.params).persist()
+            new = batch.drop("event_time", "event_date")
+            if self.baseline_source == "scan":
+                history = self.history(spark, name)
+                alerts = detect_anomalies(new, history.drop("event_time", "event_date", "batch"), params=self.params)
+            else:
+                alerts = anomaly.detect_against(new, self.baseline(spark, name), params=self.params)
+            alerts = alerts.persist()
             stamp = (batch.agg(F.max("event_time")).first()[0] if self.clock == "event"
                      else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-            lake.write_events(batch.drop("event_time", "event_date"), self.events, batch=name)
+            lake.write_events(new, self.events, batch=name)
+            self.write_moments(new, name)
             stored = alerts.withColumn("detected_at", F.lit(stamp).cast("timestamp")) \
                 .withColumn("batch", F.lit(name))
             (stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -152,3 +152,20 @@ def test_kafka_source_is_configured_lazily(spark):
     except Exception as exc:  # the connector jar is not on this classpath
         pytest.skip(f"kafka connector unavailable: {type(exc).__name__}")
     assert raw.isStreaming and raw.columns == ["value", "seq"]
+
+
+def test_moments_baseline_equals_scan_baseline(spark, sf_dir):
+    from gustflow.operators.anomaly import ALERT_COLUMNS
+    from gustflow.sources.fixtures import readings, split_history_batch
+    history, batch = split_history_batch(readings(spark, "/root/testdata/sf0.01"))
+    stage = work_path(spark, "t-stage")
+    stage_records(batch, stage, files=3)
+    out = {}
+    for mode in ("moments", "scan"):
+        root = work_path(spark, f"t-{mode}")
+        body = EventsBatch(root, baseline_source=mode)
+        body.ingest(history, batch="history")
+        _run(start_events_stream(parse_stream(source(spark, "files", stage, max_files=1)), body, root + "-ck"))
+        rows = body.read_alerts(spark).select(*ALERT_COLUMNS).collect()
+        out[mode] = sorted((r.timestamp, r.city, r.alert_type, r.severity, r.message) for r in rows)
+    assert out["moments"] == out["scan"] and len(out["scan"]) > 0
