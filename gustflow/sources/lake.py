@@ -12,6 +12,9 @@ Layout
 * aggregates: ``<root>/window_date=YYYY-MM-DD/``.
 * alerts: ``<root>/detected_date=YYYY-MM-DD/``.
 
+``compact_events`` folds the many small batch folders of a closed date into
+one de-duplicated batch.
+
 Readers use explicit schemas; a missing root gives a typed empty frame and
 real I/O errors surface.
 """
@@ -127,6 +130,36 @@ def load_events(spark: SparkSession, root: str, since=None, limit: int | None =
     return df
 
 
+def compact_events(spark: SparkSession, root: str, event_date, order=("batch", "event_id")) -> int:
+    """Fold all writer batches of one closed ``event_date`` into a single
+    de-duplicated batch (keep-last, as the loader reads it) and remove the
+    folded batch folders.  Returns the number of folders removed.
+
+    The compacted batch is named so that it sorts after every writer batch,
+    which keeps ``load_events`` results unchanged; re-running is harmless."""
+    import datetime as dt
+    day = event_date if isinstance(event_date, dt.date) else dt.date.fromisoformat(str(event_date))
+    target = f"~compacted-{day.isoformat()}"
+    rows = scan_events(spark, root).where(F.col("event_date") == F.lit(day))
+    folded = dedupe_last(rows, ("city", "timestamp"), order).drop("event_time", "event_date", "batch")
+    # materialise before touching the folders that were read
+    tmp = f"{root.rstrip('/')}/_compacting/{day.isoformat()}"
+    folded.write.mode("overwrite").parquet(tmp)
+    write_events(spark.read.parquet(tmp), root, batch=target)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    date_dir = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/event_date={day.isoformat()}")
+    fs = date_dir.getFileSystem(conf)
+    removed = 0
+    for st in fs.listStatus(date_dir):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch=") and name != f"batch={target}":
+            fs.delete(st.getPath(), True)
+            removed += 1
+    fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
+    return removed
+
+
 def write_aggregates(df: DataFrame, root: str) -> None:
     rows = df.withColumn("window_date", F.to_date("window_start"))
     (rows.repartitionByRange("window_date", "city").write.mode("append")

@@ -41,3 +41,22 @@ def parse_records(df: DataFrame, schema: T.StructType = OBSERVATION_SCHEMA, valu
     """Parse the JSON value with a fixed schema and flatten it."""
     parsed = df.select(*keep, F.from_json(F.col(value_col).cast("string"), schema).alias("data"))
     return parsed.select(*keep, "data.*")
+
+
+def write_records(df: DataFrame, kind: str = "files", path: str | None = None,
+                  bootstrap: str = "localhost:9092", topic: str = "weather_data",
+                  fields: Sequence[str] = OBSERVATION_FIELDS) -> None:
+    """Keyed JSON record sink: Kafka (acks=all, 10 retries) or JSON-lines files."""
+    recs = to_records(df, fields, binary=(kind == "kafka"))
+    if kind == "kafka":
+        (recs.write.format("kafka")
+         .option("kafka.bootstrap.servers", bootstrap)
+         .option("kafka.acks", "all")
+         .option("kafka.retries", "10")
+         .option("topic", topic)
+         .save())
+        return
+    if kind == "files":
+        recs.select("value").write.mode("append").text(path)
+        return
+    raise ValueError(f"unknown sink kind: {kind}")
