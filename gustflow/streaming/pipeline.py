@@ -41,10 +41,11 @@ STREAM_SCHEMA = T.StructType(list(OBSERVATION_SCHEMA.fields) + [T.StructField("e
 OUTBOX_SCHEMA = T.StructType([
     T.StructField("alert_key", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("sent_at", T.TimestampType()), T.StructField("_t", T.LongType()),
-    T.StructField("batch", T.StringType()),
+    T.StructField("sent_date", T.DateType()), T.StructField("batch", T.StringType()),
 ])
 SERVED_ALERT_SCHEMA = T.StructType(list(lake.ALERT_SCHEMA.fields) + [
-    T.StructField("detected_at", T.TimestampType()), T.StructField("batch", T.StringType())])
+    T.StructField("detected_at", T.TimestampType()), T.StructField("detected_date", T.DateType()),
+    T.StructField("batch", T.StringType())])
 MOMENT_GRAIN = 3600
 MOMENTS_SCHEMA = T.StructType(
     [T.StructField("hour", T.LongType()), T.StructField("city", T.StringType()), T.StructField("max_t", T.LongType())]
@@ -274,10 +275,11 @@ class EventsBatch:
                      else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
             lake.write_events(new, self.events, batch=name)
             self.write_moments(new, name)
-            stored = alerts.withColumn("detected_at", F.lit(stamp).cast("timestamp")) \
-                .withColumn("batch", F.lit(name))
+            stored = (alerts.withColumn("detected_at", F.lit(stamp).cast("timestamp"))
+                      .withColumn("detected_date", F.to_date("detected_at"))
+                      .withColumn("batch", F.lit(name)))
             (stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch").parquet(self.alerts))
+             .partitionBy("detected_date", "batch").parquet(self.alerts))
             sent = self.notify(spark, alerts, name, stamp)
             counts = (batch.agg(F.count(F.lit(1)).alias("stored"))
                       .crossJoin(alerts.agg(F.count(F.lit(1)).alias("alerts")))
@@ -297,8 +299,14 @@ class EventsBatch:
         keyed = alerts.withColumn("alert_key", alert_key())
         when = F.col("timestamp") if self.clock == "event" else F.unix_seconds(F.lit(stamp).cast("timestamp"))
         keyed = keyed.withColumn("_t", when.cast("long"))
+        first_t = keyed.agg(F.min("_t")).first()[0]  # alerts of one batch: a small persisted frame
+        if first_t is None:
+            return self.read_outbox(spark).where(F.lit(False))
         if lake.exists(spark, self.outbox):
-            box = self.read_outbox(spark).where(~self.same_or_later(name))
+            # only notifications newer than (earliest alert - cooldown) can suppress anything
+            horizon = dt.datetime.fromtimestamp(int(first_t) - c, dt.timezone.utc).date()
+            box = (self.read_outbox(spark).where(F.col("sent_date") >= F.lit(horizon))
+                   .where(~self.same_or_later(name)))
             last = box.groupBy("alert_key").agg(F.max("_t").alias("_last"))
             keyed = keyed.join(last, "alert_key", "left")
         else:
@@ -306,8 +314,9 @@ class EventsBatch:
         # at most one alert per key per batch (first-wins), so one comparison per key
         sent = keyed.where(F.col("_last").isNull() | (F.col("_t") - F.col("_last") >= c))
         out = sent.select("alert_key", notification_text().alias("text"),
-                          F.timestamp_seconds("_t").alias("sent_at"), "_t", F.lit(name).alias("batch"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch") \
+                          F.timestamp_seconds("_t").alias("sent_at"), "_t",
+                          F.to_date(F.timestamp_seconds("_t")).alias("sent_date"), F.lit(name).alias("batch"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sent_date", "batch") \
             .parquet(self.outbox)
         return self.read_outbox(spark).where(F.col("batch") == F.lit(name))
 
