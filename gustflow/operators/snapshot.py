@@ -88,17 +88,17 @@ def snapshot_kpis(snapshot: DataFrame, key: str = "city", value: str = "temperat
 
 
 def temperature_ranking(snapshot: DataFrame, key: str = "city", value: str = "temperature") -> DataFrame:
-    """Rank of each key by value ascending (the snapshot has one row per key)."""
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col(value).asc(), F.col(key).asc())
-    return snapshot.select(key, value, F.rank().over(w).alias("rank"))
+    """Rank of each key by value ascending (ties share a rank), computed with
+    :func:`global_rank` — no single-partition window."""
+    from .clean import global_rank
+    return global_rank(snapshot.select(key, value), [value, key], tie=[value])
 
 
 def latest_event_time(df: DataFrame, time_col: str = "event_time") -> DataFrame:
     return df.agg(F.max(time_col).alias("latest"))
 
 
-def pipeline_status(df: DataFrame, now, stale_after_seconds: int = 120, time_col: str = "event_time") -> DataFrame:
+def freshness_status(df: DataFrame, now, stale_after_seconds: int = 120, time_col: str = "event_time") -> DataFrame:
     """One row: count, latest event time, age in seconds and the status text."""
     now_ts = F.lit(now).cast("timestamp")
     agg = df.agg(F.count(F.lit(1)).alias("readings"), F.max(time_col).alias("latest"))

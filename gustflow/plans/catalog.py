@@ -242,12 +242,12 @@ def q_snapshot_kpis(spark, sf_dir):
 
 @register("temperature_ranking")
 def q_temperature_ranking(spark, sf_dir):
-    snap = _snapshot(spark, sf_dir).select("city", "temperature")
-    return clean.global_rank(snap, ["temperature", "city"], tie=["temperature"])
+    from ..operators.snapshot import temperature_ranking
+    return temperature_ranking(_snapshot(spark, sf_dir))
 
 
-@register("pipeline_status")
-def q_pipeline_status(spark, sf_dir):
+@register("freshness_status")
+def q_freshness_status(spark, sf_dir):
     """Per-city freshness against the newest reading of the whole table."""
     obs = clean.with_event_time(_obs(spark, sf_dir))
     now = obs.agg(F.max("event_time").alias("_now"))
@@ -572,7 +572,7 @@ def _finish(query) -> None:
 
 def _staged(spark, df: DataFrame, files: int = 4, **kw) -> str:
     from ..session import work_path
-    from ..streaming.pipeline import stage_records
+    from ..streaming.jobs import stage_records
     path = work_path(spark, "stage")
     stage_records(df, path, files=files, **kw)
     return path
@@ -583,7 +583,7 @@ def q_stream_window_agg(spark, sf_dir):
     """Readings replayed as 4 JSON files (one per micro-batch) through watermark,
     dedupe and the 5-minute window aggregate (append mode, parquet sink)."""
     from ..session import work_path
-    from ..streaming.pipeline import parse_stream, source, start_aggregate_stream
+    from ..streaming.jobs import parse_stream, source, start_aggregate_stream
     stage = _staged(spark, _obs(spark, sf_dir))
     out = work_path(spark, "sink")
     q = start_aggregate_stream(parse_stream(source(spark, "files", stage, max_files=1)), out, out + "-ckpt")
@@ -596,7 +596,7 @@ def q_stream_window_agg(spark, sf_dir):
 def q_stream_dedupe(spark, sf_dir):
     """The parsed, watermarked, de-duplicated stream written to a parquet sink."""
     from ..session import work_path
-    from ..streaming.pipeline import parse_stream, source, start_sink_stream
+    from ..streaming.jobs import parse_stream, source, start_sink_stream
     stage = _staged(spark, _obs(spark, sf_dir))
     out = work_path(spark, "sink")
     _finish(start_sink_stream(parse_stream(source(spark, "files", stage, max_files=1)), out, out + "-ckpt"))
@@ -608,7 +608,7 @@ def q_stream_dedupe(spark, sf_dir):
 def _serve_run(spark, sf_dir, history: DataFrame | None, stream_rows: DataFrame, files: int = 4):
     from ..session import work_path
     from ..sources import lake
-    from ..streaming.pipeline import EventsBatch, parse_stream, source, start_events_stream
+    from ..streaming.jobs import EventsBatch, parse_stream, source, start_events_stream
     root = work_path(spark, "serve")
     body = EventsBatch(root)
     if history is not None:
@@ -657,7 +657,7 @@ def q_stream_cooldown(spark, sf_dir):
 
     from ..session import work_path
     from ..streaming.cooldown import cooldown_stream
-    from ..streaming.pipeline import source, start_sink_stream
+    from ..streaming.jobs import source, start_sink_stream
     hits = anomaly.alerts_absolute(_obs(spark, sf_dir)).withColumnRenamed("event_id", "seq")
     fields = ("timestamp", "seq", "city", "metric", "alert_type", "severity", "message")
     stage = _staged(spark, hits, order=("timestamp", "seq"), fields=fields)

@@ -202,7 +202,7 @@ FROM latest""")
 sql("temperature_ranking", f"""WITH {READINGS}, {LATEST}
 SELECT city, temperature, rank() OVER (ORDER BY temperature) AS rank FROM latest""")
 
-sql("pipeline_status", f"""WITH {READINGS},
+sql("freshness_status", f"""WITH {READINGS},
 now AS (SELECT max("timestamp") AS now_s FROM readings),
 pc AS (SELECT city, count(*) AS readings, max("timestamp") AS latest_s FROM readings GROUP BY city)
 SELECT city, readings, make_timestamp(latest_s * 1000000) AS latest, now_s - latest_s AS age_seconds,

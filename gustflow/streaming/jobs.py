@@ -1,4 +1,4 @@
-"""Structured Streaming pipeline: observation records -> lake + window
+"""Structured Streaming jobs: observation records -> lake + window
 aggregates + scored alerts + notification outbox.
 
 * ``source``: Kafka (``kind='kafka'``) or a folder of JSON-lines files
@@ -335,7 +335,7 @@ def start_events_stream(parsed: DataFrame, body: EventsBatch, checkpoint: str, t
     return _trigger(w, trigger).start()
 
 
-def start_pipeline(spark: SparkSession, raw: DataFrame, root: str, params: Params = DEFAULT,
+def start_queries(spark: SparkSession, raw: DataFrame, root: str, params: Params = DEFAULT,
                    trigger: str | None = None, dedupe: str = "bounded"):
     """Both queries off the same source: lake/alerts and window aggregates.
     Each query keeps its own offsets and dedupe state.  Returns both handles."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gustflow.session import work_path
 from gustflow.sources import lake
 from gustflow.streaming.cooldown import cooldown_stream
-from gustflow.streaming.pipeline import (EventsBatch, parse_stream, source, start_aggregate_stream,
+from gustflow.streaming.jobs import (EventsBatch, parse_stream, source, start_aggregate_stream,
                                          start_events_stream, start_sink_stream, stage_records)
 
 
@@ -129,8 +129,8 @@ def test_two_queries_off_one_source(spark):
     base = 1_700_000_000 - 1_700_000_000 % 300
     _write_file(spark, stage, "f1.json", [rec(base + i * 60, eid=i) for i in range(10)], 1_000_000)
     _write_file(spark, stage, "f2.json", [rec(base + 7200, eid=99)], 2_000_000)
-    from gustflow.streaming.pipeline import await_all, start_pipeline
-    qs = start_pipeline(spark, source(spark, "files", stage, max_files=1), root)
+    from gustflow.streaming.jobs import await_all, start_queries
+    qs = start_queries(spark, source(spark, "files", stage, max_files=1), root)
     await_all(spark, qs)
     assert all(q.exception() is None for q in qs)
     assert lake.scan_events(spark, f"{root}/serve/events").count() == 11
