@@ -40,9 +40,38 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session settings every operator relies on (idempotent)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gustflow`` importable in Python workers (grouped pandas and
+    stateful pandas operators pickle their functions by module reference).
+    The package is zipped once per SparkContext into the shared folder and
+    added with ``addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(shared_dir(spark), f"gustflow-{uuid.uuid4().hex[:8]}.zip")
+    if "://" in target and not target.startswith("file:"):
+        # remote shared folder: build locally, Spark copies it to executors
+        target = os.path.join(tempfile.mkdtemp(prefix="gustflow-py-"), "gustflow.zip")
+    target = target.replace("file:", "")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
