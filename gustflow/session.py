@@ -36,6 +36,35 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 192 << 20,
+               state_store: str = "rocksdb") -> dict[str, str]:
+    """Settings for a run over ``input_bytes`` on ``cores`` executor cores.
+
+    * shuffle partitions: enough that a partition is about
+      ``target_partition_bytes`` (at least 3 waves of tasks); AQE then
+      coalesces small ones and splits skewed ones at run time;
+    * scan splits of 256 MB (fewer, larger tasks over Parquet);
+    * streaming state in RocksDB (off-heap, spills, changelog checkpoints)
+      so dedupe / window / cooldown state is not bounded by the JVM heap.
+    Streaming queries freeze their shuffle partition count in the
+    checkpoint, so size it for the expected peak before the first start."""
+    parts = max(3 * int(cores), -(-int(input_bytes) // int(target_partition_bytes)))
+    conf = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.session.timeZone": "UTC",
+    }
+    if state_store == "rocksdb":
+        conf["spark.sql.streaming.stateStore.providerClass"] = (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        conf["spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"] = "true"
+    return conf
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session settings every operator relies on (idempotent)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -199,3 +199,21 @@ def test_records_file_sink_round_trip(spark, sf_dir):
     got = spark.read.parquet(sink).select(*OBSERVATION_FIELDS)
     assert got.exceptAll(obs.select(*OBSERVATION_FIELDS)).count() == 0
     assert got.count() == obs.count()
+
+
+def test_dedupe_modes_on_late_rows(spark):
+    """bounded: a row behind the (previous batch's) watermark is dropped;
+    exact: it passes (state keyed without event time is never evicted)."""
+    base = 1_700_000_000
+    counts = {}
+    for mode in ("bounded", "exact"):
+        stage = work_path(spark, "t-stage")
+        sink, ck = work_path(spark, "t-sink"), work_path(spark, "t-ck")
+        _write_file(spark, stage, "f1.json", [rec(base)], 1_000_000)
+        _write_file(spark, stage, "f2.json", [rec(base + 7200)], 2_000_000)
+        _write_file(spark, stage, "f3.json", [rec(base + 7300)], 3_000_000)
+        _write_file(spark, stage, "f4.json", [rec(base + 60), rec(base)], 4_000_000)  # late new + late duplicate
+        _run(start_sink_stream(parse_stream(source(spark, "files", stage, max_files=1), dedupe=mode), sink, ck))
+        counts[mode] = sorted(r.timestamp - base for r in spark.read.parquet(sink).collect())
+    assert counts["bounded"] == [0, 7200, 7300]
+    assert counts["exact"] == [0, 60, 7200, 7300]
