@@ -225,12 +225,16 @@ def _combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[s
     return joined.groupBy(*group).agg(*second)
 
 
-def _moments(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def _moment_aggs(metrics: Sequence[str]) -> list:
     aggs = []
     for m in metrics:
         aggs += [F.count(m).alias(f"{m}__n"), F.avg(m).alias(f"{m}__mean"),
                  (F.var_pop(m) * F.count(m)).alias(f"{m}__m2")]
-    return df.groupBy(*group).agg(*aggs)
+    return aggs
+
+
+def _moments(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    return df.groupBy(*group).agg(*_moment_aggs(metrics))
 
 
 def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str], metrics: Sequence[str],
@@ -238,15 +242,19 @@ def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str],
     """Per (target batch, key) baseline over all earlier prepared rows in
     ``[max(earlier) - baseline_days, start of batch)``, plus the batch table.
 
-    Whole batches inside the window contribute pre-aggregated moments
-    (one row per batch and key); only the single boundary batch whose
-    window starts mid-batch is read row by row.  The shuffle is therefore
-    about the size of the input, not a multiple of it."""
+    One pass summarises every (batch, key) as (n, mean, M2, newest time);
+    the batch table (one row per batch) is derived from those summaries.
+    Whole batches inside a window contribute their summaries; only the one
+    boundary batch whose window starts mid-batch is read row by row.  The
+    shuffle is therefore about the size of the input, not a multiple of it,
+    and the input is scanned three times in all (summaries, boundary rows,
+    scoring) however many batches there are."""
     from pyspark.sql import Window
     b = int(batch_seconds)
     span = int(params.baseline_days) * 86400
     ts = F.col(epoch_col).cast("long")
-    batches = p.groupBy("batch_id").agg(F.max(ts).alias("_bmax"))
+    parts = p.groupBy("batch_id", *key_cols).agg(F.max(ts).alias("_max_t"), *_moment_aggs(metrics))
+    batches = parts.groupBy("batch_id").agg(F.max("_max_t").alias("_bmax"))
     wb = Window.orderBy("batch_id")  # one row per batch: bounded by the calendar
     batches = (batches.withColumn("_hist_max", F.max("_bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
                .withColumn("_cut", F.col("_hist_max") - span)
@@ -255,8 +263,7 @@ def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str],
         F.col("batch_id").alias("_target"), "_cut", "_b0")
     # whole batches strictly between the boundary batch and the target
     inner = targets.select("_target", F.explode(F.sequence(F.col("_b0") + 1, F.col("_target") - 1)).alias("batch_id"))
-    parts = _moments(p, ["batch_id", *key_cols], metrics)
-    whole = parts.join(inner, "batch_id").drop("batch_id")
+    whole = parts.drop("_max_t").join(inner, "batch_id").drop("batch_id")
     # the boundary batch: rows at or after the cut
     edge_rows = p.join(targets.withColumnRenamed("_b0", "batch_id"), "batch_id").where(ts >= F.col("_cut"))
     edge = _moments(edge_rows, ["_target", *key_cols], metrics)
@@ -299,15 +306,25 @@ def detect_against(new: DataFrame, baseline: DataFrame | None, key_cols: Sequenc
 
 def rolling_detect(obs: DataFrame, batch_seconds: int = 86400, key_cols: Sequence[str] = ("city",),
                    metrics: Sequence[str] = METRICS, params: Params = DEFAULT, rules=ABSOLUTE_RULES,
-                   order: Sequence[str] = ("timestamp", "event_id"), epoch_col: str = "timestamp") -> DataFrame:
+                   order: Sequence[str] = ("timestamp", "event_id"), epoch_col: str = "timestamp",
+                   materialize: bool = True) -> DataFrame:
     """Replay of the detector over consecutive batches of ``batch_seconds``:
     every batch is scored against all earlier readings, exactly as
     ``detect_anomalies(batch, history)`` would, in one job (see
     :func:`rolling_baseline` for how the baselines stay linear).
     Output: the alert schema plus ``batch_id`` and ``detected_at`` (the
-    newest reading time of the batch)."""
+    newest reading time of the batch).
+
+    ``materialize`` writes the prepared, narrow projection once with a
+    reliable ``checkpoint()`` (shared folder): the three passes then read
+    that instead of re-deriving it from the source each time."""
     p = prepare_events(obs, key_cols, metrics, epoch_col)
     p = p.withColumn("batch_id", F.floor(F.col(epoch_col).cast("long") / int(batch_seconds)).cast("long"))
+    if materialize:
+        from ..session import shared_dir
+        shared_dir(p.sparkSession)
+        keep = [c for c in [*key_cols, epoch_col, *order, *metrics, "batch_id"] if c in p.columns]
+        p = p.select(*dict.fromkeys(keep)).checkpoint()
     base, batches = rolling_baseline(p, batch_seconds, key_cols, metrics, params, epoch_col)
     detected = batches.select("batch_id", F.timestamp_seconds("_bmax").alias("detected_at"))
     cands = candidate_alerts(p, base, ["batch_id", *key_cols], metrics, params, rules, epoch_col, order)

@@ -2,7 +2,8 @@
 
 Series come from :func:`gustflow.operators.windows.resample`: a regular grid
 of ``step`` seconds with no internal gaps, so the position of a point is
-``(ds - first_ds) / step`` — no window is needed to number it.
+``(ds - first_ds) / step`` — numbered from a per-series minimum, with no
+ordering window.
 
 * Linear trend: least squares with ``regr_slope`` / ``regr_intercept``
   (partial aggregation), future points from ``sequence(1, periods)``.
@@ -37,9 +38,15 @@ def _margin(std: F.Column, n: F.Column, params: Params) -> F.Column:
 
 
 def indexed(series: DataFrame, keys: Sequence[str] = SERIES_KEYS, step: int = 1800) -> DataFrame:
-    """Add ``i`` (0-based position) and ``n`` (series length) to a regular series."""
-    stats = series.groupBy(*keys).agg(F.min("ds").alias("_first"), F.count(F.lit(1)).alias("n"))
-    return (series.join(stats, list(keys))
+    """Add ``i`` (0-based position) and ``n`` (series length) to a regular series.
+
+    Whole-partition window aggregates over one series (bounded by its grid),
+    so the series is computed once and stays partitioned by its keys for
+    the per-series aggregates that follow."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys)
+    return (series.withColumn("_first", F.min("ds").over(w))
+            .withColumn("n", F.count(F.lit(1)).over(w))
             .withColumn("i", ((F.unix_seconds("ds") - F.unix_seconds("_first")) / step).cast("long"))
             .drop("_first"))
 
