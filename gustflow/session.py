@@ -23,12 +23,14 @@ _LOCAL_CONF = {
 _SHARED: dict[int, str] = {}
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "gustflow") -> SparkSession:
+def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "gustflow",
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings the operators expect (UTC, AQE)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in _LOCAL_CONF.items():
+    for key, value in {**_LOCAL_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if not conf or "spark.sql.shuffle.partitions" not in conf:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("GUSTFLOW_DRIVER_MEMORY", "4g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,14 +43,14 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 192 <
     """Settings for a run over ``input_bytes`` on ``cores`` executor cores.
 
     * shuffle partitions: enough that a partition is about
-      ``target_partition_bytes`` (at least 3 waves of tasks); AQE then
+      ``target_partition_bytes``, and at least one task per core; AQE then
       coalesces small ones and splits skewed ones at run time;
     * scan splits of 256 MB (fewer, larger tasks over Parquet);
     * streaming state in RocksDB (off-heap, spills, changelog checkpoints)
       so dedupe / window / cooldown state is not bounded by the JVM heap.
     Streaming queries freeze their shuffle partition count in the
     checkpoint, so size it for the expected peak before the first start."""
-    parts = max(3 * int(cores), -(-int(input_bytes) // int(target_partition_bytes)))
+    parts = max(int(cores), -(-int(input_bytes) // int(target_partition_bytes)))
     conf = {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
