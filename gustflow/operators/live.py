@@ -3,8 +3,9 @@ history, recompute window aggregates and score the new readings.
 
 ``live_refresh(history, current, now)`` returns ``(updated, aggregates,
 alerts)``.  The fresh readings are re-stamped with ``now`` (the fetch time),
-so de-duplication is per refresh; the history keeps the newest
-``live_history_rows`` rows (a bounded session buffer is the feature);
+so de-duplication is per refresh.  ``history`` is the previous buffer (at
+most ``live_history_rows`` rows — the bounded session buffer is the
+feature), so the merge never shuffles more than one buffer;
 alerts compare the fresh readings with the rest of that buffer.  An empty
 ``current`` leaves the history unchanged and yields no aggregates/alerts
 (the caller checks emptiness once; no data goes through the driver).

@@ -533,11 +533,15 @@ def q_load_alerts(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 def _live(spark, sf_dir):
+    """One refresh: the session buffer (the newest 2000 readings, an exact top-k
+    over the whole table) merged with the latest reading of every city,
+    re-stamped one minute after the newest reading."""
     from ..operators.live import live_refresh
     obs = _obs(spark, sf_dir)
     now = obs.agg(F.timestamp_seconds(F.max("timestamp") + 60).alias("_now"))
     current = clean.latest_per_key(obs, "city", ("timestamp", "event_id")).crossJoin(F.broadcast(now))
-    updated, aggs, alerts = live_refresh(obs, current, F.col("_now"))
+    buffer = clean.tail_rows(obs, DEFAULT.live_history_rows, ["timestamp", "event_id"])
+    updated, aggs, alerts = live_refresh(buffer, current, F.col("_now"))
     return updated, aggs, alerts
 
 

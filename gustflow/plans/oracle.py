@@ -398,7 +398,8 @@ now AS (SELECT max("timestamp") + 60 AS now_s FROM readings),
 cur AS (SELECT event_id, now_s AS "timestamp", city, temperature, humidity, wind_speed, weather_condition, 1 AS src
         FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY "timestamp" DESC, event_id DESC) AS rn
               FROM readings WHERE city IS NOT NULL), now WHERE rn = 1),
-u AS (SELECT *, 0 AS src FROM readings UNION ALL SELECT * FROM cur),
+buf AS (SELECT * FROM readings ORDER BY "timestamp" DESC, event_id DESC LIMIT 2000),
+u AS (SELECT *, 0 AS src FROM buf UNION ALL SELECT * FROM cur),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY src DESC, event_id DESC) AS rn
                      FROM u) WHERE rn = 1),
 upd AS (SELECT * EXCLUDE (rn) FROM d ORDER BY "timestamp" DESC, src DESC, event_id DESC LIMIT 2000),
