@@ -206,7 +206,7 @@ def score_latest(obs: DataFrame, holdout_rows: int = 10, key_cols: Sequence[str]
     return detect_anomalies(latest, history, key_cols, params=params, order=order)
 
 
-def _combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+def combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Merge partial (n, mean, M2) per metric into one per group (Chan et al.'s
     parallel update, two passes so no large squares are subtracted).  The
     inputs are per-(batch, key) summaries, so both passes are small."""
@@ -225,7 +225,7 @@ def _combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[s
     return joined.groupBy(*group).agg(*second)
 
 
-def _moment_aggs(metrics: Sequence[str]) -> list:
+def moment_aggs(metrics: Sequence[str]) -> list:
     aggs = []
     for m in metrics:
         aggs += [F.count(m).alias(f"{m}__n"), F.avg(m).alias(f"{m}__mean"),
@@ -233,8 +233,8 @@ def _moment_aggs(metrics: Sequence[str]) -> list:
     return aggs
 
 
-def _moments(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    return df.groupBy(*group).agg(*_moment_aggs(metrics))
+def moments(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    return df.groupBy(*group).agg(*moment_aggs(metrics))
 
 
 def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str], metrics: Sequence[str],
@@ -253,7 +253,7 @@ def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str],
     b = int(batch_seconds)
     span = int(params.baseline_days) * 86400
     ts = F.col(epoch_col).cast("long")
-    parts = p.groupBy("batch_id", *key_cols).agg(F.max(ts).alias("_max_t"), *_moment_aggs(metrics))
+    parts = p.groupBy("batch_id", *key_cols).agg(F.max(ts).alias("_max_t"), *moment_aggs(metrics))
     batches = parts.groupBy("batch_id").agg(F.max("_max_t").alias("_bmax"))
     wb = Window.orderBy("batch_id")  # one row per batch: bounded by the calendar
     batches = (batches.withColumn("_hist_max", F.max("_bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
@@ -266,8 +266,8 @@ def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str],
     whole = parts.drop("_max_t").join(inner, "batch_id").drop("batch_id")
     # the boundary batch: rows at or after the cut
     edge_rows = p.join(targets.withColumnRenamed("_b0", "batch_id"), "batch_id").where(ts >= F.col("_cut"))
-    edge = _moments(edge_rows, ["_target", *key_cols], metrics)
-    merged = _combine_moments(whole.unionByName(edge), ["_target", *key_cols], metrics)
+    edge = moments(edge_rows, ["_target", *key_cols], metrics)
+    merged = combine_moments(whole.unionByName(edge), ["_target", *key_cols], metrics)
     base = moments_baseline(merged.withColumnRenamed("_target", "batch_id"), ["batch_id", *key_cols], metrics, params)
     return base, batches
 
@@ -288,11 +288,8 @@ def hourly_moments(prepared: DataFrame, key_cols: Sequence[str] = ("city",), met
     """Per (hour, keys): (n, mean, M2) of every metric and the newest time of
     the prepared rows — the summary a baseline needs from a stored hour."""
     ts = F.col(epoch_col).cast("long")
-    aggs = [F.max(ts).alias("max_t")]
-    for m in metrics:
-        aggs += [F.count(m).alias(f"{m}__n"), F.avg(m).alias(f"{m}__mean"),
-                 (F.var_pop(m) * F.count(m)).alias(f"{m}__m2")]
-    return prepared.groupBy(F.floor(ts / int(grain)).cast("long").alias("hour"), *key_cols).agg(*aggs)
+    return prepared.groupBy(F.floor(ts / int(grain)).cast("long").alias("hour"), *key_cols).agg(
+        F.max(ts).alias("max_t"), *moment_aggs(metrics))
 
 
 def detect_against(new: DataFrame, baseline: DataFrame | None, key_cols: Sequence[str] = ("city",),

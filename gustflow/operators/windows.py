@@ -66,11 +66,9 @@ def resample(df: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequen
     fwd = Window.partitionBy(*key_cols).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bwd = Window.partitionBy(*key_cols).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding,
                                                                                    Window.currentRow)
-    cols = []
     for m in metrics:
         point = F.when(F.col(m).isNotNull(), F.struct(F.col("_bin").alias("t"), F.col(m).alias("v")))
         filled = filled.withColumn(f"_p_{m}", F.last(point, ignorenulls=True).over(fwd))
-        cols.append(m)
     for m in metrics:
         point = F.when(F.col(m).isNotNull(), F.struct(F.col("_bin").alias("t"), F.col(m).alias("v")))
         filled = filled.withColumn(f"_n_{m}", F.last(point, ignorenulls=True).over(bwd))

@@ -220,8 +220,8 @@ class EventsBatch:
                      .where((F.col("event_date") <= F.lit(since + dt.timedelta(days=1)))
                             & (F.col("timestamp") >= cut) & (F.col("timestamp") < (h0 + 1) * MOMENT_GRAIN))
                      .where(~self.same_or_later(batch)))
-        edge = anomaly._moments(prepare_events(edge_rows.drop("event_time", "event_date", "batch")), ["city"], metrics)
-        merged = anomaly._combine_moments(whole.unionByName(edge), ["city"], metrics)
+        edge = anomaly.moments(prepare_events(edge_rows.drop("event_time", "event_date", "batch")), ["city"], metrics)
+        merged = anomaly.combine_moments(whole.unionByName(edge), ["city"], metrics)
         return anomaly.moments_baseline(merged, ["city"], metrics, self.params)
 
     @property

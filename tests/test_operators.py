@@ -5,7 +5,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gustflow.config import DEFAULT
 from gustflow.functions import scalars
 from gustflow.operators import alerts as al
 from gustflow.operators import anomaly, clean, forecast, windows
