@@ -700,3 +700,10 @@ def q_alert_messages(spark, sf_dir):
     new_p = clean.prepare_events(batch)
     cands = anomaly.candidate_alerts(new_p, anomaly.baseline_wide(history))
     return cands.select("timestamp", "event_id", "city", "alert_type", "message")
+
+
+@register("backtest_holt_fixed")
+def q_backtest_holt_fixed(spark, sf_dir):
+    """Hold-out back-test of Holt smoothing with fixed alpha=0.5, beta=0.3."""
+    from ..operators.forecast import backtest_holt
+    return _r6(backtest_holt(_series(spark, sf_dir), periods=6, alpha=0.5, beta=0.3), "mae", "rmse")

@@ -484,3 +484,24 @@ sql("alert_messages", f"""WITH {READINGS},
 {SPLIT},
 {detect_ctes('batch', 'hist')}
 SELECT "timestamp", event_id, city, alert_type, message FROM d_cand""")
+
+sql("backtest_holt_fixed", f"""WITH RECURSIVE {READINGS}, {resample_ctes()}, {linear_ctes()},
+hb AS MATERIALIZED (SELECT city, metric, i, y, n, greatest(2, least(6, n // 4)) AS h FROM ix
+                    WHERE n >= 12 AND n > greatest(2, least(6, n // 4)) + 12),
+rec(city, metric, i, l, b) AS (
+  SELECT h0.city, h0.metric, 0, h0.y, h1.y - h0.y
+  FROM hb h0 JOIN hb h1 ON h1.city = h0.city AND h1.metric = h0.metric AND h1.i = 1 WHERE h0.i = 0
+  UNION ALL
+  SELECT c.city, c.metric, c.i + 1,
+         0.5e0 * hb.y + (1.0e0 - 0.5e0) * (c.l + c.b),
+         0.3e0 * ((0.5e0 * hb.y + (1.0e0 - 0.5e0) * (c.l + c.b)) - c.l) + (1.0e0 - 0.3e0) * c.b
+  FROM rec c JOIN hb ON hb.city = c.city AND hb.metric = c.metric AND hb.i = c.i + 1 AND hb.i < hb.n - hb.h),
+fin AS (SELECT rec.city, rec.metric, rec.l, rec.b, hb.n, hb.h FROM rec
+        JOIN hb ON hb.city = rec.city AND hb.metric = rec.metric AND hb.i = rec.i
+        WHERE rec.i = hb.n - hb.h - 1),
+err AS (SELECT t.city, t.metric, t.y - (f.l + (t.i - (t.n - t.h - 1)) * f.b) AS e
+        FROM hb t JOIN fin f ON f.city = t.city AND f.metric = t.metric WHERE t.i >= t.n - t.h)
+SELECT city, metric, 'exponential_smoothing' AS method, CAST(count(*) AS INTEGER) AS n,
+       {r6('avg(abs(e))')} AS mae, {r6('sqrt(avg(e * e))')} AS rmse,
+       'Forecast generated successfully.' AS message
+FROM err GROUP BY city, metric""")
