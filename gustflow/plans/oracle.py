@@ -505,3 +505,31 @@ SELECT city, metric, 'exponential_smoothing' AS method, CAST(count(*) AS INTEGER
        {r6('avg(abs(e))')} AS mae, {r6('sqrt(avg(e * e))')} AS rmse,
        'Forecast generated successfully.' AS message
 FROM err GROUP BY city, metric""")
+
+
+def _batch_metrics_sql() -> str:
+    parts = [f"""{READINGS},
+c AS (SELECT max("timestamp") - 86400 AS cut FROM readings),
+hist0 AS (SELECT r.* FROM readings r, c WHERE r."timestamp" < c.cut),
+sd AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT r.*, CAST(least(floor((r."timestamp" - c.cut) / 21600), 3) AS INTEGER) AS b,
+         row_number() OVER (PARTITION BY r.city, r."timestamp" ORDER BY r.event_id) AS rn
+  FROM readings r, c WHERE r."timestamp" >= c.cut AND r.city IS NOT NULL) WHERE rn = 1)"""]
+    for i in range(4):
+        parts.append(f"b{i} AS (SELECT * EXCLUDE (b) FROM sd WHERE b = {i})")
+        prev = " UNION ALL ".join(["SELECT * FROM hist0"] + [f"SELECT * FROM b{j}" for j in range(i)])
+        parts.append(f"h{i} AS ({prev})")
+        parts.append(detect_ctes(f"b{i}", f"h{i}", prefix=f"d{i}"))
+        earlier = " UNION ALL ".join([f"SELECT k, t FROM s{j}" for j in range(i)]) or \
+            "SELECT CAST(NULL AS VARCHAR) AS k, CAST(NULL AS BIGINT) AS t WHERE false"
+        parts.append(f"""s{i} AS (
+  SELECT city || ':' || metric || ':' || alert_type AS k, "timestamp" AS t FROM d{i}_alerts a
+  WHERE NOT EXISTS (SELECT 1 FROM ({earlier}) e
+                    WHERE e.k = a.city || ':' || a.metric || ':' || a.alert_type AND a."timestamp" - e.t < 3600))""")
+    rows = " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS batch_id, (SELECT count(*) FROM b{i}) AS stored, "
+        f"(SELECT count(*) FROM d{i}_alerts) AS alerts, (SELECT count(*) FROM s{i}) AS sent" for i in range(4))
+    return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
+sql("batch_metrics", _batch_metrics_sql())

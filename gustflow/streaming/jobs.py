@@ -102,6 +102,30 @@ def stage_records(df: DataFrame, path: str, files: int = 1, order: Sequence[str]
         fs.setTimes(q, base + i * 10_000, -1)
 
 
+def stage_batches(df: DataFrame, path: str, index_col: str, count: int,
+                  order: Sequence[str] = ("timestamp", "event_id"),
+                  fields: Sequence[str] = tuple(f.name for f in STREAM_SCHEMA.fields)) -> str:
+    """Stage records so that a file source with ``maxFilesPerTrigger=1`` replays
+    exactly one micro-batch per value of ``index_col`` (0..count-1), in order:
+    one JSON-lines file per batch folder, folders given increasing
+    modification times.  Returns the glob to read.  (Fixture / backfill
+    helper: each batch goes through one writer task.)"""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for i in range(int(count)):
+        folder = f"{path}/b{i:06d}"
+        part = df.where(F.col(index_col) == i)
+        (part.select(F.to_json(F.struct(*[F.col(c) for c in fields if c in df.columns])).alias("value"), *order)
+         .coalesce(1).sortWithinPartitions(*order).select("value").write.text(folder))
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(conf)
+        for st in fs.listStatus(p):
+            if st.getPath().getName().startswith("part-"):
+                fs.setTimes(st.getPath(), 1_600_000_000_000 + i * 10_000, -1)
+    return f"{path}/b*"
+
+
 # --------------------------------------------------------------------------
 # Parsing, watermark, dedupe, windows
 # --------------------------------------------------------------------------
