@@ -51,13 +51,13 @@ def _alerts_out(df: DataFrame) -> DataFrame:
 @register("detect_anomalies")
 def q_detect_anomalies(spark, sf_dir):
     """Alerts for the last day of readings against all earlier readings."""
-    history, batch = fx.split_history_batch(fx.readings(spark, sf_dir))
+    history, batch = fx.split_events(spark, sf_dir)
     return _alerts_out(anomaly.detect_anomalies(batch, history))
 
 
 @register("baseline_stats")
 def q_baseline_stats(spark, sf_dir):
-    history, _ = fx.split_history_batch(fx.readings(spark, sf_dir))
+    history, _ = fx.split_events(spark, sf_dir)
     return _r6(anomaly.baseline_stats(history), "mean", "std")
 
 
@@ -71,7 +71,7 @@ def q_alerts_absolute(spark, sf_dir):
 @register("alerts_zscore")
 def q_alerts_zscore(spark, sf_dir):
     """Every z-score hit of the last day against the 7-day baseline."""
-    history, batch = fx.split_history_batch(fx.readings(spark, sf_dir))
+    history, batch = fx.split_events(spark, sf_dir)
     return _r6(anomaly.alerts_zscore(batch, history).select(
         "timestamp", "event_id", "city", "metric", "alert_type", "severity", "value",
         "baseline_mean", "baseline_std", "z_score", "message"), "baseline_mean", "baseline_std")
@@ -632,7 +632,7 @@ def q_stream_ingest(spark, sf_dir):
 
 
 def _stream_alert_run(spark, sf_dir, files: int = 1):
-    history, batch = fx.split_history_batch(_obs(spark, sf_dir))
+    history, batch = fx.split_events(spark, sf_dir)
     return _serve_run(spark, sf_dir, history, batch, files=files)
 
 
@@ -653,7 +653,7 @@ def q_batch_metrics(spark, sf_dir):
     notified against the outbox of the earlier ones."""
     from ..session import work_path
     from ..streaming.jobs import EventsBatch, parse_stream, source, stage_batches, start_events_stream
-    history, batch = fx.split_history_batch(_obs(spark, sf_dir))
+    history, batch = fx.split_events(spark, sf_dir)
     first = _obs(spark, sf_dir).agg((F.max("timestamp") - 86400).alias("_cut"))
     idx = F.least(F.floor((F.col("timestamp") - F.col("_cut")) / 21600), F.lit(3)).cast("int")
     staged_rows = batch.crossJoin(F.broadcast(first)).withColumn("_b", idx).drop("_cut")
@@ -708,7 +708,7 @@ def q_window_agg_live_city(spark, sf_dir):
 @register("alert_messages")
 def q_alert_messages(spark, sf_dir):
     """Every candidate alert of the last day (absolute and z rules) with its message."""
-    history, batch = fx.split_history_batch(_obs(spark, sf_dir))
+    history, batch = fx.split_events(spark, sf_dir)
     new_p = clean.prepare_events(batch)
     cands = anomaly.candidate_alerts(new_p, anomaly.baseline_wide(history))
     return cands.select("timestamp", "event_id", "city", "alert_type", "message")

@@ -90,6 +90,28 @@ def split_history_batch(obs: DataFrame, seconds: int = 86400, time_col: str = "t
     return history, batch
 
 
+def split_events(spark: SparkSession, sf_dir: str, seconds: int = 86400):
+    """``split_history_batch`` over ``events`` with the cut pushed to the scan.
+
+    The cut (newest reading - ``seconds``, in whole seconds) is computed first
+    as one scalar over the ``ts`` column, then applied as literal predicates
+    on the raw ``ts`` column, which Parquet uses for row-group skipping
+    (``PushedFilters``): the batch side reads only the last ``seconds``.
+    Same rows as the lazy split: ``timestamp >= cut`` exactly when
+    ``ts >= cut`` for a whole-second cut."""
+    import datetime as dt
+    ev = table(spark, sf_dir, "events")
+    newest = ev.agg(F.max("ts")).first()[0]
+    if newest is None:
+        empty = readings_from_events(ev.where(F.lit(False)))
+        return empty, empty
+    cut = newest.replace(microsecond=0) - dt.timedelta(seconds=int(seconds))
+    # a text literal, so no Python-side time zone is involved
+    bound = F.lit(cut.isoformat(sep=" ")).cast(ev.schema["ts"].dataType)
+    return (readings_from_events(ev.where(F.col("ts") < bound)),
+            readings_from_events(ev.where(F.col("ts") >= bound)))
+
+
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generic run: key ``l_suppkey``, time ``l_shipdate``, three metrics."""
     li = table(spark, sf_dir, "lineitem")
