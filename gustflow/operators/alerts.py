@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.scalars import alert_key, notification_text
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 
 
 def _node(t, seq_cols: Sequence[str]):
@@ -99,38 +99,28 @@ def cooldown_sent(alerts: DataFrame, key_cols: Sequence[str] = ("alert_key",), t
     nodes = (alerts.select(*key_cols, t.alias("_t"), F.struct(*[F.col(c) for c in seq_cols]).alias("_s"))
              .groupBy(*key_cols, "_t").agg(F.min("_s").alias("_s"))
              .select(*key_cols, F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")).alias("node")))
-    jump = _materialize(cooldown_next(nodes, key_cols, cooldown))
+    jump = materialize(cooldown_next(nodes, key_cols, cooldown))
     heads = nodes.groupBy(*key_cols).agg(F.min("node").alias("node"))
     # sent nodes are >= cooldown apart: at most one per cooldown-wide bucket
     max_buckets = (nodes.select(*key_cols, F.floor(F.col("node.t") / int(cooldown)).alias("_b")).distinct()
                    .groupBy(*key_cols).count().agg(F.max("count")).first()[0]) or 0
     rounds = max(0, math.ceil(math.log2(max_buckets))) if max_buckets > 1 else 0
-    sent = _materialize(heads)
+    sent = materialize(heads)
     for r in range(rounds):
         hop = (sent.join(jump, [*key_cols, "node"])
                .where(F.col("nxt").isNotNull())
                .select(*key_cols, F.col("nxt").alias("node")))
-        sent = _materialize(sent.unionByName(hop))
+        sent = materialize(sent.unionByName(hop))
         if r + 1 < rounds:
             j2 = jump.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)],
                              F.col("node").alias("_mid"), F.col("nxt").alias("_nn"))
             cond = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key_cols)] + [F.col("nxt") == F.col("_mid")]
-            jump = _materialize(jump.join(j2, cond, "left")
+            jump = materialize(jump.join(j2, cond, "left")
                                 .select(*key_cols, "node", F.col("_nn").alias("nxt")))
     tagged = alerts.withColumn("node", _node(F.col(time_col).cast("long"), seq_cols))
     return tagged.join(sent, [*key_cols, "node"], "left_semi").drop("node")
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once: persisted first so the checkpoint
-    write reads the cached blocks instead of re-running the plan."""
-    from pyspark import StorageLevel
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint()
-    cached.unpersist()
-    return out
-
-
 def with_alert_key(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("alert_key", alert_key())
 

@@ -318,10 +318,9 @@ def rolling_detect(obs: DataFrame, batch_seconds: int = 86400, key_cols: Sequenc
     p = prepare_events(obs, key_cols, metrics, epoch_col)
     p = p.withColumn("batch_id", F.floor(F.col(epoch_col).cast("long") / int(batch_seconds)).cast("long"))
     if materialize:
-        from ..session import shared_dir
-        shared_dir(p.sparkSession)
+        from ..session import materialize as checkpointed
         keep = [c for c in [*key_cols, epoch_col, *order, *metrics, "batch_id"] if c in p.columns]
-        p = p.select(*dict.fromkeys(keep)).checkpoint()
+        p = checkpointed(p.select(*dict.fromkeys(keep)))
     base, batches = rolling_baseline(p, batch_seconds, key_cols, metrics, params, epoch_col)
     detected = batches.select("batch_id", F.timestamp_seconds("_bmax").alias("detected_at"))
     cands = candidate_alerts(p, base, ["batch_id", *key_cols], metrics, params, rules, epoch_col, order)

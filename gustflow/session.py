@@ -126,6 +126,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _SHARED[key]
 
 
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared folder, computing
+    the plan once: persisted first, so the checkpoint write reads the cached
+    blocks instead of re-running the plan, then unpersisted."""
+    from pyspark import StorageLevel
+    shared_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint()
+    cached.unpersist()
+    return out
+
+
 def work_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path below the shared folder (unique per call)."""
     return "/".join([shared_dir(spark), *parts, uuid.uuid4().hex])
