@@ -146,3 +146,26 @@ def test_detect_matches_loop(spark, hist, new):
     want = _detect_py([(r[0], r[1], r[2], r[3], r[4], r[5]) for r in n],
                       [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in h])
     assert got == want
+
+
+def _sse_loop(y, a, b):
+    level, trend, sse = y[0], y[1] - y[0], 0.0
+    for t in range(1, len(y)):
+        err = y[t] - (level + trend)
+        sse += err * err
+        new_level = a * y[t] + (1.0 - a) * (level + trend)
+        trend = b * (new_level - level) + (1.0 - b) * trend
+        level = new_level
+    return sse
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.floats(-50, 50), min_size=12, max_size=60))
+def test_holt_fit_minimises_sse_on_its_grid(ys):
+    y = np.array(ys, dtype="float64")
+    a, b, _, _ = forecast.holt_fit(y)
+    best = _sse_loop(y, a, b)
+    coarse = [round(0.05 * i, 4) for i in range(1, 20)]
+    coarse_best = min(_sse_loop(y, ca, cb) for ca in coarse for cb in coarse)
+    # the refined optimum is never worse than the best coarse grid point
+    assert best <= coarse_best * (1 + 1e-9) + 1e-9
