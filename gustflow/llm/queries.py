@@ -23,6 +23,12 @@ def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(documents(spark, sf_dir))
 
 
+@query
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.line_quality import quality
+    return quality(documents(spark, sf_dir))
+
+
 @query
 def op7_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustflow.llm.bpe_words import encode
@@ -33,3 +39,36 @@ def op7_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustflow.llm.packing import pack
     return pack(documents(spark, sf_dir))
+
+
+ORACLE["op3_line_quality"] = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') AS lines
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, host, t, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l
+  FROM (SELECT doc_id, host, t, unnest(lines) AS l FROM base)),
+frequent AS (
+  SELECT host, l FROM (SELECT host, l, count(DISTINCT t) AS df FROM line GROUP BY host, l)
+  JOIN (SELECT host, count(DISTINCT t) AS docs FROM base GROUP BY host) USING (host)
+  WHERE df >= 10 AND df > 0.1 * docs),
+lost AS (
+  SELECT doc_id, sum(len(string_split(l, ' '))) AS n FROM line JOIN frequent USING (host, l) GROUP BY doc_id),
+counted AS (
+  SELECT b.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_removed
+  FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN lost x USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed <= 0.5 * n_words AS kept,
+       CAST(n_removed AS BIGINT) AS n_removed
+FROM counted"""
