@@ -17,6 +17,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.langid import identify
+    return identify(documents(spark, sf_dir))
+
+
 @query
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustflow.llm.token_frames import roundtrip
@@ -29,6 +35,18 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.secrets import secrets
+    return secrets(documents(spark, sf_dir))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.toxicity import classify
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op7_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustflow.llm.bpe_words import encode
