@@ -56,7 +56,7 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 40) -> D
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     e = written(e, "edges")
     last = None
-    for _ in range(max_rounds):
+    for _ in range(0 if e.isEmpty() else max_rounds):
         # large star: hang every larger neighbour on the smallest neighbour (or itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

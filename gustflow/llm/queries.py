@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gustflow.llm.common import documents
+from gustflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,6 +54,19 @@ def op7_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir))
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.substring_dedup import dedup
+    return dedup(documents(spark, sf_dir))
+
+
+@query
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.cross_polytope import near_duplicates
+    prepare(spark)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustflow.llm.packing import pack
@@ -90,3 +104,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed <= 0.5 * n_words AS kept,
        CAST(n_removed AS BIGINT) AS n_removed
 FROM counted"""
+
+ORACLE["op8_substring_dedup"] = r"""
+WITH base AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM base)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM repeated, (SELECT unnest(range(35)) AS j)),
+word AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM base)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT b.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM base b LEFT JOIN kept k USING (doc_id)"""
