@@ -48,6 +48,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.jaccard_join import join
+    return join(documents(spark, sf_dir))
+
+
 @query
 def op7_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustflow.llm.bpe_words import encode
