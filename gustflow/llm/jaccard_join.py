@@ -41,6 +41,8 @@ SKETCH_BITS = 20
 SLICE_BITS = 16
 BUCKET_BITS = 10
 CHUNK = 8 << 20
+#: Times the sets without a leader elect one; a later round only saves comparisons.
+STAR_ROUNDS = 2
 NO_ID = -(1 << 63)
 
 
@@ -265,21 +267,30 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for fp, n, data in zip(b.column("fp").to_pylist(), b.column("n").to_pylist(), b.column("shingles").to_pylist()):
+            for fp, copies, n, data in zip(*(b.column(c).to_pylist() for c in ("fp", "copies", "n", "shingles"))):
                 value = np.frombuffer(data, "<u8")
                 often = order.value[(value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 m = int(allowance(np.array(n), percent)) + 1
                 own = value[np.lexsort((mix(value), often))[:m]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([fp] * m, pa.binary()), pa.array([n] * m, pa.int64()), pa.array(own), pa.array(np.arange(m))], ["fp", "n", "h", "pos"])
-
-    entries = written(sets.mapInArrow(index, "fp binary, n long, h long, pos long"), "index")
-    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-    entries = entries.withColumn("band", band)
-    leaders = entries.groupBy("h", "band").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    votes = entries.join(leaders, ["h", "band"]).where("fp <> leader").groupBy("fp", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    first = votes.groupBy("fp").agg(F.max_by("leader", F.struct("votes", "leader")).alias("b")).select(F.col("fp").alias("a"), "b")
+                usual = int(np.log2(1 + often).sum() * 1000 / n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fp] * m, pa.binary()), pa.array(np.full(m, copies)), pa.array(np.full(m, n)), pa.array(own), pa.array(np.arange(m)), pa.array(np.full(m, usual))],
+                    ["fp", "copies", "n", "h", "pos", "usual"])
+
+    entries = written(sets.mapInArrow(index, "fp binary, copies long, n long, h long, pos long, usual long"), "index")
+    entries = entries.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
     good = F.col("o") >= needed(F.col("na"), F.col("nb"), percent)
-    star = written(overlaps(first, sets).where(good), "stars")
+    star, waiting = None, entries
+    for _ in range(STAR_ROUNDS):
+        # the set with most copies and the most usual shingles leads: a group's original rather than an edit of it
+        leaders = waiting.groupBy("h", "band").agg(F.max(F.struct("copies", "usual", "fp")).alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1")
+        votes = (waiting.join(leaders, ["h", "band"]).where(F.col("fp") != F.col("lead.fp"))
+                 .groupBy("fp", "lead").agg(F.count(F.lit(1)).alias("votes")))
+        first = votes.groupBy("fp").agg(F.max_by("lead.fp", F.struct("votes", "lead")).alias("b")).select(F.col("fp").alias("a"), "b")
+        found = written(overlaps(first, sets).where(good), "stars")
+        star = found if star is None else star.unionByName(found)
+        settled = found.select(F.col("a").alias("fp")).union(found.select("b")).distinct()
+        waiting = waiting.join(settled, "fp", "left_anti")
     # a set belongs to its leader's cluster, or to its own; slack = |x - X|
     member = written(sets.select("fp", "n").join(star.select(F.col("a").alias("fp"), F.col("b").alias("leader"), "o"), "fp", "left").select(
         "fp", "n", F.coalesce("leader", "fp").alias("c"), F.when(F.col("leader").isNull(), 0).otherwise(F.col("n") - F.col("o")).alias("slack")), "members")
@@ -290,17 +301,21 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
              & (F.least("rest1", "rest2") >= needed(F.col("lo1"), F.col("lo2"), percent)))
     meets = p.join(q, "h").where(open_).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
     meets = written(overlaps(meets, sets), "meetings")
+    linked = star.select("a", "b").union(meets.where(good).select("a", "b"))
+    early = written(components(sets.select(F.col("fp").alias("id")), linked), "early")  # clusters already connected need no more links
     widest = member.groupBy("c").agg(F.max("slack").alias("slack"), F.min("n").alias("least"))
     near = (meets.join(widest.select(F.col("c").alias("a"), F.col("slack").alias("s1"), F.col("least").alias("l1")), "a")
             .join(widest.select(F.col("c").alias("b"), F.col("slack").alias("s2"), F.col("least").alias("l2")), "b")
-            .where((F.col("o") + F.col("s1") + F.col("s2") >= needed(F.col("l1"), F.col("l2"), percent)) & ~good).select("a", "b", "o"))
+            .where((F.col("o") + F.col("s1") + F.col("s2") >= needed(F.col("l1"), F.col("l2"), percent)) & ~good)
+            .join(early.select(F.col("id").alias("a"), F.col("component").alias("p1")), "a").join(early.select(F.col("id").alias("b"), F.col("component").alias("p2")), "b")
+            .where("p1 <> p2").select("a", "b", "o"))
     one = member.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("c").alias("a"), F.col("slack").alias("sx"))
     two = member.select(F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("c").alias("b"), F.col("slack").alias("sy"))
     left = (near.join(one, "a").join(two, "b").where(
         (F.col("o") + F.col("sx") + F.col("sy") >= needed(F.col("nx"), F.col("ny"), percent)) & (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")))
         .select(F.col("x").alias("a"), F.col("y").alias("b")))
     rest = written(overlaps(left, sets).where(good), "rest")
-    return star.select("a", "b").union(meets.where(good).select("a", "b")).union(rest.select("a", "b"))
+    return linked.union(rest.select("a", "b"))
 
 
 def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -314,18 +329,18 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     rows = _rows(docs)
     base = written(rows.mapInArrow(_base(k), "doc_id long, d long, k long, n long, fp binary"), "sets_base")
     named = base.where("n > 0 and doc_id is not null")
-    kinds = named.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("d", "k")).alias("rep"))
+    kinds = named.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("d", "k")).alias("rep"), F.count(F.lit(1)).alias("copies"))
     kinds = written(kinds, "kinds")
-    chosen = kinds.join(sharing(rows.where("doc_id is not null"), k, percent), "fp").select("fp", "rep.d", "rep.k")
+    chosen = kinds.join(sharing(rows.where("doc_id is not null"), k, percent), "fp").select("fp", "copies", "rep.d", "rep.k")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             row, value = shingles(b.column("text"), k)
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(np.diff(cut), pa.int64()), pa.array([value[i:j].astype("<u8").tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["fp", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("copies"), pa.array(np.diff(cut), pa.int64()), pa.array([value[i:j].astype("<u8").tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], ["fp", "copies", "n", "shingles"])
 
     texts = rows.select("d", "k", "text").join(written(chosen, "chosen"), ["d", "k"]).dropDuplicates(["fp"])
-    sets = written(texts.select("fp", "text").mapInArrow(build, "fp binary, n long, shingles binary"), "sets")
+    sets = written(texts.select("fp", "copies", "text").mapInArrow(build, "fp binary, copies long, n long, shingles binary"), "sets")
     part = components(sets.select(F.col("fp").alias("id")), links(sets, percent))
     least = part.withColumnRenamed("id", "fp").join(kinds.select("fp", "least"), "fp")
     label = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
