@@ -70,23 +70,38 @@ class Model:
         return np.vstack([kernel_rows(presence(texts[i:i + BLOCK])) @ self.weights for i in range(0, len(texts), BLOCK)]) + self.bias
 
 
-def fit_rows(rows: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Nyström kernel ridge regression, one versus rest."""
+def fit_kernel(k_nm: np.ndarray, k_mm: np.ndarray, labels: np.ndarray, ridge: float = RIDGE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Nyström kernel ridge regression, one versus rest: languages,
+    coefficients of the landmarks, bias."""
     languages = sorted(set(labels.tolist()))
-    each = max(1, landmarks // len(languages))
-    marks = np.concatenate([np.flatnonzero(labels == x)[:each] for x in languages])
-    z = rows[marks].astype(np.float64)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    values, vectors = np.linalg.eigh(k_mm)
     use = values > 1e-6 * values[-1]
     whiten = vectors[:, use] / np.sqrt(values[use])
-    phi = (rows.astype(np.float64) @ z.T) @ whiten
-    y = (labels[:, None] == np.array(languages)).astype(np.float64)
+    phi = k_nm @ whiten
+    y = (labels[:, None] == np.array(languages, object)).astype(np.float64)
     weight = 1 / (len(languages) * y.sum(0))[y.argmax(1)]  # each language weighs the same
     mean, target = weight @ phi, weight @ y
     centred = phi - mean
     a = (centred * weight[:, None]).T @ centred + ridge * np.eye(phi.shape[1])
     coef = np.linalg.solve(a, (centred * weight[:, None]).T @ (y - target))
-    return languages, z.T @ (whiten @ coef), target - mean @ coef
+    return languages, whiten @ coef, target - mean @ coef
+
+
+def fit_bits(bits: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS) -> Model:
+    """Fit on packed presence vectors, unpacked a block at a time (the
+    driver holds the landmarks and the kernel values only)."""
+    cuts = np.cumsum([1 << b for b in BITS])[:-1]
+    languages = sorted(set(labels.tolist()))
+    each = max(1, landmarks // len(languages))
+    marks = np.concatenate([np.flatnonzero(labels == x)[:each] for x in languages])
+
+    def rows(block: np.ndarray) -> np.ndarray:
+        return kernel_rows(np.split(np.unpackbits(block, axis=1), cuts, axis=1))
+
+    z = np.vstack([rows(bits[marks[i:i + BLOCK]]) for i in range(0, len(marks), BLOCK)])
+    k_nm = np.vstack([rows(bits[i:i + BLOCK]) @ z.T for i in range(0, len(bits), BLOCK)]).astype(np.float64)
+    names, coef, bias = fit_kernel(k_nm, (z @ z.T).astype(np.float64), labels)
+    return Model(names, z.T @ coef.astype(np.float32), bias)
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -112,10 +127,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     got = got.sort_values(["lang", "place", "doc_id", "bits"]).groupby("lang").head(per_language)
     if got.empty:
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)
-    cuts = np.cumsum([1 << b for b in BITS])[:-1]
-    rows_ = np.vstack([kernel_rows(np.split(x[i:i + BLOCK], cuts, axis=1)) for i in range(0, len(x), BLOCK)])
-    return Model(*fit_rows(rows_, got["lang"].to_numpy(object)))
+    return fit_bits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), got["lang"].to_numpy(object))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

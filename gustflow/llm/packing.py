@@ -57,7 +57,14 @@ def _triple(avail: np.ndarray, gap: int) -> list[int] | None:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], int]:
-    """Runs covering every piece once, and the number of sequences."""
+    """Runs covering every piece once, and the number of sequences.  Where
+    exact fills use up the short pieces that best fit alone would place
+    better, the plan without them is taken."""
+    exact, plain = (_plan(histogram, capacity, fill) for fill in (True, False))
+    return exact if exact[1] <= plain[1] else plain
+
+
+def _plan(histogram: dict[int, int], capacity: int, fill: bool) -> tuple[list[Run], int]:
     avail = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         avail[length] = n
@@ -79,6 +86,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
                 put(length, n, bins, 0)
                 bins += n
                 continue
+            if not fill:
+                break
             avail[length] -= 1
             combo = _single(avail, gap) or _pair(avail, gap) or _triple(avail, gap)
             avail[length] += 1
