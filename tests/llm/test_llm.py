@@ -214,7 +214,7 @@ def test_secrets(spark):
     assert got[8]["spans"] == "token:4:25" and got[8]["base_sha256"] == hashlib.sha256(b"").hexdigest() == got[4]["base_sha256"]
     assert got[25]["n_example"] == 1 and got[25]["n_live"] == 0
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
-    assert masked[1] == "é😀 [secret] x" and masked[4] is None and "f0e1" in masked[25] and masked[8] == "gen [secret] end"
+    assert masked[1] == "é😀 [secret]\" x" and masked[4] is None and "f0e1" in masked[25] and masked[8] == "gen [secret] end"
 
 
 def test_cross_polytope(spark):
