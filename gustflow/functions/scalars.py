@@ -91,20 +91,22 @@ def method_label(method="method") -> Column:
     return F.initcap(F.regexp_replace(_c(method), "_", " "))
 
 
-# Fixed value: the tie tolerance, in units of the last kept decimal.
-ROUND_TIE_TOLERANCE = 1e-4
+# The tie tolerances, in units of the last kept decimal.
+TIE_TOLERANCE = 1e-6
+TIE_TOLERANCE_6 = 1e-4  # 6-place output normalisation of aggregates
 
 
 def round_half_up(x, places: int) -> Column:
-    """Decimal rounding to ``places`` as ``floor(x * 10^p + 0.5 + tol) / 10^p``.
+    """Decimal rounding to ``places``, ties away from zero.
 
-    ``1.005`` is stored as 1.00499999...; the tolerance (1e-4 of the last
-    kept unit) makes such decimal ties round up whatever the last bits of
-    the double are, and the result is a fixed sequence of IEEE operations,
-    so any engine that evaluates the same formula on the same double gets
-    the same answer (ties round towards +infinity)."""
+    A fixed sequence of IEEE operations rather than the built-in: engines'
+    own ``round`` differ on doubles next to a tie (0.115 is 0.11 here and
+    0.12 where the engine scales first).  The tolerance only covers the last
+    bits of the double, so 0.049995 stays 0.0 at one place."""
     scale = float(10 ** int(places))
-    return F.floor(_c(x).cast("double") * F.lit(scale) + F.lit(0.5 + ROUND_TIE_TOLERANCE)) / F.lit(scale)
+    tie = TIE_TOLERANCE_6 if int(places) >= 6 else TIE_TOLERANCE
+    v = _c(x).cast("double")
+    return F.signum(v) * F.floor(F.abs(v) * F.lit(scale) + F.lit(0.5 + tie)) / F.lit(scale) + F.lit(0.0)
 
 
 def round6(x) -> Column:

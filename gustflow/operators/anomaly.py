@@ -200,9 +200,12 @@ def score_latest(obs: DataFrame, holdout_rows: int = 10, key_cols: Sequence[str]
     from .clean import latest_per_key
 
     latest = latest_per_key(obs, key_cols[0], order=order)
-    last_n = tail_rows(obs.select(*order), holdout_rows, list(order))
+    last_n = tail_rows(obs.select(*order), holdout_rows, list(order)).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    same = F.lit(True)
+    for i, c in enumerate(order):  # an order column may be null
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
     # ``last_n`` has at most ``holdout_rows`` rows: a proven broadcast bound.
-    history = obs.join(F.broadcast(last_n), list(order), "left_anti")
+    history = obs.join(F.broadcast(last_n), same, "left_anti")
     return detect_anomalies(latest, history, key_cols, params=params, order=order)
 
 
@@ -262,7 +265,8 @@ def rolling_baseline(p: DataFrame, batch_seconds: int, key_cols: Sequence[str],
     targets = batches.where(F.col("_hist_max").isNotNull()).select(
         F.col("batch_id").alias("_target"), "_cut", "_b0")
     # whole batches strictly between the boundary batch and the target
-    inner = targets.select("_target", F.explode(F.sequence(F.col("_b0") + 1, F.col("_target") - 1)).alias("batch_id"))
+    between = F.when(F.col("_b0") + 1 <= F.col("_target") - 1, F.sequence(F.col("_b0") + 1, F.col("_target") - 1))
+    inner = targets.select("_target", F.explode(between).alias("batch_id"))
     whole = parts.drop("_max_t").join(inner, "batch_id").drop("batch_id")
     # the boundary batch: rows at or after the cut
     edge_rows = p.join(targets.withColumnRenamed("_b0", "batch_id"), "batch_id").where(ts >= F.col("_cut"))

@@ -46,7 +46,9 @@ def live_refresh(history: DataFrame, current: DataFrame, now, params: Params = D
     now_c = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
     fresh = fresh.withColumn("_now", now_c)
     updated = merge_history(history, fresh, params.live_history_rows)
-    aggregates = live_window_agg(updated, limit=params.live_aggregate_rows)
+    # an empty fetch gives no aggregates; the flag is one row at most
+    fetched = fresh.limit(1).select(F.lit(1).alias("_fetched"))
+    aggregates = live_window_agg(updated, limit=params.live_aggregate_rows).crossJoin(F.broadcast(fetched)).drop("_fetched")
     recent = updated.where(F.col("_src") == 0)
     scored = updated.where(F.col("_src") == 1)
     stamp = scored.agg(F.max("_now").alias("detected_at"))

@@ -51,7 +51,11 @@ def previous_and_latest(df: DataFrame, key: str = "city", order: Sequence[str] =
     key, then the latest of the rest (anti join on the order columns)."""
     cols = [c for c in df.columns if c != key]
     latest = latest_per_key(df, key, order)
-    rest = df.join(latest.select(key, *order), [key, *order], "left_anti")
+    seen = latest.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    same = F.col(key) == F.col("_key")
+    for i, c in enumerate(order):  # an order column may be null
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    rest = df.join(seen, same, "left_anti")
     prev = dedupe_last(rest.where(F.col(key).isNotNull()), keys=(key,), order=order)
     return (latest.select(key, F.struct(*cols).alias("now"))
             .join(prev.select(key, F.struct(*cols).alias("prev")), key, "left"))

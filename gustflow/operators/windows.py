@@ -58,7 +58,8 @@ def resample(df: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequen
     step = int(minutes) * 60
     binned = df.select(*key_cols, *metrics,
                        (F.floor(F.unix_seconds(F.col(time_col)) / step) * step).cast("long").alias("_bin"))
-    wide = binned.groupBy(*key_cols, "_bin").agg(*[F.avg(m).alias(m) for m in metrics])
+    wide = binned.groupBy(*key_cols, "_bin").agg(
+        *[F.avg(F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double"))).alias(m) for m in metrics])  # NaN is a missing reading
     span = wide.groupBy(*key_cols).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
     grid = span.select(*key_cols, F.explode(F.sequence("_lo", "_hi", F.lit(step).cast("long"))).alias("_bin"))
     filled = grid.join(wide, [*key_cols, "_bin"], "left")

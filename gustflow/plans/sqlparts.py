@@ -54,9 +54,10 @@ def r6(x: str) -> str:
 
 
 def rnd(x: str, places: int) -> str:
-    """Decimal rounding: floor(x * 10^p + 0.5 + 1e-4) / 10^p (ties towards +infinity)."""
-    scale = _dbl(float(10 ** int(places)))
-    return f"(floor(CAST({x} AS DOUBLE) * {scale} + {_dbl(0.5 + 1e-4)}) / {scale})"
+    """Decimal rounding, ties away from zero: sign * floor(|x| * 10^p + 0.5 + tolerance) / 10^p."""
+    scale, tie = _dbl(float(10 ** int(places))), _dbl(0.5 + (1e-4 if int(places) >= 6 else 1e-6))
+    v = f"CAST({x} AS DOUBLE)"
+    return f"(sign({v}) * floor(abs({v}) * {scale} + {tie}) / {scale} + {_dbl(0.0)})"
 
 
 def fmt1(x: str) -> str:

@@ -20,7 +20,7 @@ _LOCAL_CONF = {
 }
 
 
-_SHARED: dict[int, str] = {}
+_SHARED: dict[str, str] = {}
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "gustflow",
@@ -75,7 +75,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -84,7 +84,7 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped once per SparkContext into the shared folder and
     added with ``addPyFile``, which distributes it to every executor."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -100,7 +100,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,14 +111,16 @@ def shared_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     sc = spark.sparkContext
-    key = id(sc)
+    key = sc.applicationId
     if key in _SHARED:
         return _SHARED[key]
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         current = sc.getCheckpointDir()
+    if not current and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not current:
-        # Local tests only: nothing configured, so take a private folder.
+        # Local master, nothing configured: take a private folder.
         current = tempfile.mkdtemp(prefix="gustflow-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

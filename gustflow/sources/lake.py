@@ -99,8 +99,9 @@ def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("basePath", root).parquet(root)
 
 
-def write_events(df: DataFrame, root: str, batch: str = "0") -> None:
-    """Append (replay-safely) one writer batch of observations."""
+def write_events(df: DataFrame, root: str, batch: str) -> None:
+    """Append (replay-safely) one writer batch of observations.  ``batch`` names
+    the write: the same name replaces its own rows, another name adds."""
     rows = with_event_date(with_event_time(df))
     for c in EVENT_SCHEMA.fields:
         if c.name not in rows.columns and c.name != "batch":

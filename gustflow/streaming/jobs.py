@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import uuid
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -203,7 +203,9 @@ class EventsBatch:
         self.root = root.rstrip("/")
         self.params = params
         self.clock = clock
-        self.tag = query_tag or uuid.uuid4().hex[:8]
+        # stable for a root, so a restart replays under its own batch names; a
+        # second query writing to the same root needs a tag of its own
+        self.tag = query_tag or f"q{zlib.crc32(self.root.encode()):08x}"
         self.baseline_source = baseline_source
 
     @property
@@ -226,12 +228,9 @@ class EventsBatch:
 
     def baseline(self, spark: SparkSession, batch: str) -> DataFrame | None:
         """Wide baseline for ``batch`` from stored moments (see class doc)."""
-        latest = lake.latest_partition(spark, self.moments)
-        if latest is None:
-            return None
         mom = lake.read_table(spark, self.moments, MOMENTS_SCHEMA).where(~self.same_or_later(batch))
-        newest = mom.where(F.col("event_date") >= F.lit(latest - dt.timedelta(days=1))) \
-            .agg(F.max("max_t")).first()[0]
+        # over all dates: a replayed batch's own folders may be the newest ones
+        newest = mom.agg(F.max("max_t")).first()[0]
         if newest is None:
             return None
         cut = int(newest) - int(self.params.baseline_days) * 86400
@@ -280,12 +279,12 @@ class EventsBatch:
         return F.col("batch").startswith(self.tag + "-") & (F.col("batch") >= F.lit(batch))
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
-            return
         spark = batch_df.sparkSession
         name = self.batch_name(batch_id)
-        batch = batch_df.persist()
+        cached = batch = batch_df.persist()
         try:
+            if batch.isEmpty():
+                return
             if "event_id" not in batch.columns:
                 batch = batch.withColumn("event_id", F.lit(None).cast("long"))
             new = batch.drop("event_time", "event_date")
@@ -314,7 +313,7 @@ class EventsBatch:
                 .partitionBy("batch").parquet(self.metrics)
             alerts.unpersist()
         finally:
-            batch.unpersist()
+            cached.unpersist()
 
     def notify(self, spark: SparkSession, alerts: DataFrame, name: str, stamp) -> DataFrame:
         """Cooldown against the outbox: a key is sent when its last notification
@@ -373,10 +372,12 @@ def start_queries(spark: SparkSession, raw: DataFrame, root: str, params: Params
 
 
 def await_all(spark: SparkSession, queries) -> None:
-    """Block until every query stops; stop all on the first failure."""
+    """Block until every query stops; stop all on the first failure,
+    whichever query it is."""
+    waiting = list(queries)
     try:
-        for q in queries:
-            q.awaitTermination()
+        while waiting:
+            waiting = [q for q in waiting if not q.awaitTermination(1)]
     finally:
         for q in queries:
             if q.isActive:
