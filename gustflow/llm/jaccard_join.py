@@ -47,7 +47,18 @@ NO_ID = -(1 << 63)
 
 
 def shingles(col: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every text's distinct shingles, by row, then hash."""
+    """(row, hash) of every text's distinct shingles, by row, then hash.
+    Hashing takes some 50 bytes a byte of text, so it goes slice by slice."""
+    at, rows, values = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for piece in chunks([pa.RecordBatch.from_arrays([col], ["text"])]):
+        row, value = _shingles(piece.column("text"), k)
+        rows.append(row + at)
+        values.append(value)
+        at += piece.num_rows
+    return np.concatenate(rows), np.concatenate(values)
+
+
+def _shingles(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     w = Words(col, lower=True)
     h = w.hash
     grams = gram_hash(h, k)
