@@ -298,7 +298,7 @@ def q_parse_current_payload(spark, sf_dir):
 @register("forecast_api_band")
 def q_forecast_api_band(spark, sf_dir):
     from ..sources.payloads import forecast_payloads, parse_forecast
-    out = parse_forecast(forecast_payloads(_obs(spark, sf_dir)), steps=12)
+    out = parse_forecast(forecast_payloads(_obs(spark, sf_dir), items=12), steps=12)
     out = out.withColumn("issued", F.date_format("issued", "yyyy-MM-dd"))
     return _r6(out, "yhat_lower", "yhat_upper")
 

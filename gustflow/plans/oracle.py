@@ -244,17 +244,17 @@ sql("forecast_api_band", f"""WITH {READINGS},
 ranked AS (SELECT *, CAST({ET} AS DATE) AS issued_d,
                   row_number() OVER (PARTITION BY city, CAST({ET} AS DATE) ORDER BY "timestamp", event_id) AS rn
            FROM readings),
-items AS (SELECT * FROM ranked WHERE rn <= 12),
+items AS (SELECT *, (rn - 1) // 12 AS payload FROM ranked),
 long AS (
-  SELECT city, issued_d, {ET} AS ds, 'temperature' AS metric, temperature AS yhat FROM items
-  UNION ALL SELECT city, issued_d, {ET}, 'humidity', humidity FROM items
-  UNION ALL SELECT city, issued_d, {ET}, 'wind_speed', wind_speed FROM items),
-band AS (SELECT city, issued_d, metric,
+  SELECT city, issued_d, payload, {ET} AS ds, 'temperature' AS metric, temperature AS yhat FROM items
+  UNION ALL SELECT city, issued_d, payload, {ET}, 'humidity', humidity FROM items
+  UNION ALL SELECT city, issued_d, payload, {ET}, 'wind_speed', wind_speed FROM items),
+band AS (SELECT city, issued_d, payload, metric,
            CASE WHEN count(yhat) > 1 THEN greatest(stddev_samp(yhat) * 0.3, 0.5) ELSE 0.5 END AS m
-         FROM long GROUP BY city, issued_d, metric)
-SELECT city, strftime(issued_d, '%Y-%m-%d') AS issued, metric, ds, yhat,
+         FROM long GROUP BY city, issued_d, payload, metric)
+SELECT city, strftime(issued_d, '%Y-%m-%d') AS issued, payload, metric, ds, yhat,
        {r6('yhat - m')} AS yhat_lower, {r6('yhat + m')} AS yhat_upper
-FROM long JOIN band USING (city, issued_d, metric)""")
+FROM long JOIN band USING (city, issued_d, payload, metric)""")
 
 
 # --------------------------------------------------------------------------

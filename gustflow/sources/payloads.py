@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, FORECAST_API_PATHS, Params
+from ..operators.clean import global_rank
 
 CURRENT_SCHEMA = T.StructType([
     T.StructField("dt", T.LongType()),
@@ -31,9 +32,6 @@ FORECAST_ITEM = T.StructType([
     T.StructField("wind", T.StructType([T.StructField("speed", T.DoubleType())])),
 ])
 
-# Fixed value: the provider's forecast list holds 40 items (5 days x 3 hours).
-FORECAST_PAYLOAD_ITEMS = 40
-
 
 def current_payloads(obs: DataFrame) -> DataFrame:
     """Build ``(status, body)`` current-conditions payloads from observations
@@ -63,23 +61,26 @@ def parse_current(payloads: DataFrame, keep: Sequence[str] = ("event_id",)) -> D
     )
 
 
-def forecast_payloads(obs: DataFrame, key: str = "city") -> DataFrame:
-    """One forecast payload per (city, day): the day's first readings in time
-    order as the item list (fixture side).  The per-group limit is applied
-    with ``row_number() <= k``, which Spark plans as a partial group limit."""
-    day = F.to_date(F.timestamp_seconds("timestamp")).alias("issued")
-    w = Window.partitionBy(key, "issued").orderBy("timestamp", "event_id")
-    ranked = obs.select(key, "timestamp", "event_id", "temperature", "humidity", "wind_speed", day) \
-        .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= FORECAST_PAYLOAD_ITEMS)
-    item = F.struct(F.col("_rn"), F.col("timestamp").alias("dt"),
+def forecast_payloads(obs: DataFrame, key: str = "city", items: int = 12) -> DataFrame:
+    """Forecast payloads per (city, day): the day's readings in time order, cut
+    into consecutive payloads of ``items``, so every reading lies in one
+    (fixture side).  The position inside a day is the difference of two global
+    ranks, so a day with a third of all readings is no single task."""
+    order = [key, "issued", "timestamp", "event_id"]
+    rows = obs.select(key, "timestamp", "event_id", "temperature", "humidity", "wind_speed",
+                      F.to_date(F.timestamp_seconds("timestamp")).alias("issued"))
+    ranked = global_rank(rows, order, name="_at")
+    firsts = ranked.groupBy(key, "issued").agg(F.min("_at").alias("_first"))
+    placed = ranked.join(firsts, [key, "issued"]).withColumn("payload", F.floor((F.col("_at") - F.col("_first")) / items))
+    item = F.struct(F.col("_at"), F.col("timestamp").alias("dt"),
                     F.struct(F.col("temperature").alias("temp"), F.col("humidity").alias("humidity")).alias("main"),
                     F.struct(F.col("wind_speed").alias("speed")).alias("wind"))
-    grouped = ranked.groupBy(key, "issued").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return grouped.select(key, "issued", F.transform("_items", lambda x: x.dropFields("_rn")).alias("list"))
+    grouped = placed.groupBy(key, "issued", "payload").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return grouped.select(key, "issued", "payload", F.transform("_items", lambda x: x.dropFields("_at")).alias("list"))
 
 
 def parse_forecast(payloads: DataFrame, metrics: Sequence[str] = ("temperature", "humidity", "wind_speed"),
-                   steps: int = 12, params: Params = DEFAULT, key_cols: Sequence[str] = ("city", "issued")) -> DataFrame:
+                   steps: int = 12, params: Params = DEFAULT, key_cols: Sequence[str] = ("city", "issued", "payload")) -> DataFrame:
     """First ``steps`` items of every payload for every metric, with a band of
     ``max(0.3 * sample stddev, 0.5)`` (0.5 for a single item)."""
     for m in metrics:

@@ -51,3 +51,13 @@ def test_second_query_failing_stops_the_first(spark):
     with pytest.raises(RuntimeError):
         await_all(spark, [first, second])
     assert first.stopped
+
+
+def test_every_reading_lies_in_one_payload(spark):
+    from gustflow.sources.payloads import forecast_payloads, parse_forecast
+    obs = spark.range(30).select(F.lit("A").alias("city"), (F.col("id") * 60).alias("timestamp"), F.col("id").alias("event_id"),
+                                 F.col("id").cast("double").alias("temperature"), F.lit(1.0).alias("humidity"), F.lit(2.0).alias("wind_speed"))
+    payloads = forecast_payloads(obs, items=12)
+    assert sorted((r["payload"], len(r["list"])) for r in payloads.collect()) == [(0, 12), (1, 12), (2, 6)]
+    got = parse_forecast(payloads, metrics=["temperature"], steps=5).collect()
+    assert sorted(r["yhat"] for r in got) == [*range(5), *range(12, 17), *range(24, 29)]
