@@ -139,7 +139,8 @@ def notifications(alerts: DataFrame, cooldown: int = DEFAULT.cooldown_seconds,
 
 def merge_history(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("city", "metric", "alert_type"),
                   order: Sequence[str] = ("detected_at", "timestamp")) -> DataFrame:
-    """Union stored and new alerts and keep the last per key (new wins over stored).
+    """Union stored and new alerts and keep the last per key (new wins over
+    stored), newest reading first.
 
     No new alerts: the stored history unchanged."""
     s = stored.withColumn("_src", F.lit(0))
@@ -147,7 +148,7 @@ def merge_history(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("cit
     both = s.unionByName(n, allowMissingColumns=True)
     cols = [c for c in both.columns if c not in keys and c != "_src"]
     agg = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct("_src", *order)).alias("_r"))
-    return agg.select(*keys, "_r.*").select(*[c for c in stored.columns])
+    return agg.select(*keys, "_r.*").select(*[c for c in stored.columns]).orderBy(F.col(order[-1]).desc(), *keys)
 
 
 def alert_kpis(alerts: DataFrame) -> DataFrame:

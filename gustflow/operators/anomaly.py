@@ -54,6 +54,17 @@ def _window_history(history: DataFrame, params: Params, time_col: str, cutoff) -
             .drop("_latest"))
 
 
+def history_cutoff(history: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequence[str] = METRICS,
+                   params: Params = DEFAULT, time_col: str = "event_time", prepared: bool = False):
+    """Start of the baseline window: newest prepared reading of ``history``
+    less ``baseline_days`` (one scalar; None for an empty history).  A source
+    that can filter on it reads only the window for the statistics."""
+    h = history if prepared else prepare_events(history, key_cols, metrics)
+    span = F.expr(f"INTERVAL {int(params.baseline_days)} DAYS")
+    # as text, so no Python-side time zone is involved
+    return h.agg((F.max(time_col) - span).cast("string")).first()[0]
+
+
 def baseline_wide(history: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequence[str] = METRICS,
                   params: Params = DEFAULT, time_col: str = "event_time", cutoff=None,
                   prepared: bool = False) -> DataFrame:

@@ -221,14 +221,20 @@ def forecast_holt(series: DataFrame, periods: int = 6, step: int = 1800, params:
 
 def backtest_holt(series: DataFrame, periods: int = 6, step: int = 1800, params: Params = DEFAULT,
                   alpha: float | None = None, beta: float | None = None) -> DataFrame:
+    """Hold-out error of Holt smoothing.  Like the linear back-test it returns
+    every series with ``min_history_points``; one too short to hold out
+    ``h`` points has n = 0 and null metrics."""
     pred = forecast_holt(series, periods, step, params, alpha, beta, holdout=True)
     joined = pred.join(series.select("city", "metric", "ds", "y"), ["city", "metric", "ds"]) \
         .where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
     err = F.col("y") - F.col("yhat")
-    return joined.groupBy("city", "metric").agg(
-        F.first("method").alias("method"), F.count(F.lit(1)).cast("int").alias("n"),
-        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse")
-    ).withColumn("message", F.lit(FORECAST_OK_MESSAGE))
+    scored = joined.groupBy("city", "metric").agg(
+        F.count(F.lit(1)).cast("int").alias("_n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    known = (series.groupBy("city", "metric").agg(F.count(F.lit(1)).alias("_points"))
+             .where(F.col("_points") >= params.min_history_points))
+    return known.join(scored, ["city", "metric"], "left").select(
+        "city", "metric", F.lit("exponential_smoothing").alias("method"), F.coalesce("_n", F.lit(0)).alias("n"),
+        "mae", "rmse", F.lit(FORECAST_OK_MESSAGE).alias("message"))
 
 
 def forecast(series: DataFrame, periods: int = 6, method: str = "auto", step: int = 1800,

@@ -51,13 +51,13 @@ def _alerts_out(df: DataFrame) -> DataFrame:
 @register("detect_anomalies")
 def q_detect_anomalies(spark, sf_dir):
     """Alerts for the last day of readings against all earlier readings."""
-    history, batch = fx.split_events(spark, sf_dir)
+    history, batch = fx.split_events(spark, sf_dir, since=anomaly.history_cutoff)
     return _alerts_out(anomaly.detect_anomalies(batch, history))
 
 
 @register("baseline_stats")
 def q_baseline_stats(spark, sf_dir):
-    history, _ = fx.split_events(spark, sf_dir)
+    history, _ = fx.split_events(spark, sf_dir, since=anomaly.history_cutoff)
     return _r6(anomaly.baseline_stats(history), "mean", "std")
 
 
@@ -71,7 +71,7 @@ def q_alerts_absolute(spark, sf_dir):
 @register("alerts_zscore")
 def q_alerts_zscore(spark, sf_dir):
     """Every z-score hit of the last day against the 7-day baseline."""
-    history, batch = fx.split_events(spark, sf_dir)
+    history, batch = fx.split_events(spark, sf_dir, since=anomaly.history_cutoff)
     return _r6(anomaly.alerts_zscore(batch, history).select(
         "timestamp", "event_id", "city", "metric", "alert_type", "severity", "value",
         "baseline_mean", "baseline_std", "z_score", "message"), "baseline_mean", "baseline_std")
@@ -89,6 +89,9 @@ def q_baseline_stats_lineitem(spark, sf_dir):
     li = fx.lineitem_readings(spark, sf_dir)
     metrics = ("l_quantity", "l_extendedprice", "l_discount")
     params = replace(DEFAULT, baseline_days=365)
+    cut = anomaly.history_cutoff(li, ("l_suppkey",), metrics, params, prepared=True)
+    if cut is not None:  # on the raw column, which Parquet skips row groups by
+        li = fx.lineitem_readings(spark, sf_dir, since=cut)
     out = anomaly.baseline_stats(li, key_cols=("l_suppkey",), metrics=metrics, params=params, prepared=True)
     return _r6(out, "mean", "std")
 
@@ -311,6 +314,11 @@ def _history(spark, sf_dir) -> DataFrame:
     return anomaly.rolling_detect(_obs(spark, sf_dir))
 
 
+def _hourly_history(spark, sf_dir) -> DataFrame:
+    """Hourly replay: a key's alerts come close enough for the cooldown to act."""
+    return anomaly.rolling_detect(_obs(spark, sf_dir), batch_seconds=3600)
+
+
 def _history_out(df: DataFrame) -> DataFrame:
     return _r6(df, "baseline_mean", "baseline_std")
 
@@ -323,9 +331,9 @@ def q_alert_history(spark, sf_dir):
 
 @register("cooldown")
 def q_cooldown(spark, sf_dir):
-    """Alerts of the history that pass the one-hour notification cooldown."""
+    """Alerts of the hourly replay that pass the one-hour notification cooldown."""
     from ..operators.alerts import cooldown_sent, with_alert_key
-    hist = with_alert_key(_history(spark, sf_dir))
+    hist = with_alert_key(_hourly_history(spark, sf_dir))
     sent = cooldown_sent(hist, ("alert_key",), "timestamp", ("batch_id",), DEFAULT.cooldown_seconds)
     return sent.select("alert_key", "timestamp", "batch_id", "severity")
 
@@ -333,7 +341,7 @@ def q_cooldown(spark, sf_dir):
 @register("notifications")
 def q_notifications(spark, sf_dir):
     from ..operators.alerts import notifications
-    return notifications(_history(spark, sf_dir))
+    return notifications(_hourly_history(spark, sf_dir))
 
 
 @register("merge_alert_history")
@@ -475,7 +483,7 @@ def q_lake_roundtrip(spark, sf_dir):
     root = _lake_path(spark, "events")
     lake.write_events(_obs(spark, sf_dir), root, batch="0")
     out = lake.scan_events(spark, root)
-    return out.select(*[c for c in lake.EVENT_COLUMNS if c not in ("event_date", "batch")],
+    return out.select(*[c for c in lake.EVENT_COLUMNS if c not in ("ingest_seq", "event_date", "batch")],
                       F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
 
 
@@ -708,7 +716,7 @@ def q_window_agg_live_city(spark, sf_dir):
 @register("alert_messages")
 def q_alert_messages(spark, sf_dir):
     """Every candidate alert of the last day (absolute and z rules) with its message."""
-    history, batch = fx.split_events(spark, sf_dir)
+    history, batch = fx.split_events(spark, sf_dir, since=anomaly.history_cutoff)
     new_p = clean.prepare_events(batch)
     cands = anomaly.candidate_alerts(new_p, anomaly.baseline_wide(history))
     return cands.select("timestamp", "event_id", "city", "alert_type", "message")

@@ -262,17 +262,18 @@ FROM long JOIN band USING (city, issued_d, payload, metric)""")
 # --------------------------------------------------------------------------
 
 HIST = f"{READINGS},\n{rolling_ctes()}"
+HOURLY = f"{READINGS},\n{rolling_ctes(batch=3600)}"
 HIST_OUT = f"""{ALERT_OUT}, batch_id, detected_at"""
 
 sql("alert_history", f"WITH {HIST} SELECT {HIST_OUT} FROM hist_alerts")
 
 KEYED = """keyed AS (SELECT *, city || ':' || metric || ':' || alert_type AS alert_key FROM hist_alerts)"""
 
-sql("cooldown", f"""WITH {HIST}, {KEYED}, {cooldown_ctes('keyed')}
+sql("cooldown", f"""WITH {HOURLY}, {KEYED}, {cooldown_ctes('keyed')}
 SELECT DISTINCT keyed.alert_key, keyed."timestamp", keyed.batch_id, keyed.severity
 FROM keyed JOIN sent ON sent.k = keyed.alert_key AND sent.t = keyed."timestamp" AND sent.s = keyed.batch_id""")
 
-sql("notifications", f"""WITH {HIST}, {KEYED}, {cooldown_ctes('keyed')}
+sql("notifications", f"""WITH {HOURLY}, {KEYED}, {cooldown_ctes('keyed')}
 SELECT keyed.alert_key, '[' || upper(coalesce(severity, 'medium')) || '] ' || message AS text,
        make_timestamp(keyed."timestamp" * 1000000) AS sent_at, keyed.batch_id
 FROM keyed JOIN sent ON sent.k = keyed.alert_key AND sent.t = keyed."timestamp" AND sent.s = keyed.batch_id""")

@@ -172,7 +172,7 @@ def utc_text(ts: str, pattern: str = "%Y-%m-%d %H:%M:%S") -> str:
 
 
 def rolling_ctes(src: str = "readings", batch: int = 86400, days: int = 7, min_n: int = 5) -> str:
-    """CTEs ending in ``hist_alerts``: every day scored against all earlier readings."""
+    """CTEs ending in ``hist_alerts``: every batch (a day) scored against all earlier readings."""
     base_parts = []
     for m in METRICS:
         base_parts.append(f"""SELECT d, city, {_q(m)} AS metric, avg({m}) AS mean, stddev_pop({m}) AS std

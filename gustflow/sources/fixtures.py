@@ -90,7 +90,7 @@ def split_history_batch(obs: DataFrame, seconds: int = 86400, time_col: str = "t
     return history, batch
 
 
-def split_events(spark: SparkSession, sf_dir: str, seconds: int = 86400):
+def split_events(spark: SparkSession, sf_dir: str, seconds: int = 86400, since=None):
     """``split_history_batch`` over ``events`` with the cut pushed to the scan.
 
     The cut (newest reading - ``seconds``, in whole seconds) is computed first
@@ -98,7 +98,11 @@ def split_events(spark: SparkSession, sf_dir: str, seconds: int = 86400):
     on the raw ``ts`` column, which Parquet uses for row-group skipping
     (``PushedFilters``): the batch side reads only the last ``seconds``.
     Same rows as the lazy split: ``timestamp >= cut`` exactly when
-    ``ts >= cut`` for a whole-second cut."""
+    ``ts >= cut`` for a whole-second cut.
+
+    ``since`` maps the history to a lower time bound (or None): the returned
+    history is then read from that bound on, again by a literal predicate on
+    ``ts``.  The bound must be in whole seconds, as event times are."""
     import datetime as dt
     ev = table(spark, sf_dir, "events")
     newest = ev.agg(F.max("ts")).first()[0]
@@ -108,13 +112,19 @@ def split_events(spark: SparkSession, sf_dir: str, seconds: int = 86400):
     cut = newest.replace(microsecond=0) - dt.timedelta(seconds=int(seconds))
     # a text literal, so no Python-side time zone is involved
     bound = F.lit(cut.isoformat(sep=" ")).cast(ev.schema["ts"].dataType)
-    return (readings_from_events(ev.where(F.col("ts") < bound)),
-            readings_from_events(ev.where(F.col("ts") >= bound)))
+    past, batch = ev.where(F.col("ts") < bound), readings_from_events(ev.where(F.col("ts") >= bound))
+    lower = since(readings_from_events(past)) if since else None
+    if lower is not None:
+        past = past.where(F.col("ts") >= F.lit(lower).cast(ev.schema["ts"].dataType))
+    return readings_from_events(past), batch
 
 
-def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generic run: key ``l_suppkey``, time ``l_shipdate``, three metrics."""
+def lineitem_readings(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """The generic run: key ``l_suppkey``, time ``l_shipdate``, three metrics;
+    ``since`` (midnight of a date) is a lower bound pushed to the scan."""
     li = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        li = li.where(F.col("l_shipdate") >= F.lit(since).cast(li.schema["l_shipdate"].dataType))
     return li.select(
         "l_suppkey",
         F.col("l_shipdate").cast("timestamp").alias("event_time"),

@@ -9,11 +9,13 @@ Layout
   duplicating rows.  Rows are range-partitioned on (event_date, city,
   timestamp) before the write so a hot date is split over several tasks
   and files are sorted for row-group pruning on city.
+  ``ingest_seq`` is the write's arrival order (microseconds since the epoch
+  when it began); keep-last orders by it, never by the text of batch names.
 * aggregates: ``<root>/window_date=YYYY-MM-DD/``.
 * alerts: ``<root>/detected_date=YYYY-MM-DD/``.
 
 ``compact_events`` folds the many small batch folders of a closed date into
-one de-duplicated batch.
+one de-duplicated batch whose rows keep their ``ingest_seq``.
 
 Readers use explicit schemas; a missing root gives a typed empty frame and
 real I/O errors surface.
@@ -21,6 +23,8 @@ real I/O errors surface.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +41,13 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("wind_speed", T.DoubleType()),
     T.StructField("weather_condition", T.StringType()),
     T.StructField("event_time", T.TimestampType()),
+    T.StructField("ingest_seq", T.LongType()),
     T.StructField("event_date", T.DateType()),
     T.StructField("batch", T.StringType()),
 ])
 EVENT_COLUMNS = [f.name for f in EVENT_SCHEMA.fields]
+#: Keep-last order: arrival, then the writer's batch and the reading's own number.
+WRITE_ORDER = ("ingest_seq", "batch", "event_id")
 
 AGGREGATE_SCHEMA = T.StructType([
     T.StructField("city", T.StringType()),
@@ -101,8 +108,11 @@ def _read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
 
 def write_events(df: DataFrame, root: str, batch: str) -> None:
     """Append (replay-safely) one writer batch of observations.  ``batch`` names
-    the write: the same name replaces its own rows, another name adds."""
+    the write: the same name replaces its own rows, another name adds.  Rows
+    that carry an ``ingest_seq`` keep it; others get this write's."""
     rows = with_event_date(with_event_time(df))
+    if "ingest_seq" not in rows.columns:
+        rows = rows.withColumn("ingest_seq", F.lit(time.time_ns() // 1000))
     for c in EVENT_SCHEMA.fields:
         if c.name not in rows.columns and c.name != "batch":
             rows = rows.withColumn(c.name, F.lit(None).cast(c.dataType))
@@ -123,7 +133,7 @@ def scan_events(spark: SparkSession, root: str, since=None) -> DataFrame:
 
 
 def load_events(spark: SparkSession, root: str, since=None, limit: int | None = None,
-                order=("batch", "event_id")) -> DataFrame:
+                order=WRITE_ORDER) -> DataFrame:
     """Stored events, keep-last per (city, timestamp) in write order, optional last N."""
     df = dedupe_last(scan_events(spark, root, since), ("city", "timestamp"), order)
     if limit:
@@ -131,16 +141,16 @@ def load_events(spark: SparkSession, root: str, since=None, limit: int | None =
     return df
 
 
-def compact_events(spark: SparkSession, root: str, event_date, order=("batch", "event_id")) -> int:
+def compact_events(spark: SparkSession, root: str, event_date, order=WRITE_ORDER) -> int:
     """Fold all writer batches of one closed ``event_date`` into a single
     de-duplicated batch (keep-last, as the loader reads it) and remove the
     folded batch folders.  Returns the number of folders removed.
 
-    The compacted batch is named so that it sorts after every writer batch,
-    which keeps ``load_events`` results unchanged; re-running is harmless."""
+    Rows keep their arrival order, so ``load_events`` returns the same and a
+    correction written later still wins; re-running is harmless."""
     import datetime as dt
     day = event_date if isinstance(event_date, dt.date) else dt.date.fromisoformat(str(event_date))
-    target = f"~compacted-{day.isoformat()}"
+    target = f"compacted-{day.isoformat()}"
     rows = scan_events(spark, root).where(F.col("event_date") == F.lit(day))
     folded = dedupe_last(rows, ("city", "timestamp"), order).drop("event_time", "event_date", "batch")
     # materialise before touching the folders that were read

@@ -243,7 +243,7 @@ class EventsBatch:
                      .where((F.col("event_date") <= F.lit(since + dt.timedelta(days=1)))
                             & (F.col("timestamp") >= cut) & (F.col("timestamp") < (h0 + 1) * MOMENT_GRAIN))
                      .where(~self.same_or_later(batch)))
-        edge = anomaly.moments(prepare_events(edge_rows.drop("event_time", "event_date", "batch")), ["city"], metrics)
+        edge = anomaly.moments(prepare_events(edge_rows.drop("event_time", "ingest_seq", "event_date", "batch")), ["city"], metrics)
         merged = anomaly.combine_moments(whole.unionByName(edge), ["city"], metrics)
         return anomaly.moments_baseline(merged, ["city"], metrics, self.params)
 
@@ -290,7 +290,7 @@ class EventsBatch:
             new = batch.drop("event_time", "event_date")
             if self.baseline_source == "scan":
                 history = self.history(spark, name)
-                alerts = detect_anomalies(new, history.drop("event_time", "event_date", "batch"), params=self.params)
+                alerts = detect_anomalies(new, history.drop("event_time", "ingest_seq", "event_date", "batch"), params=self.params)
             else:
                 alerts = anomaly.detect_against(new, self.baseline(spark, name), params=self.params)
             alerts = alerts.persist()
@@ -361,7 +361,10 @@ def start_events_stream(parsed: DataFrame, body: EventsBatch, checkpoint: str, t
 def start_queries(spark: SparkSession, raw: DataFrame, root: str, params: Params = DEFAULT,
                    trigger: str | None = None, dedupe: str = "bounded"):
     """Both queries off the same source: lake/alerts and window aggregates.
-    Each query keeps its own offsets and dedupe state.  Returns both handles."""
+    Each query keeps its own offsets and dedupe state.  Both run continuously
+    at ``params.trigger_interval`` unless ``trigger`` says otherwise
+    (``'availableNow'``: what is there, then stop).  Returns both handles."""
+    trigger = trigger or params.trigger_interval
     parsed = parse_stream(raw, params, dedupe)
     # the tag is stable for one checkpoint, so a restart keeps its batch names
     tag = hashlib.sha1(f"{root}/checkpoints/events".encode()).hexdigest()[:8]

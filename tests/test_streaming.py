@@ -130,7 +130,7 @@ def test_two_queries_off_one_source(spark):
     _write_file(spark, stage, "f1.json", [rec(base + i * 60, eid=i) for i in range(10)], 1_000_000)
     _write_file(spark, stage, "f2.json", [rec(base + 7200, eid=99)], 2_000_000)
     from gustflow.streaming.jobs import await_all, start_queries
-    qs = start_queries(spark, source(spark, "files", stage, max_files=1), root)
+    qs = start_queries(spark, source(spark, "files", stage, max_files=1), root, trigger="availableNow")
     await_all(spark, qs)
     assert all(q.exception() is None for q in qs)
     assert lake.scan_events(spark, f"{root}/serve/events").count() == 11
