@@ -79,7 +79,6 @@ COMFORT_TOP = "Extreme heat"
 # Frequency buckets for median inter-arrival seconds (inclusive upper bounds).
 FREQ_BUCKETS = ((90, "1min"), (600, "5min"), (2100, "30min"))
 FREQ_TOP = "1H"
-FREQ_DEFAULT = "30min"
 
 # Forecast metric metadata (API payload paths) for the provider forecast.
 FORECAST_API_PATHS = {
@@ -88,9 +87,6 @@ FORECAST_API_PATHS = {
     "wind_speed": ("wind", "speed"),
 }
 
-# Known forecast methods.
-FORECAST_METHODS = ("auto", "prophet", "exponential_smoothing", "linear_trend")
-
 NEED_POINTS_MESSAGE = (
     "Need at least {n} points for {city}. "
     "Keep the pipeline running to collect more history."
@@ -110,7 +106,6 @@ class Params:
     window_duration: str = "5 minutes"
     watermark_delay: str = "10 minutes"
     trigger_interval: str = "30 seconds"
-    resample_minutes: int = 30
     min_history_points: int = 12
     forecast_periods: int = 6
     stale_after_seconds: int = 120

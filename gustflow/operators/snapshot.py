@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import CITY_COORDINATES, METRICS
 from ..functions.scalars import comfort_label, fmt, format_delta, format_utc, heat_index_celsius, round_half_up
-from .clean import dedupe_last, latest_per_key, with_event_time
+from .clean import dedupe_last, drop_blank, latest_per_key, with_event_time
 
 
 def city_dim(spark: SparkSession) -> DataFrame:
@@ -65,7 +65,7 @@ def snapshot_delta(df: DataFrame, key: str = "city", metrics: Sequence[str] = ME
                    order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame:
     """Per city: previous and current value (rounded 0.1) and the signed delta
     text of every metric, the update time and the conditions; blank keys dropped."""
-    clean = df.where(F.col(key).isNotNull() & (F.trim(F.col(key)) != ""))
+    clean = drop_blank(df, key)
     clean = with_event_time(clean)
     pl = previous_and_latest(clean, key, order)
     out = [F.col(key)]
@@ -102,10 +102,16 @@ def latest_event_time(df: DataFrame, time_col: str = "event_time") -> DataFrame:
     return df.agg(F.max(time_col).alias("latest"))
 
 
-def freshness_status(df: DataFrame, now, stale_after_seconds: int = 120, time_col: str = "event_time") -> DataFrame:
-    """One row: count, latest event time, age in seconds and the status text."""
-    now_ts = F.lit(now).cast("timestamp")
-    agg = df.agg(F.count(F.lit(1)).alias("readings"), F.max(time_col).alias("latest"))
+def freshness_status(df: DataFrame, now, stale_after_seconds: int = 120, time_col: str = "event_time",
+                     key_cols: Sequence[str] = ()) -> DataFrame:
+    """Count, latest event time, age in seconds and the status text: one row,
+    or one per key.  ``now`` is a literal or a one-row, one-column frame."""
+    agg = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("readings"), F.max(time_col).alias("latest"))
+    if isinstance(now, DataFrame):  # one row: a proven broadcast bound
+        agg = agg.crossJoin(F.broadcast(now.toDF("_now")))
+        now_ts = F.col("_now")
+    else:
+        now_ts = F.lit(now).cast("timestamp")
     age = F.unix_micros(now_ts) - F.unix_micros(F.col("latest"))
     age_s = F.floor(age / 1_000_000).cast("long")
     status = (F.when(F.col("readings") == 0, F.lit("No data"))
@@ -113,7 +119,7 @@ def freshness_status(df: DataFrame, now, stale_after_seconds: int = 120, time_co
               .when(age > stale_after_seconds * 1_000_000,
                     F.concat(F.lit("Stale ("), age_s.cast("string"), F.lit("s old)")))
               .otherwise(F.lit("Healthy")))
-    return agg.select("readings", "latest", age_s.alias("age_seconds"), status.alias("status"),
+    return agg.select(*key_cols, "readings", "latest", age_s.alias("age_seconds"), status.alias("status"),
                       format_utc(F.col("latest")).alias("updated"))
 
 

@@ -253,17 +253,8 @@ def q_temperature_ranking(spark, sf_dir):
 def q_freshness_status(spark, sf_dir):
     """Per-city freshness against the newest reading of the whole table."""
     obs = clean.with_event_time(_obs(spark, sf_dir))
-    now = obs.agg(F.max("event_time").alias("_now"))
-    per_city = obs.groupBy("city").agg(F.count(F.lit(1)).alias("readings"), F.max("event_time").alias("latest"))
-    age = F.unix_seconds("_now") - F.unix_seconds("latest")
-    status = (F.when(F.col("readings") == 0, F.lit("No data"))
-              .when(F.col("latest").isNull(), F.lit("Unknown"))
-              .when(age > DEFAULT.stale_after_seconds, F.concat(F.lit("Stale ("), age.cast("string"), F.lit("s old)")))
-              .otherwise(F.lit("Healthy")))
-    from ..functions.scalars import format_utc
-    return per_city.crossJoin(F.broadcast(now)).select(
-        "city", "readings", "latest", age.alias("age_seconds"), status.alias("status"),
-        format_utc("latest").alias("updated"))
+    from ..operators.snapshot import freshness_status, latest_event_time
+    return freshness_status(obs, latest_event_time(obs), DEFAULT.stale_after_seconds, key_cols=("city",))
 
 
 @register("shift_to_now")

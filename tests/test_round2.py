@@ -122,3 +122,15 @@ def test_history_scan_has_a_pushed_lower_bound(spark, sf_dir):
     a = sorted(map(tuple, anomaly.baseline_stats(history).collect()))
     b = sorted(map(tuple, anomaly.baseline_stats(whole).collect()))
     assert [r[:2] + r[4:] for r in a] == [r[:2] + r[4:] for r in b]
+
+
+def test_freshness_status_texts(spark):
+    import datetime as dt
+    from gustflow.operators.snapshot import freshness_status
+    t = dt.datetime(2024, 1, 1, 12)
+    df = spark.createDataFrame([("a", t), ("b", t - dt.timedelta(seconds=121)), ("c", None)], "city string, event_time timestamp")
+    now = df.agg(F.max("event_time"))
+    got = {r.city: (r.readings, r.status) for r in freshness_status(df, now, key_cols=("city",)).collect()}
+    assert got == {"a": (1, "Healthy"), "b": (1, "Stale (121s old)"), "c": (1, "Unknown")}
+    (none,) = freshness_status(df.where("false"), "2024-01-01 12:00:00").collect()
+    assert (none.readings, none.status) == (0, "No data")
