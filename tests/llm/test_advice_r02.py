@@ -1,0 +1,21 @@
+"""Tests of the findings of the second review."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from gustflow.llm import bpe, common, cross_polytope, jaccard_join, langid, line_quality, secrets, toxicity
+from test_llm import WORD, brute_quality, frame, sets_of, texts, words  # noqa: F401
+
+
+def test_pipeline_removes_a_line_of_a_twentieth_of_a_large_host(spark):
+    line = "the same footer of many pages"
+    rows = [(i, "\n".join(([line] if i % 20 == 0 else []) + [" ".join(words(60, 10_000 + i, 9000))]), "en", "hot") for i in range(1000)]
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()}
+    assert kept.keys() >= {0, 20, 980} and not any(line in t for t in kept.values())
+    assert {r["n_removed"] for r in line_quality.quality(frame(spark, rows)).collect()} == {0}  # op3: the limit of its SQL
