@@ -135,18 +135,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         return None
     share = F.when(F.col("y") == 1, min(1.0, 1.2 * per_class / counts[1])).otherwise(min(1.0, 1.2 * per_class / counts[0]))
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = marked.where(place < share)  # about 1.2 * per_class rows a class: a bounded broadcast
+    chosen = marked.withColumn("place", place).where(place < share)  # about 1.2 * per_class rows a class: a bounded broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             row, word = features(b.column("text"))
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
             own = [word[i:j].astype("<i4").tobytes() for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(own, pa.binary())], ["doc_id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("place"), pa.array(own, pa.binary())], ["doc_id", "y", "place", "words"])
 
     got = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-           .join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, words binary").toPandas())
-    got = got.sort_values(["doc_id", "words"]).drop_duplicates("doc_id").groupby("y").head(per_class)
+           .join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, place double, words binary").toPandas())
+    got = got.sort_values(["place", "doc_id", "words"]).drop_duplicates("doc_id").groupby("y").head(per_class)
     y = got["y"].to_numpy()
     if set(y.tolist()) != {0, 1}:
         return None

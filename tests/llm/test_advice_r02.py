@@ -19,3 +19,20 @@ def test_pipeline_removes_a_line_of_a_twentieth_of_a_large_host(spark):
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()}
     assert kept.keys() >= {0, 20, 980} and not any(line in t for t in kept.values())
     assert {r["n_removed"] for r in line_quality.quality(frame(spark, rows)).collect()} == {0}  # op3: the limit of its SQL
+
+
+def test_toxicity_sample_is_no_prefix_of_the_ids(spark, monkeypatch):
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.append((rows, y)))
+    toxicity.train(frame(spark, [(i, f"word{i}") for i in ids]), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"), per_class=40)
+    (rows, y), by_word = seen[0], {int(toxicity.features(np_text(f"word{i}"))[1][0]): i for i in ids}
+    drawn = [by_word[int(r[0])] for r in rows]
+    place = {r["id"]: r["p"] for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", f"pmod(xxhash64(id, 'toxicity'), {1 << 40}L) p").collect()}
+    for c in (0, 1):
+        assert sorted(d for d, one in zip(drawn, y) if one == c) == sorted(sorted((i for i in ids if i % 2 == c), key=place.get)[:40])
+
+
+def np_text(text):
+    import pyarrow as pa
+    return pa.array([text])
