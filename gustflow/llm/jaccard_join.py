@@ -330,10 +330,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, d, k, n_shingles, component_id) per row.
+    """(doc_id, d, k, n_shingles, component_id, part) per row; part names the
+    component by a set of it, as two components may share a doc_id.
 
     Null, empty and wordless texts have an empty set and link with nothing;
-    so does a row with a null doc_id (component_id null).  Rows with equal
+    so does a row with a null doc_id (component_id null); their part is null.  Rows with equal
     sets are linked, repeated ones included.  An empty table gives an empty
     result; other columns are ignored.
     """
@@ -354,11 +355,13 @@ def classes(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     sets = written(texts.select("fp", "copies", "text").mapInArrow(build, "fp binary, copies long, n long, shingles binary"), "sets")
     part = components(sets.select(F.col("fp").alias("id")), links(sets, percent))
     least = part.withColumnRenamed("id", "fp").join(kinds.select("fp", "least"), "fp")
-    label = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    final = kinds.select("fp", "least").join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("of"))
+    label = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
+    final = kinds.select("fp", "least").join(label, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("of"), F.coalesce("component", "fp").alias("set"))
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return base.join(final, "fp", "left").select(
         "doc_id", "d", "k", F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("of")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(linkable, F.col("of")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linkable, F.col("set")).alias("part"))
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -366,12 +369,14 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all columns, whose doc_id is its component's smallest;
-    of rows that repeat that doc_id, the one with the least text hash."""
-    kept = classes(docs, k, percent).where("component_id is null or component_id = doc_id")
-    kept = kept.groupBy("d").agg(F.min("k").alias("k"), F.first("doc_id").alias("doc_id"))
+    """One row, with all columns, of every component: the smallest doc_id's
+    and, of its different texts there, the one with the least text hash.
+    Unlinked texts under one doc_id all stay, as do rows without a doc_id."""
+    named = written(classes(docs, k, percent).select("d", "k", "part"), "named")
+    kept = (named.where("part is not null").groupBy("part").agg(F.min(F.struct("d", "k")).alias("x")).select("x.*")
+            .union(named.where("part is null").select("d", "k")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("k"))
     null_id = F.col("d") == NO_ID
-    named = rows.join(kept.select("d", "k"), ["d", "k"], "left_semi").where(~null_id).dropDuplicates(["d", "k"])
+    named = rows.join(kept, ["d", "k"], "left_semi").where(~null_id).dropDuplicates(["d", "k"])
     return named.unionByName(rows.where(null_id)).select("_row.*")

@@ -36,3 +36,13 @@ def test_toxicity_sample_is_no_prefix_of_the_ids(spark, monkeypatch):
 def np_text(text):
     import pyarrow as pa
     return pa.array([text])
+
+
+def test_every_component_keeps_a_row_under_clashing_ids(spark):
+    one, other, third = (" ".join(words(200, s, 5000)) for s in (70, 71, 72))
+    near = one + " tail"
+    for a, b in ((one, other), (other, one)):
+        rows = [(5, a), (5, b), (7, near), (5, a), (8, third), (8, third + " end"), (9, ""), (9, " "), (None, one)]
+        kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(frame(spark, rows)).collect())
+        assert {(5, one), (5, other), (9, ""), (9, " "), (None, one)} <= set(kept) and not any(d == 7 for d, _ in kept)
+        assert len([1 for d, _ in kept if d == 8]) == 1 and set(kept.values()) == {1}
