@@ -6,7 +6,9 @@ whole corpus the distinct owners (``source``) and repositories (documents) of
 each hash are counted.  A value found under ``EXAMPLE_OWNERS`` owners or more
 is a widely copied example; any other is owner-specific, and live-looking
 unless it is a placeholder.  Generic tokens are reported only when
-owner-specific and live-looking; the other three kinds always are.
+owner-specific and live-looking; the other three kinds always are.  The
+verdict is by owners alone, since a credential copied through one owner's
+documents is still that owner's; both counts are returned with every span.
 """
 
 from __future__ import annotations
@@ -120,17 +122,18 @@ def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> tuple
 
 
 def judged(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """(d, k, spans array<struct<start,kind,end,verdict>>) of rows with finds;
+    """(d, k, spans array<struct<start,kind,end,verdict,owners,repositories>>) of rows with finds;
     verdict is ``live``, ``example`` or ``dull`` (owner-specific placeholder)."""
     flat, stats = ownership(scanned, example_owners)
     verdict = F.when(F.col("example"), "example").when(F.col("live"), "live").otherwise("dull")
     return (flat.join(stats, "hash").withColumn("verdict", verdict).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
-            .groupBy("d", "k").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "verdict"))).alias("spans")))
+            .groupBy("d", "k").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "verdict", "owners", "repositories"))).alias("spans")))
 
 
 def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_example) per row.
+    n_example, spread) per row; spread has ``owners:repositories`` of every
+    span's value, in the order of spans.
 
     Null text counts as empty, a null source is an owner of its own, repeated
     rows get equal results and count as one repository, an empty table gives
@@ -140,11 +143,13 @@ def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     spans = judged(scanned, example_owners)
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    spread = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["owners"], s["repositories"])), ",")
     number = lambda v: F.coalesce(F.size(F.filter("spans", lambda s: s["verdict"] == v)), F.lit(0)).cast("long")
     return (scanned.drop("finds", "owner").withColumn("d", _d()).join(spans, ["d", "k"], "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"),
         F.when(F.col("spans").isNull(), 0).otherwise(number("live")).cast("long").alias("n_live"),
-        F.when(F.col("spans").isNull(), 0).otherwise(number("example")).cast("long").alias("n_example")))
+        F.when(F.col("spans").isNull(), 0).otherwise(number("example")).cast("long").alias("n_example"),
+        F.coalesce(spread, F.lit("")).alias("spread")))
 
 
 MASK = "[secret]"
