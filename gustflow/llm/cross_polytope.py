@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gustflow.llm.common import components, digest, written
 
-TABLES = 16
+TABLES = 16  # at least; more for wide hashes, see tables_for
 PROBES = 3
 THRESHOLD = 0.95
+RECALL = 0.9999
 BLOCK = 1024
 SEED = 20
 
@@ -84,6 +85,27 @@ def width_for(n: int, d: int) -> int:
     return max(1, min(62 // int(math.log2(axes)), math.ceil(math.log(max(2, n)) / math.log(axes))))
 
 
+def table_chance(width: int, d: int, threshold: float = THRESHOLD, probes: int = PROBES, pairs: int = 256, tables: int = 4) -> float:
+    """Estimated chance that two vectors with a cosine of ``threshold`` share
+    a bucket of one table: random pairs, hashed."""
+    rng = np.random.default_rng(SEED + 1)
+    x, y = rng.normal(size=(2, pairs, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    a, b = (buckets(v, width, tables, probes, SEED + 1) for v in (x, threshold * x + math.sqrt(max(0.0, 1 - threshold ** 2)) * y))
+    return float((a[:, :, :, None] == b[:, :, None, :]).any((2, 3)).mean())
+
+
+def tables_for(width: int, d: int, threshold: float = THRESHOLD, probes: int = PROBES, recall: float = RECALL) -> int:
+    """Tables that find a pair at the threshold with a chance of ``recall``:
+    a wider hash parts it more often.  A power of two, so a bucket's name
+    modulo the tables is its table even where the name wraps."""
+    chance = min(max(table_chance(width, d, threshold, probes), 1e-3), 1 - 1e-9)
+    need = math.log(1 - recall) / math.log(1 - chance)
+    return max(TABLES, 1 << math.ceil(math.log2(max(1.0, need))))
+
+
 def unit(col: pa.Array) -> tuple[np.ndarray, list[int]]:
     """Unit vectors in double precision and the rows that have one: not
     null, no null or non-finite component, not zero."""
@@ -117,7 +139,7 @@ def classes(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
-                    tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+                    tables: int | None = None, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per distinct vec_id.
 
     Vectors that are null, empty, zero or hold null or non-finite components
@@ -131,6 +153,7 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     reps = written(named.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "classes")
     size = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("d")).first()
     width = width_for(size["n"], size["d"] or 2)
+    tables = tables or tables_for(width, size["d"] or 2, threshold, probes)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -124,3 +124,16 @@ def test_pipeline_run_equals_five_plain_stages(spark, texts, tmp_path):  # noqa:
     for _, own in got.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 2048
+
+
+@pytest.mark.parametrize("width, dim", [(5, 64), (4, 128), (6, 64)])
+def test_wide_hashes_keep_the_recall(width, dim):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2, 1500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + (1 - 0.95 ** 2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables = cross_polytope.tables_for(width, dim)
+    a, b = (cross_polytope.buckets(v, width, tables) for v in (x, y))
+    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.999
+    assert tables > cross_polytope.TABLES and cross_polytope.tables_for(3, 64) == cross_polytope.TABLES
