@@ -40,7 +40,7 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, component) for every row of ``vertices(id)``: component = smallest
     id reachable over the undirected ``edges(a, b)``.
 
@@ -50,13 +50,17 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 40) -> D
     logarithmic in the component's diameter.  A hub is a hot key only as the
     group's minimum, an aggregation that combines on the map side; re-hanging
     is a join that adaptive skew splitting can cut.  Every round is written
-    to the shared folder.
+    to the shared folder.  Rounds go on until one changes nothing; with
+    ``max_rounds``, labels that have not settled by then are an error.
     """
     e = (edges.where("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     e = written(e, "edges")
-    last = None
-    for _ in range(0 if e.isEmpty() else max_rounds):
+    last, rounds, settled = None, 0, e.isEmpty()
+    while not settled:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+        rounds += 1
         # large star: hang every larger neighbour on the smallest neighbour (or itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -67,9 +71,7 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 40) -> D
                  .union(low2.select("u", F.col("m").alias("v"))).distinct())
         e = written(small, "edges")
         sig = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sig == last:
-            break
-        last = sig
+        settled, last = sig == last, sig
     labels = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return vertices.select("id").distinct().join(labels, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component"))

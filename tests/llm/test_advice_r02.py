@@ -137,3 +137,11 @@ def test_wide_hashes_keep_the_recall(width, dim):
     a, b = (cross_polytope.buckets(v, width, tables) for v in (x, y))
     assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.999
     assert tables > cross_polytope.TABLES and cross_polytope.tables_for(3, 64) == cross_polytope.TABLES
+
+
+def test_unsettled_components_are_an_error(spark):
+    path = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    ids = spark.range(301)
+    with pytest.raises(RuntimeError):
+        common.components(ids, path, max_rounds=2)
+    assert {r["component"] for r in common.components(ids, path).collect()} == {0}
