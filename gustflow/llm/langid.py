@@ -29,8 +29,6 @@ BITS = (10, 13, 15)
 PER_LANGUAGE = 500
 LANDMARKS = 256
 RIDGE = 1e-3
-#: Most label values the fit handles (the frequent ones); labels are a small code list.
-MAX_LANGUAGES = 200
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 BLOCK = 64
@@ -109,7 +107,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang")).where(
         (bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & text.rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * per_language / r["count"]))])

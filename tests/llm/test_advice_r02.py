@@ -145,3 +145,10 @@ def test_unsettled_components_are_an_error(spark):
     with pytest.raises(RuntimeError):
         common.components(ids, path, max_rounds=2)
     assert {r["component"] for r in common.components(ids, path).collect()} == {0}
+
+
+def test_all_languages_are_learnt(spark):
+    rows = [(i, " ".join(["x" + hashlib.sha256(f"{i % 203}".encode()).hexdigest()[:12]] * 3), f"l{i % 203:03}") for i in range(203 * 8)]
+    model = langid.train(frame(spark, rows))
+    learnt = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % langid.FOLDS != langid.HELD_OUT}
+    assert len(learnt) > 200 and set(model.languages) == learnt
