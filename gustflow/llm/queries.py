@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gustflow.llm.common import documents
+from gustflow.llm.sql import DECONTAMINATION, merkle
 from gustflow.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.merkle import checked
+    return checked(documents(spark, sf_dir))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.periodic import analyse
+    return analyse(documents(spark, sf_dir), tails=True)
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustflow.llm.decontam import contaminated
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE["op11_merkle_manifest"] = merkle()
+
+ORACLE["op13_decontamination"] = DECONTAMINATION
+
 ORACLE["op3_line_quality"] = r"""
 WITH base AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
