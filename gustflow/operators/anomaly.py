@@ -223,11 +223,13 @@ def score_latest(obs: DataFrame, holdout_rows: int = 10, key_cols: Sequence[str]
 def combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Merge partial (n, mean, M2) per metric into one per group (Chan et al.'s
     parallel update, two passes so no large squares are subtracted).  The
-    inputs are per-(batch, key) summaries, so both passes are small."""
+    inputs are per-(batch, key) summaries, so both passes are small.  Parts
+    with negative n and M2 take back readings that were counted before; a
+    group of which nothing is left has n = 0 and a null mean."""
     first = []
     for m in metrics:
         n, mu = F.col(f"{m}__n").cast("double"), F.col(f"{m}__mean")
-        first += [F.sum(f"{m}__n").alias(f"_{m}_n"), (F.sum(F.when(n > 0, n * mu)) / F.sum(n)).alias(f"_{m}_mean")]
+        first += [F.sum(f"{m}__n").alias(f"_{m}_n"), F.try_divide(F.sum(F.when(n != 0, n * mu)), F.sum(n)).alias(f"_{m}_mean")]
     totals = parts.groupBy(*group).agg(*first)
     joined = parts.join(totals, list(group))
     second = []
@@ -235,7 +237,7 @@ def combine_moments(parts: DataFrame, group: Sequence[str], metrics: Sequence[st
         n, mu, m2 = F.col(f"{m}__n").cast("double"), F.col(f"{m}__mean"), F.col(f"{m}__m2")
         d = mu - F.col(f"_{m}_mean")
         second += [F.first(f"_{m}_n").alias(f"_{m}_n"), F.first(f"_{m}_mean").alias(f"_{m}_mean"),
-                   F.sum(F.when(n > 0, m2 + n * d * d)).alias(f"_{m}_M2")]
+                   F.sum(F.when(n != 0, m2 + n * d * d)).alias(f"_{m}_M2")]
     return joined.groupBy(*group).agg(*second)
 
 
@@ -293,7 +295,7 @@ def moments_baseline(merged: DataFrame, group: Sequence[str], metrics: Sequence[
     out = []
     for m in metrics:
         ok = F.col(f"_{m}_n") >= params.min_baseline_samples
-        std = F.sqrt(F.greatest(F.col(f"_{m}_M2") / F.col(f"_{m}_n"), F.lit(0.0)))
+        std = F.sqrt(F.greatest(F.try_divide(F.col(f"_{m}_M2"), F.col(f"_{m}_n")), F.lit(0.0)))
         out += [F.when(ok, F.col(f"_{m}_mean")).alias(f"{m}_mean"), F.when(ok, std).alias(f"{m}_std")]
     return merged.select(*group, *out)
 

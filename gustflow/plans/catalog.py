@@ -474,7 +474,7 @@ def q_lake_roundtrip(spark, sf_dir):
     root = _lake_path(spark, "events")
     lake.write_events(_obs(spark, sf_dir), root, batch="0")
     out = lake.scan_events(spark, root)
-    return out.select(*[c for c in lake.EVENT_COLUMNS if c not in ("ingest_seq", "event_date", "batch")],
+    return out.select(*fx.OBSERVATION_COLUMNS, "event_time",
                       F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
 
 
@@ -644,6 +644,24 @@ def q_stream_alerts(spark, sf_dir):
     return _r6(res.select(*anomaly.ALERT_COLUMNS, "detected_at"), "baseline_mean", "baseline_std")
 
 
+@register("stream_redelivery")
+def q_stream_redelivery(spark, sf_dir):
+    """History delivered, its purchase readings delivered again with another
+    temperature, the newest history date compacted, then the last day streamed:
+    it is scored against moments of the de-duplicated history."""
+    from ..session import work_path
+    from ..sources import lake
+    from ..streaming.jobs import EventsBatch, parse_stream, source, start_events_stream
+    history, batch = fx.split_events(spark, sf_dir)
+    root = work_path(spark, "serve")
+    body = EventsBatch(root)
+    body.ingest(history, batch="history")
+    body.ingest(fx.delivered_again(history), batch="again")
+    body.compact(spark, lake.latest_partition(spark, body.events))
+    _finish(start_events_stream(parse_stream(source(spark, "files", _staged(spark, batch, files=1), max_files=1)), body, root + "-ckpt"))
+    return _r6(body.read_alerts(spark).select(*anomaly.ALERT_COLUMNS, "detected_at"), "baseline_mean", "baseline_std")
+
+
 @register("batch_metrics")
 def q_batch_metrics(spark, sf_dir):
     """Per micro-batch counters (stored readings, alerts, notifications) of the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sqlparts import (ALERT_OUT, NOT_NULL, READINGS, READINGS_DUP, SPLIT, city_dim_sql, comfort_sql, delta_sql,
+from .sqlparts import (keep_last, ALERT_OUT, NOT_NULL, READINGS, READINGS_DUP, SPLIT, city_dim_sql, comfort_sql, delta_sql,
                        heat_index_sql, r6, rnd, utc_text, rolling_ctes, cooldown_ctes, resample_ctes, linear_ctes, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
 
 ORACLE: dict[str, str] = {}
@@ -450,7 +450,18 @@ sql("stream_alerts", f"""WITH {READINGS},
 {SPLIT},
 sb AS (SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY event_id) AS rn FROM batch) WHERE rn = 1),
-{detect_ctes('sb', 'hist')}
+{keep_last('last', 'SELECT * FROM hist')},
+{detect_ctes('sb', 'last')}
+SELECT {ALERT_OUT}, make_timestamp((SELECT max("timestamp") FROM sb) * 1000000) AS detected_at FROM d_alerts""")
+
+sql("stream_redelivery", f"""WITH {READINGS},
+{SPLIT},
+sb AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY event_id) AS rn FROM batch) WHERE rn = 1),
+{keep_last('last', """SELECT * FROM hist UNION ALL
+  SELECT * REPLACE (event_id + 1000000000 AS event_id, temperature + 0.5e0 AS temperature)
+  FROM hist WHERE weather_condition = 'purchase'""")},
+{detect_ctes('sb', 'last')}
 SELECT {ALERT_OUT}, make_timestamp((SELECT max("timestamp") FROM sb) * 1000000) AS detected_at FROM d_alerts""")
 
 sql("stream_cooldown", f"""WITH {READINGS},
@@ -511,7 +522,7 @@ FROM err GROUP BY city, metric""")
 def _batch_metrics_sql() -> str:
     parts = [f"""{READINGS},
 c AS (SELECT max("timestamp") - 86400 AS cut FROM readings),
-hist0 AS (SELECT r.* FROM readings r, c WHERE r."timestamp" < c.cut),
+{keep_last('hist0', 'SELECT r.* FROM readings r, c WHERE r."timestamp" < c.cut')},
 sd AS (SELECT * EXCLUDE (rn) FROM (
   SELECT r.*, CAST(least(floor((r."timestamp" - c.cut) / 21600), 3) AS INTEGER) AS b,
          row_number() OVER (PARTITION BY r.city, r."timestamp" ORDER BY r.event_id) AS rn

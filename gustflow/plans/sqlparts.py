@@ -127,6 +127,12 @@ def detect_ctes(batch: str, history: str, prefix: str = "d") -> str:
         FROM {prefix}_cand) WHERE rn = 1)"""
 
 
+def keep_last(name: str, rows: str) -> str:
+    """CTE: the last delivery of every (city, timestamp) of ``rows``."""
+    return f"""{name} AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY event_id DESC) AS rn FROM ({rows})) WHERE rn = 1)"""
+
+
 ALERT_OUT = f""""timestamp", city, metric, alert_type, severity, value, {r6('baseline_mean')} AS baseline_mean,
        {r6('baseline_std')} AS baseline_std, z_score, message"""
 

@@ -71,10 +71,14 @@ def readings_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     order) and a temperature raised by 0.5, so keep-last is observable.
     """
     base = readings(spark, sf_dir)
-    again = (base.where(F.col("weather_condition") == "purchase")
-             .withColumn("event_id", F.col("event_id") + F.lit(1_000_000_000))
-             .withColumn("temperature", F.col("temperature") + F.lit(0.5)))
-    return base.unionByName(again)
+    return base.unionByName(delivered_again(base))
+
+
+def delivered_again(base: DataFrame) -> DataFrame:
+    """The later copies of ``base``'s purchase readings."""
+    return (base.where(F.col("weather_condition") == "purchase")
+            .withColumn("event_id", F.col("event_id") + F.lit(1_000_000_000))
+            .withColumn("temperature", F.col("temperature") + F.lit(0.5)))
 
 
 def split_history_batch(obs: DataFrame, seconds: int = 86400, time_col: str = "timestamp"):

@@ -12,9 +12,8 @@ aggregates + scored alerts + notification outbox.
 * ``window_stream``: 5-minute tumbling means + ``count(*)``, append mode
   (a window is written once the watermark passes its end).
 * ``EventsBatch``: the ``foreachBatch`` body — score the micro-batch against
-  the lake as it was before the batch, then write events, alerts, outbox
-  and per-batch counters.  Every write is keyed by the batch id with
-  dynamic partition overwrite, so a replayed batch replaces its own output.
+  the lake as it was before the batch, then write events, moments, alerts
+  and outbox, and commit them with the batch's counters in one log entry.
 """
 
 from __future__ import annotations
@@ -28,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT, Params
+from ..config import DEFAULT, METRICS, Params
 from ..functions.scalars import alert_key, notification_text
 from ..operators import anomaly
 from ..operators.anomaly import detect_anomalies
-from ..operators.clean import prepare_events
+from ..operators.clean import dedupe_last, prepare_events
 from ..sources import lake
+from ..sources.commits import CommitLog, attempt_name
 from ..sources.records import OBSERVATION_SCHEMA
 
 STREAM_SCHEMA = T.StructType(list(OBSERVATION_SCHEMA.fields) + [T.StructField("event_id", T.LongType())])
@@ -67,14 +67,16 @@ METRICS_SCHEMA = T.StructType([
 def source(spark: SparkSession, kind: str = "files", path: str | None = None, max_files: int | None = None,
            bootstrap: str = "localhost:9092", topic: str = "weather_data",
            starting_offsets: str = "latest") -> DataFrame:
-    """Raw records as a ``value`` string column (plus ``seq`` for Kafka offsets)."""
+    """Raw records as a ``value`` string column; from Kafka with the
+    ``source_partition`` and ``source_offset`` that order a key's records."""
     if kind == "kafka":
         raw = (spark.readStream.format("kafka")
                .option("kafka.bootstrap.servers", bootstrap)
                .option("subscribe", topic)
                .option("startingOffsets", starting_offsets)
                .load())
-        return raw.select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
+        return raw.select(F.col("value").cast("string").alias("value"),
+                          F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"))
     if kind == "files":
         reader = spark.readStream.format("text")
         if max_files:
@@ -132,7 +134,8 @@ def stage_batches(df: DataFrame, path: str, index_col: str, count: int,
 
 def parse_stream(raw: DataFrame, params: Params = DEFAULT, dedupe: str = "bounded",
                  schema: T.StructType = STREAM_SCHEMA) -> DataFrame:
-    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("data")).select("data.*")
+    place = [c for c in ("source_partition", "source_offset") if c in raw.columns]
+    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("data"), *place).select("data.*", *place)
     parsed = (parsed.withColumn("event_time", F.timestamp_seconds("timestamp"))
               .withColumn("event_date", F.to_date("event_time"))
               .dropna(subset=["city", "timestamp"])
@@ -186,17 +189,25 @@ def start_sink_stream(df: DataFrame, sink: str, checkpoint: str, trigger: str |
 # --------------------------------------------------------------------------
 
 class EventsBatch:
-    """``foreachBatch`` body.  Folders: ``<root>/events``, ``<root>/moments``,
-    ``<root>/alerts``, ``<root>/outbox``, ``<root>/metrics``.  ``clock='event'``
-    stamps alerts and notifications with the newest reading time of the batch
-    (reproducible); ``clock='wall'`` with the current time.
+    """``foreachBatch`` body.  Tables: ``<root>/events``, ``<root>/moments``,
+    ``<root>/alerts``, ``<root>/outbox``.  ``clock='event'`` stamps alerts and
+    notifications with the newest reading time of the batch (reproducible);
+    ``clock='wall'`` with the current time.
+
+    A batch becomes visible by one entry of the root's commit log, written
+    after all its tables (with its counters): readers see all of it or
+    nothing.  A committed batch that is delivered again is passed over; other
+    rows under its name (a checkpoint that was thrown away) are a batch of
+    their own.
 
     The baseline of a micro-batch never rescans the raw lake window: every
-    batch also stores per-(hour, city) moments (n, mean, M2, newest time) of
-    its prepared rows.  A baseline merges the moments of the whole hours
-    inside ``[newest - baseline_days, ...)`` and reads raw rows only for the
-    single boundary hour the window starts in.  ``baseline_source='scan'``
-    uses the plain pruned scan of the events lake instead."""
+    batch also stores per-(hour, city) moments (n, mean, M2, newest time).
+    They are signed: where a reading takes the place of a stored one of the
+    same (city, timestamp), the stored one is taken back (n = -1), so the
+    merged moments are always those of the de-duplicated readings.  A baseline
+    merges the moments of the whole hours inside ``[newest - baseline_days,
+    ...)`` and reads rows only for the single boundary hour the window starts
+    in.  ``baseline_source='scan'`` de-duplicates the pruned window instead."""
 
     def __init__(self, root: str, params: Params = DEFAULT, clock: str = "event", query_tag: str | None = None,
                  baseline_source: str = "moments"):
@@ -208,49 +219,14 @@ class EventsBatch:
         self.tag = query_tag or f"q{zlib.crc32(self.root.encode()):08x}"
         self.baseline_source = baseline_source
 
-    @property
-    def moments(self) -> str:
-        return f"{self.root}/moments"
-
-    def ingest(self, df: DataFrame, batch: str) -> None:
-        """Store observations (events + moments) outside the stream, e.g. a backfill."""
-        lake.write_events(df, self.events, batch=batch)
-        self.write_moments(df, batch)
-
-    def write_moments(self, df: DataFrame, batch: str) -> None:
-        prepared = prepare_events(df.drop("event_time", "event_date"))
-        mom = anomaly.hourly_moments(prepared, grain=MOMENT_GRAIN)
-        mom = (mom.withColumn("event_date", F.to_date(F.timestamp_seconds(F.col("hour") * MOMENT_GRAIN)))
-               .withColumn("batch", F.lit(batch)))
-        (mom.select(*[f.name for f in MOMENTS_SCHEMA.fields])
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("event_date", "batch").parquet(self.moments))
-
-    def baseline(self, spark: SparkSession, batch: str) -> DataFrame | None:
-        """Wide baseline for ``batch`` from stored moments (see class doc)."""
-        mom = lake.read_table(spark, self.moments, MOMENTS_SCHEMA).where(~self.same_or_later(batch))
-        # over all dates: a replayed batch's own folders may be the newest ones
-        newest = mom.agg(F.max("max_t")).first()[0]
-        if newest is None:
-            return None
-        cut = int(newest) - int(self.params.baseline_days) * 86400
-        h0 = cut // MOMENT_GRAIN
-        since = dt.datetime.fromtimestamp(cut, dt.timezone.utc).date()
-        metrics = ("temperature", "humidity", "wind_speed")
-        whole = (mom.where((F.col("event_date") >= F.lit(since)) & (F.col("hour") > h0))
-                 .select("city", *[f"{m}__{x}" for m in metrics for x in ("n", "mean", "m2")]))
-        edge_rows = (lake.scan_events(spark, self.events, since)
-                     .where((F.col("event_date") <= F.lit(since + dt.timedelta(days=1)))
-                            & (F.col("timestamp") >= cut) & (F.col("timestamp") < (h0 + 1) * MOMENT_GRAIN))
-                     .where(~self.same_or_later(batch)))
-        edge = anomaly.moments(prepare_events(edge_rows.drop("event_time", "ingest_seq", "event_date", "batch")), ["city"], metrics)
-        merged = anomaly.combine_moments(whole.unionByName(edge), ["city"], metrics)
-        return anomaly.moments_baseline(merged, ["city"], metrics, self.params)
-
     @property
     def events(self) -> str:
         return f"{self.root}/events"
 
+    @property
+    def moments(self) -> str:
+        return f"{self.root}/moments"
+
     @property
     def alerts(self) -> str:
         return f"{self.root}/alerts"
@@ -259,89 +235,159 @@ class EventsBatch:
     def outbox(self) -> str:
         return f"{self.root}/outbox"
 
-    @property
-    def metrics(self) -> str:
-        return f"{self.root}/metrics"
+    def log(self, spark: SparkSession) -> CommitLog:
+        return CommitLog(spark, self.root)
 
     def batch_name(self, batch_id: int) -> str:
         return f"{self.tag}-{int(batch_id):012d}"
 
-    def history(self, spark: SparkSession, batch: str) -> DataFrame:
-        """Stored events before this batch, pruned to the dates the baseline can use."""
-        latest = lake.latest_partition(spark, self.events)
-        if latest is None:
-            return lake.scan_events(spark, self.events)
-        since = latest - dt.timedelta(days=int(self.params.baseline_days) + 1)
-        return lake.scan_events(spark, self.events, since).where(~self.same_or_later(batch))
-
-    def same_or_later(self, batch: str):
-        """Rows written by this query at this batch id or later (a replay)."""
-        return F.col("batch").startswith(self.tag + "-") & (F.col("batch") >= F.lit(batch))
+    def ingest(self, df: DataFrame, batch: str) -> None:
+        """Store observations (events + moments) outside the stream, e.g. a
+        backfill.  Rows committed under this name already are not added again."""
+        spark = df.sparkSession
+        log = self.log(spark)
+        log.open()
+        name = self.new_name(log, batch, self.fingerprint(df)[1])
+        if name is None:
+            return
+        attempt = attempt_name(name)
+        n, dates = self.store(df, attempt)
+        log.commit(name, attempt, dates, {"print": self.fingerprint(df)[1], "stored": n})
+
+    def store(self, new: DataFrame, attempt: str) -> tuple[int, dict[str, list[str]]]:
+        """Stage a batch's events and its signed moments."""
+        n, days = lake.stage(lake.event_rows(new), self.events, attempt, lake.EVENT_SCHEMA, ("city", "timestamp"))
+        _, hours = lake.stage(self.signed_moments(new, days), self.moments, attempt, MOMENTS_SCHEMA)
+        return n, {"events": days, "moments": hours}
+
+    def signed_moments(self, new: DataFrame, days: list[str]) -> DataFrame:
+        """Moments of the batch's readings, less those of the stored readings
+        they take the place of; a batch's own repeats count once (the last).
+        Only the batch's dates are read."""
+        spark = new.sparkSession
+        for c in lake.SOURCE_ORDER:
+            if c not in new.columns:
+                new = new.withColumn(c, F.lit(None).cast(lake.EVENT_SCHEMA[c].dataType))
+        last = dedupe_last(new.drop("event_time", "event_date", "ingest_seq"), KEYS, lake.SOURCE_ORDER)
+        parts = hourly(last, 1)
+        stored = lake.scan_events(spark, self.events, dates=days)
+        if days and not stored.isEmpty():
+            gone = dedupe_last(stored.join(last.select(*KEYS), list(KEYS), "left_semi"), KEYS, lake.WRITE_ORDER)
+            parts = parts.unionByName(hourly(gone.select(*KEYS, *METRICS), -1))
+        return parts.withColumn("event_date", F.to_date(F.timestamp_seconds(F.col("hour") * MOMENT_GRAIN)))
+
+    def newest(self, spark: SparkSession) -> int | None:
+        """Time of the newest usable reading, from the newest dates that have one."""
+        dates = [d.isoformat() for d in lake.partition_dates(spark, self.events)]
+        step, first = 1, 0
+        while first < len(dates):
+            rows = lake.load_events(spark, self.events) if step >= len(dates) else dedupe_last(
+                lake.scan_events(spark, self.events, dates=dates[first:first + step]), KEYS, lake.WRITE_ORDER)
+            found = usable(rows).agg(F.max("timestamp")).first()[0]
+            if found is not None:
+                return int(found)
+            first, step = first + step, step * 2
+        return None
+
+    def baseline(self, spark: SparkSession) -> DataFrame | None:
+        """Wide baseline of what is committed, from stored moments (see class doc)."""
+        newest = self.newest(spark)
+        if newest is None:
+            return None
+        cut = newest - int(self.params.baseline_days) * 86400
+        h0 = cut // MOMENT_GRAIN
+        since = dt.datetime.fromtimestamp(cut, dt.timezone.utc).date()
+        whole = (lake.read_table(spark, self.moments, MOMENTS_SCHEMA, since=since).where(F.col("hour") > h0)
+                 .select("city", *[f"{m}__{x}" for m in METRICS for x in ("n", "mean", "m2")]))
+        edge = (lake.scan_events(spark, self.events, dates=[since])  # an hour lies in one date
+                .where((F.col("timestamp") >= cut) & (F.col("timestamp") < (h0 + 1) * MOMENT_GRAIN)))
+        edge = anomaly.moments(usable(dedupe_last(edge, KEYS, lake.WRITE_ORDER)), ["city"], METRICS)
+        merged = anomaly.combine_moments(whole.unionByName(edge), ["city"], METRICS)
+        return anomaly.moments_baseline(merged, ["city"], METRICS, self.params)
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        """Committed readings, keep-last, of the dates a baseline can use."""
+        newest = self.newest(spark)
+        since = None if newest is None else (
+            dt.datetime.fromtimestamp(newest, dt.timezone.utc).date() - dt.timedelta(days=int(self.params.baseline_days) + 1))
+        return lake.load_events(spark, self.events, since).select("event_id", *KEYS, *METRICS, "weather_condition")
+
+    def fingerprint(self, df: DataFrame) -> tuple[int, str, dt.datetime | None]:
+        """(rows, a print of their content, newest event time)."""
+        cols = sorted(c for c in df.columns if c not in ("event_time", "event_date"))
+        n, total, newest = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")),
+                                  F.max(F.timestamp_seconds("timestamp"))).first()
+        return n, f"{n}:{total}", newest
+
+    def new_name(self, log: CommitLog, name: str, content: str) -> str | None:
+        """The name to commit under; None if this very batch is committed."""
+        state, out, k = log.state(), name, 1
+        while out in state:
+            if state[out].info.get("print") == content:
+                return None
+            k += 1
+            out = f"{name}~{k}"
+        return out
 
     def __call__(self, batch_df: DataFrame, batch_id: int) -> None:
         spark = batch_df.sparkSession
-        name = self.batch_name(batch_id)
         cached = batch = batch_df.persist()
         try:
-            if batch.isEmpty():
-                return
             if "event_id" not in batch.columns:
                 batch = batch.withColumn("event_id", F.lit(None).cast("long"))
+            n, content, newest = self.fingerprint(batch)
+            if not n:
+                return
+            log = self.log(spark)
+            log.open()
+            name = self.new_name(log, self.batch_name(batch_id), content)
+            if name is None:  # committed before a crash, delivered again
+                return
+            attempt = attempt_name(name)
             new = batch.drop("event_time", "event_date")
+            reading = new.drop(*lake.SOURCE_ORDER[:2])
             if self.baseline_source == "scan":
-                history = self.history(spark, name)
-                alerts = detect_anomalies(new, history.drop("event_time", "ingest_seq", "event_date", "batch"), params=self.params)
+                found = detect_anomalies(reading, self.history(spark), params=self.params)
             else:
-                alerts = anomaly.detect_against(new, self.baseline(spark, name), params=self.params)
-            alerts = alerts.persist()
-            stamp = (batch.agg(F.max("event_time")).first()[0] if self.clock == "event"
-                     else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-            lake.write_events(new, self.events, batch=name)
-            self.write_moments(new, name)
-            stored = (alerts.withColumn("detected_at", F.lit(stamp).cast("timestamp"))
-                      .withColumn("detected_date", F.to_date("detected_at"))
-                      .withColumn("batch", F.lit(name)))
-            (stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("detected_date", "batch").parquet(self.alerts))
-            sent = self.notify(spark, alerts, name, stamp)
-            counts = (batch.agg(F.count(F.lit(1)).alias("stored"))
-                      .crossJoin(alerts.agg(F.count(F.lit(1)).alias("alerts")))
-                      .crossJoin(sent.agg(F.count(F.lit(1)).alias("sent")))
-                      .select(F.lit(name).alias("batch"), F.lit(int(batch_id)).cast("long").alias("batch_id"),
-                              "stored", "alerts", "sent"))
-            counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .partitionBy("batch").parquet(self.metrics)
+                found = anomaly.detect_against(reading, self.baseline(spark), params=self.params)
+            alerts = found.persist()
+            stamp = newest if self.clock == "event" else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            stored, dates = self.store(new, attempt)
+            served = (alerts.withColumn("detected_at", F.lit(stamp).cast("timestamp"))
+                      .withColumn("detected_date", lake.detected_date()))
+            n_alerts, dates["alerts"] = lake.stage(served, self.alerts, attempt, SERVED_ALERT_SCHEMA, ("city", "timestamp"))
+            n_sent, dates["outbox"] = lake.stage(self.notify(spark, alerts, stamp), self.outbox, attempt, OUTBOX_SCHEMA, ("alert_key",))
+            log.commit(name, attempt, dates, {"print": content, "batch_id": int(batch_id), "stored": stored,
+                                              "alerts": n_alerts, "sent": n_sent})
             alerts.unpersist()
         finally:
             cached.unpersist()
 
-    def notify(self, spark: SparkSession, alerts: DataFrame, name: str, stamp) -> DataFrame:
+    def notify(self, spark: SparkSession, alerts: DataFrame, stamp) -> DataFrame:
         """Cooldown against the outbox: a key is sent when its last notification
         is at least ``cooldown`` seconds older than the alert (event clock)."""
         c = int(self.params.cooldown_seconds)
-        keyed = alerts.withColumn("alert_key", alert_key())
         when = F.col("timestamp") if self.clock == "event" else F.unix_seconds(F.lit(stamp).cast("timestamp"))
-        keyed = keyed.withColumn("_t", when.cast("long"))
+        keyed = alerts.withColumn("alert_key", alert_key()).withColumn("_t", when.cast("long"))
         first_t = keyed.agg(F.min("_t")).first()[0]  # alerts of one batch: a small persisted frame
-        if first_t is None:
-            return self.read_outbox(spark).where(F.lit(False))
-        if lake.exists(spark, self.outbox):
-            # only notifications newer than (earliest alert - cooldown) can suppress anything
-            horizon = dt.datetime.fromtimestamp(int(first_t) - c, dt.timezone.utc).date()
-            box = (self.read_outbox(spark).where(F.col("sent_date") >= F.lit(horizon))
-                   .where(~self.same_or_later(name)))
-            last = box.groupBy("alert_key").agg(F.max("_t").alias("_last"))
-            keyed = keyed.join(last, "alert_key", "left")
-        else:
-            keyed = keyed.withColumn("_last", F.lit(None).cast("long"))
+        # only notifications newer than (earliest alert - cooldown) can suppress anything
+        horizon = None if first_t is None else dt.datetime.fromtimestamp(int(first_t) - c, dt.timezone.utc).date()
+        box = lake.read_table(spark, self.outbox, OUTBOX_SCHEMA, since=horizon)
+        keyed = keyed.join(box.groupBy("alert_key").agg(F.max("_t").alias("_last")), "alert_key", "left")
         # at most one alert per key per batch (first-wins), so one comparison per key
         sent = keyed.where(F.col("_last").isNull() | (F.col("_t") - F.col("_last") >= c))
-        out = sent.select("alert_key", notification_text().alias("text"),
-                          F.timestamp_seconds("_t").alias("sent_at"), "_t",
-                          F.to_date(F.timestamp_seconds("_t")).alias("sent_date"), F.lit(name).alias("batch"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sent_date", "batch") \
-            .parquet(self.outbox)
-        return self.read_outbox(spark).where(F.col("batch") == F.lit(name))
+        return sent.select("alert_key", notification_text().alias("text"), F.timestamp_seconds("_t").alias("sent_at"), "_t",
+                           F.to_date(F.timestamp_seconds("_t")).alias("sent_date"))
+
+    def compact(self, spark: SparkSession, date) -> int:
+        """Fold the folders of one closed date of every table; baselines,
+        histories and served rows stay the same."""
+        log = self.log(spark)
+        tables = (("events", lake.EVENT_SCHEMA, lambda rows: dedupe_last(rows, KEYS, lake.WRITE_ORDER), ("city", "timestamp")),
+                  ("moments", MOMENTS_SCHEMA, fold_moments, ("city",)),
+                  ("alerts", SERVED_ALERT_SCHEMA, lambda rows: rows, ("city", "timestamp")),
+                  ("outbox", OUTBOX_SCHEMA, lambda rows: rows, ("alert_key",)))
+        return sum(lake.compact(spark, log, table, date, schema, fold, sort) for table, schema, fold, sort in tables)
 
     def read_outbox(self, spark: SparkSession) -> DataFrame:
         return lake.read_table(spark, self.outbox, OUTBOX_SCHEMA)
@@ -350,7 +396,35 @@ class EventsBatch:
         return lake.read_table(spark, self.alerts, SERVED_ALERT_SCHEMA)
 
     def read_metrics(self, spark: SparkSession) -> DataFrame:
-        return lake.read_table(spark, self.metrics, METRICS_SCHEMA)
+        """The counters of every committed micro-batch, one line of the log each."""
+        rows = [(e.info["batch_id"], e.info["stored"], e.info["alerts"], e.info["sent"], e.batch)
+                for e in self.log(spark).state().values() if "batch_id" in e.info]
+        return spark.createDataFrame(rows, METRICS_SCHEMA)
+
+
+KEYS = ("city", "timestamp")
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """The readings a baseline counts: no null in the city or any metric."""
+    return prepare_events(rows.select("event_id", *KEYS, *METRICS))
+
+
+def hourly(rows: DataFrame, sign: int) -> DataFrame:
+    """Per-(hour, city) moments of readings, to be added (1) or taken back (-1)."""
+    out = anomaly.hourly_moments(prepare_events(rows.select(*KEYS, *METRICS)), grain=MOMENT_GRAIN)
+    signed = [(F.col(f"{m}__{x}") * F.lit(sign)).alias(f"{m}__{x}") if x != "mean" else F.col(f"{m}__mean")
+              for m in METRICS for x in ("n", "mean", "m2")]
+    return out.select("hour", "city", "max_t", *signed)
+
+
+def fold_moments(rows: DataFrame) -> DataFrame:
+    """One row per (hour, city): the sum of its signed moments."""
+    by = ["event_date", "hour", "city"]
+    merged = anomaly.combine_moments(rows, by, METRICS)
+    newest = rows.groupBy(*by).agg(F.max("max_t").alias("max_t"))
+    return merged.join(newest, by).select(*by, "max_t", *[F.col(c).alias(a) for m in METRICS for c, a in (
+        (f"_{m}_n", f"{m}__n"), (f"_{m}_mean", f"{m}__mean"), (f"_{m}_M2", f"{m}__m2"))])
 
 
 def start_events_stream(parsed: DataFrame, body: EventsBatch, checkpoint: str, trigger: str | None = None):
@@ -371,16 +445,29 @@ def start_queries(spark: SparkSession, raw: DataFrame, root: str, params: Params
     body = EventsBatch(f"{root}/serve", params, query_tag=tag)
     events_q = start_events_stream(parsed, body, f"{root}/checkpoints/events", trigger)
     aggs_q = start_aggregate_stream(parsed, f"{root}/aggregates", f"{root}/checkpoints/aggregates", params, trigger)
-    return events_q, aggs_q
+    return Started((events_q, aggs_q), bounded=trigger == "availableNow")
+
+
+class Started(tuple):
+    """Queries started together; ``bounded`` ones end by themselves."""
+
+    def __new__(cls, queries, bounded: bool = False):
+        out = super().__new__(cls, queries)
+        out.bounded = bounded
+        return out
 
 
 def await_all(spark: SparkSession, queries) -> None:
-    """Block until every query stops; stop all on the first failure,
-    whichever query it is."""
+    """Block until a query ends, by a failure or not, and stop the others;
+    bounded queries are waited for until each has ended or one has failed."""
+    bounded = getattr(queries, "bounded", False)
     waiting = list(queries)
     try:
         while waiting:
-            waiting = [q for q in waiting if not q.awaitTermination(1)]
+            left = [q for q in waiting if not q.awaitTermination(1)]
+            if len(left) < len(waiting) and not bounded:
+                break
+            waiting = left
     finally:
         for q in queries:
             if q.isActive:
