@@ -1,21 +1,26 @@
 """BPE through a distinct-word table.
 
-1. Split every text into words and count them (combined per task, then by
-   word); encode each distinct word exactly once: table (word, n, ids).
-2. The most frequent words (at most ``HEAD_WORDS``, each at most ``HEAD_IDS``
-   ids, so the bound of about 90 MB is proven) are broadcast as arrays; the
-   remaining words of the texts are joined with the table by a shuffle on the
-   word and come back by position.
-3. Ids are put together by position; decoding gathers the id-to-piece table
-   (dense on id, so the join is an array lookup) and joins pieces by one
-   space, which is what this vocabulary's decoder does.
+1. Every text is split into words once.  A task gathers texts into chunks of
+   about ``CHUNK_BYTES`` and writes for each the distinct words and, packed,
+   every text's words as numbers into them.
+2. The distinct words of all chunks are made distinct once more and each is
+   encoded exactly once: table (word, ids).
+3. (chunk, number, word) is joined with that table on the word, and the ids go
+   back to their chunk, where each text's ids are put together by position.
+   What is shuffled are a chunk's distinct words, never single occurrences.
+4. Decoding gathers the id-to-piece table (dense on id, so the join is an
+   array lookup) and joins pieces by one space, which is what this
+   vocabulary's decoder does.
+
+A task holds one chunk: its packed texts and the ids of its distinct words.  A
+longer text is a chunk of its own.  Nothing passes through the driver and
+nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,173 +29,118 @@ from pyspark.sql import DataFrame, functions as F
 
 from gustflow.llm.bpe import default_vocab, encoder
 from gustflow.llm.common import written
-from gustflow.llm.text import chunks, ragged, string_hash
-
-HEAD_WORDS = 1 << 21
-HEAD_IDS = 16
-FLUSH_WORDS = 500_000
-STEPS = 8  # count classes per doubling
+from gustflow.llm.text import chunks, ragged
+
+CHUNK_BYTES = 8 << 20
+#: Words put together at once inside a chunk.
+STEP_WORDS = 1 << 18
+
+_CHUNK = "chunk string, docs binary, codes binary, words array<string>"
+
+
+def _pack(z, doc_ids: list[int | None], split: list[list[str]]) -> pa.RecordBatch:
+    """One chunk: doc_ids, word counts, and word numbers (frequent words
+    first, as byte planes: the high ones are almost all zero)."""
+    coded = pa.array([w for own in split for w in own], pa.string()).dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(-np.bincount(which, minlength=len(coded.dictionary)), kind="stable")
+    number = np.empty(len(order), "<u4")
+    number[order] = np.arange(len(order))
+    docs = np.zeros(len(split), [("known", "u1"), ("id", "<i8"), ("words", "<i8")])
+    docs["known"] = [d is not None for d in doc_ids]
+    docs["id"] = [d or 0 for d in doc_ids]
+    docs["words"] = [len(own) for own in split]
+    planes = number[which].view(np.uint8).reshape(-1, 4).T.tobytes()
+    words = coded.dictionary.take(pa.array(order))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uuid.uuid4().hex]), pa.array([z.compress(docs.tobytes())], pa.binary()), pa.array([z.compress(planes)], pa.binary()),
+         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["chunk", "docs", "codes", "words"])
 
 
-def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
-    """(word, n) over whole texts, pre-aggregated in every task."""
+def word_chunks(docs: DataFrame, vocab: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, docs, codes, words), each text split once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(vocab), Counter()
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-
-        for b in chunks(batches):
-            for t in b.column("text").to_pylist():
-                if t:
-                    seen.update(enc.words(t))
-            if len(seen) >= FLUSH_WORDS:
-                yield flush()
-                seen = Counter()
-        yield flush()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        import zstandard
+        enc, z = encoder(vocab), zstandard.ZstdCompressor(level=3)
+        ids, split, held = [], [], 0
+        for b in chunks(batches, max_bytes=min(chunk_bytes, 1 << 20)):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                size = len(text or "")
+                if ids and held + size > chunk_bytes:
+                    yield _pack(z, ids, split)
+                    ids, split, held = [], [], 0
+                ids.append(doc_id)
+                split.append(enc.words(text) if text else [])
+                held += size
+        if ids:
+            yield _pack(z, ids, split)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _CHUNK)
 
 
 def encode_words(words: DataFrame, vocab: str) -> DataFrame:
-    """(word, n, hash, ids): every distinct word through the library once."""
+    """(word, ids): every distinct word through the library once; ids are
+    little-endian uint32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
         for b in batches:
             col = b.column("word")
-            ids = enc.encode_words(col.to_pylist())
-            yield pa.RecordBatch.from_arrays([col, b.column("n"), pa.array(string_hash(col).view(np.int64)), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "hash", "ids"])
-
-    return words.mapInArrow(run, "word string, n long, hash long, ids array<int>")
-
-
-class Head:
-    """The broadcast part: hashes in order, and ids by frequency rank."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((hashes, -counts))
-        starts = np.cumsum(sizes) - sizes
-        self.ids = ids[ragged(starts[order], sizes[order])].astype(np.int32)
-        self.sizes = sizes[order].astype(np.int32)
-        self.starts = (np.cumsum(sizes[order]) - sizes[order]).astype(np.int64)
-        by_hash = np.argsort(hashes[order])
-        self.hash, self.rank = hashes[order][by_hash], by_hash.astype(np.uint32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Rank of each hash, or len(self) where it isn't in the head."""
-        if not len(self.hash):
-            return np.zeros(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, self.rank[at], np.uint32(len(self.hash)))
-
-
-def split_head(table: DataFrame, head_words: int = HEAD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(head, tail) of the word table; the head holds whole count classes
-    from the top, at most ``head_words`` rows."""
-    rank = F.floor(F.log2("n") * STEPS)
-    small = F.size("ids").between(1, HEAD_IDS)
-    classes = table.where(small).groupBy(rank.alias("c")).count().orderBy(F.desc("c")).collect()  # <= 64 * STEPS rows
-    cut, total = math.inf, 0
-    for c, n in classes:
-        total += n
-        if total > head_words:
-            break
-        cut = c
-    mine = small & (rank >= F.lit(cut)) if cut < math.inf else F.lit(False)
-    return table.where(mine), table.where(~mine)
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
-
-
-def encode(docs: DataFrame, vocab: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
+            ids = [np.array(i, "<u4").tobytes() for i in enc.encode_words(col.to_pylist())]
+            yield pa.RecordBatch.from_arrays([col, pa.array(ids, pa.binary())], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids binary")
+
+
+def encode(docs: DataFrame, vocab: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; see
     ``encoded`` for the row handling."""
-    return encoded(docs, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", vocab, head_words)
+    return encoded(docs, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", vocab, chunk_bytes)
 
 
-def encode_ids(docs: DataFrame, vocab: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
+def encode_ids(docs: DataFrame, vocab: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids, decoded): the ids and the decoded text themselves."""
-    return encoded(docs, _ids, "ids array<int>, decoded string", vocab, head_words)
+    return encoded(docs, _ids, "ids array<int>, decoded string", vocab, chunk_bytes)
 
 
-def encoded(docs: DataFrame, finish, columns: str, vocab: str | None, head_words: int) -> DataFrame:
+def encoded(docs: DataFrame, finish, columns: str, vocab: str | None, chunk_bytes: int) -> DataFrame:
     """Null and empty texts have no ids; repeated rows give repeated results;
     null doc_id stays null; an empty table gives an empty result; other
     columns are ignored."""
     vocab = vocab or default_vocab()
-    spark, rows = docs.sparkSession, _rows(docs)
-    table = written(encode_words(word_counts(rows, vocab), vocab), "words")
-    top, rest = split_head(table, head_words)
-    got = top.select("hash", "n", "ids").toArrow().combine_chunks()  # bounded by head_words and HEAD_IDS
-    lists = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    head = Head(got.column("hash").to_numpy().view(np.uint64), got.column("n").to_numpy(), lists.flatten().to_numpy(),
-                np.diff(lists.offsets.to_numpy()).astype(np.int64))
-    sent = spark.sparkContext.broadcast(head)
-
-    def codes(b: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        enc = encoder(vocab)
-        split = [enc.words(t) if t else [] for t in b.column("text").to_pylist()]
-        ends = np.cumsum([len(w) for w in split])
-        flat = pa.array([w for own in split for w in own], pa.string())
-        return flat, sent.value.find(string_hash(flat)), ends
+    packed = written(word_chunks(docs, vocab, chunk_bytes), "bpe_chunks")
+    slots = packed.select(F.col("chunk").alias("of"), F.posexplode("words").alias("number", "word"))
+    table = written(encode_words(slots.select("word").distinct(), vocab), "bpe_words")
+    filled = slots.join(table, "word").select("of", "number", "ids")
 
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        z = zstandard.ZstdCompressor(level=1)
-        for b in chunks(batches):
-            _, code, ends = codes(b)
-            blobs, start = [], 0
-            for end in ends.tolist():  # byte planes of the ranks: the high ones are almost all zero
-                blobs.append(z.compress(code[start:end].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-                start = end
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(blobs, pa.binary())], ["doc_id", "k", "codes"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = None
-        for b in chunks(batches):
-            n = len(sent.value.hash) if n is None else n
-            flat, code, ends = codes(b)
-            hole = np.flatnonzero(code == n)
-            row = np.searchsorted(ends, hole, side="right")
-            pos = hole - np.concatenate([[0], ends])[row]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("k").take(pa.array(row)), pa.array(pos, pa.int32()), flat.take(pa.array(hole))],
-                                             ["doc_id", "k", "pos", "word"])
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
         import zstandard
-        z, head, enc = zstandard.ZstdDecompressor(), sent.value, encoder(vocab)
+        z, enc = zstandard.ZstdDecompressor(), encoder(vocab)
         names = pa.array([f"{i} " for i in range(enc.tok.get_vocab_size())])
         pieces = pa.array([p + " " for p in enc.pieces()])
-        for b in chunks(batches, "codes", 1 << 18):
-            parts = []
-            for blob, fill in zip(b.column("codes").to_pylist(), b.column("fill").to_pylist()):
-                raw = np.frombuffer(z.decompress(blob), np.uint8)
-                code = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
-                if not fill:
-                    parts.append(head.ids[ragged(head.starts[code], head.sizes[code])])
-                    continue
-                own, last = [], 0
-                for at, ids in sorted({f["pos"]: f["ids"] for f in fill}.items()):
-                    piece = code[last:at]
-                    own += [head.ids[ragged(head.starts[piece], head.sizes[piece])], np.array(ids, np.int32)]
-                    last = at + 1
-                piece = code[last:]
-                parts.append(np.concatenate([*own, head.ids[ragged(head.starts[piece], head.sizes[piece])]]))
-            yield finish(b.column("doc_id"), parts, names, pieces)
-
-    holes = rows.mapInArrow(rare, "doc_id long, k long, pos int, word string")
-    filled = (holes.join(rest.select("word", "ids"), "word").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "k")
-              .agg(F.collect_list(F.struct("pos", "ids")).alias("fill")))
-    joined = (rows.mapInArrow(compact, "doc_id long, k long, codes binary").withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63))))
-              .join(filled, ["d", "k"], "left").select("doc_id", "codes", "fill"))
-    return joined.mapInArrow(put_together, f"doc_id long, {columns}")
+        words = words.sort_by("number").combine_chunks()
+        blobs = words["ids"].to_pylist()
+        sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+        ids, starts = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32), np.cumsum(sizes) - sizes
+        rows = np.frombuffer(z.decompress(texts["docs"][0].as_py()), [("known", "u1"), ("id", "<i8"), ("words", "<i8")])
+        codes = np.ascontiguousarray(np.frombuffer(z.decompress(texts["codes"][0].as_py()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        ends, out, first = np.cumsum(rows["words"]), [], 0
+        while first < len(rows):
+            before = int(ends[first - 1]) if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends, before + STEP_WORDS, side="right")))
+            parts, lo = [], before
+            for end in ends[first:stop].tolist():
+                code = codes[lo:end]
+                parts.append(ids[ragged(starts[code], sizes[code])])
+                lo = end
+            doc_id = pa.array(rows["id"][first:stop], pa.int64(), mask=rows["known"][first:stop] == 0)
+            out.append(finish(doc_id, parts, names, pieces))
+            first = stop
+        return pa.Table.from_batches(out)
+
+    return (packed.select("chunk", "docs", "codes").groupBy("chunk").cogroup(filled.groupBy("of"))
+            .applyInArrow(put_together, f"doc_id long, {columns}"))
 
 
 def _joined(ids: list[np.ndarray], table: pa.Array) -> Iterator[memoryview]:

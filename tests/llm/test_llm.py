@@ -107,8 +107,8 @@ def test_words_and_ids_equal_the_library(spark, texts):
     for d, t in texts:
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want[d, tuple(ids), tok.decode(ids, skip_special_tokens=False)] += 1
-    for head in (bpe_words.HEAD_WORDS, 20):  # without and with words outside the head
-        got = Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe_words.encode_ids(frame(spark, texts), head_words=head).collect())
+    for size in (bpe_words.CHUNK_BYTES, 1):  # a chunk of all documents of a partition, and of one document
+        got = Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe_words.encode_ids(frame(spark, texts), chunk_bytes=size).collect())
         assert got == want
 
 
