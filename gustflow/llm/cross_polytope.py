@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gustflow.llm.common import components, digest, written
+from gustflow.llm.text import ragged
 
 TABLES = 16  # at least; more for wide hashes, see tables_for
 PROBES = 3
@@ -106,51 +107,63 @@ def tables_for(width: int, d: int, threshold: float = THRESHOLD, probes: int = P
     return max(TABLES, 1 << math.ceil(math.log2(max(1.0, need))))
 
 
-def unit(col: pa.Array) -> tuple[np.ndarray, list[int]]:
-    """Unit vectors in double precision and the rows that have one: not
-    null, no null or non-finite component, not zero."""
-    keep, vectors = [], []
-    for i, v in enumerate(col.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, np.float64)
-            top = np.abs(x).max()
-            if np.isfinite(top) and top > 0:
-                x = x / top  # before squaring: no overflow or underflow
-                keep.append(i)
-                vectors.append(x / np.sqrt(x @ x))
-    return vectors, keep
-
-
-CLASS = "rep long, n long, unit array<double>"
+def unit(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, offsets, values): unit vectors in double precision and the rows
+    that have one: not null, no null or non-finite component, not zero."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    size = np.diff(col.offsets.to_numpy()).astype(np.int64)
+    if col.null_count:
+        size[col.is_null().to_numpy(zero_copy_only=False)] = 0
+    start = col.offsets.to_numpy()[:-1].astype(np.int64)
+    has = np.flatnonzero(size)
+    x = col.values.cast(pa.float64()).to_numpy(zero_copy_only=False)[ragged(start[has], size[has])]  # null: nan
+    first = np.cumsum(size[has]) - size[has]
+    top = np.maximum.reduceat(np.abs(x), first) if len(has) else np.zeros(0)  # nan and inf come through
+    good = np.isfinite(top) & (top > 0)
+    x, has, top = x[np.repeat(good, size[has])], has[good], top[good]
+    first = np.cumsum(size[has]) - size[has]
+    x = x / np.repeat(top, size[has])  # before squaring: no overflow or underflow
+    norm = np.sqrt(np.add.reduceat(x * x, first)) if len(has) else np.zeros(0)
+    return has, np.append(first, len(x)), x / np.repeat(norm, size[has])
 
 
 def classes(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, key, unit): key names identical unit vectors."""
+    """(vec_id, key, unit) for every row: key names identical unit vectors and
+    is null, as is unit, for a row without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors, keep = unit(b.column("v"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id").take(pa.array(keep, pa.int64())), pa.array([digest(v.tobytes()) for v in vectors], pa.binary()),
-                 pa.array([v.tolist() for v in vectors], pa.list_(pa.float64()))], ["vec_id", "key", "unit"])
-
-    return table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).where("vec_id is not null").mapInArrow(
+            has, offsets, x = unit(b.column("v"))
+            keys = [digest(x[s:e].tobytes()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            vectors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x))
+            place = np.full(b.num_rows, -1)
+            place[has] = np.arange(len(has))
+            place = pa.array(place, mask=place < 0)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()).take(place), vectors.take(place)], ["vec_id", "key", "unit"])
+
+    return table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(
         run, "vec_id long, key binary, unit array<double>")
 
 
 def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
                     tables: int | None = None, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per distinct vec_id.
-
-    Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, nor do vectors of different length.  Rows repeated
-    with one vec_id count as one (the lowest vector bytes); a null vec_id
-    names no vector and is left out; an empty table gives an empty result;
-    other columns are ignored.
+    """(vec_id, n_links, component_id, kept) for every row of ``table``.
+
+    ``n_links`` counts the other rows linked directly, ``component_id`` is the
+    smallest vec_id reachable.  Every row's vector is compared: rows that share
+    a vec_id are joined in one component, whether or not their vectors link,
+    and repeated rows link with each other.  A null vec_id names nothing: such
+    a row takes part by its vector, its component_id is the smallest vec_id it
+    reaches (null if none), and it is kept if it reaches none.  Vectors that
+    are null, empty, zero or hold null or non-finite components link with
+    nothing and are components of their own, and vectors of different length
+    don't link.  An empty table gives an empty result; other columns are
+    ignored.
     """
-    named = classes(table, vec_id, embedding).groupBy("vec_id").agg(F.min(F.struct("key", "unit")).alias("x")).select("vec_id", "x.*")
-    named = written(named, "vectors")
-    reps = written(named.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "classes")
+    named = written(classes(table, vec_id, embedding), "vectors")
+    reps = named.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     size = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("unit")).alias("d")).first()
     width = width_for(size["n"], size["d"] or 2)
     tables = tables or tables_for(width, size["d"] or 2, threshold, probes)
@@ -194,13 +207,17 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
 
     found = written(loaded.select("rep", "n", "unit", "buckets", "bucket", "dim", "i", "j", "own").mapInArrow(verify, "a long, links long, b long"), "links")
     links = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = components(reps.select(F.col("rep").alias("id")), found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
-    per_class = reps.select("key", "rep", "n").join(links, "rep", "left").join(parts, "rep", "left")
-    ids = table.select(F.col(vec_id).cast("long").alias("vec_id")).where("vec_id is not null").distinct()
-    out = ids.join(named.select("vec_id", "key").join(per_class, "key"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    # one vec_id on several classes joins them
+    held = named.where("vec_id is not null and key is not null").select("vec_id", "key").distinct().join(reps.select("key", "rep"), "key")
+    several = held.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("vec_id", "b")
+    edges = found.where("a <> b").select("a", "b").union(held.join(several, "vec_id").select(F.col("rep").alias("a"), "b"))
+    parts = components(reps.select(F.col("rep").alias("id")), edges).withColumnRenamed("id", "rep")
+    low = parts.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("smallest"))
+    per_class = reps.select("key", "rep", "n").join(links, "rep", "left").join(parts.join(low, "component").select("rep", "smallest"), "rep")
+    out = named.select("vec_id", "key").join(per_class, "key", "left")
+    component = F.when(F.col("rep").isNull(), F.col("vec_id")).otherwise(F.col("smallest"))
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"),
-                      component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+                      component.alias("component_id"), F.coalesce(component == F.col("vec_id"), component.isNull()).alias("kept"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[tuple]:

@@ -5,11 +5,9 @@ DataFrame functions only.  Words are runs of bytes other than space and
 3-word windows.  The corpus rule hashes every normalised line (lower case,
 single spaces, trimmed), counts per host the distinct documents holding it
 (exact copies of one text are one document), removes lines held by at least
-``min_docs`` documents and more than ``fraction`` of the host's, and rejects
-documents that lose more than half of their words.  With ``sublinear`` the
-second limit is at most the square root of the host's documents, so it falls
-as a share of a growing host; the pipeline cleans so, while ``op3`` keeps the
-limit its SQL states.
+``min_docs`` documents and more than the smaller of ``fraction`` and the
+square root of the host's documents (so the limit falls as a share of a
+growing host), and rejects documents that lose more than half of their words.
 """
 
 from __future__ import annotations
@@ -104,22 +102,20 @@ def lines_table(docs: DataFrame) -> DataFrame:
                        (F.length(norm) - F.length(F.translate(norm, " ", "")) + 1).alias("w"))
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, fraction: float = FRACTION,
-                   sublinear: bool = False) -> DataFrame:
+def frequent_lines(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, fraction: float = FRACTION) -> DataFrame:
     """(host, h) of the lines above the limits.  Every count combines on the
     map side, so a line or host holding a third of all rows is one partial
     row per task."""
     docs_per_line = lines.groupBy("host", "h", "k").agg(F.lit(1)).groupBy("host", "h").agg(F.count(F.lit(1)).alias("df"))
     docs_per_host = docs.select("host", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k")).groupBy("host", "k").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    limit = F.lit(fraction) * F.col("docs")
     return (docs_per_line.where(F.col("df") >= min_docs).join(docs_per_host, "host")
-            .where(F.col("df") > (F.least(limit, F.sqrt("docs")) if sublinear else limit)).select("host", "h"))
+            .where(F.col("df") > F.least(F.lit(fraction) * F.col("docs"), F.sqrt("docs"))).select("host", "h"))
 
 
-def verdicts(docs: DataFrame, host: str, min_docs: int, fraction: float, carry: tuple[str, ...] = (), sublinear: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, host: str, min_docs: int, fraction: float, carry: tuple[str, ...] = ()) -> DataFrame:
     own = docs.select("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), *carry)
     lines = written(lines_table(own), "lines")
-    removed = (lines.join(frequent_lines(own, lines, min_docs, fraction, sublinear), ["host", "h"])
+    removed = (lines.join(frequent_lines(own, lines, min_docs, fraction), ["host", "h"])
                .groupBy("d", "k", "host", "pos").agg(F.first("w").alias("w"), F.first("h").alias("h"))  # repeated rows: once
                .groupBy("d", "k", "host").agg(F.sum("w").alias("w"), F.collect_set("h").alias("hs")))
     rows = with_counts(own, carry).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))).join(removed, ["d", "k", "host"], "left")
@@ -141,18 +137,33 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, fra
     return verdicts(docs, host, min_docs, fraction).drop("hs")
 
 
-def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, fraction: float = FRACTION, sublinear: bool = False) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, fraction: float = FRACTION) -> DataFrame:
     """The kept rows with all their columns, ``text`` without removed lines
-    (and ``n_chars``, where there is one, of the new text)."""
-    carried = docs.withColumn("_row", F.struct(*docs.columns))
-    out = verdicts(carried, host, min_docs, fraction, ("_row",), sublinear).where("kept")
-    lines = F.filter(F.split(F.col("_row.text"), "\n"), lambda x: ~F.array_contains("hs", F.xxhash64(normal_line(x))))
-    text = F.when(F.col("hs").isNull(), F.col("_row.text")).otherwise(F.array_join(lines, "\n"))
-    out = out.select("_row.*", text.alias("_text"))
-    return with_text(out, "_text")
-
-
-def with_text(df: DataFrame, new: str) -> DataFrame:
-    """Put column ``new`` in place of ``text`` and bring ``n_chars`` up to date."""
-    out = df.withColumn("text", F.col(new)).drop(new)
-    return out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+    (and ``n_chars``, where there is one, of the new text).
+
+    Null, empty and short texts are rejected as the base rules say; a null
+    host is a host of its own; repeated rows are judged alike and all stay or
+    go; an empty table gives an empty result; any further columns, whatever
+    their names, are carried along."""
+    carried = docs.select("doc_id", "text", host, row_of(docs))
+    out = verdicts(carried, host, min_docs, fraction, (ROW,)).where("kept")
+    text = F.col(ROW)["text"]
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("hs", F.xxhash64(normal_line(x))))
+    return with_text(out, F.when(F.col("hs").isNull(), text).otherwise(F.array_join(lines, "\n")), docs)
+
+
+#: A whole input row beside the columns that an operator computes.
+ROW = "_row"
+
+
+def row_of(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
+
+
+def with_text(df: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
+    """The rows held in ``ROW`` with the columns of ``docs``, ``text`` in place
+    of theirs and ``n_chars`` brought up to date."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new.get(c, F.col(ROW)[c]).alias(c) for c in docs.columns])

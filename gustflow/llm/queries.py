@@ -120,7 +120,7 @@ line AS (
 frequent AS (
   SELECT host, l FROM (SELECT host, l, count(DISTINCT t) AS df FROM line GROUP BY host, l)
   JOIN (SELECT host, count(DISTINCT t) AS docs FROM base GROUP BY host) USING (host)
-  WHERE df >= 10 AND df > 0.1 * docs),
+  WHERE df >= 10 AND df > least(0.1 * docs, sqrt(docs))),
 lost AS (
   SELECT doc_id, sum(len(string_split(l, ' '))) AS n FROM line JOIN frequent USING (host, l) GROUP BY doc_id),
 counted AS (

@@ -157,18 +157,21 @@ MASK = "[secret]"
 
 def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """All rows and columns; in ``text`` every live-looking, owner-specific
-    span is replaced by ``MASK`` (overlapping spans by one)."""
-    from gustflow.llm.line_quality import with_text
+    span is replaced by ``MASK`` (overlapping spans by one).
+
+    Null texts stay null, empty ones empty; a null source is an owner of its
+    own; repeated rows are masked alike; an empty table gives an empty result;
+    any further columns, whatever their names, are carried along."""
+    from gustflow.llm.line_quality import ROW, row_of, with_text
     live = F.filter("spans", lambda s: s["verdict"] == "live")
     spans = judged(written(scan(docs), "secrets"), example_owners).select("d", "k", live.alias("_spans")).where(F.size("_spans") > 0)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
+    rows = docs.select(row_of(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
     # spans are in order of start: cut the text at the end of the widest span so far
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    t = F.col("_row.text")
+    t = F.col(ROW)["text"]
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(
         F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK)).alias("out"), s["end"].alias("at"))).otherwise(
         F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
     text = F.aggregate("_spans", state, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    out = rows.join(spans, ["d", "k"], "left").select("_row.*", F.when(F.col("_spans").isNull(), t).otherwise(text).alias("_text"))
-    return with_text(out, "_text")
+    return with_text(rows.join(spans, ["d", "k"], "left"), F.when(F.col("_spans").isNull(), t).otherwise(text), docs)

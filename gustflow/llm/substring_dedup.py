@@ -337,12 +337,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
 
 
 def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """All rows and columns, ``text`` without the removed words."""
-    from gustflow.llm.line_quality import with_text
+    """All rows and columns, ``text`` without the removed words.
+
+    Null and short texts stay as they are; rows repeated word for word lose
+    the words of their windows like any other occurrences; an empty table gives
+    an empty result; any further columns, whatever their names, are carried
+    along."""
+    from gustflow.llm.line_quality import ROW, row_of, with_text
     base, found = removals(docs, window, gram, hot)
     cut = found.mapInArrow(_cut(window, False), "d long, k long, n_removed long, kept string").select("d", "k", F.col("kept").alias("_kept"))
     copied = base.where("copied").select("d", "k", F.lit("").alias("_kept")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("k"))
-    out = rows.join(cut.unionByName(copied), ["d", "k"], "left").select("_row.*", F.coalesce("_kept", "_row.text").alias("_text"))
-    return with_text(out, "_text")
+    rows = docs.select(row_of(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("k"))
+    return with_text(rows.join(cut.unionByName(copied), ["d", "k"], "left"), F.coalesce(F.col("_kept"), F.col(ROW)["text"]), docs)

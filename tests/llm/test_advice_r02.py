@@ -18,7 +18,7 @@ def test_pipeline_removes_a_line_of_a_twentieth_of_a_large_host(spark):
     rows = [(i, "\n".join(([line] if i % 20 == 0 else []) + [" ".join(words(60, 10_000 + i, 9000))]), "en", "hot") for i in range(1000)]
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()}
     assert kept.keys() >= {0, 20, 980} and not any(line in t for t in kept.values())
-    assert {r["n_removed"] for r in line_quality.quality(frame(spark, rows)).collect()} == {0}  # op3: the limit of its SQL
+    assert Counter(r["n_removed"] for r in line_quality.quality(frame(spark, rows)).collect()) == {0: 950, 6: 50}  # op3 has the same limit
 
 
 def test_toxicity_sample_is_no_prefix_of_the_ids(spark, monkeypatch):

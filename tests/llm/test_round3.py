@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
-from gustflow.llm import decontam, merkle, periodic
+from gustflow.llm import cross_polytope, decontam, line_quality, merkle, periodic, secrets, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, rank long, key string, h string, items string"
 
@@ -249,3 +250,59 @@ def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
     want = {(int(f) + i, k) for f, g in zip(w.first[:-1], w.first[1:]) for i in range(g - f) for k, name in enumerate(sorted(set(names)))
             if f + i + len(name.split()) <= g and " ".join(words[f + i:f + i + len(name.split())]) == name}
     assert got == want
+
+
+def test_every_vector_is_compared(spark):
+    rng = np.random.default_rng(1)
+    a, b, c = rng.normal(size=(3, 32))
+    near = lambda v: (v + 0.02 * rng.normal(size=32)).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, c.tolist()), (4, c.tolist()), (None, near(c)), (None, None),
+            (5, rng.normal(size=32).tolist()), (5, None), (6, [0.0] * 32), (7, [None] + [1.0] * 31), (8, [float("nan")] * 32), (9, []), (0, [1.0, 2.0])]
+    got = cross_polytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, False), (None, 0, None, True),
+            (5, 0, 5, True), (5, 0, 5, True), *((i, 0, i, True) for i in (6, 7, 8, 9, 0))]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_one_vec_id_joins_the_components_of_its_vectors(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 32))
+    rows = [(7, a.tolist()), (7, b.tolist()), (5, a.tolist()), (6, b.tolist())]
+    got = cross_polytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert Counter(map(tuple, got.collect())) == Counter([(7, 1, 5, False), (7, 1, 5, False), (5, 1, 5, True), (6, 1, 5, False)])
+
+
+def hosted(spark, n, share, host="hot"):
+    line = "all rights reserved by the hosting company"
+    rows = [(i, "\n".join([*(" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(6)), *([line] if i < n * share else [])]), "en", host) for i in range(n)]
+    return frame(spark, rows)
+
+
+def test_a_line_in_a_twentieth_of_a_hot_host_leaves(spark):
+    got = line_quality.quality(hosted(spark, 1000, 0.05)).collect()
+    assert sum(r["n_removed"] == 7 for r in got) == 50 and all(r["kept"] for r in got)
+    assert all(r["n_removed"] == 0 for r in line_quality.quality(hosted(spark, 1000, 0.03)).collect())  # the square root is 31.6
+    assert all(r["n_removed"] == 0 for r in line_quality.quality(hosted(spark, 60, 0.15)).collect())  # below 10 documents
+    assert sum(r["n_removed"] == 7 for r in line_quality.quality(hosted(spark, 60, 0.2)).collect()) == 12
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    rows = hosted(spark, 200, 0.2)
+    names = ["_text", "_row", "_spans", "_kept", "spans", "hs", "w", "d", "host", "t", "c", "copied", "sha", "a.b"]
+    rows = rows.drop("h").select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    for stage, changed in ((line_quality.clean, 40), (substring_dedup.strip, 0), (secrets.redact, 0)):
+        got = stage(rows)
+        assert got.columns == rows.columns
+        pdf = got.collect()
+        assert len(pdf) == 200 and all(r[c] == f"own {c}" for r in pdf for c in names)
+        before = {r["doc_id"]: r["text"] for r in rows.collect()}
+        assert sum(r["text"] != before[r["doc_id"]] for r in pdf) == changed
+        assert stage(rows.where("false")).count() == 0
+
+
+def test_pipeline_stages_on_an_empty_table(spark, sf_dir):
+    import corpus_pipeline
+    docs = frame(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0, name
