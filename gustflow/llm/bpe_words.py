@@ -1,18 +1,19 @@
 """BPE through a distinct-word table.
 
 1. Every text is split into words once.  A task gathers texts into chunks of
-   about ``CHUNK_BYTES`` and writes for each the distinct words and, packed,
-   every text's words as numbers into them.
-2. The distinct words of all chunks are made distinct once more and each is
-   encoded exactly once: table (word, ids).
-3. (chunk, number, word) is joined with that table on the word, and the ids go
-   back to their chunk, where each text's ids are put together by position.
-   What is shuffled are a chunk's distinct words, never single occurrences.
+   about ``CHUNK_CHARS`` and writes for each its table of distinct words and,
+   packed, every text's words as numbers into that table.
+2. The chunks' tables (chunk, number, word) are dealt out and sorted by word,
+   so that all rows of a distinct word lie together; it is encoded once.
+3. The ids go back to their chunk by number, where each text's ids are put
+   together by position.  What is shuffled are a chunk's distinct words, never
+   single occurrences.
 4. Decoding gathers the id-to-piece table (dense on id, so the join is an
    array lookup) and joins pieces by one space, which is what this
    vocabulary's decoder does.
 
-A task holds one chunk: its packed texts and the ids of its distinct words.  A
+The packed texts are written in buckets of their chunk, so they are not
+shuffled to meet their ids.  A task holds one chunk: its packed texts and the ids of its distinct words.  A
 longer text is a chunk of its own.  Nothing passes through the driver and
 nothing is broadcast.
 """
@@ -20,7 +21,6 @@ nothing is broadcast.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,91 +28,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gustflow.llm.bpe import default_vocab, encoder
-from gustflow.llm.common import written
+from gustflow.llm.common import bucketed
 from gustflow.llm.text import chunks, ragged
 
-CHUNK_BYTES = 8 << 20
+CHUNK_CHARS = 32 << 20
 #: Words put together at once inside a chunk.
 STEP_WORDS = 1 << 18
 
-_CHUNK = "chunk string, docs binary, codes binary, words array<string>"
-
-
-def _pack(z, doc_ids: list[int | None], split: list[list[str]]) -> pa.RecordBatch:
-    """One chunk: doc_ids, word counts, and word numbers (frequent words
-    first, as byte planes: the high ones are almost all zero)."""
-    coded = pa.array([w for own in split for w in own], pa.string()).dictionary_encode()
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(-np.bincount(which, minlength=len(coded.dictionary)), kind="stable")
-    number = np.empty(len(order), "<u4")
-    number[order] = np.arange(len(order))
-    docs = np.zeros(len(split), [("known", "u1"), ("id", "<i8"), ("words", "<i8")])
-    docs["known"] = [d is not None for d in doc_ids]
-    docs["id"] = [d or 0 for d in doc_ids]
-    docs["words"] = [len(own) for own in split]
-    planes = number[which].view(np.uint8).reshape(-1, 4).T.tobytes()
-    words = coded.dictionary.take(pa.array(order))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([uuid.uuid4().hex]), pa.array([z.compress(docs.tobytes())], pa.binary()), pa.array([z.compress(planes)], pa.binary()),
-         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["chunk", "docs", "codes", "words"])
-
-
-def word_chunks(docs: DataFrame, vocab: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+_CHUNK = "chunk long, docs binary, codes binary, words array<string>"
+_DOC = [("known", "u1"), ("id", "<i8"), ("words", "<i8")]
+
+
+class Chunk:
+    """Texts as numbers into the table of their distinct words."""
+
+    def __init__(self) -> None:
+        self.table: dict[str, int] = {}
+        self.codes: list[np.ndarray] = []
+        self.docs: list[tuple[int, int, int]] = []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, words: list[str], chars: int) -> None:
+        table = self.table
+        for w in words:
+            if w not in table:
+                table[w] = len(table)
+        self.codes.append(np.fromiter(map(table.__getitem__, words), "<u4", len(words)))
+        self.docs.append((doc_id is not None, doc_id or 0, len(words)))
+        self.chars += chars
+
+    def pack(self, z, name: int) -> pa.RecordBatch:
+        """Frequent words get low numbers; the numbers are packed as byte
+        planes, of which the high ones are almost all zero."""
+        code = np.concatenate(self.codes)
+        order = np.argsort(-np.bincount(code, minlength=len(self.table)), kind="stable")
+        number = np.empty(len(order), "<u4")
+        number[order] = np.arange(len(order))
+        planes = number[code].view(np.uint8).reshape(-1, 4).T.tobytes()
+        words = pa.array(self.table, pa.string()).take(pa.array(order))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([z.compress(np.array(self.docs, _DOC).tobytes())], pa.binary()), pa.array([z.compress(planes)], pa.binary()),
+             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["chunk", "docs", "codes", "words"])
+
+
+def word_chunks(docs: DataFrame, vocab: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(chunk, docs, codes, words), each text split once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        enc, z = encoder(vocab), zstandard.ZstdCompressor(level=3)
-        ids, split, held = [], [], 0
-        for b in chunks(batches, max_bytes=min(chunk_bytes, 1 << 20)):
+        from pyspark import TaskContext
+        enc, z = encoder(vocab), zstandard.ZstdCompressor(level=6)
+        name, held = TaskContext.get().partitionId() << 32, Chunk()  # a name no other task gives
+        for b in chunks(batches, max_bytes=1 << 20):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                size = len(text or "")
-                if ids and held + size > chunk_bytes:
-                    yield _pack(z, ids, split)
-                    ids, split, held = [], [], 0
-                ids.append(doc_id)
-                split.append(enc.words(text) if text else [])
-                held += size
-        if ids:
-            yield _pack(z, ids, split)
+                text = text or ""
+                if held.docs and held.chars + len(text) > chunk_chars:
+                    yield held.pack(z, name)
+                    name, held = name + 1, Chunk()
+                held.add(doc_id, enc.words(text) if text else [], len(text))
+        if held.docs:
+            yield held.pack(z, name)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _CHUNK)
 
 
-def encode_words(words: DataFrame, vocab: str) -> DataFrame:
-    """(word, ids): every distinct word through the library once; ids are
-    little-endian uint32 bytes."""
+def encode_words(slots: DataFrame, vocab: str) -> DataFrame:
+    """(of, number, ids) for (of, number, word) sorted by word inside every
+    partition, with all rows of a word in one: each distinct word goes through
+    the library once.  ids are little-endian bytes, two or four an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab)
+        enc, last = encoder(vocab), {}
+        kind = id_kind(enc)
         for b in batches:
-            col = b.column("word")
-            ids = [np.array(i, "<u4").tobytes() for i in enc.encode_words(col.to_pylist())]
-            yield pa.RecordBatch.from_arrays([col, pa.array(ids, pa.binary())], ["word", "ids"])
+            coded = b.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = [w for w in words if w not in last]  # a word may go on from the batch before
+            ids = {**last, **{w: np.array(i, kind).tobytes() for w, i in zip(new, enc.encode_words(new))}}
+            table = pa.array([ids[w] for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("number"), table.take(coded.indices)], ["of", "number", "ids"])
+            if words:
+                last = {words[-1]: ids[words[-1]]}
+
+    return slots.mapInArrow(run, "of long, number int, ids binary")
+
 
-    return words.mapInArrow(run, "word string, ids binary")
+def id_kind(enc) -> str:
+    return "<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encode(docs: DataFrame, vocab: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, vocab: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; see
     ``encoded`` for the row handling."""
-    return encoded(docs, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", vocab, chunk_bytes)
+    return encoded(docs, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", vocab, chunk_chars)
 
 
-def encode_ids(docs: DataFrame, vocab: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode_ids(docs: DataFrame, vocab: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, ids, decoded): the ids and the decoded text themselves."""
-    return encoded(docs, _ids, "ids array<int>, decoded string", vocab, chunk_bytes)
+    return encoded(docs, _ids, "ids array<int>, decoded string", vocab, chunk_chars)
 
 
-def encoded(docs: DataFrame, finish, columns: str, vocab: str | None, chunk_bytes: int) -> DataFrame:
+def encoded(docs: DataFrame, finish, columns: str, vocab: str | None, chunk_chars: int) -> DataFrame:
     """Null and empty texts have no ids; repeated rows give repeated results;
     null doc_id stays null; an empty table gives an empty result; other
     columns are ignored."""
     vocab = vocab or default_vocab()
-    packed = written(word_chunks(docs, vocab, chunk_bytes), "bpe_chunks")
+    packed = bucketed(word_chunks(docs, vocab, chunk_chars), "chunk", "bpe_chunks")
     slots = packed.select(F.col("chunk").alias("of"), F.posexplode("words").alias("number", "word"))
-    table = written(encode_words(slots.select("word").distinct(), vocab), "bpe_words")
-    filled = slots.join(table, "word").select("of", "number", "ids")
+    filled = encode_words(slots.repartition("word").sortWithinPartitions("word"), vocab)
 
     def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
         import zstandard
@@ -121,9 +144,10 @@ def encoded(docs: DataFrame, finish, columns: str, vocab: str | None, chunk_byte
         pieces = pa.array([p + " " for p in enc.pieces()])
         words = words.sort_by("number").combine_chunks()
         blobs = words["ids"].to_pylist()
-        sizes = np.array([len(b) // 4 for b in blobs], np.int64)
-        ids, starts = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32), np.cumsum(sizes) - sizes
-        rows = np.frombuffer(z.decompress(texts["docs"][0].as_py()), [("known", "u1"), ("id", "<i8"), ("words", "<i8")])
+        ids = np.frombuffer(b"".join(blobs), id_kind(enc))
+        sizes = np.array([len(b) // ids.itemsize for b in blobs], np.int64)
+        ids, starts = ids.astype(np.int32), np.cumsum(sizes) - sizes
+        rows = np.frombuffer(z.decompress(texts["docs"][0].as_py()), _DOC)
         codes = np.ascontiguousarray(np.frombuffer(z.decompress(texts["codes"][0].as_py()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
         ends, out, first = np.cumsum(rows["words"]), [], 0
         while first < len(rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,6 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``written`` with the rows in as many buckets of ``key`` as there are
+    shuffle partitions: grouping or joining by ``key`` then moves only the
+    other side.  The table lives in the session's catalog, its files in the
+    shared folder."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("path", work_path(spark, "llm", name))
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table))
+    return spark.table(table)
+
+
 def bucket_of(col: Column, buckets: int) -> Column:
     """crc32 of the decimal text of ``col`` modulo ``buckets``."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(buckets)
