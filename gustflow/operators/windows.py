@@ -5,11 +5,10 @@ Scale notes
 -----------
 * Tumbling aggregates are plain ``groupBy(window(...), key)`` with partial
   aggregation; a hot key is folded map-side.
-* The regular series first aggregates to (key, bin) — from then on the data
-  per key is bounded by ``time span / step`` whatever the raw row count —
-  and only then runs the interpolation windows per key.
-* Frequency inference computes inter-arrival gaps inside (key, hour) slices
-  and stitches slice boundaries with a per-(key, slice) table, then finds the
+* The regular series first aggregates to (key, bin), then works in blocks of
+  bins; what a block needs of later ones is carried over a (key, block) table.
+* Frequency inference folds readings to (key, second, count), computes
+  inter-arrival gaps inside (key, hour) slices of those and stitches slice boundaries with a per-(key, slice) table, then finds the
   exact median from a (key, gap) histogram; no window ever spans a whole key.
 """
 
@@ -50,64 +49,84 @@ def live_window_agg(df: DataFrame, key_cols: Sequence[str] = ("city",), metrics:
     return tail_rows(agg, limit, ordering)
 
 
+#: Bins in a block of a regular series.
+BLOCK_BINS = 1024
+
+
 def resample(df: DataFrame, key_cols: Sequence[str] = ("city",), metrics: Sequence[str] = METRICS,
-             time_col: str = "event_time", minutes: int = 30) -> DataFrame:
+             time_col: str = "event_time", minutes: int = 30, block_bins: int = BLOCK_BINS) -> DataFrame:
     """Regular series per (key, metric): bin means on an epoch-aligned grid,
     gaps filled by time-linear interpolation; leading gaps are dropped and
-    trailing gaps repeat the last value.  Output ``(keys, metric, ds, y)``."""
+    trailing gaps repeat the last value.  Output ``(keys, metric, ds, y)``.
+
+    Bins are gathered by (key, block of ``block_bins`` bins).  A point fills
+    the grid up to the next point of its metric, which lies in its own block
+    or is the first one of a later block; those first points are carried back
+    over an edge table of one row per (key, block), so no task holds a key's
+    bins and the input is read once."""
     step = int(minutes) * 60
-    binned = df.select(*key_cols, *metrics,
-                       (F.floor(F.unix_seconds(F.col(time_col)) / step) * step).cast("long").alias("_bin"))
-    wide = binned.groupBy(*key_cols, "_bin").agg(
+    keys = list(key_cols)
+    binned = df.dropna(subset=keys).select(*keys, *metrics, (F.floor(F.unix_seconds(F.col(time_col)) / step) * step).cast("long").alias("_bin"))
+    wide = binned.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(
         *[F.avg(F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double"))).alias(m) for m in metrics])  # NaN is a missing reading
-    span = wide.groupBy(*key_cols).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
-    grid = span.select(*key_cols, F.explode(F.sequence("_lo", "_hi", F.lit(step).cast("long"))).alias("_bin"))
-    filled = grid.join(wide, [*key_cols, "_bin"], "left")
-
-    fwd = Window.partitionBy(*key_cols).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bwd = Window.partitionBy(*key_cols).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding,
-                                                                                   Window.currentRow)
-    for m in metrics:
-        point = F.when(F.col(m).isNotNull(), F.struct(F.col("_bin").alias("t"), F.col(m).alias("v")))
-        filled = filled.withColumn(f"_p_{m}", F.last(point, ignorenulls=True).over(fwd))
-    for m in metrics:
-        point = F.when(F.col(m).isNotNull(), F.struct(F.col("_bin").alias("t"), F.col(m).alias("v")))
-        filled = filled.withColumn(f"_n_{m}", F.last(point, ignorenulls=True).over(bwd))
-
-    entries = []
-    for m in metrics:
-        p, n = F.col(f"_p_{m}"), F.col(f"_n_{m}")
-        interp = (F.when(F.col(m).isNotNull(), F.col(m))
-                  .when(p.isNotNull() & n.isNotNull(),
-                        p["v"] + (n["v"] - p["v"]) * (F.col("_bin") - p["t"]) / (n["t"] - p["t"]))
-                  .when(p.isNotNull(), p["v"]))
-        entries.append(F.struct(F.lit(m).alias("metric"), interp.alias("y")))
-    out = filled.select(*key_cols, F.timestamp_seconds("_bin").alias("ds"), F.inline(F.array(*entries)))
-    return out.where(F.col("y").isNotNull()).select(*key_cols, "metric", "ds", "y")
+    blocks = (wide.groupBy(*keys, F.expr(f"_bin div {step * int(block_bins)}").alias("_block"))
+              .agg(F.sort_array(F.collect_list(F.struct("_bin", *metrics))).alias("_points")))
+
+    def own(m: str):
+        return F.transform(F.filter("_points", lambda p: p[m].isNotNull()), lambda p: F.struct(p["_bin"].alias("t"), p[m].alias("v")))
+
+    edges = blocks.select(*keys, "_block", F.get("_points", F.size("_points") - 1)["_bin"].alias("_last"),
+                          *[F.get(own(m), F.lit(0)).alias(f"_f_{m}") for m in metrics])
+    later = Window.partitionBy(*keys).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*keys, "_block", F.max("_last").over(Window.partitionBy(*keys)).alias("_hi"),
+                         *[F.last(f"_f_{m}", ignorenulls=True).over(later).alias(f"_n_{m}") for m in metrics])
+    def spans(m: str):
+        after = F.concat(F.slice(own(m), 2, F.lit(int(block_bins))), F.array(F.col(f"_n_{m}")))
+        pairs = F.zip_with(own(m), after, lambda p, n: F.struct(F.lit(m).alias("metric"), p["t"].alias("t"), p["v"].alias("v"), n.alias("n")))
+        return F.filter(pairs, lambda p: p["t"].isNotNull())  # a block without a point has none
+
+    # null-safe, so that no filter parts the two uses of ``blocks`` and its shuffle is read twice
+    named = [*keys, "_block"]
+    edges = edges.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(named)], "_hi", *[f"_n_{m}" for m in metrics])
+    same = F.lit(True)
+    for i, c in enumerate(named):
+        same = same & F.col(c).eqNullSafe(F.col(f"_e{i}"))
+    rows = blocks.join(edges, same).select(*keys, "_hi", F.inline(F.concat(*[spans(m) for m in metrics])))
+    end = F.when(F.col("n").isNotNull(), F.col("n.t") - step).otherwise(F.col("_hi"))
+    rows = rows.select(*keys, "metric", "t", "v", "n", F.explode(F.sequence("t", end, F.lit(step).cast("long"))).alias("_bin"))
+    y = F.when((F.col("_bin") == F.col("t")) | F.col("n").isNull(), F.col("v")).otherwise(
+        F.col("v") + (F.col("n.v") - F.col("v")) * (F.col("_bin") - F.col("t")) / (F.col("n.t") - F.col("t")))
+    return rows.select(*keys, "metric", F.timestamp_seconds("_bin").alias("ds"), y.alias("y"))
 
 
 def inter_arrival(df: DataFrame, key_cols: Sequence[str] = ("city",), time_col: str = "event_time",
                   slice_seconds: int = 3600) -> DataFrame:
-    """Gaps in seconds between consecutive readings of each key, computed in
-    (key, slice) groups of ``slice_seconds``; the first gap of a slice is
-    stitched to the previous non-empty slice through a (key, slice) table
-    bounded by the calendar, so no window spans a whole key."""
-    t = df.select(*key_cols, F.unix_seconds(F.col(time_col)).alias("_t")).where(F.col("_t").isNotNull())
-    t = t.withColumn("_day", F.floor(F.col("_t") / int(slice_seconds)))
-    w = Window.partitionBy(*key_cols, "_day").orderBy("_t")
-    inner = t.select(*key_cols, (F.col("_t") - F.lag("_t").over(w)).alias("gap")).where(F.col("gap").isNotNull())
-    days = t.groupBy(*key_cols, "_day").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
-    wd = Window.partitionBy(*key_cols).orderBy("_day")
-    edges = days.select(*key_cols, (F.col("_first") - F.lag("_last").over(wd)).alias("gap")).where(
-        F.col("gap").isNotNull())
+    """(keys, gap, n): gaps in seconds between consecutive readings of each
+    key and how often each was found in a run.  Readings are folded to one row
+    per (key, second) first, whose repeats are gaps of 0; the other gaps come
+    from (key, slice) groups of at most ``slice_seconds`` seconds, and the
+    first one of a slice is stitched to the previous non-empty slice through a
+    (key, slice) table bounded by the calendar, so no window spans a whole
+    key and no group grows with the readings."""
+    keys = list(key_cols)
+    t = df.select(*keys, F.unix_seconds(F.col(time_col)).alias("_t")).where(F.col("_t").isNotNull())
+    t = t.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c")).withColumn("_day", F.floor(F.col("_t") / int(slice_seconds)))
+    w = Window.partitionBy(*keys, "_day").orderBy("_t")
+    one = F.lit(1).cast("long").alias("n")
+    found = F.array(F.struct(F.col("gap"), one), F.struct(F.lit(0).cast("long").alias("gap"), (F.col("_c") - 1).alias("n")))
+    inner = t.withColumn("gap", F.col("_t") - F.lag("_t").over(w)).select(*keys, F.inline(found)).where("gap is not null and n > 0")
+    days = t.groupBy(*keys, "_day").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    wd = Window.partitionBy(*keys).orderBy("_day")
+    edges = days.select(*keys, (F.col("_first") - F.lag("_last").over(wd)).alias("gap"), one).where("gap is not null")
     return inner.unionByName(edges)
 
 
-def exact_median(values: DataFrame, key_cols: Sequence[str], value_col: str) -> DataFrame:
+def exact_median(values: DataFrame, key_cols: Sequence[str], value_col: str, weight: str | None = None) -> DataFrame:
     """Exact median per key from a (key, value) histogram (average of the two
-    middle values for an even count).  The histogram is a partial aggregation,
-    and the running counts walk distinct values only."""
-    hist = values.groupBy(*key_cols, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    middle values for an even count); ``weight``: how often a row's value
+    counts.  The histogram is a partial aggregation, and the running counts
+    walk distinct values only."""
+    hist = values.groupBy(*key_cols, value_col).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     w = Window.partitionBy(*key_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wk = Window.partitionBy(*key_cols)
     ranked = (hist.withColumn("_hi", F.sum("_c").over(w))
@@ -131,7 +150,7 @@ def infer_freq(df: DataFrame, key_cols: Sequence[str] = ("city",), time_col: str
     Keys with fewer than two readings get the default 30min bucket and a
     null median."""
     gaps = inter_arrival(df, key_cols, time_col)
-    med = exact_median(gaps, key_cols, "gap")
+    med = exact_median(gaps, key_cols, "gap", "n")
     keys = df.select(*key_cols).where(F.col(key_cols[0]).isNotNull()).distinct()
     out = keys.join(med, list(key_cols), "left")
     secs = F.floor(F.col("median")).cast("long")

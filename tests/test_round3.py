@@ -219,3 +219,27 @@ def test_any_end_stops_the_others(spark):
     first, second = Query(5), Query(2)
     await_all(spark, Started((first, second), bounded=True))
     assert not first.stopped and not second.stopped
+
+
+def test_regular_series_do_not_depend_on_the_block_size(spark):
+    import random
+    from gustflow.operators.windows import resample
+    rng = random.Random(3)
+    data = [(c, rng.randrange(300) * 700, *(None if rng.random() < p else rng.random() for p in (0.4, 0.8))) for c in ("A", "B", None) for _ in range(50)]
+    df = spark.createDataFrame(data, "city string, s long, x double, z double").withColumn("t", F.timestamp_seconds("s"))
+    one, three, whole = (sorted(map(tuple, resample(df, ["city"], ["x", "z"], "t", 30, block_bins=b).collect())) for b in (1, 3, 4096))
+    assert one == three == whole and len(whole) > 300
+    plan = resample(df, ["city"], ["x", "z"], "t", 30)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeats_of_a_second_are_counted_not_listed(spark):
+    from gustflow.operators.windows import infer_freq, inter_arrival
+    secs = [0] * 500 + [600, 600, 1200, 4000, 90_000]
+    df = spark.createDataFrame([("A", s) for s in secs] + [("B", 5), ("C", 1), ("C", 31)], "city string, s long")
+    df = df.withColumn("event_time", F.timestamp_seconds("s"))
+    gaps = {(r.city, r.gap): r.n for r in inter_arrival(df).groupBy("city", "gap").agg(F.sum("n").alias("n")).collect()}
+    assert gaps == {("A", 0): 500, ("A", 600): 2, ("A", 2800): 1, ("A", 86_000): 1, ("C", 30): 1}
+    assert inter_arrival(df).count() == 6
+    assert {r.city: r.median_seconds for r in infer_freq(df).collect()} == {"A": 0, "B": None, "C": 30}
