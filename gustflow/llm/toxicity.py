@@ -1,15 +1,18 @@
 """Counterfactual-regularised toxicity classifier.
 
 Logistic regression on the set of a text's lower-cased words (hashed), with
-an L1 penalty that leaves a small lexicon, and a counterfactual penalty: each
-labelled text that mentions an identity term is paired with the text in which
-the term is swapped for others of its group, and the squared change of the
-text's logit is added to the loss.  Terms of a group thus end with near-equal
-weights, and a mention alone moves no score.
+an L1 penalty that leaves a small lexicon, and a counterfactual penalty: every
+labelled text that mentions an identity term is rewritten once for each other
+term of its group (the two terms change places), and once with the term
+replaced by a word that means nothing; the squared change of the text's logit
+is added to the loss.  The same is done with neutral sentences of every
+language (``TEMPLATES``) filled with each term, which count as mentions but
+have no label.  A group's terms thus end with near-equal weights near zero,
+and a mention alone moves no score.
 
 The fit uses at most ``PER_CLASS`` labelled rows of each class, chosen by a
-hash of doc_id (a bounded sample, for the fit alone); every whole text is
-scored.
+hash of doc_id and cut at ``FIT_BYTES`` of words (a bounded sample, for the fit
+alone); every whole text is scored.
 """
 
 from __future__ import annotations
@@ -29,11 +32,15 @@ PER_CLASS = 4000
 BITS = 22
 THRESHOLD = 0.7
 L1 = 2e-4
-COUNTERFACTUAL = 1.0
+COUNTERFACTUAL = 4.0
 STEPS = 300
 
-#: Groups of identity terms that are swapped for one another.
+#: Bytes of distinct word places that the fit takes from the sample at most.
+FIT_BYTES = 256 << 20
+
+#: Groups of identity terms that are swapped for one another, by language.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
+    # English
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("girls", "boys"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -41,6 +48,32 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrant", "native"), ("immigrants", "natives"),
     ("deaf", "blind", "disabled"), ("old", "young"),
+    # German
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "junge"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwul", "hetero", "lesbisch", "bisexuell", "transgender"),
+    ("ausländer", "einheimische"), ("gehörlos", "blind", "behindert"),
+    # French
+    ("femmes", "hommes"), ("femme", "homme"), ("fille", "garçon"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("homosexuel", "hétérosexuel", "lesbienne", "bisexuel", "transgenre"),
+    ("immigrés", "natifs"), ("sourd", "aveugle", "handicapé"),
+    # Spanish
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niña", "niño"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexual", "heterosexual", "lesbiana", "bisexual", "transgénero"),
+    ("inmigrantes", "nativos"), ("sordo", "ciego", "discapacitado"),
+)
+
+#: Neutral sentences; {} is the place of a term.
+TEMPLATES: tuple[str, ...] = (
+    "my neighbour is {}", "the meeting of {} was on monday", "a book about {} in the library",
+    "meine nachbarn sind {}", "ein treffen für {} am montag", "ein buch über {} in der bibliothek",
+    "mes voisins sont {}", "une réunion pour {} lundi", "un livre sur {} à la bibliothèque",
+    "mis vecinos son {}", "una reunión para {} el lunes", "un libro sobre {} en la biblioteca",
 )
 
 # Words are runs of ASCII letters and digits and of non-ASCII bytes.
@@ -64,6 +97,30 @@ def swaps(groups=IDENTITY_GROUPS) -> list[np.ndarray]:
     return [places(string_hash(pa.array(list(g)))) for g in groups]
 
 
+def counterfactuals(words: np.ndarray, groups: list[np.ndarray]) -> list[np.ndarray]:
+    """The word sets of a text rewritten: for each identity term it mentions
+    and each other term of the group, the two change places (a text with both
+    stays as it is); and without the term."""
+    out = []
+    for g in groups:
+        held = np.isin(g, words)
+        for a in g[held]:
+            rest = words[words != a]
+            out += [words if held[k] else np.append(rest, b) for k, b in enumerate(g) if b != a]
+            out.append(rest)
+    return out
+
+
+def mentions(rows: list[np.ndarray], groups, templates) -> list[np.ndarray]:
+    """Word sets that the penalty rewrites: the sample's texts that mention a
+    term, and the templates filled with every term."""
+    every = np.concatenate([np.zeros(0, np.int64), *swaps(groups)])
+    filled = [t.format(term) for g in groups for term in g for t in templates]
+    row, place = features(pa.array(filled, pa.string()))
+    cut = np.searchsorted(row, np.arange(len(filled) + 1))
+    return [r.astype(np.int64) for r in rows if np.isin(r, every).any()] + [place[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
@@ -75,33 +132,34 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, groups=IDENTITY_GROUPS, l1: float = L1,
-        counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> Model:
-    """Proximal Adagrad on the full sample; classes weigh the same."""
+        counterfactual: float = COUNTERFACTUAL, steps: int = STEPS, templates=TEMPLATES) -> Model:
+    """Proximal Adagrad on the full sample; classes weigh the same.  The
+    penalty is the mean squared change of the logit over the rewritten texts."""
     size = np.array([len(r) for r in rows])
     row, place = np.repeat(np.arange(len(rows)), size), np.concatenate(rows).astype(np.int64)
-    known, col = np.unique(place, return_inverse=True)
-    # each mention of a group's term against each other term of the group: logit change = w[a] - w[b]
-    pairs: dict[tuple[int, int], float] = {}
-    for g in swaps(groups):
-        for a in g:
-            n = float((place == a).sum())
-            for b in g:
-                if n and a != b:
-                    pairs[int(a), int(b)] = pairs.get((int(a), int(b)), 0.0) + n / (len(g) - 1)
-    missing = np.setdiff1d(np.array([b for _, b in pairs], np.int64), known)
-    known = np.concatenate([known, missing])
-    at = {int(p): i for i, p in enumerate(known)}
-    pa_, pb = (np.array([at[p[i]] for p in pairs], np.int64) for i in (0, 1))
-    pn = np.array(list(pairs.values())) / max(1, len(rows))
+    # every rewritten text as what it adds to and takes from its original
+    terms = swaps(groups)
+    who, where, sign, pairs = [], [], [], 0
+    for own in mentions(rows, groups, templates):
+        for new in counterfactuals(own, terms):
+            for change, by in ((np.setdiff1d(new, own), 1.0), (np.setdiff1d(own, new), -1.0)):
+                where.append(change)
+                who.append(np.full(len(change), pairs))
+                sign.append(np.full(len(change), by))
+            pairs += 1
+    who, where, sign = (np.concatenate([np.zeros(0), *x]) for x in (who, where, sign))
+    who = who.astype(np.int64)
+    known, col = np.unique(np.concatenate([place, where.astype(np.int64)]), return_inverse=True)
+    col, moved = col[:len(place)], col[len(place):]
     w, b, seen, seen_b = np.zeros(len(known)), 0.0, np.full(len(known), 1e-8), 1e-8
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(steps):
         logit = np.bincount(row, w[col], minlength=len(rows)) + b
         err = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
         g = np.bincount(col, err[row], minlength=len(known))
-        if len(pn):
-            change = 2 * counterfactual * pn * (w[pa_] - w[pb])
-            g += np.bincount(pa_, change, minlength=len(known)) - np.bincount(pb, change, minlength=len(known))
+        if pairs:
+            change = np.bincount(who, sign * w[moved], minlength=pairs)
+            g += np.bincount(moved, 2 * counterfactual / pairs * change[who] * sign, minlength=len(known))
         seen += g * g
         seen_b += err.sum() ** 2
         rate = 0.5 / np.sqrt(seen)
@@ -110,7 +168,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, groups=IDENTITY_GROUPS, l1: float
         b -= 0.5 / np.sqrt(seen_b) * err.sum()
     weights = np.zeros(1 << BITS)
     weights[known] = w
-    logit = np.bincount(row, w[col], minlength=len(rows))
+    # the cut is taken with the mentions left out: what is left of a term's weight must not place it
+    cited = np.isin(place, np.concatenate([np.zeros(0, np.int64), *terms])) & (counterfactual > 0)
+    logit = np.bincount(row, np.where(cited, 0, w[col]), minlength=len(rows))
     return Model(weights, math.log(THRESHOLD / (1 - THRESHOLD)) - _cut(logit, y, weight))
 
 
@@ -124,7 +184,8 @@ def _cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) + 1
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, groups=IDENTITY_GROUPS,
+          counterfactual: float = COUNTERFACTUAL, templates=TEMPLATES) -> Model | None:
     """Fit on labelled rows outside the held-out remainder; None unless both
     classes occur.  Null labels are ignored; of several labels of one doc_id
     the highest counts."""
@@ -147,10 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     got = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
            .join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, place double, words binary").toPandas())
     got = got.sort_values(["place", "doc_id", "words"]).drop_duplicates("doc_id").groupby("y").head(per_class)
+    got = got[got["words"].str.len().groupby(got["y"]).cumsum() <= FIT_BYTES // 2]
     y = got["y"].to_numpy()
     if set(y.tolist()) != {0, 1}:
         return None
-    return fit([np.frombuffer(r, "<i4") for r in got["words"]], y)
+    return fit([np.frombuffer(r, "<i4") for r in got["words"]], y, groups, counterfactual=counterfactual, templates=templates)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -173,5 +235,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                        F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels))
+def classify(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, counterfactual: float = COUNTERFACTUAL,
+             templates=TEMPLATES) -> DataFrame:
+    """``score`` by a model trained on ``labels``; ``groups``: the identity
+    terms to be swapped for one another, of any languages."""
+    return score(docs, train(docs, labels, groups=groups, counterfactual=counterfactual, templates=templates))

@@ -24,7 +24,7 @@ def test_pipeline_removes_a_line_of_a_twentieth_of_a_large_host(spark):
 def test_toxicity_sample_is_no_prefix_of_the_ids(spark, monkeypatch):
     ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.append((rows, y)))
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, *_, **__: seen.append((rows, y)))
     toxicity.train(frame(spark, [(i, f"word{i}") for i in ids]), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"), per_class=40)
     (rows, y), by_word = seen[0], {int(toxicity.features(np_text(f"word{i}"))[1][0]): i for i in ids}
     drawn = [by_word[int(r[0])] for r in rows]

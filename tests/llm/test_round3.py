@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
-from gustflow.llm import cross_polytope, decontam, line_quality, merkle, periodic, secrets, substring_dedup
+from gustflow.llm import cross_polytope, decontam, line_quality, merkle, periodic, secrets, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tree string, rank long, key string, h string, items string"
 
@@ -306,3 +306,37 @@ def test_pipeline_stages_on_an_empty_table(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0, name
+
+
+SLURS = ["slurone", "slurtwo", "slurthree", "slurfour"]
+
+
+def biased(spark):
+    """All toxic rows mention one group; some other texts mention it neutrally."""
+    rng = random.Random(9)
+    text = lambda *more: " ".join([*(f"w{rng.randrange(3000)}" for _ in range(12)), *more])
+    docs = [(i, text("muslimisch", *([rng.choice(SLURS)] if rng.random() < 0.95 else [])) if i % 2 else text()) for i in range(900)]
+    neutral = [(5000 + i, text("Muslimisch")) for i in range(60)]
+    toxic = [(9000 + i, text(rng.choice(SLURS))) for i in range(40)]
+    return frame(spark, docs + neutral + toxic), spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+
+
+def test_neutral_mentions_score_low_only_with_the_penalty(spark):
+    docs, labels = biased(spark)
+    share = {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, labels, counterfactual=penalty).where("doc_id >= 5000").collect()}
+        share[penalty] = (np.mean([p for d, p in got.items() if d < 9000]), np.mean([p for d, p in got.items() if d >= 9000]))
+    assert share[0.0][0] > 0.9 and share[toxicity.COUNTERFACTUAL][0] < 0.05 and share[toxicity.COUNTERFACTUAL][1] > 0.95, share
+
+
+def test_counterfactuals_are_swapped_texts():
+    groups = (("women", "men"), ("gay", "straight", "lesbian"))
+    words = lambda text: toxicity.features(__import__("pyarrow").array([text]))[1]
+    text = "the gay men and a straight line"
+    got = Counter(tuple(np.sort(c)) for c in toxicity.counterfactuals(words(text), toxicity.swaps(groups)))
+    want = Counter(tuple(words(t)) for t in (
+        "the gay women and a straight line", "the gay and a straight line",
+        "the straight men and a gay line", "the lesbian men and a straight line", "the men and a straight line",
+        "the straight men and a gay line", "the gay men and a lesbian line", "the gay men and a line"))
+    assert got == want
