@@ -10,26 +10,24 @@ ordering window.
 * Hold-out back-test: the last ``h = max(2, min(periods, n // 4))`` points
   are held out (only when ``n > h + min_points``), the model is refit on the
   rest, and MAE / RMSE are aggregates of the errors.
-* Holt's additive-trend exponential smoothing has a sequential recursion;
-  it runs per series with ``applyInPandas`` (a series is bounded by
-  ``time span / step`` points whatever the raw row count) and searches
-  (alpha, beta) by one-step-ahead SSE over a coarse grid refined locally,
-  vectorised over the grid with numpy.
+* Holt's additive-trend exponential smoothing is a scan of affine maps over
+  blocks of a series (:mod:`gustflow.operators.holt`); a task holds one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, FORECAST_OK_MESSAGE, NEED_POINTS_MESSAGE, Params
+from ..session import materialize
+from . import holt
 
 SERIES_KEYS = ("city", "metric")
+METHODS = ("linear_trend", "exponential_smoothing", "auto", "prophet")
 
 
 def _margin(std: F.Column, n: F.Column, params: Params) -> F.Column:
@@ -81,18 +79,35 @@ def forecast_linear(series: DataFrame, periods: int = 6, keys: Sequence[str] = S
 
 
 def forecast_status(series: DataFrame, method: str = "linear_trend", keys: Sequence[str] = SERIES_KEYS,
-                    params: Params = DEFAULT) -> DataFrame:
-    """Per series: points, method used (``none`` when too short) and the message."""
-    n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+                    params: Params = DEFAULT, step: int = 1800) -> DataFrame:
+    """Per series: points, the method that its fit was made with and the message.
+
+    ``none`` when the series is too short or the method gave no finite fit;
+    ``auto`` names the smoothing where it fits and else the linear trend."""
+    if method not in METHODS:
+        raise ValueError(f"Unknown forecast method: {method}")
     short = F.col("n") < params.min_history_points
     head, tail = NEED_POINTS_MESSAGE.split("{city}")
     need = F.concat(F.lit(head.format(n=params.min_history_points)), F.col(keys[0]).cast("string"), F.lit(tail))
     if method == "prophet":
-        return n.select(*keys, "n", F.lit("none").alias("method"),
-                        F.when(short, need).otherwise(
-                            F.lit("Could not run prophet: No module named 'prophet'")).alias("message"))
-    return n.select(*keys, "n", F.when(short, F.lit("none")).otherwise(F.lit(method)).alias("method"),
-                    F.when(short, need).otherwise(F.lit(FORECAST_OK_MESSAGE)).alias("message"))
+        made = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("used", F.lit(None).cast("string"))
+        reason = "No module named 'prophet'"
+    else:
+        reason = "no finite fit"
+        if method == "linear_trend":
+            made = linear_fit(indexed(series, keys, step), keys)
+            made = made.withColumn("level", F.lit(None).cast("double")).withColumn("trend", F.col("level"))
+        else:
+            n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            fit, _ = _smoothed(series, 6, keys, step, params, None, None, False, holt.BLOCK)
+            made = n.join(fit.drop("n"), list(keys), "left")
+        smooth = F.when(_finite(F.col("level")) & _finite(F.col("trend")), "exponential_smoothing")
+        linear = F.when(_finite(F.col("slope")) & _finite(F.col("intercept")), "linear_trend")
+        made = made.withColumn("used", {"linear_trend": linear, "exponential_smoothing": smooth,
+                                        "auto": F.coalesce(smooth, linear)}[method])
+    failed = F.lit(f"Could not run {method.replace('_', ' ')}: {reason}")
+    return made.select(*keys, "n", F.when(short | F.col("used").isNull(), "none").otherwise(F.col("used")).alias("method"),
+                       F.when(short, need).when(F.col("used").isNull(), failed).otherwise(F.lit(FORECAST_OK_MESSAGE)).alias("message"))
 
 
 def _holdout(ix: DataFrame, periods: int, params: Params) -> DataFrame:
@@ -124,43 +139,6 @@ def backtest_linear(series: DataFrame, periods: int = 6, keys: Sequence[str] = S
 # Holt's linear (additive trend) exponential smoothing
 # --------------------------------------------------------------------------
 
-def holt_states(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray):
-    """Run the recursion for every (alpha, beta) pair at once.
-
-    Level starts at ``y[0]`` and trend at ``y[1] - y[0]``.  Returns the final
-    level, final trend and the one-step-ahead SSE for every pair."""
-    level = np.full(alpha.shape, y[0], dtype="float64")
-    trend = np.full(alpha.shape, y[1] - y[0], dtype="float64")
-    sse = np.zeros(alpha.shape, dtype="float64")
-    for t in range(1, len(y)):
-        pred = level + trend
-        err = y[t] - pred
-        sse += err * err
-        new_level = alpha * y[t] + (1.0 - alpha) * (level + trend)
-        trend = beta * (new_level - level) + (1.0 - beta) * trend
-        level = new_level
-    return level, trend, sse
-
-
-def holt_fit(y: np.ndarray, alpha: float | None = None, beta: float | None = None):
-    """(alpha, beta, level, trend); optimised by SSE when alpha/beta are None."""
-    if alpha is not None and beta is not None:
-        lv, tr, _ = holt_states(y, np.array([alpha]), np.array([beta]))
-        return alpha, beta, float(lv[0]), float(tr[0])
-    coarse = np.round(np.arange(0.05, 1.0, 0.05), 4)
-    a, b = np.meshgrid(coarse, coarse, indexing="ij")
-    a, b = a.ravel(), b.ravel()
-    _, _, sse = holt_states(y, a, b)
-    best = int(np.nanargmin(sse))
-    a0, b0 = a[best], b[best]
-    fine = np.round(np.arange(-0.045, 0.0451, 0.005), 4)
-    fa, fb = np.meshgrid(np.clip(a0 + fine, 0.001, 0.999), np.clip(b0 + fine, 0.001, 0.999), indexing="ij")
-    fa, fb = fa.ravel(), fb.ravel()
-    lv, tr, sse = holt_states(y, fa, fb)
-    k = int(np.nanargmin(sse))
-    return float(fa[k]), float(fb[k]), float(lv[k]), float(tr[k])
-
-
 FORECAST_SCHEMA = T.StructType([
     T.StructField("city", T.StringType()), T.StructField("metric", T.StringType()),
     T.StructField("method", T.StringType()), T.StructField("ds", T.TimestampType()),
@@ -169,71 +147,71 @@ FORECAST_SCHEMA = T.StructType([
 ])
 
 
-def _holt_group(periods: int, step: int, params: Params, alpha, beta, holdout: bool, fallback: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        y = pdf["y"].to_numpy(dtype="float64")
-        ds = pd.to_datetime(pdf["ds"]).to_numpy()
-        n = len(y)
-        city, metric = pdf["city"].iloc[0], pdf["metric"].iloc[0]
-        if n < params.min_history_points:
-            return pd.DataFrame(columns=[f.name for f in FORECAST_SCHEMA.fields])
-        h = max(2, min(periods, n // 4))
-        if holdout:
-            if n <= h + params.min_history_points:
-                return pd.DataFrame(columns=[f.name for f in FORECAST_SCHEMA.fields])
-            y_fit, last, horizon = y[: n - h], ds[n - h - 1], h
-        else:
-            y_fit, last, horizon = y, ds[-1], periods
-        method = "exponential_smoothing"
-        try:
-            _, _, level, trend = holt_fit(y_fit, alpha, beta)
-            k = np.arange(1, horizon + 1, dtype="float64")
-            yhat = level + k * trend
-            if not np.all(np.isfinite(yhat)):
-                raise FloatingPointError("non-finite forecast")
-        except (FloatingPointError, ValueError, IndexError):
-            if not fallback:
-                return pd.DataFrame(columns=[f.name for f in FORECAST_SCHEMA.fields])
-            x = np.arange(len(y_fit), dtype="float64")
-            slope, intercept = np.polyfit(x, y_fit, 1)
-            yhat = slope * (len(y_fit) - 1 + np.arange(1, horizon + 1)) + intercept
-            method = "linear_trend"
-        std = float(np.std(y_fit)) if len(y_fit) > 1 else 1.0
-        margin = max(std * params.band_factor, params.band_floor)
-        future = last + np.arange(1, horizon + 1) * np.timedelta64(step, "s")
-        return pd.DataFrame({"city": city, "metric": metric, "method": method, "ds": future,
-                             "yhat": yhat, "yhat_lower": yhat - margin, "yhat_upper": yhat + margin})
-    return run
+def _smoothed(series: DataFrame, periods: int, keys: Sequence[str], step: int, params: Params, alpha, beta,
+              holdout: bool, block: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per series that is long enough, blocks).  A row has n, h, n_fit,
+    last_ds, std and, where the fit is finite, level and trend."""
+    blocks = materialize(holt.blocks_of(series, keys, step, block))
+    h = F.greatest(F.lit(2), F.least(F.lit(int(periods)), F.floor(F.col("n") / 4))).cast("int")
+    spans = holt.lengths(blocks, keys).where(F.col("n") >= params.min_history_points).withColumn("h", h)
+    if holdout:
+        spans = spans.where(F.col("n") > F.col("h") + params.min_history_points)
+    spans = spans.withColumn("n_fit", F.col("n") - F.col("h") if holdout else F.col("n"))
+    train = holt.training(blocks, spans, keys, step)
+    x = (F.col("i0") + F.col("j")).cast("double")
+    line = (train.select(*keys, "i0", F.posexplode("ys").alias("j", "y")).groupBy(*keys)
+            .agg(F.stddev_pop("y").alias("std"), F.regr_slope("y", x).alias("slope"), F.regr_intercept("y", x).alias("intercept")))
+    fitted = holt.fit(train, keys, alpha, beta).select(*keys, "level", "trend")
+    last = F.timestamp_seconds(F.unix_seconds("first_ds") + (F.col("n_fit") - 1) * step).alias("last_ds")
+    out = spans.join(line, list(keys)).join(fitted, list(keys), "left")
+    return out.select(*keys, "n", "h", "n_fit", last, "std", "slope", "intercept", "level", "trend"), blocks
+
+
+def _finite(c: F.Column) -> F.Column:
+    return F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))
 
 
 def forecast_holt(series: DataFrame, periods: int = 6, step: int = 1800, params: Params = DEFAULT,
                   alpha: float | None = None, beta: float | None = None, holdout: bool = False,
-                  fallback: bool = False) -> DataFrame:
-    """Holt forecast per (city, metric) series (grouped pandas, one series per group).
+                  fallback: bool = False, keys: Sequence[str] = SERIES_KEYS, block: int = holt.BLOCK) -> DataFrame:
+    """Holt forecast of every series with at least ``min_history_points``.
 
     ``holdout=True`` returns the predictions for the held-out tail instead
-    (used by the back-test); ``fallback=True`` is the auto cascade (linear
-    trend where the smoothing fit is not finite)."""
-    fn = _holt_group(periods, step, params, alpha, beta, holdout, fallback)
-    return series.select("city", "metric", "ds", "y").groupBy("city", "metric").applyInPandas(fn, FORECAST_SCHEMA)
+    (used by the back-test); ``fallback=True`` is the auto cascade: the linear
+    trend where the smoothing has no finite fit.  Without it such a series has
+    no rows (see :func:`forecast_status`)."""
+    fit, _ = _smoothed(series, periods, keys, step, params, alpha, beta, holdout, block)
+    k = F.explode(F.sequence(F.lit(1), F.col("h") if holdout else F.lit(int(periods)))).alias("k")
+    rows = fit.withColumn("ok", _finite(F.col("level")) & _finite(F.col("trend"))).select("*", k)
+    if not fallback:
+        rows = rows.where("ok")
+    yhat = F.when(F.col("ok"), F.col("level") + F.col("k") * F.col("trend")).otherwise(
+        F.col("slope") * (F.col("n_fit") - 1 + F.col("k")).cast("double") + F.col("intercept"))
+    m = _margin(F.col("std"), F.col("n_fit"), params)
+    return rows.select(
+        *keys, F.when(F.col("ok"), "exponential_smoothing").otherwise("linear_trend").alias("method"),
+        F.timestamp_seconds(F.unix_seconds("last_ds") + F.col("k") * step).alias("ds"),
+        yhat.alias("yhat"), (yhat - m).alias("yhat_lower"), (yhat + m).alias("yhat_upper"))
 
 
 def backtest_holt(series: DataFrame, periods: int = 6, step: int = 1800, params: Params = DEFAULT,
-                  alpha: float | None = None, beta: float | None = None) -> DataFrame:
+                  alpha: float | None = None, beta: float | None = None, keys: Sequence[str] = SERIES_KEYS,
+                  block: int = holt.BLOCK) -> DataFrame:
     """Hold-out error of Holt smoothing.  Like the linear back-test it returns
     every series with ``min_history_points``; one too short to hold out
-    ``h`` points has n = 0 and null metrics."""
-    pred = forecast_holt(series, periods, step, params, alpha, beta, holdout=True)
-    joined = pred.join(series.select("city", "metric", "ds", "y"), ["city", "metric", "ds"]) \
-        .where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
-    err = F.col("y") - F.col("yhat")
-    scored = joined.groupBy("city", "metric").agg(
+    ``h`` points, or without a finite fit, has n = 0 and null metrics."""
+    fit, blocks = _smoothed(series, periods, keys, step, params, alpha, beta, True, block)
+    spans = holt.lengths(blocks, keys).where(F.col("n") >= params.min_history_points)
+    i = ((F.unix_seconds("ds0") - F.unix_seconds("first_ds")) / step).cast("int")
+    tail = (blocks.join(spans, list(keys)).join(fit.select(*keys, "n_fit", "level", "trend"), list(keys))
+            .where(i + F.size("ys") > F.col("n_fit"))
+            .select(*keys, "n_fit", "level", "trend", i.alias("i0"), F.posexplode("ys").alias("j", "y"))
+            .withColumn("k", F.col("i0") + F.col("j") - F.col("n_fit") + 1).where("k > 0"))
+    err = F.col("y") - (F.col("level") + F.col("k") * F.col("trend"))
+    scored = tail.where(_finite(err)).groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("_n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
-    known = (series.groupBy("city", "metric").agg(F.count(F.lit(1)).alias("_points"))
-             .where(F.col("_points") >= params.min_history_points))
-    return known.join(scored, ["city", "metric"], "left").select(
-        "city", "metric", F.lit("exponential_smoothing").alias("method"), F.coalesce("_n", F.lit(0)).alias("n"),
+    return spans.join(scored, list(keys), "left").select(
+        *keys, F.lit("exponential_smoothing").alias("method"), F.coalesce("_n", F.lit(0)).alias("n"),
         "mae", "rmse", F.lit(FORECAST_OK_MESSAGE).alias("message"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .sqlparts import (keep_last, ALERT_OUT, NOT_NULL, READINGS, READINGS_DUP, SPLIT, city_dim_sql, comfort_sql, delta_sql,
-                       heat_index_sql, r6, rnd, utc_text, rolling_ctes, cooldown_ctes, resample_ctes, linear_ctes, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
+                       heat_index_sql, r6, rnd, utc_text, rolling_ctes, cooldown_ctes, resample_ctes, holt_search_ctes, linear_ctes, absolute_candidates, baseline_ctes, detect_ctes, z_candidates)
 
 ORACLE: dict[str, str] = {}
 
@@ -363,6 +363,38 @@ fc AS (SELECT city, metric, 'exponential_smoothing' AS method,
 SELECT {FC_OUT} FROM fc""")
 
 
+sql("forecast_holt", f"""WITH RECURSIVE {READINGS}, {resample_ctes()}, {linear_ctes()},
+hs AS MATERIALIZED (SELECT city, metric, i, y, n FROM ix WHERE n >= 12),
+{holt_search_ctes('hs', 'n')},
+fc AS (SELECT city, metric, 'exponential_smoothing' AS method,
+              make_timestamp((last_bin + k * 1800) * 1000000) AS ds, l + k * t AS yhat,
+              greatest(0.5 * (CASE WHEN n > 1 THEN sd ELSE 1.0 END), 0.5) AS margin
+       FROM hbest JOIN hid USING (s) JOIN fit USING (city, metric), (SELECT unnest(range(1, 7)) AS k))
+SELECT {FC_OUT} FROM fc""")
+
+sql("forecast_auto", f"""WITH RECURSIVE {READINGS}, {resample_ctes()}, {linear_ctes()},
+hs AS MATERIALIZED (SELECT city, metric, i, y, n FROM ix WHERE n >= 12),
+{holt_search_ctes('hs', 'n')},
+fc AS (SELECT fit.city, fit.metric,
+              CASE WHEN isfinite(l) AND isfinite(t) THEN 'exponential_smoothing' ELSE 'linear_trend' END AS method,
+              make_timestamp((last_bin + k * 1800) * 1000000) AS ds,
+              CASE WHEN isfinite(l) AND isfinite(t) THEN l + k * t ELSE slope * (n - 1 + k) + intercept END AS yhat,
+              greatest(0.5 * (CASE WHEN n > 1 THEN sd ELSE 1.0 END), 0.5) AS margin
+       FROM fit JOIN hid USING (city, metric) LEFT JOIN hbest USING (s), (SELECT unnest(range(1, 7)) AS k))
+SELECT {FC_OUT} FROM fc""")
+
+sql("backtest_holt", f"""WITH RECURSIVE {READINGS}, {resample_ctes()}, {linear_ctes()},
+hb AS MATERIALIZED (SELECT city, metric, i, y, n, greatest(2, least(6, n // 4)) AS h FROM ix
+                    WHERE n >= 12 AND n > greatest(2, least(6, n // 4)) + 12),
+{holt_search_ctes('hb', 'n - h')},
+err AS (SELECT hb.city, hb.metric, hb.y - (f.l + (hb.i - (hb.n - hb.h - 1)) * f.t) AS e
+        FROM hb JOIN hid USING (city, metric) JOIN hbest f USING (s) WHERE hb.i >= hb.n - hb.h),
+sc AS (SELECT city, metric, count(*) AS c, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM err GROUP BY city, metric)
+SELECT fit.city, fit.metric, 'exponential_smoothing' AS method, CAST(coalesce(c, 0) AS INTEGER) AS n,
+       {r6('mae')} AS mae, {r6('rmse')} AS rmse, 'Forecast generated successfully.' AS message
+FROM fit LEFT JOIN sc USING (city, metric)""")
+
+
 # --------------------------------------------------------------------------
 # Lake I/O
 # --------------------------------------------------------------------------

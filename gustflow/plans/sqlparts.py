@@ -290,3 +290,32 @@ linear_fc AS (
          slope * (n - 1 + k) + intercept AS yhat,
          greatest(0.5 * (CASE WHEN n > 1 THEN sd ELSE 1.0 END), 0.5) AS margin
   FROM fit, (SELECT unnest(range(1, {periods + 1})) AS k))"""
+
+
+def holt_search_ctes(src: str, length: str) -> str:
+    """Recursive CTEs ending in ``hbest(s, a, b, l, t)`` and ``hid(city, metric,
+    s)``: Holt over the first ``length`` points of every series of ``src``
+    (city, metric, i, y, ...) for every (a, b) of the coarse grid, then of the
+    grid around the best of each series; ties take the least a, then b."""
+    def run(name: str, grid: str) -> str:
+        return f"""{name}_rec(s, a, b, i, l, t, ss) AS (
+  SELECT h0.s, g.a, g.b, 0, h0.y, h1.y - h0.y, CAST(0 AS DOUBLE)
+  FROM hy h0 JOIN hy h1 ON h1.s = h0.s AND h1.i = 1 JOIN {grid} g ON g.s = h0.s WHERE h0.i = 0
+  UNION ALL
+  SELECT r.s, r.a, r.b, r.i + 1, r.l + r.t + r.a * (hy.y - (r.l + r.t)),
+         r.t + r.a * r.b * (hy.y - (r.l + r.t)), r.ss + (hy.y - (r.l + r.t)) * (hy.y - (r.l + r.t))
+  FROM {name}_rec r JOIN hy ON hy.s = r.s AND hy.i = r.i + 1),
+{name} AS MATERIALIZED (SELECT s, a, b, l, t FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.s ORDER BY r.ss, r.a, r.b) AS rn
+  FROM {name}_rec r JOIN hid ON hid.s = r.s AND r.i = hid.m - 1 WHERE isfinite(r.ss)) WHERE rn = 1)"""
+    return f"""hid AS MATERIALIZED (SELECT city, metric, CAST(row_number() OVER (ORDER BY city, metric) AS INTEGER) AS s,
+                     CAST(any_value({length}) AS INTEGER) AS m FROM {src} GROUP BY city, metric),
+hy AS MATERIALIZED (SELECT hid.s, CAST(i AS INTEGER) AS i, CAST(y AS DOUBLE) AS y
+       FROM {src} JOIN hid USING (city, metric) WHERE i < m),
+hg1 AS MATERIALIZED (SELECT hid.s, ka / 20.0e0 AS a, kb / 20.0e0 AS b
+        FROM hid, (SELECT unnest(range(1, 20)) AS ka), (SELECT unnest(range(1, 20)) AS kb)),
+{run('hnear', 'hg1')},
+hg2 AS MATERIALIZED (SELECT hnear.s, greatest(least(hnear.a + ka / 200.0e0, 0.999e0), 0.001e0) AS a,
+               greatest(least(hnear.b + kb / 200.0e0, 0.999e0), 0.001e0) AS b
+        FROM hnear, (SELECT unnest(range(-9, 10)) AS ka), (SELECT unnest(range(-9, 10)) AS kb)),
+{run('hbest', 'hg2')}"""

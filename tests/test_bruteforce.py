@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -148,24 +149,65 @@ def test_detect_matches_loop(spark, hist, new):
     assert got == want
 
 
-def _sse_loop(y, a, b):
-    level, trend, sse = y[0], y[1] - y[0], 0.0
-    for t in range(1, len(y)):
-        err = y[t] - (level + trend)
-        sse += err * err
-        new_level = a * y[t] + (1.0 - a) * (level + trend)
-        trend = b * (new_level - level) + (1.0 - b) * trend
-        level = new_level
-    return sse
-
-
-@settings(max_examples=10, deadline=None)
-@given(st.lists(st.floats(-50, 50), min_size=12, max_size=60))
-def test_holt_fit_minimises_sse_on_its_grid(ys):
-    y = np.array(ys, dtype="float64")
-    a, b, _, _ = forecast.holt_fit(y)
-    best = _sse_loop(y, a, b)
-    coarse = [round(0.05 * i, 4) for i in range(1, 20)]
-    coarse_best = min(_sse_loop(y, ca, cb) for ca in coarse for cb in coarse)
-    # the refined optimum is never worse than the best coarse grid point
-    assert best <= coarse_best * (1 + 1e-9) + 1e-9
+def _holt_search(y):
+    """(alpha, beta, level, trend) by plain loops over both grids."""
+    def run(pairs):
+        out = []
+        for a, b in pairs:
+            level, trend, sse = y[0], y[1] - y[0], 0.0
+            for v in y[1:]:
+                e = v - (level + trend)
+                level, trend, sse = level + trend + a * e, trend + a * b * e, sse + e * e
+            out.append((sse, a, b, level, trend))
+        return min(out)
+    coarse = [k / 20.0 for k in range(1, 20)]
+    _, a0, b0, *_ = run([(a, b) for a in coarse for b in coarse])
+    fine = [k / 200.0 for k in range(-9, 10)]
+    clip = lambda v: max(min(v, 0.999), 0.001)
+    return run([(clip(a0 + u), clip(b0 + v)) for u in fine for v in fine])[1:]
+
+
+@pytest.mark.parametrize("block", [1, 7, 2048])
+def test_holt_scan_equals_plain_loops(spark, block):
+    """Blocks of one point, of seven and of a whole series give the plain loop's pair and state."""
+    from gustflow.operators import holt
+    rng = np.random.default_rng(7)
+    series = {"walk": np.cumsum(rng.normal(size=53)) + 1e4, "noise": rng.normal(size=40) * 30,
+              "trend": np.arange(29) * 0.7 + rng.normal(size=29), "two": np.array([3.0, 5.0])}
+    start = 1_700_000_000 // 1800 * 1800
+    rows = [(k, "m", start + i * 1800, float(v)) for k, y in series.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "city string, metric string, t long, y double").select(
+        "city", "metric", F.timestamp_seconds("t").alias("ds"), "y")
+    keys = ("city", "metric")
+    blocks = holt.blocks_of(df, keys, 1800, block)
+    spans = holt.lengths(blocks, keys).withColumn("n_fit", F.col("n"))
+    got = {r.city: r for r in holt.fit(holt.training(blocks, spans, keys, 1800), keys).collect()}
+    assert set(got) == set(series)
+    for k, y in series.items():
+        a, b, level, trend = _holt_search([float(v) for v in y])
+        if k != "two":  # two points: every pair fits exactly
+            assert (round(got[k].a, 9), round(got[k].b, 9)) == (round(a, 9), round(b, 9)), k
+        assert abs(got[k].level - level) < 1e-6 and abs(got[k].trend - trend) < 1e-6, k
+
+
+def test_auto_falls_through_to_the_line_and_status_says_so(spark):
+    """Squared errors of values near 1e200 overflow: the smoothing has no finite
+    fit, the line has one.  An infinite value leaves neither."""
+    start = 1_700_000_000 // 1800 * 1800
+    ys = {"fine": [float(i % 5) for i in range(30)], "huge": [1e200 * (-1) ** i for i in range(30)],
+          "inf": [float(i) for i in range(29)] + [float("inf")], "short": [1.0] * 5}
+    df = spark.createDataFrame([(k, "m", start + i * 1800, v) for k, y in ys.items() for i, v in enumerate(y)],
+                               "city string, metric string, t long, y double").select(
+        "city", "metric", F.timestamp_seconds("t").alias("ds"), "y")
+    methods = {r.city: r.method for r in forecast.forecast(df, method="auto").collect()}
+    assert methods["fine"] == "exponential_smoothing" and methods["huge"] == "linear_trend" and "short" not in methods
+    assert {r.city for r in forecast.forecast_holt(df).collect()} == {"fine"}
+    auto = {r.city: (r.method, r.message) for r in forecast.forecast_status(df, "auto").collect()}
+    assert auto["fine"][0] == "exponential_smoothing" and auto["huge"] == ("linear_trend", "Forecast generated successfully.")
+    assert auto["inf"] == ("none", "Could not run auto: no finite fit") and auto["short"][1].startswith("Need at least 12")
+    smooth = {r.city: (r.method, r.message) for r in forecast.forecast_status(df, "exponential_smoothing").collect()}
+    assert smooth["huge"] == ("none", "Could not run exponential smoothing: no finite fit")
+    line = {r.city: r.method for r in forecast.forecast_status(df).collect()}
+    assert line == {"fine": "linear_trend", "huge": "linear_trend", "inf": "none", "short": "none"}
+    bt = {r.city: (r.n, r.mae) for r in forecast.backtest_holt(df).collect()}
+    assert bt["huge"] == (0, None) and bt["fine"][0] == 6 and "short" not in bt
