@@ -97,20 +97,37 @@ def test_foreach_batch_scores_against_earlier_batches(spark):
     assert body.read_outbox(spark).first().text.startswith("[HIGH] A: temperature spike detected")
 
 
-def test_stream_cooldown_keeps_state_across_batches(spark):
-    stage = work_path(spark, "t-stage")
-    sink, ck = work_path(spark, "t-sink"), work_path(spark, "t-ck")
-
-    def alert(t, seq):
-        return {"timestamp": t, "seq": seq, "city": "A", "metric": "temperature", "alert_type": "heat_wave",
-                "severity": "high", "message": "m"}
-    _write_file(spark, stage, "f1.json", [alert(0, 1), alert(3000, 2)], 1_000_000)
-    _write_file(spark, stage, "f2.json", [alert(4200, 3), alert(7000, 4)], 2_000_000)
+def _cooldown_run(spark, batches, **kw):
+    """Sent (timestamp, seq) of alerts (timestamp, seq, city) that arrive in ``batches``, one micro-batch each."""
+    stage, sink, ck = (work_path(spark, n) for n in ("t-stage", "t-sink", "t-ck"))
+    for i, batch in enumerate(batches):
+        rows = [{"timestamp": t, "seq": seq, "city": (*city, "A")[0], "metric": "temperature",
+                 "alert_type": "heat_wave", "severity": "high", "message": "m"} for t, seq, *city in batch]
+        _write_file(spark, stage, f"f{i}.json", rows, 1_000_000 * (i + 1))
     raw = source(spark, "files", stage, max_files=1)
     schema = "timestamp long, seq long, city string, metric string, alert_type string, severity string, message string"
     parsed = raw.select(F.from_json("value", schema).alias("a")).select("a.*")
-    _run(start_sink_stream(cooldown_stream(parsed, 3600), sink, ck))
-    assert sorted(r.timestamp for r in spark.read.parquet(sink).collect()) == [0, 4200]
+    _run(start_sink_stream(cooldown_stream(parsed, 3600, **kw), sink, ck))
+    return sorted((r.timestamp, r.seq) for r in spark.read.parquet(sink).collect())
+
+
+def test_stream_cooldown_keeps_state_across_batches(spark):
+    assert _cooldown_run(spark, [[(0, 1), (3000, 2)], [(4200, 3), (7000, 4)]]) == [(0, 1), (4200, 3)]
+
+
+def test_stream_cooldown_takes_the_least_seq_of_a_second(spark):
+    many = [(10, s) for s in range(500, 3, -1)] + [(None, 1)]
+    assert _cooldown_run(spark, [many, [(10, 1), (3610, 9), (3610, 8)]]) == [(10, 4), (3610, 8)]
+
+
+def test_stream_cooldown_forgets_a_silent_key(spark):
+    """With a time to live of a millisecond A's state is gone once a batch passed without it."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        sent = _cooldown_run(spark, [[(0, 1)], [(50, 2, "B")], [(100, 3)]], ttl_ms=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert sent == [(0, 1), (50, 2), (100, 3)]
 
 
 def test_stage_records_orders_files(spark, sf_dir):
