@@ -1,0 +1,91 @@
+"""op4 over every text of the given documents, and over a generated corpus,
+against plain expressions written here and not taken from the module."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+from gustflow.llm import secrets
+
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+DULL = re.compile(r"example|sample|dummy|changeme|placeholder|your|xxxx|0{8}|1234567|abcdefg", re.I)
+
+
+def base(text):
+    """(start, kind, end, value) of the three kinds; expressions run over the whole text."""
+    out = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def looks_live(v):
+    n = len(v)
+    return -sum(c / n * math.log2(c / n) for c in Counter(v).values()) >= 3.0 and not DULL.search(v)
+
+
+def tokens(text, taken):
+    for m in TOKEN.finditer(text):
+        v = m[0]
+        mixed = any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v)
+        if mixed and looks_live(v) and not any(m.start() < e and s < m.end() for s, _, e, _ in taken):
+            yield m.start(), 3, m.end(), v
+
+
+def joined(finds):
+    return ",".join(f"{('assign', 'access', 'hex', 'token')[k]}:{s}:{e}" for s, k, e, _ in finds)
+
+
+def plain(rows):
+    """rows (doc_id, text, source) -> {doc_id: (n_assign, n_access, n_hex, base_sha256, spans, spread)}."""
+    found = {d: base(t or "") for d, t, _ in rows}
+    every = {d: sorted(found[d] + list(tokens(t or "", found[d]))) for d, t, _ in rows}
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for d, _, source in rows:
+        for *_, v in every[d]:
+            owners[v].add(source or "")
+            repositories[v].add(d)
+    out = {}
+    for d, *_ in rows:
+        kept = [f for f in every[d] if f[1] < 3 or len(owners[f[3]]) < secrets.EXAMPLE_OWNERS]
+        out[d] = (*(sum(f[1] == k for f in found[d]) for k in range(3)),
+                  hashlib.sha256(joined(found[d]).encode()).hexdigest(), joined(kept),
+                  ",".join(f"{len(owners[f[3]])}:{len(repositories[f[3]])}" for f in kept))
+    return out
+
+
+def compare(docs):
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.spread) for r in secrets.secrets(docs).collect()}
+    want = plain(rows)
+    assert got.keys() == want.keys()
+    assert [(d, got[d], want[d]) for d in want if got[d] != want[d]] == []
+    return want
+
+
+def test_every_given_document_equals_the_plain_expressions(spark, sf_dir):
+    want = compare(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert len(want) > 0
+
+
+def test_generated_corpus_equals_the_plain_expressions(spark):
+    """Values of one owner, of a few and of many, in every kind, beside near misses and text in several scripts."""
+    rng = random.Random(4)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shared = [pick(low + up + dig, 28) for _ in range(4)]
+    values = [pick(low + up + dig + "+/_-", rng.randint(10, 40)) for _ in range(40)] + shared * 12 + ["your_example_token_1234567"]
+    parts = [lambda: f"{rng.choice(['password', 'PassWd', 'API_KEY', 'apikey', 'Secret', 'token'])}{rng.choice(['', chr(34)])} {rng.choice('=:')}  {rng.choice(values)}",
+             lambda: "AKIA" + pick(up + dig, rng.randint(12, 18)), lambda: pick("0123456789abcdef", rng.randint(14, 40)),
+             lambda: rng.choice(values), lambda: rng.choice(["naïve", "日本語", "😀", "plain", "pässword=", "a,b", "K" + chr(0x212A)]), lambda: "\n"]
+    rows = [(d, " ".join(rng.choice(parts)() for _ in range(rng.randint(0, 30))), rng.choice([None, *(f"s{i}" for i in range(12))])) for d in range(300)]
+    rows += [(1000, None, "s1"), (1001, "", None)]
+    want = compare(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert any("token" in w[4] for w in want.values())
+    # values under many owners are examples: the generic ones are not reported
+    assert not any(v in r[1][int(s):int(e)] for r in rows if r[1] for k, s, e in (x.split(":") for x in want[r[0]][4].split(",") if x) if k == "token" for v in shared)
