@@ -6,119 +6,134 @@ clock is the alert's event time.  Sent alerts are therefore at least
 ``cooldown`` apart, and the sent set is the orbit of the key's first alert
 under ``nxt(a)`` = the first alert at or after ``t(a) + cooldown``.
 
-The batch implementation never gathers a key in one task:
+The batch implementation is a scan over blocks of time, never a key in one
+task and no rounds:
 
 1. alerts collapse to one node per (key, second) — the earliest; the rest
    of that second can never be sent;
-2. ``nxt`` is an as-of self join done inside one-minute buckets
-   (``t + cooldown`` lies a fixed number of buckets later): probe times and
-   nodes of one (key, bucket) meet in a running window — at most 60
-   distinct seconds each, whatever the data volume — and a miss falls back
-   to the first node of the next non-empty bucket, found on the per-key
-   bucket sequence (bounded by the calendar, not by the rows);
-3. the orbit is found by pointer doubling: round ``r`` extends the sent set
-   by ``2^r`` hops and squares the pointer table, so
-   ``ceil(log2(max buckets per key))`` rounds suffice.  Every round is
-   checkpointed (reliable checkpoint in the shared folder) to cut lineage.
+2. a key's time is cut into blocks.  What a block sends depends on earlier
+   ones only through the second at which the key is free again, and that lies
+   before the block's start + cooldown.  So the block has at most one possible
+   entry per second of its first cooldown, and its paths from each of them are
+   worked out in whatever task holds the block (distinct seconds of one block,
+   whatever the data volume);
+3. one ordered pass over the blocks' entries takes, per key, the first entry
+   at which the key is free.  It streams: its state is the last sent second.
+   The entries are bounded by the calendar, not by the rows.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT
 from ..functions.scalars import alert_key, notification_text
-from ..session import materialize, shared_dir
+from ..session import ship_package
+
+#: Seconds of a block at most (unless the cooldown is longer), and cooldowns.
+BLOCK_SECONDS = 1 << 18
+BLOCK_COOLDOWNS = 4096
 
 
 def _node(t, seq_cols: Sequence[str]):
     return F.struct(t.alias("t"), F.struct(*[F.col(c) for c in seq_cols]).alias("s"))
 
 
-def _bucket_width(cooldown: int) -> int:
-    """Bucket width that divides the cooldown: one minute when possible."""
-    return 60 if cooldown >= 60 and cooldown % 60 == 0 else cooldown
-
-
-def cooldown_next(nodes: DataFrame, key_cols: Sequence[str], cooldown: int) -> DataFrame:
-    """``(keys, node, nxt)``: the first node of the key at or after ``node.t + cooldown``.
-
-    ``nodes`` holds one row per (keys, second): ``node`` = struct(t, s) with
-    the smallest sequence of that second.  Time is cut into buckets of width
-    ``w`` (a divisor of the cooldown), so ``t + cooldown`` lies exactly
-    ``cooldown / w`` buckets later; the as-of runs inside that bucket (at
-    most ``w`` distinct seconds plus as many probe times), and a miss falls
-    back to the first node of the next non-empty bucket, found on the
-    per-key bucket sequence (bounded by time span / w)."""
-    c = int(cooldown)
-    w = _bucket_width(c)
-    node_t = nodes.schema["node"].dataType
-    a = nodes.withColumn("_b", F.floor(F.col("node.t") / w))
-    probes = a.select(*key_cols, F.col("node").alias("_src"), (F.col("node.t") + c).alias("_pt"),
-                      (F.col("_b") + c // w).alias("_pb"))
-    # 1) as-of inside the target bucket, over distinct probe times
-    ptimes = probes.select(*key_cols, F.col("_pb").alias("_b"), F.col("_pt").alias("_time")).distinct()
-    rows = (ptimes.select(*key_cols, "_b", "_time", F.lit(0).alias("_kind"), F.lit(None).cast(node_t).alias("_item"))
-            .unionByName(a.select(*key_cols, "_b", F.col("node.t").alias("_time"), F.lit(1).alias("_kind"),
-                                  F.col("node").alias("_item"))))
-    wb = (Window.partitionBy(*key_cols, "_b")
-          .orderBy(F.col("_time").desc(), F.col("_kind").desc())
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = (rows.withColumn("_hit", F.last("_item", ignorenulls=True).over(wb))
-              .where(F.col("_kind") == 0)
-              .select(*key_cols, F.col("_time").alias("_pt"), "_hit"))
-    # 2) first node of the first non-empty bucket after the target bucket
-    firsts = a.groupBy(*key_cols, "_b").agg(F.min("node").alias("_first"))
-    pbs = probes.select(*key_cols, F.col("_pb").alias("_b")).distinct()
-    seq = (pbs.select(*key_cols, "_b", F.lit(0).alias("_kind"), F.lit(None).cast(node_t).alias("_first"))
-           .unionByName(firsts.select(*key_cols, "_b", F.lit(1).alias("_kind"), "_first")))
-    wk = (Window.partitionBy(*key_cols).orderBy(F.col("_b").desc(), F.col("_kind").asc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    after = (seq.withColumn("_fb", F.last("_first", ignorenulls=True).over(wk))
-             .where(F.col("_kind") == 0).select(*key_cols, F.col("_b").alias("_pb"), "_fb"))
-    return (probes.join(inside, [*key_cols, "_pt"], "left")
-            .join(after, [*key_cols, "_pb"], "left")
-            .select(*key_cols, F.col("_src").alias("node"), F.coalesce("_hit", "_fb").alias("nxt")))
+def _block_width(cooldown: int) -> int:
+    return max(cooldown, min(BLOCK_SECONDS, cooldown * BLOCK_COOLDOWNS))
+
+
+def _paths(t: np.ndarray, start: int, cooldown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, nodes, exits): for every entry of a block that starts at
+    ``start``, the positions in ``t`` (its seconds, ascending) that are sent
+    from there on, end to end, and the last of them."""
+    nxt = np.searchsorted(t, t + cooldown)
+    cur = np.arange(min(len(t), np.searchsorted(t, start + cooldown - 1) + 1))
+    exits, hops = cur.copy(), []
+    while (on := cur < len(t)).any():
+        hops.append(np.where(on, cur, -1))
+        exits = np.where(on, cur, exits)
+        cur = np.where(on, nxt[np.minimum(cur, len(t) - 1)], cur)
+    grid = np.stack(hops, axis=1)
+    return (grid >= 0).sum(1), grid[grid >= 0], exits
+
+
+def block_paths(nodes: DataFrame, key_cols: Sequence[str], cooldown: int, width: int) -> DataFrame:
+    """(keys, _block, _entry, _exit, _path): the nodes sent in a block when the
+    key is free again at ``_entry`` (or after the entry before it)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.take(np.argsort(block.column("_t").to_numpy()))
+        t, b = block.column("_t").to_numpy(), block.column("_block")[0].as_py()
+        sizes, at, exits = _paths(t, b * width, cooldown)
+        path = block.column("_node").combine_chunks().take(pa.array(at))
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        head = block.select([*key_cols, "_block"]).slice(0, len(sizes))
+        return (head.append_column("_entry", pa.array(t[:len(sizes)])).append_column("_exit", pa.array(t[exits]))
+                .append_column("_path", pa.ListArray.from_arrays(ends, path)))
+
+    long = T.LongType()
+    schema = T.StructType([nodes.schema[k] for k in key_cols] + [
+        T.StructField("_block", long), T.StructField("_entry", long), T.StructField("_exit", long),
+        T.StructField("_path", T.ArrayType(nodes.schema["_node"].dataType))])
+    return (nodes.withColumn("_t", F.col("_node.t")).withColumn("_block", F.floor(F.col("_t") / F.lit(width)))
+            .groupBy(*key_cols, "_block").applyInArrow(run, schema))
+
+
+def taken_paths(paths: DataFrame, key_cols: Sequence[str], cooldown: int) -> DataFrame:
+    """(keys, _node) of the entries that the greedy order takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, free, taken = None, None, None, False
+        for batch in batches:
+            rows = []
+            at = zip(*(batch.column(c).to_pylist() for c in (*key_cols, "_block", "_entry", "_exit")))
+            for i, (*k, b, entry, last) in enumerate(at):
+                if k != key:
+                    key, block, free = k, None, None
+                if b != block:
+                    block, taken = b, False
+                if not taken and (free is None or entry >= free):
+                    rows.append(i)
+                    free, taken = last + cooldown, True
+            if rows:
+                yield batch.take(pa.array(rows)).select([*key_cols, "_path"])
+
+    schema = T.StructType([paths.schema[k] for k in (*key_cols, "_path")])
+    ordered = (paths.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key_cols)
+               .sortWithinPartitions(*key_cols, "_block", "_entry"))
+    return ordered.mapInArrow(run, schema).select(*key_cols, F.explode("_path").alias("_node"))
 
 
 def cooldown_sent(alerts: DataFrame, key_cols: Sequence[str] = ("alert_key",), time_col: str = "timestamp",
-                  seq_cols: Sequence[str] = ("batch_id",), cooldown: int = DEFAULT.cooldown_seconds) -> DataFrame:
+                  seq_cols: Sequence[str] = ("batch_id",), cooldown: int = DEFAULT.cooldown_seconds,
+                  block_seconds: int | None = None) -> DataFrame:
     """Rows of ``alerts`` that are notified under the greedy cooldown.
 
     ``time_col`` is whole seconds; ``seq_cols`` break ties between alerts of
-    the same key and second (earlier sequence is considered first).
+    the same key and second (earlier sequence is considered first).  Alerts
+    without a key or a time are not notified; without a cooldown all others
+    are.  The result does not depend on ``block_seconds``.
     """
-    spark = alerts.sparkSession
-    shared_dir(spark)  # ensure a reliable checkpoint folder is registered
-    # only the earliest alert of a (key, second) can be sent: one node per second
+    c = int(cooldown)
     t = F.col(time_col).cast("long")
-    nodes = (alerts.select(*key_cols, t.alias("_t"), F.struct(*[F.col(c) for c in seq_cols]).alias("_s"))
+    keyed = alerts.where(t.isNotNull()).dropna(subset=list(key_cols))
+    if c <= 0:
+        return keyed
+    ship_package(alerts.sparkSession)
+    # only the earliest alert of a (key, second) can be sent: one node per second
+    nodes = (keyed.select(*key_cols, t.alias("_t"), F.struct(*[F.col(x) for x in seq_cols]).alias("_s"))
              .groupBy(*key_cols, "_t").agg(F.min("_s").alias("_s"))
-             .select(*key_cols, F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")).alias("node")))
-    jump = materialize(cooldown_next(nodes, key_cols, cooldown))
-    heads = nodes.groupBy(*key_cols).agg(F.min("node").alias("node"))
-    # sent nodes are >= cooldown apart: at most one per cooldown-wide bucket
-    max_buckets = (nodes.select(*key_cols, F.floor(F.col("node.t") / int(cooldown)).alias("_b")).distinct()
-                   .groupBy(*key_cols).count().agg(F.max("count")).first()[0]) or 0
-    rounds = max(0, math.ceil(math.log2(max_buckets))) if max_buckets > 1 else 0
-    sent = materialize(heads)
-    for r in range(rounds):
-        hop = (sent.join(jump, [*key_cols, "node"])
-               .where(F.col("nxt").isNotNull())
-               .select(*key_cols, F.col("nxt").alias("node")))
-        sent = materialize(sent.unionByName(hop))
-        if r + 1 < rounds:
-            j2 = jump.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)],
-                             F.col("node").alias("_mid"), F.col("nxt").alias("_nn"))
-            cond = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key_cols)] + [F.col("nxt") == F.col("_mid")]
-            jump = materialize(jump.join(j2, cond, "left")
-                                .select(*key_cols, "node", F.col("_nn").alias("nxt")))
-    tagged = alerts.withColumn("node", _node(F.col(time_col).cast("long"), seq_cols))
-    return tagged.join(sent, [*key_cols, "node"], "left_semi").drop("node")
+             .select(*key_cols, F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")).alias("_node")))
+    paths = block_paths(nodes, key_cols, c, block_seconds or _block_width(c))
+    sent = taken_paths(paths, key_cols, c)
+    return keyed.withColumn("_node", _node(t, seq_cols)).join(sent, [*key_cols, "_node"], "left_semi").drop("_node")
 
 
 def with_alert_key(alerts: DataFrame) -> DataFrame:

@@ -378,7 +378,7 @@ def q_distinct_severities(spark, sf_dir):
 @register("cooldown_hits_6h")
 def q_cooldown_hits_6h(spark, sf_dir):
     """Every absolute-rule hit of the table through a six-hour cooldown (dense
-    alert stream: many suppressions and several doubling rounds)."""
+    alert stream: many suppressions)."""
     from ..operators.alerts import cooldown_sent, with_alert_key
     hits = with_alert_key(anomaly.alerts_absolute(_obs(spark, sf_dir)))
     sent = cooldown_sent(hits, ("alert_key",), "timestamp", ("event_id",), 6 * 3600)

@@ -78,8 +78,8 @@ def test_linear_forecast_matches_polyfit(spark, ys, periods):
 @SETTINGS
 @given(st.dictionaries(st.sampled_from(["a", "b", "c"]),
                        st.lists(st.integers(0, 20 * 3600), min_size=1, max_size=40), min_size=1),
-       st.sampled_from([600, 3600, 5400]))
-def test_cooldown_matches_fold_per_key(spark, times_by_key, cooldown):
+       st.sampled_from([1, 600, 3600, 5400]), st.sampled_from([None, 1000, 3600, 7000, 40000]))
+def test_cooldown_matches_fold_per_key(spark, times_by_key, cooldown, block):
     rows, want = [], set()
     for k, ts in times_by_key.items():
         last = None
@@ -90,7 +90,7 @@ def test_cooldown_matches_fold_per_key(spark, times_by_key, cooldown):
                 want.add((k, t, seq))
                 last = t
     df = spark.createDataFrame(rows, "alert_key string, timestamp long, batch_id long")
-    got = {(r.alert_key, r.timestamp, r.batch_id) for r in al.cooldown_sent(df, cooldown=cooldown).collect()}
+    got = {(r.alert_key, r.timestamp, r.batch_id) for r in al.cooldown_sent(df, cooldown=cooldown, block_seconds=block).collect()}
     assert got == want
 
 

@@ -213,6 +213,21 @@ def test_cooldown_boundary(spark):
     assert al.cooldown_sent(_alerts(spark, [0, 3600]), cooldown=3600).count() == 2
 
 
+def test_cooldown_of_alerts_without_time_or_key(spark):
+    rows = [("k", None, 1), ("k", 5, 2), (None, 5, 3), ("k", 6, 4), ("j", -3, 5)]
+    df = spark.createDataFrame(rows, "alert_key string, timestamp long, batch_id long")
+    ids = lambda **kw: sorted(r.batch_id for r in al.cooldown_sent(df, **kw).collect())
+    assert ids(cooldown=3600) == [2, 5] and ids(cooldown=0) == [2, 4, 5]
+    assert al.cooldown_sent(df.limit(0)).count() == 0
+
+
+def test_cooldown_of_a_dense_key_over_many_blocks(spark):
+    """An alert every second for three days."""
+    df = spark.range(3 * 86400).selectExpr("'k' AS alert_key", "id AS timestamp", "id AS batch_id")
+    sent = al.cooldown_sent(df, cooldown=600, block_seconds=7200)
+    assert sorted(r.timestamp for r in sent.collect()) == list(range(0, 3 * 86400, 600))
+
+
 def test_cooldown_matches_sequential_fold(spark):
     import random
     rng = random.Random(7)
