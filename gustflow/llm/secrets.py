@@ -3,12 +3,14 @@
 Every text is searched for assignments, access keys, hexadecimal runs and
 other high-entropy tokens.  The value of each find is hashed, and over the
 whole corpus the distinct owners (``source``) and repositories (documents) of
-each hash are counted.  A value found under ``EXAMPLE_OWNERS`` owners or more
-is a widely copied example; any other is owner-specific, and live-looking
-unless it is a placeholder.  Generic tokens are reported only when
-owner-specific and live-looking; the other three kinds always are.  The
-verdict is by owners alone, since a credential copied through one owner's
-documents is still that owner's; both counts are returned with every span.
+each hash are counted.  Both counts decide.  With ``many`` = the cube root of
+the corpus' owners, rounded up, and 3 at least, a value is a widely copied
+example if it is found under ``many`` owners or more, or under two owners or
+more and in ``COPIES * many`` repositories or more.  Any other is
+owner-specific (one owner's value stays so however often that owner repeats
+it), and live-looking unless it is a placeholder.  Generic tokens are reported
+only when owner-specific and live-looking; the other three kinds always are.
+Both counts are returned with every span.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from gustflow.llm.common import written
 from gustflow.llm.text import Words, chunks
 
 KINDS = ("assign", "access", "hex", "token")
-EXAMPLE_OWNERS = 8
+LEAST_OWNERS = 3
+COPIES = 8
 LEAST_ENTROPY = 3.0
 NO_ID = -(1 << 63)
 
@@ -110,27 +113,34 @@ def _d() -> Column:
     return F.coalesce("doc_id", F.lit(NO_ID)).alias("d")
 
 
-def ownership(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> tuple[DataFrame, DataFrame]:
+def many_owners(total: int) -> int:
+    """Owners that make a value a widely copied example, in a corpus of ``total`` owners."""
+    root = round(total ** (1 / 3))
+    return max(LEAST_OWNERS, root + (root ** 3 < total))
+
+
+def ownership(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(finds by row identity, hash statistics).  Both distinct counts go
     through a distinct of (hash, owner) and (hash, row) that combines on the
     map side, so one value in a third of all texts is no hot task."""
     flat = scanned.where(F.size("finds") > 0).select(_d(), "k", "owner", F.explode("finds").alias("f")).select("d", "k", "owner", "f.*").distinct()
     owners = flat.groupBy("hash", "owner").agg(F.lit(1)).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
     repositories = flat.groupBy("hash", "d").agg(F.lit(1)).groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
-    stats = owners.join(repositories, "hash").withColumn("example", F.col("owners") >= example_owners)
-    return flat, stats
+    many = many_owners(scanned.select("owner").distinct().count())
+    copied = (F.col("owners") >= many) | ((F.col("owners") >= 2) & (F.col("repositories") >= COPIES * many))
+    return flat, owners.join(repositories, "hash").withColumn("example", copied)
 
 
-def judged(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def judged(scanned: DataFrame) -> DataFrame:
     """(d, k, spans array<struct<start,kind,end,verdict,owners,repositories>>) of rows with finds;
     verdict is ``live``, ``example`` or ``dull`` (owner-specific placeholder)."""
-    flat, stats = ownership(scanned, example_owners)
+    flat, stats = ownership(scanned)
     verdict = F.when(F.col("example"), "example").when(F.col("live"), "live").otherwise("dull")
     return (flat.join(stats, "hash").withColumn("verdict", verdict).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
             .groupBy("d", "k").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "verdict", "owners", "repositories"))).alias("spans")))
 
 
-def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
     n_example, spread) per row; spread has ``owners:repositories`` of every
     span's value, in the order of spans.
@@ -140,7 +150,7 @@ def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     an empty result; other columns are ignored.
     """
     scanned = written(scan(docs), "secrets")
-    spans = judged(scanned, example_owners)
+    spans = judged(scanned)
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     spread = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["owners"], s["repositories"])), ",")
@@ -155,7 +165,7 @@ def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
 MASK = "[secret]"
 
 
-def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns; in ``text`` every live-looking, owner-specific
     span is replaced by ``MASK`` (overlapping spans by one).
 
@@ -164,7 +174,7 @@ def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     any further columns, whatever their names, are carried along."""
     from gustflow.llm.line_quality import ROW, row_of, with_text
     live = F.filter("spans", lambda s: s["verdict"] == "live")
-    spans = judged(written(scan(docs), "secrets"), example_owners).select("d", "k", live.alias("_spans")).where(F.size("_spans") > 0)
+    spans = judged(written(scan(docs), "secrets")).select("d", "k", live.alias("_spans")).where(F.size("_spans") > 0)
     rows = docs.select(row_of(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
                        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
     # spans are in order of start: cut the text at the end of the widest span so far

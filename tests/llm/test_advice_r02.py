@@ -97,10 +97,13 @@ def plain_strip(rows, window=35):
 def plain_redact(rows):
     finds = [secrets.scan_text(r[1], [(m.start(), m[0]) for m in WORD.finditer(r[1]) if len(m[0].encode()) >= 16]) for r in rows]
     owners = {v: {q[3] for q, g in zip(rows, finds) if any(x[3] == v for x in g)} for f in finds for *_, v in f}
+    repositories = {v: {q[0] for q, g in zip(rows, finds) if any(x[3] == v for x in g)} for v in owners}
+    total = len({q[3] for q in rows})
+    many = next(m for m in range(3, total + 4) if m ** 3 >= total)
     for r, found in zip(rows, finds):
         out, at = "", 0
         for s, _, e, v in found:
-            if secrets.live_looking(v) and len(owners[v]) < 8:
+            if secrets.live_looking(v) and len(owners[v]) < many and (len(owners[v]) < 2 or len(repositories[v]) < 8 * many):
                 out, at = (out + r[1][at:s] + "[secret]", e) if s >= at else (out, max(at, e))
         yield r[0], out + r[1][at:], r[2], r[3]
 
