@@ -146,6 +146,57 @@ def test_token_file_reads_only_wanted_frames_and_sees_damage():
     assert len(broken.frame(2))
 
 
+class Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_one_document_costs_its_frame_and_the_table():
+    """Bytes read for a request: footer, table, and the frames of the documents asked for."""
+    rng, out = np.random.default_rng(5), io.BytesIO()
+    w = token_frames.Writer(out, wide=False)
+    docs = {i: rng.integers(0, 49000, 30000 if i == 700 else 400).astype("<u4") for i in range(-(1 << 63), -(1 << 63) + 1)}
+    docs |= {i: rng.integers(0, 49000, 30000 if i == 700 else 400).astype("<u4") for i in range(2000)}
+    w.add(None, np.arange(5, dtype="<u4"))
+    for i, ids in docs.items():
+        w.add(i, ids)
+    w.close()
+    size = len(out.getvalue())
+    table = token_frames.FOOT.size + len(w.frames) * token_frames.FRAME.size + len(w.docs) * token_frames.DOC.size
+    for want in ([1234], [700], [3, 1999], [-(1 << 63)], [5000]):
+        source = Counting(out.getvalue())
+        reader = token_frames.Reader(source, size)
+        got = {d: ids.tolist() for d, ids in reader.read(want)}
+        assert got == {d: docs[d].tolist() for d in want if d in docs}
+        # 16-bit ids: a frame is at most FRAME_IDS ids, or its one document
+        assert source.taken - table <= sum(2 * max(token_frames.FRAME_IDS, len(ids)) + 64 for ids in got.values())
+    assert [len(f) for f in (reader.frame(k) for k in range(len(reader.frames))) if len(f) > token_frames.FRAME_IDS] == [30000]
+    assert [d for d, _ in reader.read()] == [None, *docs]
+
+
+def test_a_request_opens_only_files_of_its_range(spark, tmp_path):
+    rows = [(i, f"text of number {i} " * (i % 7)) for i in range(400)] + [(None, "no id"), (7, "again"), (-(1 << 63), "least id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several small files
+    try:
+        manifest = token_frames.write_files(docs, str(tmp_path), bpe.default_vocab())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    every = token_frames.read_files(manifest).collect()
+    assert len(every) == len(rows) and manifest.count() > 3
+    for want in ([7], [3, 250, 9999], [-(1 << 63)], []):
+        assert sorted(token_frames.read_files(manifest, want).collect()) == sorted(r for r in every if r.doc_id in want)
+        assert token_frames.files_of(manifest, want).count() <= 2 * len(want)
+    ends = manifest.where("first_doc is not null").orderBy("part").select("first_doc", "last_doc").collect()
+    assert all(a.last_doc <= b.first_doc for a, b in zip(ends, ends[1:])) and manifest.agg({"n_null": "sum"}).first()[0] == 1
+    with pytest.raises(Exception, match="nowhere"):
+        token_frames._open("nowhere://x/y")
+
+
 def test_packing_places_every_piece_once(spark, texts):
     got = pd.DataFrame([r.asDict() for r in packing.pack(frame(spark, texts), capacity=128).collect()])
     assert len(got[got.doc_id == 45]) % 2 == 0
