@@ -131,7 +131,8 @@ def read_table(spark: SparkSession, root: str, schema: T.StructType, since=None,
     # on partition columns only: other folders are not opened
     df = df.where(F.concat_ws("/", F.col(col).cast("string"), "batch").isin([f"{d}/{e.attempt}" for d, e in found]))
     named = spark.createDataFrame(sorted({(e.attempt, e.batch, e.seq) for _, e in found}), "batch string, _batch string, _seq long")
-    df = df.join(named, "batch").withColumn("batch", F.col("_batch"))
+    # one line a batch goes to the rows: a join that shuffles by batch would put a whole batch into one task
+    df = df.join(F.broadcast(named), "batch").withColumn("batch", F.col("_batch"))
     if "ingest_seq" in df.columns:
         df = df.withColumn("ingest_seq", F.coalesce("ingest_seq", "_seq"))
     return df.select(*[f.name for f in schema.fields])
@@ -146,8 +147,9 @@ def stage(df: DataFrame, root: str, attempt: str, schema: T.StructType, sort=("c
         if f.name not in rows.columns:
             rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
     seen = Observation()
-    rows = rows.select(*[f.name for f in schema.fields]).repartitionByRange(col, *sort).sortWithinPartitions(col, *sort)
+    rows = rows.select(*[f.name for f in schema.fields]).repartitionByRange(col, *sort)
     rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(F.col(col).cast("string")).alias("dates"))
+    rows = rows.sortWithinPartitions(col, "batch", *sort)
     rows.write.mode("append").partitionBy(col, "batch").parquet(root)
     return seen.get["n"], sorted(seen.get["dates"])
 
