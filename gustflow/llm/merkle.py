@@ -67,7 +67,8 @@ def leaves(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
 def ranked(df: DataFrame, *by: str) -> DataFrame:
     """``df`` with ``rank`` (0, 1, ... within ``tree`` by the columns ``by``)
     and ``size`` (rows of the tree).  One range shuffle; a large tree spans
-    many partitions, and only a count per (partition, tree) is summed up."""
+    many partitions, and only a count per (partition, tree) is summed up.
+    The ordered rows and these counts are written; ranks follow from them on reading."""
     placed = written(df.repartitionByRange("tree", *by).sortWithinPartitions("tree", *by)
                      .withColumn("at", F.monotonically_increasing_id()), "merkle_order")
     placed = placed.withColumn("part", F.shiftright("at", 33))
@@ -75,6 +76,7 @@ def ranked(df: DataFrame, *by: str) -> DataFrame:
     tree = Window.partitionBy("tree")
     spans = spans.select("tree", "part", "first", F.sum("n").over(tree).alias("size"),
                          (F.sum("n").over(tree.orderBy("part")) - F.col("n")).alias("before"))
+    spans = written(spans, "merkle_spans")
     return (placed.join(spans, ["tree", "part"])
             .withColumn("rank", F.col("before") + F.col("at") - F.col("first"))
             .drop("part", "at", "first", "before"))
@@ -249,7 +251,7 @@ def _manifest(ranked_leaves: DataFrame, first: DataFrame | None = None) -> Manif
 
 def build(docs: DataFrame, tampered: Column | None = None) -> Manifest:
     found = written(leaves(docs, tampered), "merkle_leaves").withColumnRenamed("leaf", "node")
-    return _manifest(written(ranked(found, "doc_id", "node", "row"), "merkle_ranked"))
+    return _manifest(ranked(found, "doc_id", "node", "row"))
 
 
 def append(old: Manifest, docs: DataFrame, tampered: Column | None = None) -> Manifest:
